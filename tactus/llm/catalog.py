@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tactus.llm import secrets, sharding
+from tactus.llm import mixing, quality, secrets, sharding
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -56,3 +56,16 @@ def op2_secret_scans(spark, sf_dir):
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("found")).alias("spans"),
     )
+
+
+@query()
+def op3_quality_rules(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    crf = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = docs.select("doc_id", quality.quality("text", crf).alias("q"))
+    return judged.select("doc_id", "q.*")
+
+
+@query()
+def op5_mixing(spark, sf_dir):
+    return mixing.mix_report(documents(spark, sf_dir))
