@@ -98,7 +98,8 @@ def source_plan(sizes: DataFrame, most_repeats: int = MOST_REPEATS, block_words:
 def expanded(rows: DataFrame, count: str, name: str) -> DataFrame:
     """Each row once for every number below its count, in chunks that are dealt out between tasks."""
     chunks = rows.where(F.col(count) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK).cast("long"))))
-    chunks = chunks.repartition("rank", "_chunk")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number isn't coalesced: chunks are small rows that grow
+    chunks = chunks.repartition(tasks, "rank", "_chunk")
     first = F.col("_chunk") * CHUNK
     return chunks.withColumn(name, F.explode(F.sequence(first, F.least(first + CHUNK, F.col(count)) - 1))).drop("_chunk")
 
@@ -144,7 +145,8 @@ def mix_rows(rows: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, bu
     pieces = pieces.select("_row", "rank", "block", (start - F.col("_at")).alias("piece_from"), (end - start).alias("piece_words"))
 
     times = shard_slots(shard_draws(plan, seed), seed).groupBy("rank", "block").agg(F.count("*").alias("times"))
-    return plan, pieces.join(times, ["rank", "block"]).drop("block")
+    # The planner takes the slots for as small as the plan they expand from; they are never to be broadcast.
+    return plan, pieces.join(times.hint("merge"), ["rank", "block"]).drop("block")
 
 
 def _rows(docs: DataFrame, text: str, keep_all: bool) -> DataFrame:
