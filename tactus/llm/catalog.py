@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tactus.llm import mixing, quality, secrets, sharding
+from tactus.llm import mixing, ogg, quality, secrets, sharding, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -69,3 +69,15 @@ def op3_quality_rules(spark, sf_dir):
 @query()
 def op5_mixing(spark, sf_dir):
     return mixing.mix_report(documents(spark, sf_dir))
+
+
+@query()
+def op6_media_columns(spark, sf_dir):
+    media = documents(spark, sf_dir).select("doc_id", ogg.media_column("text").alias("media"))
+    return media.select("doc_id", ogg.media_features("media").alias("f")).select("doc_id", "f.*")
+
+
+@query()
+def op8_simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
