@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tactus.llm import mixing, ogg, quality, secrets, sharding, simhash
+from tactus.llm import mixing, ogg, packing, quality, secrets, sharding, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 SHARDS = 16
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(oracle: str | None = None):
@@ -81,3 +83,8 @@ def op6_media_columns(spark, sf_dir):
 def op8_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir), BYTE_TOKENIZER)
