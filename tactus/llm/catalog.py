@@ -5,13 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tactus.llm import mixing, ogg, packing, quality, secrets, sharding, simhash
+from tactus.llm import mixing, ogg, packing, quality, secrets, sharding, simhash, tokencount, wavelet
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 SHARDS = 16
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(oracle: str | None = None):
@@ -88,3 +90,14 @@ def op8_simhash_near_dedup(spark, sf_dir):
 @query()
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), BYTE_TOKENIZER)
+
+
+@query()
+def op9_token_counts(spark, sf_dir):
+    counted = documents(spark, sf_dir).select("doc_id", tokencount.token_counts("text", PIECE_MODEL).alias("c"))
+    return counted.select("doc_id", "c.*")
+
+
+@query()
+def op10_token_ids(spark, sf_dir):
+    return wavelet.token_files(documents(spark, sf_dir), WORD_TOKENIZER)
