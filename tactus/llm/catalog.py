@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tactus.llm import mixing, ogg, packing, quality, secrets, sharding, simhash, tokencount, wavelet
+from tactus.llm import mixing, ogg, packing, quality, secrets, sharding, simhash, tokencount, wavelet, wrappers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -101,3 +101,9 @@ def op9_token_counts(spark, sf_dir):
 @query()
 def op10_token_ids(spark, sf_dir):
     return wavelet.token_files(documents(spark, sf_dir), WORD_TOKENIZER)
+
+
+@query()
+def op4_html_extraction(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return wrappers.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
