@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tactus.llm.text import utf8
+from tactus.llm.text import bounded_batches, utf8
 
 PAD_TO = 192
 PAD = b" "
@@ -214,6 +214,7 @@ def describe(payload: bytes, facts: dict) -> str:
 def media_column(text: Column | str) -> Column:
     """Each whole text as Ogg media."""
 
+    bounded_batches()
     @F.pandas_udf("binary")
     def write(texts: pd.Series) -> pd.Series:
         return pd.Series([write_media(padded(raw), len(raw)) for raw in utf8(texts)], dtype=object)
@@ -224,6 +225,7 @@ def media_column(text: Column | str) -> Column:
 def media_features(media: Column | str) -> Column:
     """A struct column of FEATURES, all from the media as stored."""
 
+    bounded_batches()
     @F.pandas_udf(FEATURES)
     def read(stored: pd.Series) -> pd.DataFrame:
         rows = []
@@ -248,6 +250,7 @@ def media_features(media: Column | str) -> Column:
 def packets(media: Column | str, rate: int = RATE) -> Column:
     """array<struct<serial, packet, seconds, bytes>>: the demultiplexed packets of each medium."""
 
+    bounded_batches()
     @F.pandas_udf("array<struct<serial:long,packet:long,seconds:double,bytes:binary>>")
     def split(stored: pd.Series) -> pd.Series:
         out = []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tactus.llm.text import steps, utf8
+from tactus.llm.text import bounded_batches, steps, utf8
 from tactus.llm.tokens import BYTE_PIECES, encoder
 from tactus.session import durable
 
@@ -46,6 +46,7 @@ def piece_lengths(tokens: int, capacity: int) -> list[int]:
 
 def token_pieces(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), with ids (binary) if they are to be kept."""
+    bounded_batches()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     end = END.to_bytes(4, "little")
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.text import IS_SPACE, mix64, steps, utf8
+from tactus.llm.text import IS_SPACE, bounded_batches, mix64, steps, utf8
 
 #: Labelled texts that the model is fitted on, at most: those with the smallest hashed ids. A documented bound.
 TRAIN_DOCS = 600
@@ -265,6 +265,7 @@ def verdicts(crf: Crf, texts: list[bytes], least_share: float = LEAST_SHARE) ->
 def quality(text: Column | str, crf: Crf, least_share: float = LEAST_SHARE) -> Column:
     """A struct column of SCHEMA for each text."""
 
+    bounded_batches()
     @F.pandas_udf(SCHEMA)
     def judge(texts: pd.Series) -> pd.DataFrame:
         parts = [verdicts(crf, step, least_share) for step in steps(utf8(texts))]

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.text import steps, utf8
+from tactus.llm.text import bounded_batches, steps, utf8
 
 
 @dataclass(frozen=True)
@@ -180,6 +180,7 @@ def scan_block(texts: list[str], rules: tuple[Rule, ...], queries: list[tuple])
 
 def secret_spans(text: Column | str, rules: tuple[Rule, ...] = RULES) -> Column:
     """A column array<struct<kind, start, end>> of the secrets in each text."""
+    bounded_batches()
     queries = [trigram_query(r.pattern) for r in rules]
 
     @F.pandas_udf(SPANS)
@@ -196,6 +197,7 @@ def secret_spans(text: Column | str, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def trigram_index(df: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The postings as a table (trigram string, keys array): one row for each block and trigram that occurs."""
+    bounded_batches()
     wanted = sorted(set().union(*(trigrams_of(trigram_query(r.pattern)) for r in rules)))
     kind = df.select(key).schema[0].dataType.simpleString()
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.text import steps, utf8
+from tactus.llm.text import bounded_batches, steps, utf8
 from tactus.session import durable
 
 SHINGLE = 3
@@ -67,6 +67,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 def fingerprint(text: Column | str) -> Column:
     """The 64 bits as a (signed) long."""
 
+    bounded_batches()
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         parts = [fingerprints(step) for step in steps(utf8(texts))]

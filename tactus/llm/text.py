@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 #: White space that separates words, as a regular expression class body (space, tab to carriage return).
 SPACE = r"\x20\x09-\x0D"
@@ -16,6 +17,14 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Texts handled together in one vectorised step, in bytes.
 STEP_BYTES = 2 << 20
 
+#: Rows that Spark hands to a Python worker at once, in bytes: long texts come few at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches() -> None:
+    """Bound what a Python worker holds by bytes, not by a number of rows."""
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def utf8(texts) -> list[bytes]:
     """The texts as UTF-8, nulls as empty."""

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tactus.llm.text import steps, utf8
+from tactus.llm.text import bounded_batches, steps, utf8
 
 MARK = "▁"
 SHIFT = 2.7
@@ -105,6 +105,7 @@ _tries: dict[str, Trie] = {}
 def token_counts(text: Column | str, path: str, room: int = ROOM) -> Column:
     """A struct column of SCHEMA for each whole text."""
 
+    bounded_batches()
     @F.pandas_udf(SCHEMA)
     def count(texts: pd.Series) -> pd.DataFrame:
         if path not in _tries:

@@ -31,12 +31,15 @@ class Pieces:
 
     pattern: str
     space: str
+    folds: bool = False  # the tokenizer lower-cases, so a piece may be looked up in lower case
 
 
 #: Byte-level: the last space before a word belongs to it, and its first token begins with that space.
 BYTE_PIECES = Pieces(f" ?[{LETTERS}]++{ENDS}|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+", " ")
 #: White space is dropped; the last token of a word is marked as its end.
-WORD_PIECES = Pieces(f"[{LETTERS}]++{ENDS}|[^{SPACES}]+", "")
+WORD_PIECES = Pieces(f"[{LETTERS}]++{ENDS}|[^{SPACES}]+", "", True)
+#: Texts of these characters alone have the same ids in lower case: none of them composes or has special cases.
+PLAIN = re.compile("[\0-\u024f]*+\\Z").match
 BEGINS, ENDS_WORD = "Ġ", "</w>"
 
 _encoders: dict[tuple[str, Pieces], Encoder] = {}
@@ -53,6 +56,7 @@ class Encoder:
         self.cut = re.compile(pieces.pattern).findall
         self.letters = re.compile(f"[{LETTERS}]+\\Z").match
         self.space = pieces.space
+        self.folds = pieces.folds
         self.room = room
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -89,6 +93,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        if self.folds:
+            texts = [t.lower() if (t.isascii() or PLAIN(t)) and "<|" not in t else t for t in texts]  # special tokens keep their case
         cut = [self.cut(t) for t in texts]
         found = [list(map(self.young.get, pieces)) for pieces in cut]  # one look at the large table for each piece
         gaps = [[i for i, ids in enumerate(row) if ids is None] for row in found]

@@ -19,6 +19,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tactus.llm.text import steps, utf8
+from tactus.llm.text import bounded_batches, steps, utf8
 from tactus.llm.tokens import WORD_PIECES, encoder
 from tactus.session import durable, fresh_path
 
@@ -45,11 +46,19 @@ class Plane:
 
     def __init__(self, packed: np.ndarray, n: int):
         self.packed, self.n = packed, n
+
+    @cached_property
+    def blocks(self) -> np.ndarray:
+        packed, n = self.packed, self.n
         padded = np.zeros(-(-n // BLOCK) * (BLOCK // 8) + BLOCK // 8, np.uint8)
         padded[: len(packed)] = packed
-        self.blocks = padded.reshape(-1, BLOCK // 8)
+        return padded.reshape(-1, BLOCK // 8)
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """The rank directory: ones before each block."""
         ones = np.bitwise_count(self.blocks).sum(1, dtype=np.int64)
-        self.before = np.concatenate([[0], np.cumsum(ones)])
+        return np.concatenate([[0], np.cumsum(ones)])
 
     def bits(self) -> np.ndarray:
         return np.unpackbits(self.packed, count=self.n).view(bool)
@@ -88,7 +97,7 @@ class WaveletMatrix:
         planes, zeros = [], []
         x = ids.astype(np.uint16 if width <= 16 else np.uint32)
         for level in range(width - 1, -1, -1):
-            bit = (x >> level & 1).astype(bool)
+            bit = (x & x.dtype.type(1 << level)) != 0
             planes.append(Plane(np.packbits(bit), len(x)))
             low = x[~bit]
             zeros.append(len(low))
@@ -97,14 +106,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order: the parting of each plane is undone from the last to the first."""
-        x = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        x = np.zeros(self.n, kind)
         for level, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bit = plane.bits()
             up = np.empty_like(x)
             up[~bit] = x[:zeros]
-            up[bit] = x[zeros:] | np.uint32(1 << level)
+            up[bit] = x[zeros:] | kind(1 << level)
             x = up
-        return x
+        return x.astype(np.uint32)
 
     def access(self, i: int) -> int:
         value = 0
@@ -179,6 +189,7 @@ def read_file(uri: str) -> bytes:
 
 def write_shards(docs: DataFrame, path: str, folder: str, text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write the files into the folder; returns their list (part, number, file, docs, tokens) in document order."""
+    bounded_batches()
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", text).repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", text)
     end = END.to_bytes(4, "little")

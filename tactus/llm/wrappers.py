@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tactus.llm.text import bounded_batches
 from tactus.session import durable
 
 # Elements without content, elements whose content is no markup, and elements that do not part text.
@@ -312,6 +313,7 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages with text (string): the main text of each page by its host's wrapper."""
+    bounded_batches()
     columns = [c for c in pages.columns if c != "text"]
     kept = durable(wrappers(pages, url, html), "wrappers")
 

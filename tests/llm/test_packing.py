@@ -13,7 +13,7 @@ from tactus.llm import packing, tokens
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "a", "  a  b ", "x\n\n\ny", "it's ' s 'saint", "tab\t\t end  ", "é\xa0\xa0\nß", "a  b\x1c\x1d c", "<|endoftext|> x  <|endoftext|>y",
-       "日本語 テスト", "1234 56.7", "\x85z", "Á e ́x", "don't  WON'T", " 　 q"]
+       "日本語 テスト", "<|ENDOFTEXT|> THE End", "J̌ ΣΑΣ İx ǅ ÀÉ SHOUT!!", "1234 56.7", "\x85z", "Á e ́x", "don't  WON'T", " 　 q"]
 
 
 @pytest.mark.parametrize(("path", "piece"), [(BYTE, tokens.BYTE_PIECES), (WORDS, tokens.WORD_PIECES)], ids=["byte", "word"])
