@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tactus.functions import columns as fn
+from tactus.operators import hmm, nearest, parity, peaks, rollup, segments, signal, stems
+from tactus.operators.tempo import tempo_candidates
+from tactus.streaming import incremental
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,17 +33,478 @@ def query(oracle: str | None = None):
     return register
 
 
-#: Microseconds between consecutive events of a user, as SQL in either engine.
-@query("""
-    with gaps as (
-        select user_id, date_diff('microsecond', lag(ts) over (partition by user_id order by ts, event_id), ts) as gap from events),
+EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
+TYPES = ["click", "error", "purchase", "signup", "view"]
+PAST, FUTURE = 12, 6
+
+# Parts that the oracles share.
+FRAMES = """frames as (select user_id, event_id, event_type, value, props, ts,
+    date_diff('microsecond', timestamp '2024-01-01', ts) as us,
+    row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events)"""
+STRENGTH = f"""{FRAMES}, strengths as (select user_id, frame, event_type, value, case when value > 0 and value = max(value) over (partition by user_id
+    order by frame rows between {PAST} preceding and {FUTURE} following) then value - (
+    coalesce(sum(value) over (partition by user_id order by frame rows between {PAST} preceding and 1 preceding), 0) / {PAST} +
+    coalesce(sum(value) over (partition by user_id order by frame rows between 1 following and {FUTURE} following), 0) / {FUTURE}) / 2
+    else 0 end as strength from frames)"""
+SEGMENTED = f"""{STRENGTH}, segmented as (select *, cast(sum(case when strength > 0 and frame > 0 then 1 else 0 end) over
+    (partition by user_id order by frame rows unbounded preceding) as bigint) as segment from strengths)"""
+FLAGGED = f"""{FRAMES}, edges as (select *, value >= 50 as hot, case when value >= 50 and not coalesce(lag(value >= 50) over
+    (partition by user_id order by frame), false) then 1 else 0 end as enters from frames),
+    flagged as (select *, cast(sum(enters) over (partition by user_id order by frame rows unbounded preceding) as bigint) as island from edges)"""
+
+
+def frames(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    us = F.timestamp_diff("MICROSECOND", F.expr(EPOCH), F.col("ts")).alias("us")
+    return peaks.frame_numbers(events.select("*", us), "user_id", "ts", "event_id")
+
+
+def strengths(spark, sf_dir):
+    return peaks.peak_strength(frames(spark, sf_dir), "user_id", "frame", "value", PAST, FUTURE)
+
+
+def segmented(spark, sf_dir):
+    return segments.segment_ids(strengths(spark, sf_dir), "user_id", "frame", F.col("strength") > 0)
+
+
+def r6(name):
+    return F.round(name, 6).alias(name)
+
+
+# --- tempo
+
+TEMPO = """gaps as (select user_id, date_diff('microsecond', lag(ts) over (partition by user_id order by ts, event_id), ts) as gap from events),
     beats as (select user_id, cast(round_even(60 * 3600e6 / gap, 0) as bigint) as bpm from gaps where gap > 0),
-    votes as (select user_id, bpm, count(*) as votes from beats group by all)
-    select user_id, bpm, votes from votes
-    qualify row_number() over (partition by user_id order by votes desc, bpm desc) = 1""")
+    votes as (select user_id, bpm, count(*) as votes from beats group by all)"""
+
+
+def _tempo(spark, sf_dir):
+    """Events of a user as beats, the hour as the minute."""
+    return tempo_candidates(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.lit(60 * 3600e6), micros=True)
+
+
+@query(f"with {TEMPO} select user_id, bpm, votes from votes qualify row_number() over (partition by user_id order by votes desc, bpm desc) = 1")
 def tempo_mode(spark, sf_dir):
-    from tactus.operators.tempo import tempo_candidates
+    return _tempo(spark, sf_dir).where("rank = 1").select("user_id", "bpm", "votes")
+
+
+@query(f"""with {TEMPO} select user_id, bpm, round(votes / sum(votes) over (partition by user_id), 6) as share,
+    row_number() over (partition by user_id order by votes desc, bpm desc) as rank from votes""")
+def tempo_shares(spark, sf_dir):
+    return _tempo(spark, sf_dir).select("user_id", "bpm", r6("share"), F.col("rank").cast("bigint").alias("rank"))
+
+
+# --- peaks and segments
+
+
+@query(f"with {STRENGTH} select user_id, frame, round(strength, 6) as strength from strengths")
+def peak_strength(spark, sf_dir):
+    return strengths(spark, sf_dir).select("user_id", "frame", r6("strength"))
+
+
+@query(f"with {STRENGTH} select user_id, frame, frame * 441 / 44100 as seconds from strengths where strength > 0")
+def boundaries(spark, sf_dir):
+    return strengths(spark, sf_dir).where("strength > 0").select("user_id", "frame", segments.seconds(F.col("frame")).alias("seconds"))
+
+
+@query(f"""with {FRAMES} select user_id, frame, case when value = max(value) over (partition by user_id order by frame
+    rows between 3 preceding and 3 following) then value else 0 end as kept from frames""")
+def local_max_window(spark, sf_dir):
+    return peaks.local_maxima(frames(spark, sf_dir), "user_id", "frame", "value", 7).select("user_id", "frame", "kept")
+
+
+@query(f"""with {FRAMES} select user_id, frame from frames qualify value > max(value) over (partition by user_id order by frame rows between 2 preceding and 1 preceding)
+    and value > max(value) over (partition by user_id order by frame rows between 1 following and 2 following)""")
+def local_max_strict(spark, sf_dir):
+    return peaks.strict_maxima(frames(spark, sf_dir), "user_id", "frame", "value", 2).where("is_peak").select("user_id", "frame")
+
+
+@query(f"""with {SEGMENTED} select user_id, segment, min(frame) as "start", max(frame) + 1 as "end" from segmented group by all""")
+def segment_intervals(spark, sf_dir):
+    return segments.segments(segmented(spark, sf_dir), "user_id", "frame")
+
+
+@query(f"""with {SEGMENTED}, counted as (select user_id, segment, event_type, count(*) as n from segmented group by all)
+    select user_id, segment, event_type as label from counted qualify row_number() over (partition by user_id, segment order by n desc, event_type) = 1""")
+def segment_labels(spark, sf_dir):
+    one_hot = segmented(spark, sf_dir).withColumns({t: F.when(F.col("event_type") == t, 1.0).otherwise(0.0) for t in TYPES})
+    labelled = segments.segment_labels(one_hot, "user_id", TYPES)
+    return labelled.select("user_id", "segment", F.element_at(F.array(*map(F.lit, TYPES)), (F.col("label_id") + 1).cast("int")).alias("label"))
+
+
+@query(f"""with {SEGMENTED}, starts as (select user_id, segment, min(frame) as "start", count(*) as n from segmented group by all)
+    select user_id, "start", lead("start", 1, total) over (partition by user_id order by "start") as "end" from
+    (select *, cast(sum(n) over (partition by user_id) as bigint) as total from starts)""")
+def interval_construction(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    starts = segmented(spark, sf_dir).groupBy("user_id", "segment").agg(F.min("frame").alias("start"), F.count("*").alias("n"))
+    whole = W.partitionBy("user_id")
+    total = starts.withColumn("total", F.sum("n").over(whole))
+    end = F.coalesce(F.lead("start").over(whole.orderBy("start")), F.col("total"))
+    return total.select("user_id", "start", end.alias("end"))
+
+
+@query(f"with {FLAGGED} select user_id, frame, island from flagged where hot")
+def islands(spark, sf_dir):
+    return segments.islands(frames(spark, sf_dir), "user_id", "frame", F.col("value") >= 50).select("user_id", "frame", "island")
+
+
+@query(f"""with {FLAGGED} select user_id, island, min(frame) as "start", max(frame) + 1 as "end", cast(arg_max(frame, value * 1e6 - frame * 1e-3) as bigint) as peak
+    from flagged where hot group by all""")
+def island_peaks(spark, sf_dir):
+    runs = segments.islands(frames(spark, sf_dir), "user_id", "frame", F.col("value") >= 50)
+    return segments.island_peaks(runs, "user_id", "frame", F.col("value"))
+
+
+@query(f"""with {FRAMES}, bounds as (select *, min(case when value >= 90 then frame end) over (partition by user_id) as f,
+    max(case when value >= 90 then frame end) over (partition by user_id) as l from frames)
+    select user_id, frame, value from bounds where frame between f and l""")
+def threshold_trim(spark, sf_dir):
+    return segments.threshold_trim(frames(spark, sf_dir), "user_id", "frame", F.col("value"), 90.0).select("user_id", "frame", "value")
+
+
+# --- nearest
+
+NEAREST = f"""{FRAMES}, deltas as (select c.user_id, c.us, c.event_id, p.us - c.us as delta from frames c join frames p on c.user_id = p.user_id
+    where c.event_type = 'click' and p.event_type = 'purchase'
+    qualify row_number() over (partition by c.event_id order by abs(p.us - c.us), p.us desc) = 1)"""
+
+
+def _deltas(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    return nearest.nearest_deltas(f.where("event_type = 'click'"), f.where("event_type = 'purchase'"), "user_id", "us")
+
+
+@query(f"with {NEAREST} select user_id, us, delta from deltas")
+def nearest_signed_delta(spark, sf_dir):
+    return _deltas(spark, sf_dir)
+
+
+@query(f"""with {NEAREST} select user_id, count(*) as n, round(avg(delta), 3) as mean_signed, median(delta) as median_signed, median(abs(delta)) as median_abs,
+    round(quantile_cont(abs(cast(delta as double)), 0.9), 3) as p90_abs, cast(max(abs(delta)) as double) as max_abs from deltas group by user_id""")
+def delta_summary(spark, sf_dir):
+    out = nearest.delta_summary(_deltas(spark, sf_dir), "user_id")
+    return out.withColumns({c: F.round(c, 3) for c in ("mean_signed", "p90_abs")})
+
+
+@query(f"""with {FRAMES} select p.user_id, p.us from frames p where p.event_type = 'purchase' and not exists (select 1 from frames c
+    where c.user_id = p.user_id and c.event_type = 'click' and abs(c.us - p.us) <= 7200000000)""")
+def near_duplicate_exclusion(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    out = nearest.without_near(f.where("event_type = 'purchase'"), f.where("event_type = 'click'"), "user_id", "us", 7_200_000_000)
+    return out.select("user_id", "us")
+
+
+# --- rollups
+
+
+@query("""select event_type as stage, user_id as track, grouping(user_id) = 0 as by_track, cast(round(sum(value), 4) as double) as total from events
+    group by grouping sets ((event_type), (event_type, user_id))""")
+def stage_rollup(spark, sf_dir):
+    out = rollup.stage_totals(table(spark, sf_dir, "events"), "event_type", "user_id", F.col("value"))
+    return out.withColumn("total", F.round("total", 4))
+
+
+@query(f"""with {FRAMES}, named as (select *, case when event_type in ('click', 'view') then 'post' else event_type end as stage,
+    case when event_type in ('click', 'view') then -1 else event_id end as k from frames)
+    select user_id, stage, min(us) as "start", max(us + 1000) as "end", count(*) as "rows" from named group by user_id, stage, k""")
+def stage_collapse(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("stop", F.col("us") + 1000)
+    return rollup.collapse(f, "event_type", ["click", "view"], "post", "us", "stop", "user_id")
+
+
+@query(f"""with {FRAMES} select user_id, us - min(us) over (partition by user_id) as since from frames where event_type not in ('error')""")
+def rebased_timeline(spark, sf_dir):
+    return rollup.rebased(frames(spark, sf_dir), "user_id", "us", ["error"], "event_type").select("user_id", "since")
+
+
+# --- hidden Markov model
+
+STEP = np.array([[0.0, -2.0, -3.0], [-3.0, 0.0, -2.0], [-2.0, -3.0, 0.0]])
+
+
+@query()
+def viterbi_small(spark, sf_dir):
+    scores = [F.floor(F.col("value") / 10).cast("double"), F.lit(3.0), (F.lit(8) - F.floor(F.col("value") / 10)).cast("double")]
+    f = frames(spark, sf_dir).select("user_id", "frame", *(s.alias(f"s{k}") for k, s in enumerate(scores)))
+    return hmm.viterbi(f, "user_id", "frame", ["s0", "s1", "s2"], STEP)
+
+
+@query()
+def dbn_beats(spark, sf_dir):
+    """Pseudo-activations: beats from values, downbeats from large ones; a small tempo range."""
+    unit = F.least(F.greatest(F.col("value") / 200, F.lit(0.0)), F.lit(0.9))
+    f = frames(spark, sf_dir).select("user_id", "frame", unit.alias("b"), (unit * unit).alias("d"))
+    return hmm.beats(f, "user_id", "frame", "b", "d", (3, 4), 10, 0.05, 60, 200, 10)
+
+
+LENGTHS = "lengths as (select unnest(range(28, 110)) as n)"
+CHANGES = f"""{LENGTHS}, raw as (select a.n as from_n, b.n as to_n, exp(-100 * abs(b.n / a.n - 1)) as p from lengths a, lengths b),
+    changes as (select from_n, to_n, p / sum(p) over (partition by from_n) as p from raw where p > 2.220446049250313e-16)"""
+
+
+def _changes(spark):
+    """Tempo transitions as a relation: a generated dimension of 82 lengths, crossed with itself."""
+    from pyspark.sql import Window as W
+
+    lengths = spark.range(28, 110)
+    both = lengths.select(F.col("id").alias("from_n")).crossJoin(F.broadcast(lengths.select(F.col("id").alias("to_n"))))
+    raw = both.withColumn("p", F.exp(-100 * F.abs(F.col("to_n") / F.col("from_n") - 1))).where("p > 2.220446049250313e-16")
+    return raw.withColumn("p", F.col("p") / F.sum("p").over(W.partitionBy("from_n")))
+
+
+@query(f"with {CHANGES} select from_n, to_n, round(p, 9) as p from changes")
+def tempo_transition(spark, sf_dir):
+    return _changes(spark).withColumn("p", F.round("p", 9))
+
+
+@query(f"""with {LENGTHS} select b as beat, n, k as place, case when k / n < 1 / 16 then case when b = 0 then 2 else 1 end else 0 end as density
+    from lengths, unnest(range(0, 4)) as t(b), unnest(range(0, n)) as u(k)""")
+def bar_state_space(spark, sf_dir):
+    states = spark.range(28, 110).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("beat"))
+    states = states.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("place"))
+    return states.withColumn("density", F.when(F.col("place") / F.col("n") < 1 / 16, F.when(F.col("beat") == 0, 2).otherwise(1)).otherwise(0))
+
+
+@query(f"""with {CHANGES}, edges as (select to_n as state, from_n as prev, round(sum(p), 9) as p from changes group by all)
+    select state, prev, p, count(*) over (order by state, prev) as upto from edges""")
+def sparse_edges(spark, sf_dir):
+    from pyspark.sql import Window as W
 
+    edges = _changes(spark).groupBy(F.col("to_n").alias("state"), F.col("from_n").alias("prev")).agg(F.round(F.sum("p"), 9).alias("p"))
+    return edges.withColumn("upto", F.count("*").over(W.orderBy("state", "prev").rowsBetween(W.unboundedPreceding, 0)))
+
+
+# --- probabilities and arrays
+
+
+@query("""with x as (select vec_id, unnest(embedding) as v, unnest(range(0, 64)) as i from embeddings),
+    e as (select *, exp(cast(v as double) - max(cast(v as double)) over (partition by vec_id)) as w from x)
+    select vec_id, i, round(w / sum(w) over (partition by vec_id), 9) as p from e""")
+def softmax_rows(spark, sf_dir):
+    out = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(fn.softmax(F.col("embedding"))).alias("i", "p"))
+    return out.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("p", 9).alias("p"))
+
+
+@query("select event_id, round(1 / (1 + exp(-value / 100)), 9) as p from events")
+def sigmoid_rows(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(fn.sigmoid(F.col("value") / 100), 9).alias("p"))
+
+
+@query("""with s as (select event_id, 1 / (1 + exp(-value / 100)) as b from events), t as (select event_id, greatest(b - b * b, 1e-8) as x, b * b as d, 1 - (b + b * b) / 2 as n from s)
+    select event_id, round(x / (x + d + n), 9) as p_only_beat, round(d / (x + d + n), 9) as p_downbeat, round(n / (x + d + n), 9) as p_none from t""")
+def metrical_triple(spark, sf_dir):
+    s = table(spark, sf_dir, "events").withColumn("b", fn.sigmoid(F.col("value") / 100)).withColumn("d", F.col("b") * F.col("b"))
+    return s.select("event_id", *(F.round(c, 9).alias(k) for k, c in hmm.metrical_triple(F.col("b"), F.col("d")).items()))
+
+
+@query("select vec_id, cast(list_position(embedding, list_max(embedding)) - 1 as bigint) as label_id from embeddings")
+def argmax_label(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", segments.argmax(F.col("embedding")).alias("label_id"))
+
+
+@query("""with x as (select vec_id // 8 as track, unnest(range(0, 64)) as i, unnest(embedding) as v from embeddings)
+    select track, i, round(avg(cast(v as double)), 9) as v from x group by all""")
+def ensemble_mean(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).cast("bigint").alias("track"), F.posexplode("embedding").alias("i", "v"))
+    return stems.ensemble_mean(rows.withColumn("i", F.col("i").cast("bigint")), ["track", "i"], ["v"]).withColumn("v", F.round("v", 9))
+
+
+# --- signals
+
+FRAMED = """x as (select vec_id, embedding, unnest(range(0, 4)) as frame from embeddings),
+    framed as (select vec_id, frame, k, case when frame * 16 - 16 + k between 0 and 63 then cast(embedding[frame * 16 - 16 + k + 1] as double) else 0 end as v
+    from x, unnest(range(0, 32)) as t(k))"""
+
+
+@query(f"with {FRAMED} select vec_id, frame, k, v from framed")
+def framed_signal(spark, sf_dir):
+    out = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(signal.framed(F.col("embedding"), 32, 16)).alias("frame", "samples"))
+    out = out.select("vec_id", F.col("frame").cast("bigint").alias("frame"), F.posexplode("samples").alias("k", "v"))
+    return out.withColumn("k", F.col("k").cast("bigint"))
+
+
+DFT = """x as (select vec_id, unnest(range(0, 64)) as i, cast(unnest(embedding) as double) as v from embeddings),
+    spectrum as (select vec_id, bin, sum(v * cos(i * bin * (-2 * pi() / 64))) as re, sum(v * sin(i * bin * (-2 * pi() / 64))) as im
+    from x, unnest(range(0, 32)) as b(bin) group by all)"""
+
+
+@query(f"with {DFT} select vec_id, bin, round(re, 6) + 0.0 as re, round(im, 6) + 0.0 as im from spectrum")
+def relational_dft(spark, sf_dir):
+    out = signal.dft(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    return out.select("vec_id", "bin", *((F.round(c, 6) + 0.0).alias(c) for c in ("re", "im")))
+
+
+@query(f"""with {DFT} select vec_id, bin // 4 as band, round(log10(sum(sqrt(re * re + im * im) * 0.25) + 1), 6) as level from spectrum group by all""")
+def log_spectrum(spark, sf_dir):
+    """A filterbank of eight bands as a relation, joined and summed."""
+    spectrum = signal.dft(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    bank = spark.range(32).select(F.col("id").alias("bin"), F.floor(F.col("id") / 4).cast("bigint").alias("band"), F.lit(0.25).alias("w"))
+    magnitude = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    summed = spectrum.join(F.broadcast(bank), "bin").groupBy("vec_id", "band").agg(F.sum(magnitude * F.col("w")).alias("m"))
+    return summed.select("vec_id", "band", F.round(F.log10(F.col("m") + 1), 6).alias("level"))
+
+
+# --- stems, stages, sets
+
+
+@query("""select doc_id, case when n = 0 then 'bass' when n = 1 then 'drums' when n = 2 then 'other' when n = 3 then 'vocals' when n = 4 then 'guitar' when n = 5 then 'piano' end as stem
+    from (select doc_id, doc_id % 7 as n from documents)""")
+def stem_classify(spark, sf_dir):
+    names = ["Bass.wav", "song (drums).flac", "x_other.wav", "A(VOCALS).mp3", "t_guitar.wav", "piano.ogg", "mix.wav"]
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 7).cast("int") + 1)
+    return table(spark, sf_dir, "documents").select("doc_id", stems.stem_of(name).alias("stem"))
+
+
+@query("select source, lang, doc_id from documents qualify row_number() over (partition by source, lang order by n_chars desc, doc_id) = 1")
+def stem_priority(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars")
+    return stems.first_by_priority(docs, ["source", "lang"], F.desc("n_chars"), "doc_id").select("source", "lang", "doc_id")
+
+
+STEM_OF_TYPE = {"click": "guitar", "error": "piano", "purchase": "other", "signup": "bass", "view": "drums"}
+
+
+@query(f"""with {FRAMES}, n as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by frame) - 1 as i from frames),
+    m as (select user_id, i, value, event_type, case event_type when 'signup' then 'bass' when 'view' then 'drums' else 'other' end as stem from n),
+    s as (select user_id, stem, count(distinct event_type) as parts from m group by all)
+    select m.user_id, m.stem, i, round(sum(value), 6) as value from m join s using (user_id, stem) group by m.user_id, m.stem, i, parts having count(distinct event_type) = parts""")
+def stem_collapse(spark, sf_dir):
+    named = F.create_map(*(F.lit(x) for kv in STEM_OF_TYPE.items() for x in kv))[F.col("event_type")]
+    numbered = peaks.frame_numbers(frames(spark, sf_dir).withColumn("stem", named).withColumn("key", F.concat_ws("/", "user_id", "stem")), "key", "frame", name="i")
+    return stems.collapse_stems(numbered, "user_id", "stem", "i", "value").withColumn("value", F.round("value", 6))
+
+
+@query("select doc_id, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def cache_todo(spark, sf_dir):
+    return stems.todo(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("select doc_id, source from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def cache_done(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+
+
+@query("select l_orderkey from lineitem group by l_orderkey having count(distinct l_linenumber) = 4")
+def complete_groups(spark, sf_dir):
+    return stems.complete(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", 4)
+
+
+@query("select d.doc_id, d.lang, l.quality from documents d left join labels l on d.doc_id = l.doc_id")
+def left_side_arrays(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return docs.select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id", "left")
+
+
+@query("select distinct split_part(url, '/', 3) as host from pages")
+def distinct_sorted_inputs(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host")).distinct().orderBy("host")
+
+
+@query("select doc_id, 'cached' as origin from labels union all select doc_id, 'new' as origin from documents where doc_id not in (select doc_id from labels)")
+def union_cached_new(spark, sf_dir):
+    done = table(spark, sf_dir, "labels").select("doc_id")
+    fresh = stems.todo(table(spark, sf_dir, "documents").select("doc_id"), done, "doc_id")
+    return done.withColumn("origin", F.lit("cached")).unionByName(fresh.withColumn("origin", F.lit("new")))
+
+
+@query("select distinct user_id from events where event_type = 'view' except select distinct user_id from events where event_type = 'error'")
+def stage_except(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    ranked = tempo_candidates(events, "user_id", ["ts", "event_id"], F.lit(60 * 3600e6), micros=True)
-    return ranked.where("rank = 1").select("user_id", "bpm", "votes")
+    return events.where("event_type = 'view'").select("user_id").subtract(events.where("event_type = 'error'").select("user_id"))
+
+
+# --- JSON, text and paths
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
+def props_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("select event_id, case when event_id % 2 = 0 then cast(cast(event_id as double) as varchar) else event_type end as safe from events")
+def json_safe_coerce(spark, sf_dir):
+    text = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", fn.json_safe(text).alias("safe"))
+
+
+@query("select event_id, round(value, 2) as value from events")
+def json_rounding(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", fn.rounded(F.array("value"))[0].alias("value"))
+
+
+@query("select page_id, list_extract(string_split(url, '/'), -1) as name, regexp_replace(url, '\\.[^./]*$', '') || '.json' as target from pages")
+def path_parts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fn.basename(F.col("url")).alias("name"), fn.with_suffix(F.col("url"), ".json").alias("target"))
+
+
+@query("select doc_id, sha256(text) as digest from documents")
+def sha_verify(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query("""select event_id, printf('%d:%02d', cast(floor(value / 60) as bigint), cast(round_even(value % 60, 0) as bigint)) as clock,
+    coalesce(printf('%.3fs', case when event_type = 'error' then null else round(value, 2) end), 'na') as lasted from events where value >= 0""")
+def mss_format(spark, sf_dir):
+    lasted = F.when(F.col("event_type") != "error", F.round("value", 2))
+    events = table(spark, sf_dir, "events").where("value >= 0")
+    return events.select("event_id", fn.minutes_seconds(F.col("value")).alias("clock"), fn.duration_text(lasted).alias("lasted"))
+
+
+# --- parity
+
+PAIRS = "x as (select vec_id, label, cast(unnest(embedding) as double) as a, unnest(range(0, 64)) as i from embeddings), pairs as (select *, a + (i % 5) * 1e-3 as b from x)"
+
+
+def _pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"), F.posexplode("embedding").alias("i", "v"))
+    return rows.select("vec_id", "label", "i", F.col("v").cast("double").alias("a")).withColumn("b", F.col("a") + (F.col("i") % 5) * 1e-3)
+
+
+@query(f"""with {PAIRS} select vec_id, round(avg(abs(a - b)), 9) as mean_abs, round(max(abs(a - b)), 9) as max_abs, round(sqrt(avg((a - b) * (a - b))), 9) as rmse,
+    round(avg(abs(a - b) / (abs(a) + 1e-8)), 4) as mean_rel, max(abs(a - b)) > 1e-3 or avg(abs(a - b)) > 1e-4 as triggered from pairs group by vec_id""")
+def parity_metrics(spark, sf_dir):
+    out = parity.guard(parity.difference_metrics(_pairs(spark, sf_dir), ["vec_id"], "a", "b"))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_abs", "max_abs", "rmse")}).withColumn("mean_rel", F.round("mean_rel", 4))
+
+
+@query(f"""with {PAIRS}, m as (select label, i % 5 as config, avg(abs(a - b)) as e from pairs group by all)
+    select cast(label as bigint) as label, arg_min(config, e) as config from m group by label""")
+def argmin_config(spark, sf_dir):
+    m = _pairs(spark, sf_dir).groupBy("label", (F.col("i") % 5).cast("bigint").alias("config")).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("e"))
+    return m.groupBy("label").agg(F.min_by("config", "e").alias("config"))
+
+
+@query(f"with {PAIRS} select vec_id, bool_and(a is not distinct from b) as equal from pairs where i < 1 + vec_id % 3 group by vec_id")
+def exact_parity(spark, sf_dir):
+    return parity.exact_parity(_pairs(spark, sf_dir).where("i < 1 + vec_id % 3"), "vec_id", [("a", "b")])
+
+
+# --- clicks, windows
+
+
+@query(f"""with {STRENGTH}, k as (select unnest(range(0, 25)) as k) select user_id, frame, k, round(frame / 100 - 4 * pow(0.0125, k / 24.0), 6) as t
+    from strengths, k where strength > 0 and frame / 100 - 4 * pow(0.0125, k / 24.0) > 0""")
+def click_schedule(spark, sf_dir):
+    """Accelerating clicks before each boundary: offsets in equal ratios, those before the start left out."""
+    edges = strengths(spark, sf_dir).where("strength > 0").select("user_id", "frame")
+    clicks = edges.select("*", F.posexplode(fn.geometric(4.0, 0.05, 25)).alias("k", "offset"))
+    at = segments.seconds(F.col("frame")) - F.col("offset")
+    return clicks.where(at > 0).select("user_id", "frame", F.col("k").cast("bigint").alias("k"), F.round(at, 6).alias("t"))
+
+
+@query("""select user_id, time_bucket(interval 15 minutes, ts) - k * interval 15 minutes as "start", count(*) as n, round(sum(value), 4) as total
+    from events, unnest(range(0, 4)) as w(k) group by all""")
+def hopping_mean(spark, sf_dir):
+    aggregates = [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")]
+    out = incremental.hopping(table(spark, sf_dir, "events"), "ts", ["user_id"], "1 hour", "15 minutes", aggregates)
+    return out.select("user_id", F.col("window.start").alias("start"), "n", "total")
+
+
+@query("""with e as (select user_id, ts, value, case when lag(ts) over (partition by user_id order by ts) > ts - interval 6 hours then 0 else 1 end as opens from events),
+    s as (select *, sum(opens) over (partition by user_id order by ts rows unbounded preceding) as session from e)
+    select user_id, min(ts) as "start", max(ts) as last, count(*) as n from s group by user_id, session""")
+def session_segments(spark, sf_dir):
+    out = incremental.sessions(table(spark, sf_dir, "events"), "ts", ["user_id"], "6 hours", [F.max("ts").alias("last"), F.count("*").alias("n")])
+    return out.select("user_id", F.col("session.start").alias("start"), "last", "n")
