@@ -12,10 +12,16 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once (a lambda variable)."""
+    return F.transform(F.array(value), f)[0]
+
+
 def softmax(values: Column) -> Column:
     """Over an array column, shifted by its maximum."""
-    shifted = F.transform(values, lambda x: F.exp(x.cast("double") - F.array_max(values).cast("double")))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+    shifted = lambda top: F.transform(values, lambda x: F.exp(x.cast("double") - top.cast("double")))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
+    return bound(F.array_max(values), lambda top: bound(shifted(top), lambda e: bound(total(e), lambda s: F.transform(e, lambda x: x / s))))
 
 
 def rounded(values: Column, digits: int = 2) -> Column:
