@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tactus.llm import catalog, mixing, packing, quality, secrets, simhash
 from tactus.session import durable
 
+#: Pieces of text whose ids a worker keeps while packing: fewer than for packing alone, for the other stages' workers live on.
+PACKING_ROOM = 150_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go. The model is fitted on the labelled documents among docs."""
@@ -42,7 +45,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in the sequences."""
-    return packing.pack_documents(docs, catalog.BYTE_TOKENIZER)
+    return packing.pack_documents(docs, catalog.BYTE_TOKENIZER, room=PACKING_ROOM)
 
 
 STAGES = [

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tactus.llm.text import bounded_batches, steps, utf8
-from tactus.llm.tokens import BYTE_PIECES, encoder
+from tactus.llm.tokens import BYTE_PIECES, ROOM, encoder
 from tactus.session import durable
 
 CAPACITY = 1024
@@ -44,14 +44,14 @@ def piece_lengths(tokens: int, capacity: int) -> list[int]:
     return ([rest] if rest else []) + [capacity] * (tokens // capacity)
 
 
-def token_pieces(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False, room: int = ROOM) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), with ids (binary) if they are to be kept."""
     bounded_batches()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     end = END.to_bytes(4, "little")
 
     def cut(batches):
-        encode = encoder(path, BYTE_PIECES).encode
+        encode = encoder(path, BYTE_PIECES, room).encode
         for batch in batches:
             ids = batch["doc_id"]
             done = 0
@@ -152,9 +152,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS)
     return found.select(*pieces.columns, "_place.sequence_id", "_place.offset")
 
 
-def pack_documents(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return packed(durable(token_pieces(docs, path, text, capacity), "packing-pieces"), capacity)
+def pack_documents(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, room: int = ROOM) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. room: pieces of text a worker keeps."""
+    return packed(durable(token_pieces(docs, path, text, capacity, room=room), "packing-pieces"), capacity)
 
 
 def sequences(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:

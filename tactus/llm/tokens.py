@@ -21,7 +21,7 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 ENDS = r"(?=[ ,.\n]|\Z)"
 #: Pieces that a generation holds, and words encoded as one text.
-ROOM = 400_000
+ROOM = 600_000
 TOGETHER = 20_000
 
 
@@ -42,7 +42,7 @@ WORD_PIECES = Pieces(f"[{LETTERS}]++{ENDS}|[^{SPACES}]+", "", True)
 PLAIN = re.compile("[\0-\u024f]*+\\Z").match
 BEGINS, ENDS_WORD = "Ġ", "</w>"
 
-_encoders: dict[tuple[str, Pieces], Encoder] = {}
+_encoders: dict[tuple[str, Pieces, int], Encoder] = {}
 
 
 class Encoder:
@@ -115,9 +115,9 @@ class Encoder:
         return [b"".join(row) for row in found]
 
 
-def encoder(path: str, pieces: Pieces) -> Encoder:
+def encoder(path: str, pieces: Pieces, room: int = ROOM) -> Encoder:
     """This worker's encoder."""
-    key = (path, pieces)
+    key = (path, pieces, room)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, pieces)
+        _encoders[key] = Encoder(path, pieces, room)
     return _encoders[key]
