@@ -18,7 +18,7 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 STEP_BYTES = 2 << 20
 
 #: Rows that Spark hands to a Python worker at once, in bytes: long texts come few at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
 
 
 def bounded_batches() -> None:

@@ -21,7 +21,7 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 ENDS = r"(?=[ ,.\n]|\Z)"
 #: Pieces that a generation holds, and words encoded as one text.
-ROOM = 600_000
+ROOM = 400_000
 TOGETHER = 20_000
 
 
