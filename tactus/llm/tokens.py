@@ -2,9 +2,9 @@
 
 Both tokenizers cut a text at white space, and between letters and what follows them, before they merge anything; so
 the ids of a text are those of such pieces one after another. A worker keeps the ids of the pieces it has met in two
-generations of bounded size: the older one goes when the younger is full. Pieces not met yet are encoded together: words
-of letters as one text, whose ids part where the vocabulary says that a word begins or ends; all others one by one.
-None of this changes any id, only how often the library is called.
+generations of bounded size: the older one goes when the younger is full. Of the pieces not met yet, a word of small
+letters is one pre-token whatever the tokenizer's first steps are, so the library's model merges it at once, in its
+byte alphabet; all others take the library's whole way. None of this changes any id, only what the library is asked.
 """
 
 from __future__ import annotations
@@ -14,15 +14,12 @@ import os
 import re
 from dataclasses import dataclass
 
-import numpy as np
-
 # White space as Unicode has it, and letters (all of the Latin ranges up to U+024F).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 ENDS = r"(?=[ ,.\n]|\Z)"
-#: Pieces that a generation holds, and words encoded as one text.
+#: Pieces that a generation holds.
 ROOM = 400_000
-TOGETHER = 20_000
 
 
 @dataclass(frozen=True)
@@ -40,7 +37,9 @@ BYTE_PIECES = Pieces(f" ?[{LETTERS}]++{ENDS}|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+
 WORD_PIECES = Pieces(f"[{LETTERS}]++{ENDS}|[^{SPACES}]+", "", True)
 #: Texts of these characters alone have the same ids in lower case: none of them composes or has special cases.
 PLAIN = re.compile("[\0-\u024f]*+\\Z").match
-BEGINS, ENDS_WORD = "Ġ", "</w>"
+#: The byte alphabet of byte-level models: printable Latin-1 stands for itself, the other bytes for U+0100 onwards in order.
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in SHOWN)}
 
 _encoders: dict[tuple[str, Pieces, int], Encoder] = {}
 
@@ -60,34 +59,18 @@ class Encoder:
         self.room = room
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.mark = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.mark[[i for t, i in vocabulary.items() if (t.startswith(BEGINS) if pieces.space else t.endswith(ENDS_WORD))]] = True
-
-    def _words(self, words: list[str]) -> list[bytes] | None:
-        """The ids of words of letters, encoded as one text; None if they don't part into as many."""
-        text = "".join(words) if self.space else " ".join(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(self.mark[ids])
-        if len(at) != len(words):
-            return None
-        cuts = (4 * (at if self.space else at + 1)).tolist()
-        cuts = [*cuts, 4 * len(ids)] if self.space else [0, *cuts]
-        raw = ids.tobytes()
-        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        self.width = (max(self.tokenizer.get_vocab().values())).bit_length()
 
     def _fresh(self, pieces: list[str]) -> None:
         skip = len(self.space)
-        words: list[str] = []
+        merge = self.tokenizer.model.tokenize
         rest: list[str] = []
         for p in pieces:
-            (words if p[:skip] == self.space and self.letters(p, skip) else rest).append(p)
-        for k in range(0, len(words), TOGETHER):
-            part = words[k : k + TOGETHER]
-            if (ids := self._words(part)) is None:
-                rest += part
+            if p[:skip] == self.space and self.letters(p, skip) and (not self.folds or p == p.lower()):
+                shown = p.encode().decode("latin-1").translate(BYTES)
+                self.young[p] = array.array("I", [t.id for t in merge(shown)]).tobytes()
             else:
-                self.young.update(zip(part, ids, strict=True))
+                rest.append(p)
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.young[p] = array.array("I", e.ids).tobytes()
 
@@ -97,7 +80,7 @@ class Encoder:
             texts = [t.lower() if (t.isascii() or PLAIN(t)) and "<|" not in t else t for t in texts]  # special tokens keep their case
         cut = [self.cut(t) for t in texts]
         found = [list(map(self.young.get, pieces)) for pieces in cut]  # one look at the large table for each piece
-        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in found]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] if None in row else [] for row in found]
         unknown = {pieces[i] for pieces, gap in zip(cut, gaps, strict=True) for i in gap}
         if len(self.young) + len(unknown) > self.room:
             self.old, self.young = self.young, {}

@@ -99,9 +99,9 @@ class WaveletMatrix:
         for level in range(width - 1, -1, -1):
             bit = (x & x.dtype.type(1 << level)) != 0
             planes.append(Plane(np.packbits(bit), len(x)))
-            low = x[~bit]
+            low = np.compress(~bit, x)
             zeros.append(len(low))
-            x = np.concatenate([low, x[bit]])
+            x = np.concatenate([low, np.compress(bit, x)])
         return cls(len(ids), planes, zeros)
 
     def decode(self) -> np.ndarray:
@@ -111,8 +111,8 @@ class WaveletMatrix:
         for level, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bit = plane.bits()
             up = np.empty_like(x)
-            up[~bit] = x[:zeros]
-            up[bit] = x[zeros:] | kind(1 << level)
+            up[np.flatnonzero(~bit)] = x[:zeros]
+            up[np.flatnonzero(bit)] = x[zeros:] | kind(1 << level)
             x = up
         return x.astype(np.uint32)
 
@@ -197,7 +197,6 @@ def write_shards(docs: DataFrame, path: str, folder: str, text: str = "text", sh
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         words = encoder(path, WORD_PIECES)
-        width = (len(words.mark) - 1).bit_length()
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         held: list[bytes] = []
@@ -206,7 +205,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, text: str = "text", sh
 
         def flush() -> pd.DataFrame:
             ids = np.frombuffer(b"".join(held), "<u4")
-            data = to_bytes(WaveletMatrix.build(ids, width), names, [len(h) // 4 for h in held])
+            data = to_bytes(WaveletMatrix.build(ids, words.width), names, [len(h) // 4 for h in held])
             name = f"part-{part:06d}-{number:06d}.twm"
             temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(temporary) as f:
