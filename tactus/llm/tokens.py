@@ -63,11 +63,12 @@ class Encoder:
 
     def _fresh(self, pieces: list[str]) -> None:
         skip = len(self.space)
+        lead = self.space.translate(BYTES)
         merge = self.tokenizer.model.tokenize
         rest: list[str] = []
         for p in pieces:
             if p[:skip] == self.space and self.letters(p, skip) and (not self.folds or p == p.lower()):
-                shown = p.encode().decode("latin-1").translate(BYTES)
+                shown = lead + p[skip:] if p.isascii() else p.encode().decode("latin-1").translate(BYTES)
                 self.young[p] = array.array("I", [t.id for t in merge(shown)]).tobytes()
             else:
                 rest.append(p)
