@@ -14,9 +14,10 @@ import os
 import re
 from dataclasses import dataclass
 
-# White space as Unicode has it, and letters (all of the Latin ranges up to U+024F).
+# White space as Unicode has it, and letters (the Latin ranges up to U+024F, but for U+0130,
+# which is a letter and a combining dot in lower case).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 ENDS = r"(?=[ ,.\n]|\Z)"
 #: Pieces that a generation holds.
 ROOM = 400_000
