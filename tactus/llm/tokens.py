@@ -12,6 +12,7 @@ from __future__ import annotations
 import array
 import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 # White space as Unicode has it, and letters (the Latin ranges up to U+024F, but for U+0130,
@@ -21,21 +22,34 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 ENDS = r"(?=[ ,.\n]|\Z)"
 #: Pieces that a generation holds.
 ROOM = 400_000
+#: A mark that ends a clause behind a letter or digit is a pre-token of its own.
+MARK = re.compile(f"[,.](?<=[{LETTERS}0-9].)(?![^ \n])").sub
+#: White space for str.split, but not for the tokenizers.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Byte-level: the last space before a word belongs to it, and its first token begins with that space.
+cut_bytes = re.compile(f" ?[{LETTERS}]++{ENDS}|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
+cut_at_spaces = re.compile(f"[^{SPACES}]+").findall
+
+
+def cut_words(text: str) -> list[str]:
+    """White space is dropped; the last token of a word is marked as its end."""
+    marked = MARK(" \\g<0>", text)
+    if any(c in text for c in SEPARATORS):
+        return cut_at_spaces(marked)
+    return marked.split()
 
 
 @dataclass(frozen=True)
 class Pieces:
     """How a tokenizer's texts are cut. space: what goes before a word of letters that is a piece of its own."""
 
-    pattern: str
+    cut: Callable[[str], list[str]]
     space: str
     folds: bool = False  # the tokenizer lower-cases, so a piece may be looked up in lower case
 
 
-#: Byte-level: the last space before a word belongs to it, and its first token begins with that space.
-BYTE_PIECES = Pieces(f" ?[{LETTERS}]++{ENDS}|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+", " ")
-#: White space is dropped; the last token of a word is marked as its end.
-WORD_PIECES = Pieces(f"[{LETTERS}]++{ENDS}|[^{SPACES}]+", "", True)
+BYTE_PIECES = Pieces(cut_bytes, " ")
+WORD_PIECES = Pieces(cut_words, "", True)
 #: Texts of these characters alone have the same ids in lower case: none of them composes or has special cases.
 PLAIN = re.compile("[\0-\u024f]*+\\Z").match
 #: The byte alphabet of byte-level models: printable Latin-1 stands for itself, the other bytes for U+0100 onwards in order.
@@ -53,8 +67,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = re.compile(pieces.pattern).findall
-        self.letters = re.compile(f"[{LETTERS}]+\\Z").match
+        self.cut = pieces.cut
+        self.word = re.compile(f"{pieces.space}[{LETTERS}]+\\Z").match
         self.space = pieces.space
         self.folds = pieces.folds
         self.room = room
@@ -68,7 +82,7 @@ class Encoder:
         merge = self.tokenizer.model.tokenize
         rest: list[str] = []
         for p in pieces:
-            if p[:skip] == self.space and self.letters(p, skip) and (not self.folds or p == p.lower()):
+            if self.word(p) and (not self.folds or p == p.lower()):
                 shown = lead + p[skip:] if p.isascii() else p.encode().decode("latin-1").translate(BYTES)
                 self.young[p] = array.array("I", [t.id for t in merge(shown)]).tobytes()
             else:
