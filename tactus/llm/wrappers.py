@@ -8,13 +8,14 @@ No alternatives are formed, so the wrapper stays as small as the host's template
 alignment, so partial wrappers of a host's pages are formed where the pages are and then merged in levels: no task
 sees all pages of a host.
 
-The wrapper says where the article stands: the outermost article elements if it has any, else main elements, else the
-element that holds most of the host's text outside links. Navigation, asides, forms, notices, adverts and
-comments are known by their tags, roles and class words, and, where there is neither article nor main, by their share
-of link text. The blocks of each page inside that region, in page order, are its text; nothing else is dropped.
+The region is chosen for each page: its article elements, else its main elements, else the heaviest of the host's
+alternatives (elements, optional ones too, that hold most text outside links where they stand) that the page has, else the
+page's own heaviest element, else its body. Navigation, asides, forms, notices, adverts and comments are known
+by their tags, roles and class words, and, where there is neither article nor main, by their share of link text. The
+blocks of each page inside that region, in page order, are its text.
 
 Null and empty pages have an empty text. Pages whose address is null or without a host form one host. Repeated rows are
-pages like others. A page always keeps its own text: the wrapper decides on places only.
+pages like others.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +45,14 @@ CLOSES = {
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 # Elements and words of class, id or role that mark what is not the article.
 BOILERPLATE_TAGS = frozenset("nav footer aside form button select input dialog menu head".split())
+#: Those of them in which an article is a teaser, never the page's article.
+ASIDE_TAGS = BOILERPLATE_TAGS - {"form"}
 BOILERPLATE_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments
  complementary contentinfo cookie cookies disqus footer menu nav navbar navigation newsletter notice notices pagination popup
  promo promotion promoted related share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget""".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+HEADING = re.compile(r"h[1-6](?:\.|$)")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 #: Levels and width of the tree in which partial wrappers of a host meet.
@@ -58,7 +63,15 @@ HELD_HOSTS = 2000
 BROADCAST_BYTES = 16 << 20
 SALTS = 16
 
-Node = list  # [label, quantifier, children, pages, characters, characters in links]
+#: An element that holds this part of the text around it, on the pages that have it, is where the text stands.
+HEAVY = 0.7
+#: A region of the host's with less than this part of a page's text is not the page's.
+LEAST = 0.1
+#: Elements below this depth part text but do not nest.
+DEEPEST = 100
+
+Node = list  # [label, quantifier, children, pages, characters, characters in links, text or None]; texts have label #
+Element = list  # [label, children, characters, characters in links, text]; texts have label #
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -128,23 +141,50 @@ def boilerplate(label: str) -> bool:
     return tag in BOILERPLATE_TAGS or any(p in BOILERPLATE_WORDS for w in words for p in re.split(r"[^a-z]+", w))
 
 
-def skeleton(page: str) -> Node:
-    """The wrapper of one page."""
-    root: Node = ["#page", "1", [], 1, 0, 0]
-    path = [root]
+def tree(page: str) -> Element:
+    """The page's elements and texts; a text runs to the next tag that is not inline."""
+    root: Element = ["#page", [], 0, 0, None]
+    path, held, over = [root], [], 0
+
+    def flush() -> None:
+        text = " ".join("".join(t[1] for t in held).split())
+        if text:
+            sizes = [(len("".join(t[1].split())), t[2]) for t in held]
+            path[-1][1].append(["#", [], sum(n for n, _ in sizes), sum(n for n, linked in sizes if linked), text])
+        held.clear()
+
     for token in tokens(page):
-        if token[0] == "open":
-            node: Node = [token[1], "1", [], 1, 0, 0]
-            path[-1][2].append(node)
-            path.append(node)
-        elif token[0] == "close":
-            path.pop()
+        if token[0] == "text":
+            held.append(token)
+            continue
+        flush()
+        if token[0] == "close":
+            if over:
+                over -= 1
+            else:
+                path.pop()
+        elif len(path) > DEEPEST:
+            over += 1
         else:
-            size = len("".join(token[1].split()))
-            if size:
-                path[-1][4] += size
-                path[-1][5] += size * token[2]
-    return fold(root)
+            element: Element = [token[1], [], 0, 0, None]
+            path[-1][1].append(element)
+            path.append(element)
+    flush()
+    return root
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def skeleton(page: str | Element) -> Node:
+    """The wrapper of one page."""
+    root = tree(page) if isinstance(page, str) else page
+    def node(element: Element) -> Node:
+        text = element[0] == "#"
+        return [element[0], "1", list(map(node, element[1])), 1, element[2], element[3], _hash(element[4]) if text else None]
+
+    return fold(node(root))
 
 
 def fold(node: Node) -> Node:
@@ -201,12 +241,15 @@ def merged(a: Node, b: Node) -> Node:
             grouped[-1][1] = "*" if "?" in before[1] + child[1] or "*" in before[1] + child[1] else "+"
         else:
             grouped.append(child)
-    return [a[0], _either(a[1], b[1]), grouped, a[3] + b[3], a[4] + b[4], a[5] + b[5]]
+    text = a[6] if a[6] == b[6] else None  # a text against another one: a slot from here on
+    return [a[0], _either(a[1], b[1]), grouped, a[3] + b[3], a[4] + b[4], a[5] + b[5], text]
 
 
 def pattern(node: Node) -> str:
-    """The wrapper as a union-free regular expression over tags and text slots (#)."""
-    inner = ("#" if node[4] else "") + "".join(map(pattern, node[2]))  # a slot stands for all text of the element
+    """The wrapper as a union-free regular expression over tags, text slots (#)."""
+    if node[0] == "#":
+        return "#"
+    inner = "".join(map(pattern, node[2]))
     q = "" if node[1] == "1" else node[1]
     return inner if node[0] == "#page" else f"(<{node[0]}>{inner}</>){q}"
 
@@ -221,61 +264,114 @@ def _weight(node: Node) -> tuple[int, int]:
     return chars, links
 
 
+def _alternatives(node: Node, path: list[str]) -> list[dict]:
+    """{"path": labels, "drop": labels} of the elements in which the text stands, on some pages this and on others that."""
+    chars, links = _weight(node)
+    found = []
+    for c in node[2]:
+        w = _weight(c) if c[0] != "#" and not boilerplate(c[0]) and c[1] in "1?" else (0, 0)
+        if w[0] > w[1] and (w[0] - w[1]) * node[3] >= HEAVY * chars * c[3] and any(k[0] != "#" for k in c[2]):
+            found += _alternatives(c, [*path, c[0]])
+    if found:
+        return found
+    drop = {c[0] for c in node[2] if c[0] != "#" and (w := _weight(c))[0] and 2 * w[1] > w[0]}
+    return [{"path": path, "drop": sorted(drop)}]
+
+
 def region(wrapper: Node) -> dict:
-    """Where the main text stands: {"tag": ...} for outermost elements of that tag, or {"path": [...], "drop": [...]}."""
+    """What reading a page needs: {"paths": the alternatives}."""
+    return {"paths": _alternatives(wrapper, [])}
+
+
+def _beside(children: list[Element], model: list | None) -> list:
+    """For each child its part of the model: runs of the same element against groups, by a longest common subsequence."""
+    if not model or not model[2]:
+        return [None] * len(children)
+    runs = [k for k in range(len(children)) if not k or children[k][0] != children[k - 1][0]]
+    known = model[2]
+    length = [[0] * (len(known) + 1) for _ in range(len(runs) + 1)]
+    for i in range(len(runs) - 1, -1, -1):
+        for j in range(len(known) - 1, -1, -1):
+            same = children[runs[i]][0] == known[j][0]
+            length[i][j] = length[i + 1][j + 1] + 1 if same else max(length[i + 1][j], length[i][j + 1])
+    out: list = [None] * len(children)
+    i = j = 0
+    while i < len(runs) and j < len(known):
+        if children[runs[i]][0] == known[j][0]:
+            end = runs[i + 1] if i + 1 < len(runs) else len(children)
+            out[runs[i] : end] = [known[j]] * (end - runs[i])
+            i, j = i + 1, j + 1
+        elif length[i + 1][j] >= length[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
 
-    def has(node: Node, tag: str) -> bool:
-        return any(not boilerplate(c[0]) and (c[0].split(".")[0] == tag or has(c, tag)) for c in node[2])
 
-    for tag in ("article", "main"):
-        if has(wrapper, tag):
-            return {"tag": tag}
-    path, node = [], wrapper
-    total = _weight(wrapper)[0]
-    while True:
-        inner = [c for c in node[2] if not boilerplate(c[0]) and c[1] in "1?"]
-        best = max(inner, key=lambda c: _weight(c)[0] - _weight(c)[1], default=None)
-        if best is None or _weight(best)[0] - _weight(best)[1] < 0.7 * total or not best[2]:
-            break
-        node = best
-        path.append(best[0])
-    drop = [c[0] for c in node[2] if (w := _weight(c))[0] and 2 * w[1] > w[0]]
-    return {"path": path, "drop": sorted(set(drop))}
+def _tagged(root: Element, tag: str) -> list[list[Element]]:
+    """The ways from the page to each outermost element of the tag, that element last."""
+    found = []
+
+    def look(element: Element, way: list[Element]) -> None:
+        for child in element[1]:
+            if child[0].split(".")[0] == tag:
+                found.append([*way, child])
+            elif child[0] != "#":
+                look(child, [*way, child])
+
+    look(root, [])
+    return found
 
 
 def extract(page: str, where: dict) -> str:
-    """The blocks of the page's region, one to a line."""
-    blocks: list[str] = []
-    held: list[str] = []
-    path: list[str] = []
-    inside: list[bool] = [not where.get("path") and "tag" not in where]
-    barred: list[bool] = [False]
+    """The blocks of the page's region, one to a line, without the template's text."""
+    root = tree(page)
+    spared: set[int] = set()  # the only article, else the only main element, and what is around it
+    ways = {tag: _tagged(root, tag) for tag in ("article", "main")}
+    for tag in ("article", "main"):
+        if len(ways[tag]) == 1 and not any(e[0].split(".")[0] in ASIDE_TAGS for e in ways[tag][0]):
+            spared.update(map(id, ways[tag][0]))
 
-    def flush() -> None:
-        text = " ".join("".join(held).split())
-        if text:
-            blocks.append(text)
-        held.clear()
+    def barred(element: Element) -> bool:
+        return id(element) not in spared and boilerplate(element[0])
 
-    for token in tokens(page):
-        if token[0] == "text":
-            if inside[-1] and not barred[-1]:
-                held.append(token[1])
-            continue
-        flush()
-        if token[0] == "open":
-            label = token[1]
-            path.append(label)
-            at_root = inside[-1] and (path[:-1] == where.get("path"))
-            entered = label.split(".")[0] == where["tag"] if "tag" in where else path == where["path"]
-            barred.append(barred[-1] or boilerplate(label) or (at_root and label in where.get("drop", ())))
-            inside.append(inside[-1] or entered)
-        else:
-            path.pop()
-            inside.pop()
-            barred.pop()
-    flush()
-    return "\n".join(blocks)
+    def read(inside, drop=(), bars=barred) -> list[tuple[str, bool]]:
+        """(block, whether it is the template's) of the elements for which inside holds, given the way to them."""
+        out: list[tuple[str, bool]] = []
+
+        def walk(element: Element, model: list | None, way: list[str], within: bool, at_root: bool) -> None:
+            for child, known in zip(element[1], _beside(element[1], model), strict=True):
+                if child[0] == "#":
+                    if within:
+                        out.append((child[4], bool(known) and known[1] is not None and known[1] == _hash(child[4])))
+                elif not bars(child) and not (at_root and child[0] in drop):
+                    here = [*way, child[0]]
+                    entered = not within and inside(here)
+                    walk(child, known, here, within or entered, entered)
+
+        whole = inside([])
+        walk(root, where.get("model"), [], whole, whole)
+        return out
+
+    def size(blocks: list[tuple[str, bool]]) -> int:
+        return sum(len(text) for text, _ in blocks)
+
+    def at(place: dict) -> list[tuple[str, bool]]:
+        return read(lambda way: way == place["path"], place["drop"])
+
+    blocks: list[tuple[str, bool]] = []
+    for tag in ("article", "main"):
+        blocks = blocks or (read(lambda way: bool(way) and way[-1].split(".")[0] == tag) if ways[tag] else [])  # noqa: B023
+    if not blocks and where.get("paths"):
+        blocks = max(map(at, where["paths"]), key=size)
+        if size(blocks) < LEAST * size(read(lambda way: True)):
+            blocks = []
+    if not blocks:
+        blocks = max(map(at, _alternatives(skeleton(root), [])), key=size)
+    if not blocks:
+        blocks = read(lambda way: True, bars=lambda e: e[0].split(".")[0] in BOILERPLATE_TAGS - {"form"})
+    template = sum(len(text) for text, constant in blocks if constant)
+    return "\n".join(text for text, constant in blocks if not constant or 2 * template > size(blocks))
 
 
 def host_of(url: Column) -> Column:
@@ -323,7 +419,11 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 
     @F.pandas_udf("string")
     def read(page: pd.Series, where: pd.Series) -> pd.Series:
-        return pd.Series([extract(p, json.loads(w)) for p, w in zip(page, where, strict=True)], dtype=object)
+        known: dict[str, dict] = {}
+        for w in where:
+            if w not in known:
+                known[w] = json.loads(w)
+        return pd.Series([extract(p, known[w]) for p, w in zip(page, where, strict=True)], dtype=object)
 
     places = durable(kept.select("host", place("wrapper").alias("_where")), "wrapper-places")
     size = places.agg(F.sum(F.length("host") + F.length("_where")).alias("bytes")).first()["bytes"] or 0

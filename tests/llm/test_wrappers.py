@@ -84,3 +84,23 @@ def test_query(spark):
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n".join(b for b in blocks if b)
         assert r["n_chars"] == len(r["text"])
+
+
+def test_hosts_with_more_than_one_template(spark):
+    """Old pages of a host, and all pages without one, keep their text whatever template the others have."""
+    body = "word " * 60 + "end"
+    kinds = [
+        page("ab", "", [body], body="article"),
+        page("ab", "", [body], body="main"),
+        f'<body><div class="top"><a href="1">home</a></div><div class="content"><h1>t</h1><p>{body}</p></div></body>',
+        f'<body><div class="old"><table><tr><td><h1>t</h1><p>{body}</p></td></tr></table></div></body>',
+        f"t<p>{body}",
+    ]
+    for url in ("http://mixed.org/", None):
+        for common in range(len(kinds)):
+            many = [(k, url, kinds[k]) for k in range(len(kinds))] + [(common, url, kinds[common])] * 20
+            df = spark.createDataFrame(many, "page_id long, url string, html string").repartition(3)
+            if common in (0, 3):
+                assert {(r["page_id"], r["text"]) for r in wrappers.main_text(df).collect()} == {(k, f"t\n{body}") for k in range(len(kinds))}
+            where = wrappers.region(infer([h for _, _, h in many]))
+            assert [wrappers.extract(h, where) for h in kinds] == [f"t\n{body}"] * len(kinds)
