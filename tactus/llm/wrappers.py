@@ -8,6 +8,11 @@ No alternatives are formed, so the wrapper stays as small as the host's template
 alignment, so partial wrappers of a host's pages are formed where the pages are and then merged in levels: no task
 sees all pages of a host.
 
+Texts are tokens of the alignment. A text that all pages with its place agree on is constant; it counts as part of the
+template once SUPPORT pages with different texts of their own, and half of the host's pages, have it. A page is read
+along the wrapper: slots and groups are taken, template text is left out, save headings, and save on pages where it
+would be more than half of the text.
+
 The region is chosen for each page: its article elements, else its main elements, else the heaviest of the host's
 alternatives (elements, optional ones too, that hold most text outside links where they stand) that the page has, else the
 page's own heaviest element, else its body. Navigation, asides, forms, notices, adverts and comments are known
@@ -63,6 +68,9 @@ HELD_HOSTS = 2000
 BROADCAST_BYTES = 16 << 20
 SALTS = 16
 
+#: Pages with different texts that must agree on a text before it is template, and the part of the host's pages.
+SUPPORT = 8
+SHARE = 0.5
 #: An element that holds this part of the text around it, on the pages that have it, is where the text stands.
 HEAVY = 0.7
 #: A region of the host's with less than this part of a page's text is not the page's.
@@ -70,7 +78,7 @@ LEAST = 0.1
 #: Elements below this depth part text but do not nest.
 DEEPEST = 100
 
-Node = list  # [label, quantifier, children, pages, characters, characters in links, text or None]; texts have label #
+Node = list  # [label, quantifier, children, pages, characters, characters in links, text or None, pages that agree]; texts have label #
 Element = list  # [label, children, characters, characters in links, text]; texts have label #
 
 
@@ -177,12 +185,22 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
+def _texts(element: Element) -> Iterator[str]:
+    for child in element[1]:
+        if child[0] == "#":
+            yield child[4]
+        else:
+            yield from _texts(child)
+
+
 def skeleton(page: str | Element) -> Node:
     """The wrapper of one page."""
     root = tree(page) if isinstance(page, str) else page
+    own = _hash("\n".join(sorted(_texts(root), key=lambda t: (-len(t), t))[:2]))  # copies with another date or count are one page
+
     def node(element: Element) -> Node:
         text = element[0] == "#"
-        return [element[0], "1", list(map(node, element[1])), 1, element[2], element[3], _hash(element[4]) if text else None]
+        return [element[0], "1", list(map(node, element[1])), 1, element[2], element[3], _hash(element[4]) if text else None, [own] if text else []]
 
     return fold(node(root))
 
@@ -242,13 +260,19 @@ def merged(a: Node, b: Node) -> Node:
         else:
             grouped.append(child)
     text = a[6] if a[6] == b[6] else None  # a text against another one: a slot from here on
-    return [a[0], _either(a[1], b[1]), grouped, a[3] + b[3], a[4] + b[4], a[5] + b[5], text]
+    agree = sorted({*a[7], *b[7]})[:SUPPORT] if text is not None else []
+    return [a[0], _either(a[1], b[1]), grouped, a[3] + b[3], a[4] + b[4], a[5] + b[5], text, agree]
+
+
+def constant(node: Node) -> bool:
+    """Whether enough different pages agree on the text."""
+    return node[6] is not None and len(node[7]) >= SUPPORT
 
 
 def pattern(node: Node) -> str:
-    """The wrapper as a union-free regular expression over tags, text slots (#)."""
+    """The wrapper as a union-free regular expression over tags, text slots (#) and constant texts (= and their hash)."""
     if node[0] == "#":
-        return "#"
+        return f"={node[6]:x}" if constant(node) else "#"
     inner = "".join(map(pattern, node[2]))
     q = "" if node[1] == "1" else node[1]
     return inner if node[0] == "#page" else f"(<{node[0]}>{inner}</>){q}"
@@ -264,6 +288,18 @@ def _weight(node: Node) -> tuple[int, int]:
     return chars, links
 
 
+def _model(node: Node, pages: int) -> list | None:
+    """[label, template text or None, children]: the part of the wrapper that knows template text; None without any."""
+    if node[0] == "#":
+        return ["#", node[6], []] if constant(node) and node[3] >= SHARE * pages else None
+    if HEADING.match(node[0]):  # headings name the page
+        return None
+    inner = [_model(c, pages) for c in node[2]]
+    if not any(inner):
+        return None
+    return [node[0], None, [m or [c[0], None, []] for c, m in zip(node[2], inner, strict=True)]]
+
+
 def _alternatives(node: Node, path: list[str]) -> list[dict]:
     """{"path": labels, "drop": labels} of the elements in which the text stands, on some pages this and on others that."""
     chars, links = _weight(node)
@@ -279,8 +315,8 @@ def _alternatives(node: Node, path: list[str]) -> list[dict]:
 
 
 def region(wrapper: Node) -> dict:
-    """What reading a page needs: {"paths": the alternatives}."""
-    return {"paths": _alternatives(wrapper, [])}
+    """What reading a page needs: {"paths": the alternatives, "model": the template text}."""
+    return {"paths": _alternatives(wrapper, []), "model": _model(wrapper, wrapper[3])}
 
 
 def _beside(children: list[Element], model: list | None) -> list:

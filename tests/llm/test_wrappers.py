@@ -104,3 +104,19 @@ def test_hosts_with_more_than_one_template(spark):
                 assert {(r["page_id"], r["text"]) for r in wrappers.main_text(df).collect()} == {(k, f"t\n{body}") for k in range(len(kinds))}
             where = wrappers.region(infer([h for _, _, h in many]))
             assert [wrappers.extract(h, where) for h in kinds] == [f"t\n{body}"] * len(kinds)
+
+
+def test_template_text_in_the_article_is_left_out():
+    def made(k, note="Subscribe to our letter"):
+        return f'<body><article><h1>Same head</h1><p>Text {k} {"w" * k}</p><div class="x">{note}</div><p>More {k} of it, longer by far</p></article></body>'
+
+    pages = [made(k) for k in range(12)]
+    w = infer(pages)
+    assert "(<div.x>=" in wrappers.pattern(w) and "(<p>#</>)" in wrappers.pattern(w)
+    where = wrappers.region(w)
+    assert all("Subscribe" not in wrappers.extract(p, where) for p in pages)
+    assert wrappers.extract(pages[3], where) == "Same head\nText 3 www\nMore 3 of it, longer by far"
+    assert "Another" in wrappers.extract(made(3, "Another note"), where)
+    assert "Subscribe" in wrappers.extract(pages[3], wrappers.region(infer(pages[:4])))  # too few agree
+    again = [made(3)] * 40  # copies of one page show nothing
+    assert "Subscribe" in wrappers.extract(again[0], wrappers.region(infer(again)))
