@@ -40,8 +40,10 @@ from tactus.session import durable
 
 # Elements without content, elements whose content is no markup, and elements that do not part text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template svg iframe object textarea title".split())
+INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+ math semantics annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts none mroot mrow ms mspace
+ msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover""".split())
 # Which open elements a starting tag closes, up to the given borders.
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
@@ -56,7 +58,15 @@ BOILERPLATE_WORDS = frozenset("""ad ads advert adverts advertisement advertising
  complementary contentinfo cookie cookies disqus footer menu nav navbar navigation newsletter notice notices pagination popup
  promo promotion promoted related share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget""".split())
 
+#: Words that say how things are, not what an element is: has-sidebar, no-comments, share-enabled, ad-free.
+STATES = frozenset("has no not with without is free enabled disabled open closed on off hidden active allowed".split())
+#: Where an element ends whose content is no markup and that is never closed.
+BORDER = re.compile(r"</?(?:head|body|html|article|main|section|div|p|h[1-6]|ul|ol|table|nav|header|footer|aside|blockquote|pre|figure|form)\b[^<]", re.I)
+#: Elements that hold no such border: one before their closing tag shows that the tag is another one's.
+BORDERLESS = frozenset("svg title".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$|^[^=]*/\s*$""")
 HEADING = re.compile(r"h[1-6](?:\.|$)")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -118,8 +128,14 @@ def tokens(page: str) -> Iterator[tuple]:
         if not tag:
             continue
         if tag in RAW and not m[1]:
+            if SELF_CLOSED.search(m[3]):
+                continue
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
+            if not close or (tag in BORDERLESS and "foreignobject" not in page[at : close.start()].lower()):
+                border = BORDER.search(page, at, close.start() if close else n)
+                at = border.start() if border else close.end() if close else n
+            else:
+                at = close.end()
             continue
         if tag in INLINE:
             if tag == "a":
@@ -145,8 +161,15 @@ def tokens(page: str) -> Iterator[tuple]:
 
 
 def boilerplate(label: str) -> bool:
+    """By the tag, or by a word of class, id or role: a listed word as it is, or as the first or last part of one that names no state."""
     tag, *words = label.split(".")
-    return tag in BOILERPLATE_TAGS or any(p in BOILERPLATE_WORDS for w in words for p in re.split(r"[^a-z]+", w))
+    if tag in BOILERPLATE_TAGS or tag in ("html", "body"):
+        return tag in BOILERPLATE_TAGS
+    for word in words:
+        parts = [p for p in re.split(r"[^a-z]+", word) if p]
+        if parts and not STATES & {*parts} and not BOILERPLATE_WORDS.isdisjoint((parts[0], parts[-1])):
+            return True
+    return False
 
 
 def tree(page: str) -> Element:
@@ -366,7 +389,9 @@ def extract(page: str, where: dict) -> str:
     ways = {tag: _tagged(root, tag) for tag in ("article", "main")}
     for tag in ("article", "main"):
         if len(ways[tag]) == 1 and not any(e[0].split(".")[0] in ASIDE_TAGS for e in ways[tag][0]):
-            spared.update(map(id, ways[tag][0]))
+            around = sum(len(t) for way in ways["main"] for t in _texts(way[-1]))
+            if tag == "main" or 2 * sum(map(len, _texts(ways[tag][0][-1]))) >= around:  # not a lone comment in main
+                spared.update(map(id, ways[tag][0]))
 
     def barred(element: Element) -> bool:
         return id(element) not in spared and boilerplate(element[0])

@@ -120,3 +120,20 @@ def test_template_text_in_the_article_is_left_out():
     assert "Subscribe" in wrappers.extract(pages[3], wrappers.region(infer(pages[:4])))  # too few agree
     again = [made(3)] * 40  # copies of one page show nothing
     assert "Subscribe" in wrappers.extract(again[0], wrappers.region(infer(again)))
+
+
+def test_raw_elements_and_class_words_cut_no_text():
+    def text(inner, body="<body>", article="<article>"):
+        p = f"<html><head><title>x</title></head>{body}{article}{inner}</article></body></html>"
+        return wrappers.extract(p, wrappers.region(infer([p])))
+
+    assert text('<p>One</p><svg class="i"/><p>Two</p>') == "One\nTwo"
+    assert text('<p>One <svg class="i"/>more</p><p>Two</p><svg><path d=""/></svg><p>Three</p>') == "One more\nTwo\nThree"
+    assert text("<p>One</p><svg><path><p>Two</p><svg></svg><p>Three</p>") == "One\nTwo\nThree"
+    assert text("<p>One</p><title/><p>Two</p><noscript><p>Three</p>") == "One\nTwo\nThree"
+    assert text("<p>One</p><script src=x/y/>var a</script><p>Two</p>") == "One\nTwo"
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be<math/> so</p>") == "Let x=2 be so"
+    assert text("<p>One</p>", '<body class="has-sidebar">') == text("<p>One</p>", "<body class='sidebar'>") == "One"
+    assert text("<p>One</p>", '<body><div class="content no-comments" id="ad-free">') == "One"
+    assert text("<p>One</p>", article='<article class="post share-enabled">') == text("<p>One</p>", article='<article class="related">') == "One"
+    assert text('<p>One</p><div class="ad-slot">no</div><div class="post-comments">no</div><div role="complementary">no</div>') == "One"
