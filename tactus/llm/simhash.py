@@ -183,18 +183,33 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(distinct: DataFrame, most_together: int) -> DataFrame:
+    """distinct: (fp, ...), each once. Adds root: the smallest fingerprint of its component."""
+    rooted = components(links(distinct.select("fp"), most_together)).withColumnRenamed("node", "fp")
+    return distinct.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", most_together: int = MOST_TOGETHER) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs."""
     marked = durable(docs.select("doc_id", fingerprint(text).alias("fp")), "simhash-fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    rooted = components(links(distinct.select("fp"), most_together))
-    named = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), most_together)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = named.join(smallest, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, text: str = "text", most_together: int = MOST_TOGETHER) -> DataFrame:
+    """One row of each component: that with the smallest id, rows without an id last; of equal ids the first row.
+
+    Rows are numbered in a written table and known by their numbers alone, so ids may be null or repeated.
+    """
+    numbered = durable(docs.withColumns({"_row": F.monotonically_increasing_id(), "_fp": fingerprint(text)}), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    named = _rooted(numbered.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first")), most_together)
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select("first._row")
+    return numbered.join(kept.hint("merge"), "_row").select(*docs.columns)
+
+
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One document of each component: that with the smallest id (a row of it, where rows repeat). Rows without an id go."""
-    kept = near_duplicates(docs, text).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The representatives that have an id, for uses that name rows by it; representatives() loses no component."""
+    return representatives(docs, text).where("doc_id is not null")

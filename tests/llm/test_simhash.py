@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tactus.llm import simhash
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -103,3 +104,12 @@ def test_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = entry.queries()["op8_simhash_near_dedup"](spark, d).collect()
     assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == brute(docs)
+
+
+def test_the_stage_keeps_one_row_of_each_component(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(200)) for x in "abcde")
+    rows = [(None, a), (None, a), (None, b), (1, b), (2, c), (2, d), (2, d), (3, d), (1, e), (None, e), (4, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for docs in (df.coalesce(1), df.repartition(3)):
+        out = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+        assert out == sorted([(None, a), (1, b), (2, c), (2, d), (1, e), (4, None)], key=str)
