@@ -7,8 +7,11 @@
 3. The slots of all output shards are dealt to the sources by a pseudorandom permutation of the slots: the counts
    of the sources in a shard are a multinomial draw given that the quotas come out whole (so a small source meets
    its target too, which free draws would miss by their standard deviation).
-4. A source's slots are mapped through a pseudorandom permutation of its block numbers, another one for each
-   epoch, so no block comes twice before all have come once. Blocks are joined to documents by their number.
+4. A source's slots in order are mapped through a pseudorandom permutation of its block numbers, another one for
+   each epoch, so no block comes twice before all have come once. Blocks are joined to the slots by their number.
+
+The mix is a written table: a row for each slot of each shard, with its block's pieces and their words. Reports and
+documents are derived from it.
 
 The tables held together in one task are those of sources, of a source's buckets and of a source's shards; a
 source with any share of the rows is spread over buckets and blocks. Everything follows from ids, sizes and the
@@ -104,27 +107,57 @@ def expanded(rows: DataFrame, count: str, name: str) -> DataFrame:
     return chunks.withColumn(name, F.explode(F.sequence(first, F.least(first + CHUNK, F.col(count)) - 1))).drop("_chunk")
 
 
+def dealt_slots(plan: DataFrame, seed: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """(rank, blocks, shard, slot): every slot of every shard, dealt to a source."""
+    at = permuted(F.col("slot_from") + F.col("_j"), F.col("slots"), F.lit(seed))
+    dealt = expanded(plan.select("rank", "blocks", "quota", "slot_from", "slots"), "quota", "_j")
+    dealt = dealt.select("rank", "blocks", at.alias("_at"))
+    return dealt.select("rank", "blocks", F.floor(F.col("_at") / shard_blocks).cast("long").alias("shard"), (F.col("_at") % shard_blocks).alias("slot"))
+
+
 def shard_draws(plan: DataFrame, seed: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """(rank, blocks, shard, drawn, before): how many blocks of each source a shard gets, and those of shards before it."""
-    slot = permuted(F.col("slot_from") + F.col("_j"), F.col("slots"), F.lit(seed))
-    dealt = expanded(plan.select("rank", "blocks", "quota", "slot_from", "slots"), "quota", "_j")
-    drawn = dealt.groupBy("rank", "blocks", F.floor(slot / shard_blocks).cast("long").alias("shard")).agg(F.count("*").alias("drawn"))
+    return _draws(dealt_slots(plan, seed, shard_blocks))
+
+
+def _draws(dealt: DataFrame) -> DataFrame:
+    drawn = dealt.groupBy("rank", "blocks", "shard").agg(F.count("*").alias("drawn"))
     earlier = W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     return drawn.withColumn("before", F.coalesce(F.sum("drawn").over(earlier), F.lit(0).cast("long")))
 
 
-def shard_slots(draws: DataFrame, seed: int) -> DataFrame:
-    """(shard, rank, block): one row for each slot of each shard."""
+def shard_slots(dealt: DataFrame, seed: int) -> DataFrame:
+    """dealt: written slots. (shard, slot, rank, block): the block of its source that each slot takes."""
+    place = W.partitionBy("rank", "shard").orderBy("slot")  # at most a shard's blocks
+    draws = _draws(dealt).select("rank", "shard", "before")
+    numbered = dealt.withColumn("_k", F.row_number().over(place).cast("long") - 1).join(draws, ["rank", "shard"])
     number = F.col("before") + F.col("_k")
     epoch = F.floor(number / F.col("blocks")).cast("long")
     block = permuted(number % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "rank", epoch))
-    return expanded(draws, "drawn", "_k").select("shard", "rank", block.alias("block"))
+    return numbered.select("shard", "slot", "rank", block.alias("block"))
+
+
+def words_of(text: Column, pieces: Column) -> Column:
+    """The pieces (piece_from, piece_words) of the text with their words: each with the white space after it, the first also with that before."""
+    # A list of one: its variable holds the tokens, so they are found once a text and not once a piece.
+    tokens = F.array(F.regexp_extract_all(text, F.lit(f"(?:^[{SPACE}]+)?[^{SPACE}]++[{SPACE}]*+"), F.lit(0)))
+
+    def cut(all_tokens: Column) -> Column:
+        def words(p: Column) -> Column:
+            return F.array_join(F.slice(all_tokens, (p["piece_from"] + 1).cast("int"), p["piece_words"].cast("int")), "")
 
+        return F.transform(pieces, lambda p: p.withField("words", words(p)))
 
-def mix_rows(rows: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """rows: (_row unique, doc_id, source, size), written. Returns the plan by source and the pieces taken.
+    return F.flatten(F.transform(tokens, cut))
 
-    Pieces: (_row, rank, piece_from, piece_words, times): how often the mix takes these words of the row.
+
+def mix_rows(
+    rows: DataFrame, text: str = "text", seed: int = 11, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS, shard_blocks: int = SHARD_BLOCKS
+) -> tuple[DataFrame, DataFrame]:
+    """rows: (_row unique, doc_id, source, size, text), written. Returns the plan by source and the mix, both written.
+
+    Mix: (shard, slot, source, rank, block, pieces), slots gapless from 0 in each shard. A slot's pieces, in order:
+    (at, _row, piece_from, piece_words, words), the words of the row from word piece_from on, with their white space.
     """
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("_bucket")
     summed = rows.groupBy("source", bucket).agg(F.sum("size").alias("_sum"))
@@ -134,33 +167,50 @@ def mix_rows(rows: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, bu
     p = plan.alias("p")
     based = based.join(p, F.expr("b.source <=> p.source")).select("b.source", "_bucket", "_base", "rank")
     within = W.partitionBy("source", "_bucket").orderBy("doc_id", "size", "_row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = rows.withColumn("_bucket", bucket).withColumn("_start", F.sum("size").over(within) - F.col("size"))
+    numbers = rows.select("_row", "doc_id", "source", "size").withColumn("_bucket", bucket)
+    placed = numbers.withColumn("_start", F.sum("size").over(within) - F.col("size"))
     placed = placed.alias("r").join(based.alias("b"), F.expr("r.source <=> b.source and r._bucket = b._bucket"))
     placed = placed.select("_row", "rank", "size", (F.col("_base") + F.col("_start")).alias("_at")).where("size > 0")
 
     first, last = F.floor(F.col("_at") / block_words), F.floor((F.col("_at") + F.col("size") - 1) / block_words)
-    pieces = placed.withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    start = F.greatest(F.col("_at"), F.col("block") * block_words)
-    end = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * block_words)
-    pieces = pieces.select("_row", "rank", "block", (start - F.col("_at")).alias("piece_from"), (end - start).alias("piece_words"))
 
-    times = shard_slots(shard_draws(plan, seed), seed).groupBy("rank", "block").agg(F.count("*").alias("times"))
+    def piece(block: Column) -> Column:
+        start = F.greatest(F.col("_at"), block * block_words)
+        end = F.least(F.col("_at") + F.col("size"), (block + 1) * block_words)
+        return F.struct(block.alias("block"), start.alias("at"), (start - F.col("_at")).alias("piece_from"), (end - start).alias("piece_words"))
+
+    listed = F.transform(F.sequence(first.cast("long"), last.cast("long")), piece)
+    texts = placed.join(rows.select("_row", text).hint("merge"), "_row")
+    pieces = texts.select("_row", "rank", F.explode(words_of(F.col(text), listed)).alias("p"))
+    own = F.struct("p.at", "_row", "p.piece_from", "p.piece_words", "p.words")
+    blocks = pieces.groupBy("rank", F.col("p.block").alias("block")).agg(F.array_sort(F.collect_list(own)).alias("pieces"))  # at most block_words
+
+    slots = shard_slots(durable(dealt_slots(plan, seed, shard_blocks), "mix-slots"), seed)
     # The planner takes the slots for as small as the plan they expand from; they are never to be broadcast.
-    return plan, pieces.join(times.hint("merge"), ["rank", "block"]).drop("block")
+    mix = blocks.join(slots.hint("merge"), ["rank", "block"]).join(F.broadcast(plan.select("rank", "source")), "rank")
+    return plan, durable(mix.select("shard", "slot", "source", "rank", "block", "pieces"), "mix")
 
 
-def _rows(docs: DataFrame, text: str, keep_all: bool) -> DataFrame:
+def _rows(docs: DataFrame, text: str) -> DataFrame:
     docs = docs.drop("_row", "_size")
-    wide = docs if keep_all else docs.select("doc_id", "source", text)
-    wide = wide.withColumns({"_size": word_count(F.col(text)), "_row": F.monotonically_increasing_id()})
-    return durable(wide if keep_all else wide.drop(text), "mix-rows")
+    return durable(docs.withColumns({"_size": word_count(F.col(text)), "_row": F.monotonically_increasing_id()}), "mix-rows")
+
+
+def _mixed(wide: DataFrame, text: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    return mix_rows(wide.select("_row", "doc_id", "source", F.col("_size").alias("size"), text), text, seed)
+
+
+def mix(docs: DataFrame, text: str = "text", seed: int = 11) -> DataFrame:
+    """The mix itself: (shard, slot, source, rank, block, pieces with their words), see mix_rows."""
+    return _mixed(_rows(docs.select("doc_id", "source", text), text), text, seed)[1]
 
 
 def mix_report(docs: DataFrame, text: str = "text", seed: int = 11) -> DataFrame:
-    """Per document: doc_id, size, source_size, target (of its source) and taken (words, repeats counted)."""
-    rows = _rows(docs, text, False).withColumnRenamed("_size", "size")
-    plan, pieces = mix_rows(rows, seed)
-    taken = pieces.groupBy("_row").agg(F.sum(F.col("piece_words") * F.col("times")).alias("taken"))
+    """Per document: doc_id, size, source_size, target (of its source) and taken (its words in the mix, repeats counted)."""
+    wide = _rows(docs.select("doc_id", "source", text), text)
+    plan, mixed = _mixed(wide, text, seed)
+    taken = mixed.select(F.explode("pieces").alias("p")).groupBy("p._row").agg(F.sum(word_count(F.col("p.words"))).alias("taken"))
+    rows = wide.select("_row", "doc_id", "source", F.col("_size").alias("size"))
     r, p = rows.join(taken, "_row", "left").alias("r"), plan.alias("p")
     return r.join(p, F.expr("r.source <=> p.source")).select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
@@ -173,21 +223,14 @@ def mix_documents(docs: DataFrame, text: str = "text", seed: int = 11) -> DataFr
     White space between words taken together is kept; a document taken whole keeps its text as it is. n_chars, if
     there, counts the new text.
     """
-    wide = _rows(docs, text, True)
-    _, pieces = mix_rows(wide.select("_row", "doc_id", "source", F.col("_size").alias("size")), seed)
-    listed = pieces.groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct("piece_from", "piece_words", "times"))).alias("_pieces"),
-        F.max("times").alias("_most"),
-    )
-    copies = wide.join(listed, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most"))))
-    own = F.filter("_pieces", lambda p: p["times"] >= F.col("_copy"))
-    copies = copies.withColumn("_own", own)
-    words = F.aggregate("_own", F.lit(0).cast("long"), lambda n, p: n + p["piece_words"])
-    tokens = F.regexp_extract_all(F.col(text), F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
-    cut = F.transform("_own", lambda p: F.slice("_tokens", (p["piece_from"] + 1).cast("int"), p["piece_words"].cast("int")))
-    partial = copies.withColumn("_tokens", F.when(words < F.col("_size"), tokens))
-    mixed = F.when(F.col("_tokens").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(cut), ""))
-    out = partial.withColumn(text, mixed)
+    wide = _rows(docs, text)
+    _, mixed = _mixed(wide, text, seed)
+    pieces = mixed.select("shard", "slot", F.explode("pieces").alias("p")).select("shard", "slot", "p.*")
+    turn = W.partitionBy("_row", "piece_from").orderBy("shard", "slot")  # at most MOST_REPEATS
+    pieces = pieces.withColumn("_copy", F.row_number().over(turn))
+    taken = pieces.groupBy("_row", "_copy").agg(F.array_sort(F.collect_list(F.struct("piece_from", "words"))).alias("_own"))
+    taken = taken.select("_row", F.array_join("_own.words", "").alias(text))
+    out = wide.drop(text).join(taken.hint("merge"), "_row")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast("long"))
     return out.select(*docs.columns)

@@ -109,3 +109,32 @@ def test_query(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["source"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     check(docs, entry.queries()["op5_mixing"](spark, d).collect())
+
+
+def test_the_mix_holds_its_shards_slots_and_words(spark):
+    docs = [(k, "abc"[k % 3], " \n" * (k % 2) + "  ".join(f"d{k}w{j}" for j in range(15 + 31 * k)) + "\n") for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    wide = mixing._rows(df, "text")
+    plan, mixed = mixing.mix_rows(wide.withColumnRenamed("_size", "size"), shard_blocks=32)
+    text = {r["_row"]: r["text"] for r in wide.collect()}
+    quota, slots = {r["rank"]: r["quota"] for r in plan.collect()}, mixed.collect()
+    assert sorted((r["shard"], r["slot"]) for r in slots) == [(k // 32, k % 32) for k in range(sum(quota.values()))]
+    assert Counter(r["rank"] for r in slots) == quota
+    for r in slots:
+        assert "abc"[r["rank"]] == r["source"] and 1 <= sum(p["piece_words"] for p in r["pieces"]) <= mixing.BLOCK_WORDS
+        for p in r["pieces"]:
+            assert p["words"] in text[p["_row"]]
+            assert p["words"].split() == text[p["_row"]].split()[p["piece_from"] :][: p["piece_words"]]
+    in_order = [(r["rank"], r["block"]) for r in sorted(slots, key=lambda r: (r["shard"], r["slot"]))]
+    for rank, n in quota.items():
+        blocks = {r["block"] for r in slots if r["rank"] == rank}
+        own = [b for k, b in in_order if k == rank]
+        assert len(set(own[: len(blocks)])) == min(n, len(blocks))  # none twice before all have come
+    other = mixing.mix_rows(wide.withColumnRenamed("_size", "size"), seed=12, shard_blocks=32)[1].collect()
+    assert {(r["shard"], r["slot"], r["rank"], r["block"]) for r in other} != {(r["shard"], r["slot"], r["rank"], r["block"]) for r in slots}
+    counted = Counter()
+    for r in mixing.mix(df).collect():
+        counted.update(w.split("w")[0] for p in r["pieces"] for w in p["words"].split())
+    assert {f"d{r['doc_id']}": r["taken"] for r in mixing.mix_report(df).collect() if r["taken"]} == counted
+    whole = {(d, t) for d, _, t in docs}
+    assert any((r["doc_id"], r["text"]) in whole for r in mixing.mix_documents(df).collect())
