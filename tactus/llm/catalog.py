@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tactus.llm import mixing, ogg, packing, quality, secrets, sharding, simhash, tokencount, wavelet, wrappers
+from tactus.session import durable
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -32,15 +33,17 @@ def documents(spark, sf_dir):
 
 @query()
 def op1_sharding(spark, sf_dir):
+    """Whole documents are placed and written; sizes and digests are those of the texts that lie in the shards."""
+    placed = durable(sharding.shard_rows(documents(spark, sf_dir), SHARDS), "shards")
     text = F.coalesce("text", F.lit(""))
-    rows = documents(spark, sf_dir).select(
+    return placed.select(
         "doc_id",
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    placed = sharding.shard_rows(rows, SHARDS)
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

@@ -152,14 +152,32 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS)
     return found.select(*pieces.columns, "_place.sequence_id", "_place.offset")
 
 
+def filled(pieces: DataFrame) -> DataFrame:
+    """pieces: packed, with ids. The sequences: (sequence_id, length, ids binary, pieces: what lies in it, in order)."""
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "ids", "ids_crc32")]
+    part = F.struct("offset", *[c for c in columns if c != "offset"], "ids")
+    parts = F.array_sort(F.collect_list(part))  # at most `capacity` pieces
+    grouped = pieces.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("_parts"))
+    joined = F.aggregate("_parts", F.lit(b""), lambda done, p: F.concat(done, p["ids"]))
+    listed = F.transform("_parts", lambda p: F.struct(*(p[c].alias(c) for c in columns)))
+    return grouped.select("sequence_id", "length", joined.alias("ids"), listed.alias("pieces"))
+
+
+def _sequences(docs: DataFrame, path: str, text: str, capacity: int, room: int) -> DataFrame:
+    pieces = durable(token_pieces(docs, path, text, capacity, keep_ids=True, room=room), "packing-pieces")
+    return durable(filled(packed(pieces, capacity)), "packing-sequences")
+
+
 def pack_documents(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, room: int = ROOM) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. room: pieces of text a worker keeps."""
-    return packed(durable(token_pieces(docs, path, text, capacity, room=room), "packing-pieces"), capacity)
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. room: pieces of text a worker keeps.
+
+    The sequences are made and written; ids_crc32 is that of the ids that lie at the piece's place in its sequence.
+    """
+    laid = _sequences(docs, path, text, capacity, room).select("sequence_id", "ids", F.explode("pieces").alias("p"))
+    there = F.substring("ids", (F.col("p.offset") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
+    return laid.select("p.doc_id", "p.piece", "p.start", "p.length", F.crc32(there).alias("ids_crc32"), "sequence_id", "p.offset")
 
 
 def sequences(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The sequences themselves: (sequence_id, length, ids binary), each of at most `capacity` tokens."""
-    pieces = packed(durable(token_pieces(docs, path, text, capacity, keep_ids=True), "packing-pieces"), capacity)
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # at most `capacity` pieces
-    joined = F.aggregate(parts["ids"], F.lit(b""), lambda a, b: F.concat(a, b))
-    return pieces.groupBy("sequence_id").agg(F.sum("length").alias("length"), joined.alias("ids"))
+    return _sequences(docs, path, text, capacity, ROOM).select("sequence_id", "length", "ids")

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tactus.llm import packing, tokens
@@ -115,3 +116,14 @@ def test_query(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     check(docs, entry.queries()["op7_best_fit_packing"](spark, d).collect())
+
+
+def test_digests_come_from_the_packed_sequences(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "word " * (k * 40 % 1500)) for k in range(40)], "doc_id long, text string")
+    path = BYTE
+    want = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.token_pieces(docs, path).collect()}
+    assert {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.pack_documents(docs, path).collect()} == want
+    filled = packing.filled
+    monkeypatch.setattr(packing, "filled", lambda pieces: filled(pieces).withColumn("ids", F.translate(F.hex("ids"), "0", "1").cast("binary")))
+    spoilt = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.pack_documents(docs, path).collect()}
+    assert not any(spoilt[k] == want[k] for k in want)

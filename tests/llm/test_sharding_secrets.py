@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tactus.llm import secrets, sharding
 
@@ -136,3 +137,21 @@ def test_queries_over_documents(spark):
         text = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert set(text.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def test_query_places_whole_documents(spark, monkeypatch):
+    from tactus.llm import catalog
+
+    d, seen, shard_rows = "/root/testdata/sf0.001", [], sharding.shard_rows
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+
+    def placing(rows, *args):
+        seen.append(rows.columns)
+        return shard_rows(rows, *args).withColumn("text", F.concat("text", F.lit("!")))
+
+    monkeypatch.setattr(sharding, "shard_rows", placing)
+    out = {r["doc_id"]: r["text_crc32"] for r in catalog.QUERIES["op1_sharding"](spark, d).collect()}
+    assert seen == [docs.columns]
+    assert out == {r["doc_id"]: zlib.crc32((r["text"] + "!").encode()) for r in docs.where("text is not null").collect()} | {
+        r["doc_id"]: 0 for r in docs.where("text is null").collect()
+    }
