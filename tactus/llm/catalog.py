@@ -6,7 +6,6 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tactus.llm import mixing, ogg, packing, quality, secrets, sharding, simhash, tokencount, wavelet, wrappers
-from tactus.session import durable
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -33,8 +32,8 @@ def documents(spark, sf_dir):
 
 @query()
 def op1_sharding(spark, sf_dir):
-    """Whole documents are placed and written; sizes and digests are those of the texts that lie in the shards."""
-    placed = durable(sharding.shard_rows(documents(spark, sf_dir), SHARDS), "shards")
+    """Whole documents are placed; sizes and digests are those of the texts that lie in the shards."""
+    placed = sharding.shard_rows(documents(spark, sf_dir), SHARDS)
     text = F.coalesce("text", F.lit(""))
     return placed.select(
         "doc_id",

@@ -165,13 +165,13 @@ def filled(pieces: DataFrame) -> DataFrame:
 
 def _sequences(docs: DataFrame, path: str, text: str, capacity: int, room: int) -> DataFrame:
     pieces = durable(token_pieces(docs, path, text, capacity, keep_ids=True, room=room), "packing-pieces")
-    return durable(filled(packed(pieces, capacity)), "packing-sequences")
+    return filled(packed(pieces, capacity))
 
 
 def pack_documents(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, room: int = ROOM) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. room: pieces of text a worker keeps.
 
-    The sequences are made and written; ids_crc32 is that of the ids that lie at the piece's place in its sequence.
+    The sequences are made; ids_crc32 is that of the ids that lie at the piece's place in its sequence.
     """
     laid = _sequences(docs, path, text, capacity, room).select("sequence_id", "ids", F.explode("pieces").alias("p"))
     there = F.substring("ids", (F.col("p.offset") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
