@@ -4,21 +4,22 @@
    stops at `most_repeats` times its source's size and the excess is shared again by weight until none is above.
 2. Each source's words, document after document, are packed into blocks of `block_words` words (its last block may
    be shorter). A target becomes a quota of blocks.
-3. The slots of all output shards are dealt to the sources by a pseudorandom permutation of the slots: the counts
-   of the sources in a shard are a multinomial draw given that the quotas come out whole (so a small source meets
-   its target too, which free draws would miss by their standard deviation).
+3. Every slot of every output shard draws a source by the quotas' shares, so the counts of the sources in a shard are
+   multinomial. Draws over all shards miss a small source's quota by their standard deviation; so slots beyond a
+   source's quota, the last ones, go to the sources that lack some: as few slots as can be.
 4. A source's slots in order are mapped through a pseudorandom permutation of its block numbers, another one for
-   each epoch, so no block comes twice before all have come once. Blocks are joined to the slots by their number.
+   each epoch, so no block comes twice before all have come once. Slots and blocks are joined by block number.
 
-The mix is a written table: a row for each slot of each shard, with its block's pieces and their words. Reports and
-documents are derived from it.
+The join by number is one of numbers alone. A text travels once: to the list of what is taken of it. The mix is a row
+for each piece of a document in a slot of a shard, with its words; reports and documents are derived from it.
 
-The tables held together in one task are those of sources, of a source's buckets and of a source's shards; a
-source with any share of the rows is spread over buckets and blocks. Everything follows from ids, sizes and the
-seed, so reruns agree.
+The tables held together in one task are those of sources and of a source's buckets. A source with any share of
+the rows is spread over buckets and blocks, and a row that is repeated very often over parts of its bucket. Everything
+follows from ids, texts, sizes and the seed, so reruns agree.
 
 Null and empty texts have size 0 and are never taken. Repeated rows are taken each for itself. An empty table gives
-no row. Input columns that are named as an output column are replaced.
+no row. Rows are kept whole inside one column, so no input column can clash with those made here; where a result has a
+column of its own by an input column's name, that input column isn't part of the result.
 """
 
 from __future__ import annotations
@@ -35,10 +36,14 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 4096
-BUCKETS = 1024
+#: Rows of a bucket, about; and the most kinds of often repeated rows that get parts of their own.
+BUCKET_ROWS = 1 << 16
+MOST_REPEATED = 10_000
 ROUNDS = 6
-#: Slots that one row expands to at once.
+#: Entries of a running sum that are summed in one window.
 CHUNK = 4096
+#: Entries of the guide by which a place is found among ranges.
+GUIDES = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -98,43 +103,76 @@ def source_plan(sizes: DataFrame, most_repeats: int = MOST_REPEATS, block_words:
     )
 
 
-def expanded(rows: DataFrame, count: str, name: str) -> DataFrame:
-    """Each row once for every number below its count, in chunks that are dealt out between tasks."""
-    chunks = rows.where(F.col(count) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK).cast("long"))))
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number isn't coalesced: chunks are small rows that grow
-    chunks = chunks.repartition(tasks, "rank", "_chunk")
-    first = F.col("_chunk") * CHUNK
-    return chunks.withColumn(name, F.explode(F.sequence(first, F.least(first + CHUNK, F.col(count)) - 1))).drop("_chunk")
+def _none() -> Column:
+    return F.lit(0).cast("long")
 
 
-def dealt_slots(plan: DataFrame, seed: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """(rank, blocks, shard, slot): every slot of every shard, dealt to a source."""
-    at = permuted(F.col("slot_from") + F.col("_j"), F.col("slots"), F.lit(seed))
-    dealt = expanded(plan.select("rank", "blocks", "quota", "slot_from", "slots"), "quota", "_j")
-    dealt = dealt.select("rank", "blocks", at.alias("_at"))
-    return dealt.select("rank", "blocks", F.floor(F.col("_at") / shard_blocks).cast("long").alias("shard"), (F.col("_at") % shard_blocks).alias("slot"))
+def sums_before(rows: DataFrame, by: str, at: str, value: str, name: str) -> DataFrame:
+    """Adds name: the sum of value over the rows of the same `by` with a smaller `at` (a long), in chunks."""
+    chunked = rows.withColumn("_chunk", F.floor(F.col(at) / CHUNK))
+    whole = W.partitionBy(by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunked.groupBy(by, "_chunk").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(whole), _none()))
+    within = W.partitionBy(by, "_chunk").orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    summed = chunked.withColumn("_within", F.coalesce(F.sum(value).over(within), _none()))
+    return summed.join(chunks.drop("_sum"), [by, "_chunk"]).withColumn(name, F.col("_base") + F.col("_within")).drop("_chunk", "_base", "_within")
+
 
+def located(rows: DataFrame, at: Column, ranges: DataFrame, start: str, size: str, total: int) -> DataFrame:
+    """Each row with the columns of the range that holds `at`, nulls where none does (at null).
+
+    ranges: start and size within 0 .. total - 1, apart from each other. A guide leads from equal steps of the whole to the
+    ranges that meet them: at most GUIDES rows more than there are ranges, so Spark broadcasts it if it is small.
+    """
+    step = max(1, -(-total // GUIDES))
+    meets = F.sequence(F.floor(F.col(start) / step), F.floor((F.col(start) + F.col(size) - 1) / step))
+    guide = ranges.where(F.col(size) > 0).withColumn("_guide", F.explode(meets)).alias("g")
+    placed = rows.withColumn("_at", at).withColumn("_step", F.floor(F.col("_at") / step))
+    inside = (F.col("_at") >= F.col(start)) & (F.col("_at") < F.col(start) + F.col(size))
+    return placed.join(guide, (F.col("_step") == F.col("_guide")) & inside, "left").drop("_step", "_guide")
 
-def shard_draws(plan: DataFrame, seed: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """(rank, blocks, shard, drawn, before): how many blocks of each source a shard gets, and those of shards before it."""
-    return _draws(dealt_slots(plan, seed, shard_blocks))
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def _draws(dealt: DataFrame) -> DataFrame:
-    drawn = dealt.groupBy("rank", "blocks", "shard").agg(F.count("*").alias("drawn"))
-    earlier = W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    return drawn.withColumn("before", F.coalesce(F.sum("drawn").over(earlier), F.lit(0).cast("long")))
 
+def _drawn(plan: DataFrame, seed: int, shard_blocks: int, slots: int) -> DataFrame:
+    """(shard, slot, rank): the source that each slot draws, by the quotas' shares."""
+    every = plan.sparkSession.range(0, slots, 1, _tasks(plan))
+    at = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, slots)))
+    ranges = plan.select("rank", "slot_from", "quota")
+    shard, slot = F.floor(F.col("id") / shard_blocks).alias("shard"), (F.col("id") % shard_blocks).alias("slot")
+    return located(every, at, ranges, "slot_from", "quota", slots).select(shard, slot, "rank")
+
+
+def dealt_slots(plan: DataFrame, seed: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """plan: written. (shard, slot, rank, blocks, number): each slot's source, after the quotas, and the slot's number in it."""
+    slots = plan.agg(F.max("slots")).first()[0] or 0  # one number
+    drawn = _drawn(plan, seed, shard_blocks, slots)
+    counts = durable(drawn.groupBy("rank", "shard").agg(F.count("*").alias("drawn")), "mix-draws")
+    ordered = W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    sums = plan.join(counts.groupBy("rank").agg(F.sum("drawn").alias("drawn")), "rank", "left").na.fill(0, ["drawn"])
+    sums = sums.withColumns({"over": F.greatest(F.col("drawn") - F.col("quota"), _none()), "lack": F.greatest(F.col("quota") - F.col("drawn"), _none())})
+    sums = sums.withColumns({f"{k}_from": F.coalesce(F.sum(k).over(ordered), _none()) for k in ("over", "lack")})  # a row for each source
+    quotas = durable(sums.select("rank", "blocks", "quota", "drawn", "over_from", "lack", "lack_from"), "mix-quotas")
+    moved = quotas.agg(F.sum("lack")).first()[0] or 0  # one number
 
-def shard_slots(dealt: DataFrame, seed: int) -> DataFrame:
-    """dealt: written slots. (shard, slot, rank, block): the block of its source that each slot takes."""
     place = W.partitionBy("rank", "shard").orderBy("slot")  # at most a shard's blocks
-    draws = _draws(dealt).select("rank", "shard", "before")
-    numbered = dealt.withColumn("_k", F.row_number().over(place).cast("long") - 1).join(draws, ["rank", "shard"])
-    number = F.col("before") + F.col("_k")
-    epoch = F.floor(number / F.col("blocks")).cast("long")
-    block = permuted(number % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "rank", epoch))
-    return numbered.select("shard", "slot", "rank", block.alias("block"))
+    numbered = drawn.withColumn("_k", F.row_number().over(place).cast("long") - 1)
+    numbered = numbered.join(sums_before(counts, "rank", "shard", "drawn", "before").drop("drawn"), ["rank", "shard"])
+    own = numbered.withColumn("number", F.col("before") + F.col("_k")).join(quotas.select("rank", "blocks", "quota", "over_from"), "rank")
+    beyond = F.when(F.col("number") >= F.col("quota"), F.col("over_from") + F.col("number") - F.col("quota"))
+    lacking = quotas.select(F.col("rank").alias("to"), F.col("blocks").alias("to_blocks"), F.col("drawn").alias("to_drawn"), "lack", "lack_from")
+    given = located(own, beyond, lacking, "lack_from", "lack", moved)
+    number = F.when(F.col("to").isNull(), F.col("number")).otherwise(F.col("to_drawn") + F.col("_at") - F.col("lack_from"))
+    return given.select("shard", "slot", F.coalesce("to", "rank").alias("rank"), F.coalesce("to_blocks", "blocks").alias("blocks"), number.alias("number"))
+
+
+def shard_slots(plan: DataFrame, seed: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """plan: written. (shard, slot, rank, block): the block of its source that each slot takes."""
+    dealt = dealt_slots(plan, seed, shard_blocks)
+    epoch = F.floor(F.col("number") / F.col("blocks"))
+    block = permuted(F.col("number") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "rank", epoch))
+    return dealt.select("shard", "slot", "rank", block.alias("block"))
 
 
 def words_of(text: Column, pieces: Column) -> Column:
@@ -151,86 +189,113 @@ def words_of(text: Column, pieces: Column) -> Column:
     return F.flatten(F.transform(tokens, cut))
 
 
-def mix_rows(
-    rows: DataFrame, text: str = "text", seed: int = 11, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS, shard_blocks: int = SHARD_BLOCKS
+def _rows(docs: DataFrame, text: str) -> DataFrame:
+    """(row, doc: the whole input row, size, mark of its text), written: what is recomputed later finds the same row numbers."""
+    size, mark = word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("mark")
+    return durable(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"), size, mark), "mix-rows", "zstd")
+
+
+def _buckets(numbers: DataFrame, bucket_rows: int) -> tuple[DataFrame, list[str]]:
+    """numbers with columns that cut each source's rows into buckets of about bucket_rows rows, and the names of those columns.
+
+    Rows go by id and text. A row repeated so often that it would be a bucket alone is parted by row number: its copies are
+    alike, so it doesn't matter which stands where.
+    """
+    rows = numbers.count()
+    buckets, most = max(1, -(-rows // bucket_rows)), max(bucket_rows, rows // MOST_REPEATED)
+    same = ["source", "doc_id", "mark"]
+    often = numbers.groupBy(*same).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    often = often.select(*(F.col(c).alias(f"_{c}") for c in same), F.ceil(F.col("_n") / most).alias("_parts"))  # at most MOST_REPEATED rows
+    alike = F.lit(True)
+    for c in same:
+        alike = alike & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    marked = numbers.join(F.broadcast(often), alike, "left")
+    key = F.xxhash64("doc_id", "mark")
+    parts = {
+        "_bucket": F.pmod(key, F.lit(buckets)),
+        "_often": F.when(F.col("_parts").isNotNull(), key).otherwise(0),
+        "_part": F.coalesce(F.pmod(F.xxhash64("row"), F.col("_parts")), _none()),
+    }
+    return marked.withColumns(parts).select(*numbers.columns, *parts), [*parts]
+
+
+def mix_pieces(
+    rows: DataFrame, text: str = "text", seed: int = 11, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, bucket_rows: int = BUCKET_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """rows: (_row unique, doc_id, source, size, text), written. Returns the plan by source and the mix, both written.
+    """rows: as _rows has them. Returns the plan by source (written) and the mix by pieces.
 
-    Mix: (shard, slot, source, rank, block, pieces), slots gapless from 0 in each shard. A slot's pieces, in order:
-    (at, _row, piece_from, piece_words, words), the words of the row from word piece_from on, with their white space.
+    Mix: (row, doc_id, source, rank, shard, slot, block, at, piece_from, piece_words, turn, words): the words of the row
+    from word piece_from on, with their white space, stand in the slot in the order of `at`. turn: how many times they have
+    been taken with this one.
     """
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("_bucket")
-    summed = rows.groupBy("source", bucket).agg(F.sum("size").alias("_sum"))
+    numbers = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "size", "mark")
+    numbers, parts = _buckets(numbers, bucket_rows)
+    summed = numbers.groupBy("source", *parts).agg(F.sum("size").alias("_sum"))
     plan = durable(source_plan(summed.groupBy("source").agg(F.sum("_sum").alias("source_size")), block_words=block_words), "mix-plan")
-    before = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    based = summed.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("long"))).alias("b")
+    before = W.partitionBy("source").orderBy(*parts).rowsBetween(W.unboundedPreceding, -1)
+    based = summed.withColumn("_base", F.coalesce(F.sum("_sum").over(before), _none())).alias("b")
     p = plan.alias("p")
-    based = based.join(p, F.expr("b.source <=> p.source")).select("b.source", "_bucket", "_base", "rank")
-    within = W.partitionBy("source", "_bucket").orderBy("doc_id", "size", "_row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    numbers = rows.select("_row", "doc_id", "source", "size").withColumn("_bucket", bucket)
-    placed = numbers.withColumn("_start", F.sum("size").over(within) - F.col("size"))
-    placed = placed.alias("r").join(based.alias("b"), F.expr("r.source <=> b.source and r._bucket = b._bucket"))
-    placed = placed.select("_row", "rank", "size", (F.col("_base") + F.col("_start")).alias("_at")).where("size > 0")
-
-    first, last = F.floor(F.col("_at") / block_words), F.floor((F.col("_at") + F.col("size") - 1) / block_words)
-
-    def piece(block: Column) -> Column:
-        start = F.greatest(F.col("_at"), block * block_words)
-        end = F.least(F.col("_at") + F.col("size"), (block + 1) * block_words)
-        return F.struct(block.alias("block"), start.alias("at"), (start - F.col("_at")).alias("piece_from"), (end - start).alias("piece_words"))
-
-    listed = F.transform(F.sequence(first.cast("long"), last.cast("long")), piece)
-    texts = placed.join(rows.select("_row", text).hint("merge"), "_row")
-    pieces = texts.select("_row", "rank", F.explode(words_of(F.col(text), listed)).alias("p"))
-    own = F.struct("p.at", "_row", "p.piece_from", "p.piece_words", "p.words")
-    blocks = pieces.groupBy("rank", F.col("p.block").alias("block")).agg(F.array_sort(F.collect_list(own)).alias("pieces"))  # at most block_words
-
-    slots = shard_slots(durable(dealt_slots(plan, seed, shard_blocks), "mix-slots"), seed)
-    # The planner takes the slots for as small as the plan they expand from; they are never to be broadcast.
-    mix = blocks.join(slots.hint("merge"), ["rank", "block"]).join(F.broadcast(plan.select("rank", "source")), "rank")
-    return plan, durable(mix.select("shard", "slot", "source", "rank", "block", "pieces"), "mix")
-
+    based = based.join(p, F.expr("b.source <=> p.source")).select("b.source", *parts, "_base", "rank")
+    within = W.partitionBy("source", *parts).orderBy("doc_id", "size", "mark", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = numbers.withColumn("_start", F.sum("size").over(within) - F.col("size")).alias("r")
+    same = " and ".join(f"r.{c} = b.{c}" for c in parts)
+    placed = placed.join(based.alias("b"), F.expr(f"r.source <=> b.source and {same}"))
+    placed = placed.select("row", "rank", "size", (F.col("_base") + F.col("_start")).alias("_from")).where("size > 0")
+
+    first, last = F.floor(F.col("_from") / block_words), F.floor((F.col("_from") + F.col("size") - 1) / block_words)
+    blocks = placed.withColumn("block", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.col("_from"), F.col("block") * block_words)
+    end = F.least(F.col("_from") + F.col("size"), (F.col("block") + 1) * block_words)
+    blocks = blocks.select("row", "rank", "block", start.alias("at"), (start - F.col("_from")).alias("piece_from"), (end - start).alias("piece_words"))
+    # The planner takes what is expanded for as small as what it expands from; it is never to be broadcast.
+    taken = blocks.join(shard_slots(plan, seed, shard_blocks).hint("merge"), ["rank", "block"])
+    turn = F.row_number().over(W.partitionBy("row", "piece_from").orderBy("shard", "slot"))  # at most MOST_REPEATS
+    taken = taken.withColumn("turn", turn)
+    own = F.struct("piece_from", "piece_words", "turn", "rank", "shard", "slot", "block", "at")
+    lists = taken.groupBy("row").agg(F.collect_list(own).alias("_own"))  # of one text, by its length
+    texts = rows.select("row", "doc.doc_id", "doc.source", F.col("doc").getField(text).alias("_text"))
+    pieces = texts.join(lists.hint("shuffle_hash"), "row").withColumn("p", F.explode(words_of(F.col("_text"), F.col("_own"))))
+    columns = ("rank", "shard", "slot", "block", "at", "piece_from", "piece_words", "turn", "words")
+    return plan, pieces.select("row", "doc_id", "source", *(F.col(f"p.{c}") for c in columns))
 
-def _rows(docs: DataFrame, text: str) -> DataFrame:
-    docs = docs.drop("_row", "_size")
-    return durable(docs.withColumns({"_size": word_count(F.col(text)), "_row": F.monotonically_increasing_id()}), "mix-rows")
 
+def mix(docs: DataFrame, text: str = "text", seed: int = 11) -> DataFrame:
+    """The mix by slots: (shard, slot, source, rank, block, pieces), slots gapless from 0 in each shard.
 
-def _mixed(wide: DataFrame, text: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    return mix_rows(wide.select("_row", "doc_id", "source", F.col("_size").alias("size"), text), text, seed)
+    pieces in order: (at, doc_id, piece_from, piece_words, words).
+    """
+    _, pieces = mix_pieces(_rows(docs.select("doc_id", "source", text), text), text, seed)
+    return slots_of(pieces)
 
 
-def mix(docs: DataFrame, text: str = "text", seed: int = 11) -> DataFrame:
-    """The mix itself: (shard, slot, source, rank, block, pieces with their words), see mix_rows."""
-    return _mixed(_rows(docs.select("doc_id", "source", text), text), text, seed)[1]
+def slots_of(pieces: DataFrame) -> DataFrame:
+    """The pieces of a mix gathered by slot."""
+    own = F.struct("at", "row", "doc_id", "piece_from", "piece_words", "words")
+    return pieces.groupBy("shard", "slot", "source", "rank", "block").agg(F.array_sort(F.collect_list(own)).alias("pieces"))  # at most block_words
 
 
 def mix_report(docs: DataFrame, text: str = "text", seed: int = 11) -> DataFrame:
     """Per document: doc_id, size, source_size, target (of its source) and taken (its words in the mix, repeats counted)."""
-    wide = _rows(docs.select("doc_id", "source", text), text)
-    plan, mixed = _mixed(wide, text, seed)
-    taken = mixed.select(F.explode("pieces").alias("p")).groupBy("p._row").agg(F.sum(word_count(F.col("p.words"))).alias("taken"))
-    rows = wide.select("_row", "doc_id", "source", F.col("_size").alias("size"))
-    r, p = rows.join(taken, "_row", "left").alias("r"), plan.alias("p")
-    return r.join(p, F.expr("r.source <=> p.source")).select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
-    )
+    rows = _rows(docs.select("doc_id", "source", text), text)
+    plan, pieces = mix_pieces(rows, text, seed)
+    taken = pieces.groupBy("row").agg(F.sum(word_count(F.col("words"))).alias("taken"))
+    r = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "size").join(taken.hint("merge"), "row", "left").alias("r")
+    p = plan.alias("p")
+    return r.join(p, F.expr("r.source <=> p.source")).select("doc_id", "size", "source_size", "target", F.coalesce("taken", _none()).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, text: str = "text", seed: int = 11) -> DataFrame:
     """The mix as documents: a row for each time (1 to 3) that words of a document are taken, with those words.
 
     White space between words taken together is kept; a document taken whole keeps its text as it is. n_chars, if
-    there, counts the new text.
+    there, counts the new text. All other columns stay as they are.
     """
-    wide = _rows(docs, text)
-    _, mixed = _mixed(wide, text, seed)
-    pieces = mixed.select("shard", "slot", F.explode("pieces").alias("p")).select("shard", "slot", "p.*")
-    turn = W.partitionBy("_row", "piece_from").orderBy("shard", "slot")  # at most MOST_REPEATS
-    pieces = pieces.withColumn("_copy", F.row_number().over(turn))
-    taken = pieces.groupBy("_row", "_copy").agg(F.array_sort(F.collect_list(F.struct("piece_from", "words"))).alias("_own"))
-    taken = taken.select("_row", F.array_join("_own.words", "").alias(text))
-    out = wide.drop(text).join(taken.hint("merge"), "_row")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast("long"))
-    return out.select(*docs.columns)
+    rows = _rows(docs, text)
+    _, pieces = mix_pieces(rows, text, seed)
+    taken = pieces.groupBy("row", "turn").agg(F.array_sort(F.collect_list(F.struct("piece_from", "words"))).alias("_own"))
+    taken = taken.select("row", F.array_join("_own.words", "").alias("_mixed"))
+    made = {text: F.col("_mixed"), "n_chars": F.length("_mixed").cast("long")}
+    kept = [c for c in docs.columns if c not in made]
+    wide = rows.select("row", F.struct(*(F.col("doc").getField(c).alias(c) for c in kept)).alias("doc")) if kept else rows.select("row")
+    out = wide.join(taken.hint("merge"), "row")
+    return out.select(*(made[c].alias(c) if c in made else F.col("doc").getField(c).alias(c) for c in docs.columns))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tactus.llm import mixing
+from tactus.session import durable
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 63, 1000])
@@ -75,6 +76,31 @@ def test_repeated_rows(spark):
     assert len(rows) == 6 and all(r["taken"] <= 3 * r["size"] for r in rows)
 
 
+def test_rows_repeated_very_often_are_parted(spark):
+    docs = [(1, "a", "x y z " * 30)] * 200 + [(1, "a", "other " * 40)] * 3 + [(None, None, "k " * 70)] * 90 + [(k, "b", f"v{k} " * (k % 50)) for k in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    rows = mixing._rows(df, "text")
+    numbers, parts = mixing._buckets(rows.select("row", "doc.doc_id", "doc.source", "size", "mark"), 32)
+    assert numbers.groupBy("source", *parts).count().agg(F.max("count")).first()[0] <= 60
+    report = lambda d: Counter(map(tuple, mixing.mix_report(d).collect()))
+    whole = mixing.BUCKET_ROWS
+    try:
+        mixing.mix_pieces.__defaults__ = (*mixing.mix_pieces.__defaults__[:-1], 32)
+        found = report(df)
+        assert found == report(df.repartition(5))
+    finally:
+        mixing.mix_pieces.__defaults__ = (*mixing.mix_pieces.__defaults__[:-1], whole)
+    assert sum(found.values()) == len(docs) and all(r[4] <= 3 * r[1] for r in found)
+    for size, target in {(r[2], r[3]) for r in found}:
+        assert abs(sum(r[4] * n for r, n in found.items() if r[2] == size) - target) <= 2 * mixing.BLOCK_WORDS
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "a", "x y " * 90, [5], 6, "s", 7)], "doc_id long, source string, text string, _own array<int>, row int, _mixed string, turn int")
+    out = mixing.mix_documents(df)
+    assert out.dtypes == df.dtypes and [tuple(r)[3:] for r in out.collect()] == [([5], 6, "s", 7)]
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     docs = [(k, "abc"[k % 3], " ".join(f"d{k}w{j}" for j in range(20 + 13 * k)) + "\n") for k in range(30)]
     df = spark.createDataFrame([(d, s, t, len(t)) for d, s, t in docs], "doc_id long, source string, text string, n_chars long")
@@ -93,7 +119,8 @@ def test_mixed_documents_hold_the_words_taken(spark):
 
 def test_draws_sum_to_the_quotas_and_vary_by_shard(spark):
     plan = mixing.source_plan(spark.createDataFrame([("a", 64_000), ("b", 64_000), ("c", 64_000)], "source string, source_size long"))
-    draws = mixing.shard_draws(plan, 3, 100).toPandas()
+    plan = durable(plan, "plan")
+    draws = mixing.dealt_slots(plan, 3, 100).groupBy("rank", "shard").agg(F.count("*").alias("drawn")).toPandas()
     quota = {r["rank"]: r["quota"] for r in plan.collect()}
     assert draws.groupby("rank").drawn.sum().to_dict() == quota
     whole = draws.groupby("shard").drawn.sum()
@@ -115,22 +142,22 @@ def test_the_mix_holds_its_shards_slots_and_words(spark):
     docs = [(k, "abc"[k % 3], " \n" * (k % 2) + "  ".join(f"d{k}w{j}" for j in range(15 + 31 * k)) + "\n") for k in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")
     wide = mixing._rows(df, "text")
-    plan, mixed = mixing.mix_rows(wide.withColumnRenamed("_size", "size"), shard_blocks=32)
-    text = {r["_row"]: r["text"] for r in wide.collect()}
-    quota, slots = {r["rank"]: r["quota"] for r in plan.collect()}, mixed.collect()
+    plan, mixed = mixing.mix_pieces(wide, shard_blocks=32)
+    text = {r["row"]: r["doc"]["text"] for r in wide.collect()}
+    quota, slots = {r["rank"]: r["quota"] for r in plan.collect()}, mixing.slots_of(mixed).collect()
     assert sorted((r["shard"], r["slot"]) for r in slots) == [(k // 32, k % 32) for k in range(sum(quota.values()))]
     assert Counter(r["rank"] for r in slots) == quota
     for r in slots:
         assert "abc"[r["rank"]] == r["source"] and 1 <= sum(p["piece_words"] for p in r["pieces"]) <= mixing.BLOCK_WORDS
         for p in r["pieces"]:
-            assert p["words"] in text[p["_row"]]
-            assert p["words"].split() == text[p["_row"]].split()[p["piece_from"] :][: p["piece_words"]]
+            assert p["words"] in text[p["row"]]
+            assert p["words"].split() == text[p["row"]].split()[p["piece_from"] :][: p["piece_words"]]
     in_order = [(r["rank"], r["block"]) for r in sorted(slots, key=lambda r: (r["shard"], r["slot"]))]
     for rank, n in quota.items():
         blocks = {r["block"] for r in slots if r["rank"] == rank}
         own = [b for k, b in in_order if k == rank]
         assert len(set(own[: len(blocks)])) == min(n, len(blocks))  # none twice before all have come
-    other = mixing.mix_rows(wide.withColumnRenamed("_size", "size"), seed=12, shard_blocks=32)[1].collect()
+    other = mixing.slots_of(mixing.mix_pieces(wide, seed=12, shard_blocks=32)[1]).collect()
     assert {(r["shard"], r["slot"], r["rank"], r["block"]) for r in other} != {(r["shard"], r["slot"], r["rank"], r["block"]) for r in slots}
     counted = Counter()
     for r in mixing.mix(df).collect():
