@@ -37,7 +37,7 @@ MOST_REPEATS = 3
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 4096
 #: Rows of a bucket, about; and the most kinds of often repeated rows that get parts of their own.
-BUCKET_ROWS = 1 << 16
+BUCKET_ROWS = 1 << 13
 MOST_REPEATED = 10_000
 ROUNDS = 6
 #: Entries of a running sum that are summed in one window.
