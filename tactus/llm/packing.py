@@ -8,9 +8,9 @@ them, resolves conflicts over a gap by rank (the longer first), updates the gaps
 finds a gap, the longest class opens sequences.
 
 The rounds therefore need the class table alone, which is bounded by the capacity and handled on the driver. What grows
-with the data stays distributed: the histogram is a partial aggregate, each piece's rank in its length comes from
-prefix counts over hash buckets (one very common length is spread over all of them), and a rank finds its sequence by
-a sorted lookup in the rounds' placements.
+with the data stays distributed: the histogram is a partial aggregate, a piece is numbered within its length where it is cut,
+prefix counts over the parts make that its rank (one very common length is spread over all parts), and a rank finds
+its sequence by a sorted lookup in the rounds' placements.
 
 Null and empty texts are one piece of the end token alone. Repeated rows are packed each for itself. An empty table
 gives no row.
@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +35,6 @@ from tactus.session import durable
 
 CAPACITY = 1024
 END = 2
-BUCKETS = 64
 #: Lengths in a band: those above this part of the longest unplaced one.
 BAND = 0.97
 
@@ -44,27 +45,39 @@ def piece_lengths(tokens: int, capacity: int) -> list[int]:
     return ([rest] if rest else []) + [capacity] * (tokens // capacity)
 
 
-def token_pieces(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False, room: int = ROOM) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32), with ids (binary) if they are to be kept."""
+def id_type(path: str) -> str:
+    """How ids are kept on the way: in two bytes where the vocabulary allows it, else in four."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else "<u4"
+
+
+def token_pieces(docs: DataFrame, path: str, kind: str, text: str = "text", capacity: int = CAPACITY, room: int = ROOM) -> DataFrame:
+    """(doc_id, piece, start, length, part, nth, ids): ids of id_type kind; nth: the piece's number among those of its length in its part.
+
+    To be written before it is used, for parts are those of the task that made them.
+    """
     bounded_batches()
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = "doc_id long, piece int, start long, length long, part long, nth long, ids binary"
     end = END.to_bytes(4, "little")
 
     def cut(batches):
         encode = encoder(path, BYTE_PIECES, room).encode
+        part = TaskContext.get().partitionId()
+        seen: Counter = Counter()
         for batch in batches:
-            ids = batch["doc_id"]
+            docs = batch["doc_id"]
             done = 0
             for step in steps(utf8(batch[text])):
-                own = ids.iloc[done : done + len(step)]
+                own = docs.iloc[done : done + len(step)]
                 done += len(step)
                 rows = []
                 for doc, data in zip(own, encode([t.decode("utf-8", "surrogatepass") for t in step]), strict=True):
-                    data += end
+                    ids = np.frombuffer(data + end, "<u4").astype(kind)
                     start = 0
-                    for k, length in enumerate(piece_lengths(len(data) // 4, capacity)):
-                        part = data[4 * start : 4 * (start + length)]
-                        rows.append((doc, k, start, length, zlib.crc32(part), *[part] * keep_ids))
+                    for k, length in enumerate(piece_lengths(len(ids), capacity)):
+                        rows.append((doc, k, start, length, part, seen[length], ids[start : start + length].tobytes()))
+                        seen[length] += 1
                         start += length
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
                 yield out.astype({"doc_id": "Int64"})
@@ -127,13 +140,11 @@ def rounds(counts: dict[int, int], capacity: int, band: float = BAND) -> list[tu
     return placed
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """pieces: written rows with doc_id, piece and length (1 to capacity). Adds sequence_id (long) and offset (long)."""
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))
-    rows = pieces.withColumn("_bucket", bucket)
-    counted = durable(rows.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "packing-lengths")
-    before = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = counted.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_before"))
+def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces: written rows of token_pieces. Adds sequence_id (long) and offset (long)."""
+    counted = durable(pieces.groupBy("length", "part").agg(F.count("*").alias("_n")), "packing-lengths")
+    before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counted.select("length", "part", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_before"))
     histogram = counted.groupBy("length").agg(F.sum("_n").alias("n")).collect()  # a row for each length there is
     placed = sorted(rounds({r["length"]: r["n"] for r in histogram}, capacity))
     table = np.array(placed, np.int64).reshape(-1, 5)
@@ -146,26 +157,23 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS)
         own = table[np.searchsorted(keys, length.to_numpy() << 48 | rank.to_numpy(), side="right") - 1]
         return pd.DataFrame({"sequence_id": own[:, 3] + rank.to_numpy() - own[:, 1], "offset": own[:, 4]})
 
-    within = W.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
-    ranked = rows.withColumn("_rank", F.row_number().over(within) - 1).join(starts, ["length", "_bucket"])
-    found = ranked.withColumn("_place", find("length", (F.col("_rank") + F.col("_before")).cast("long")))
+    ranked = pieces.join(starts.hint("shuffle_hash"), ["length", "part"])
+    found = ranked.withColumn("_place", find("length", F.col("nth") + F.col("_before")))
     return found.select(*pieces.columns, "_place.sequence_id", "_place.offset")
 
 
 def filled(pieces: DataFrame) -> DataFrame:
-    """pieces: packed, with ids. The sequences: (sequence_id, length, ids binary, pieces: what lies in it, in order)."""
-    columns = [c for c in pieces.columns if c not in ("sequence_id", "ids", "ids_crc32")]
-    part = F.struct("offset", *[c for c in columns if c != "offset"], "ids")
-    parts = F.array_sort(F.collect_list(part))  # at most `capacity` pieces
+    """pieces: packed. The sequences: (sequence_id, length, ids in the pieces' id type, pieces: what lies in it, in order)."""
+    columns = ("offset", "doc_id", "piece", "start", "length")
+    parts = F.array_sort(F.collect_list(F.struct(*columns, "ids")))  # at most `capacity` pieces
     grouped = pieces.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("_parts"))
     joined = F.aggregate("_parts", F.lit(b""), lambda done, p: F.concat(done, p["ids"]))
     listed = F.transform("_parts", lambda p: F.struct(*(p[c].alias(c) for c in columns)))
     return grouped.select("sequence_id", "length", joined.alias("ids"), listed.alias("pieces"))
 
 
-def _sequences(docs: DataFrame, path: str, text: str, capacity: int, room: int) -> DataFrame:
-    pieces = durable(token_pieces(docs, path, text, capacity, keep_ids=True, room=room), "packing-pieces")
-    return filled(packed(pieces, capacity))
+def _sequences(docs: DataFrame, path: str, kind: str, text: str, capacity: int, room: int) -> DataFrame:
+    return filled(packed(durable(token_pieces(docs, path, kind, text, capacity, room), "packing-pieces", "zstd"), capacity))
 
 
 def pack_documents(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, room: int = ROOM) -> DataFrame:
@@ -173,11 +181,24 @@ def pack_documents(docs: DataFrame, path: str, text: str = "text", capacity: int
 
     The sequences are made; ids_crc32 is that of the ids that lie at the piece's place in its sequence.
     """
-    laid = _sequences(docs, path, text, capacity, room).select("sequence_id", "ids", F.explode("pieces").alias("p"))
-    there = F.substring("ids", (F.col("p.offset") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
-    return laid.select("p.doc_id", "p.piece", "p.start", "p.length", F.crc32(there).alias("ids_crc32"), "sequence_id", "p.offset")
+    kind = id_type(path)
+    size = np.dtype(kind).itemsize
+
+    @F.pandas_udf("long")
+    def crc(ids: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in ids], dtype="int64")
+
+    laid = _sequences(docs, path, kind, text, capacity, room).select("sequence_id", "ids", F.explode("pieces").alias("p"))
+    there = F.substring("ids", (F.col("p.offset") * size + 1).cast("int"), (F.col("p.length") * size).cast("int"))
+    return laid.select("p.doc_id", "p.piece", "p.start", "p.length", crc(there).alias("ids_crc32"), "sequence_id", "p.offset")
 
 
 def sequences(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The sequences themselves: (sequence_id, length, ids binary), each of at most `capacity` tokens."""
-    return _sequences(docs, path, text, capacity, ROOM).select("sequence_id", "length", "ids")
+    """The sequences themselves: (sequence_id, length, ids: little-endian unsigned 32-bit), each of at most `capacity` tokens."""
+    kind = id_type(path)
+
+    @F.pandas_udf("binary")
+    def wide(ids: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, kind).astype("<u4").tobytes() for x in ids], dtype=object)
+
+    return _sequences(docs, path, kind, text, capacity, ROOM).select("sequence_id", "length", wide("ids").alias("ids"))

@@ -120,10 +120,11 @@ def test_query(spark):
 
 def test_digests_come_from_the_packed_sequences(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "word " * (k * 40 % 1500)) for k in range(40)], "doc_id long, text string")
-    path = BYTE
-    want = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.token_pieces(docs, path).collect()}
-    assert {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.pack_documents(docs, path).collect()} == want
+    cut = packing.token_pieces(docs, BYTE, "<u4").collect()
+    want = {(r["doc_id"], r["piece"]): zlib.crc32(r["ids"]) for r in cut}
+    assert len({(r["part"], r["length"], r["nth"]) for r in cut}) == len(cut)
+    assert {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.pack_documents(docs, BYTE).collect()} == want
     filled = packing.filled
     monkeypatch.setattr(packing, "filled", lambda pieces: filled(pieces).withColumn("ids", F.translate(F.hex("ids"), "0", "1").cast("binary")))
-    spoilt = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.pack_documents(docs, path).collect()}
+    spoilt = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.pack_documents(docs, BYTE).collect()}
     assert not any(spoilt[k] == want[k] for k in want)
