@@ -23,6 +23,8 @@ from tactus.llm.text import IS_SPACE, bounded_batches, mix64, steps, utf8
 
 #: Labelled texts that the model is fitted on, at most: those with the smallest hashed ids. A documented bound.
 TRAIN_DOCS = 600
+#: Lines of each of them. A documented bound.
+TRAIN_LINES = 2000
 WINDOW = 5
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
@@ -149,13 +151,26 @@ def _by_place(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first[order], count[order], number[order]
 
 
+#: Texts with more lines are decoded one by one.
+TOGETHER = 2000
+
+
 def decode(crf: Crf, doc: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Viterbi over the lines of every text at once; doc is sorted. True: content; ties go to content."""
+    """Viterbi over the lines of every text; doc is sorted. True: content; ties go to content.
+
+    Texts of up to TOGETHER lines go line place by line place at once, longer ones alone: the same steps either way.
+    """
     out = np.ones(len(doc), bool)
     if not len(doc):
         return out
     emission = features @ np.array(crf.emission)
     first, count, _ = _by_place(doc)
+    long = int(np.searchsorted(-count, -TOGETHER))
+    for at, n in zip(first[:long].tolist(), count[:long].tolist(), strict=True):
+        out[at : at + n] = _decode_one(crf, emission[at : at + n].tolist())
+    first, count = first[long:], count[long:]
+    if not len(first):
+        return out
     to_content, to_other = np.array(crf.transition)[:, 1], np.array(crf.transition)[:, 0]
     score = np.array(crf.start) + np.column_stack([np.zeros(len(first)), emission[first]])
     back: list[np.ndarray] = []
@@ -174,6 +189,23 @@ def decode(crf: Crf, doc: np.ndarray, features: np.ndarray) -> np.ndarray:
     return out
 
 
+def _decode_one(crf: Crf, emission: list[float]) -> np.ndarray:
+    (oo, oc), (co, cc) = ((float(x) for x in row) for row in crf.transition)
+    other, content = float(crf.start[0]), float(crf.start[1]) + emission[0]
+    back_other, back_content = bytearray(len(emission)), bytearray(len(emission))
+    for t in range(1, len(emission)):
+        stay, turn = other + oo, content + co
+        leave, go_on = other + oc, content + cc
+        back_other[t], back_content[t] = turn >= stay, go_on >= leave
+        other, content = max(stay, turn), max(leave, go_on) + emission[t]
+    state = content >= other
+    out = bytearray(len(emission))
+    for t in range(len(emission) - 1, -1, -1):
+        out[t] = state
+        state = back_content[t] if state else back_other[t]
+    return np.frombuffer(out, np.uint8).astype(bool)
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
@@ -231,25 +263,32 @@ def fit(doc: np.ndarray, features: np.ndarray, label: np.ndarray, rounds: int =
     return Crf(tuple(theta[:n]), tuple(map(tuple, trans)), tuple(theta[n + 4 :]))
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Crf:
-    """A CRF fitted on at most `most` labelled texts of each kind: those with the smallest hashed ids."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("_good")).where("_good is not null and doc_id is not null")
-    chosen = known.where("_good = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).unionByName(
-        known.where("_good = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    )
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_good", "text", F.xxhash64("doc_id", "text").alias("_order"))
-    sample = sorted(rows.collect(), key=lambda r: (r["_order"], r["_good"]))  # at most twice `most` texts
-    if len({r["_good"] for r in sample}) < 2:
+def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES) -> Crf:
+    """A CRF fitted on at most `most` labelled texts of each kind: those with the smallest hashed ids.
+
+    Of rows that share an id one text counts. Of a long text a run of most_lines lines counts, from a hashed line on.
+    """
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("good")).where("good is not null and doc_id is not null").distinct()
+    kinds = [known.where(F.col("good") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (1, 0)]
+    rows = documents.select("doc_id", "text").join(F.broadcast(kinds[0].unionByName(kinds[1])), "doc_id")
+    one = rows.groupBy("good", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most twice `most` rows
+    sample = sorted(one.collect(), key=lambda r: (r["good"], r["doc_id"]))
+    if len({r["good"] for r in sample}) < 2:
         return PRIOR
-    doc, features, label, seen = [], [], [], 0
+    doc, features, seen = [], [], 0
     for step in steps(utf8([r["text"] for r in sample])):
         _, d, f, _ = measure(step)
-        doc.append(d + seen)
-        features.append(f)
+        first, count, number = _by_place(d)
+        for at, n, k in zip(first.tolist(), count.tolist(), number.tolist(), strict=True):
+            if n > most_lines:
+                at += int(mix64(np.array([n + k]))[0] % np.uint64(n - most_lines + 1))
+            doc.append(d[at : at + most_lines][: min(n, most_lines)] + seen)
+            features.append(f[at : at + min(n, most_lines)])
         seen += len(step)
     doc = np.concatenate(doc)
-    good = np.array([r["_good"] for r in sample])
-    return fit(doc, np.concatenate(features), good[doc])
+    order = np.argsort(doc, kind="stable")
+    good = np.array([r["good"] for r in sample])
+    return fit(doc[order], np.concatenate(features)[order], good[doc[order]])
 
 
 def verdicts(crf: Crf, texts: list[bytes], least_share: float = LEAST_SHARE) -> pd.DataFrame:

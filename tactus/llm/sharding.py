@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 from tactus.session import durable
 
-#: numpy draws exactly below this population; above it, a rounded normal draw within the support is used.
-EXACT_POPULATION = 10**9
 #: Bits of a row's position that hold its place in its partition (as monotonically_increasing_id has it).
 PLACE_BITS = 33
 RANDOM_BITS = 62
@@ -39,15 +37,39 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (k < rows % shards) for k in range(shards)]
 
 
+def _factorials(a: int, b: int) -> float:
+    """log(a! / b!), the leading terms subtracted before they are rounded."""
+    if a < b:
+        return -_factorials(b, a)
+    if b < 64:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+    rest = lambda n: 1 / (12 * n) - 1 / (360 * n**3) + 1 / (1260 * n**5)  # noqa: E731  Stirling's series
+    return (b + 0.5) * math.log1p((a - b) / b) + (a - b) * (math.log(a) - 1) + rest(a) - rest(b)
+
+
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
-    if good == 0 or drawn == 0:
-        return 0
-    if good + bad < EXACT_POPULATION:
-        return int(rng.hypergeometric(good, bad, drawn))
+    """How many of `drawn` are good: one rejection sampler for populations of any size.
+
+    A ratio of uniforms around the mean is proposed and accepted by its probability against the mode's.
+    """
     total = good + bad
-    mean = drawn * (good / total)
-    deviation = math.sqrt(mean * (bad / total) * ((total - drawn) / max(total - 1, 1)))
-    return int(min(max(round(rng.normal(mean, deviation)), drawn - bad, 0), good, drawn))
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if low == high:
+        return low
+    mean = drawn * good / total
+    variance = mean * (bad / total) * ((total - drawn) / (total - 1))
+    mode = (drawn + 1) * (good + 1) // (total + 2)
+    width = 2 * math.sqrt((variance + 0.5) * 2 / math.e) + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = rng.random(2)
+        if u == 0:
+            continue
+        x = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= x <= high:
+            ratio = _factorials(mode, x) + _factorials(good - mode, good - x)
+            ratio += _factorials(drawn - mode, drawn - x) + _factorials(bad - drawn + mode, bad - drawn + x)
+            if 2 * math.log(u) <= ratio:
+                return x
 
 
 def split_capacities(rng: np.random.Generator, capacities: list[int], drawn: int) -> list[int]:
@@ -80,9 +102,8 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 7, slice_rows: int = 1 <<
 
     slice_rows: rows that one task orders in the second permutation, about.
     """
-    df = df.drop("shard", "slot", "_position", "_slice", "_order")
-    kept = durable(df.withColumn("_position", F.monotonically_increasing_id()), "sharding")
-    source = F.shiftright("_position", PLACE_BITS)
+    kept = durable(df.select(F.monotonically_increasing_id().alias("position"), F.struct("*").alias("row")), "sharding", "zstd")
+    source = F.shiftright("position", PLACE_BITS)
     counted = sorted(kept.groupBy(source.alias("source")).count().collect())  # a row for each partition of the input
     ids = [r["source"] for r in counted]
     offsets = [0, *np.cumsum([r["count"] for r in counted]).tolist()]
@@ -115,15 +136,14 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 7, slice_rows: int = 1 <<
         return pd.DataFrame({"shard": shard, "slice": ((order >> half) * slices >> half).astype(np.int32), "ord": order})
 
     def dealt(rows: DataFrame) -> DataFrame:
-        out = rows.withColumn("_dealt", deal("_position"))
-        names = {"shard": "_dealt.shard", "_slice": "_dealt.slice", "_order": "_dealt.ord"}
-        return out.withColumns({k: F.col(v) for k, v in names.items()}).drop("_dealt")
+        return rows.withColumn("d", deal("position")).select(*rows.columns, "d.*")
 
-    within = W.partitionBy("shard", "_slice").orderBy("_order", "_position")
+    within = W.partitionBy("shard", "slice").orderBy("ord", "position")
     placed = dealt(kept).withColumn("slot", F.row_number().over(within).cast("long") - 1)
     if slices > 1:
-        sizes = dealt(kept.select("_position")).groupBy("shard", "_slice").count()
-        before = W.partitionBy("shard").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-        starts = sizes.select("shard", "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-        placed = placed.join(starts, ["shard", "_slice"]).withColumn("slot", F.col("slot") + F.col("_start"))
-    return placed.select(*df.columns, "shard", "slot")
+        sizes = dealt(kept.select("position")).groupBy("shard", "slice").count()
+        before = W.partitionBy("shard").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+        starts = sizes.select("shard", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+        placed = placed.join(starts, ["shard", "slice"]).withColumn("slot", F.col("slot") + F.col("start"))
+    columns = [F.col("row").getField(c).alias(c) for c in df.columns if c not in ("shard", "slot")]
+    return placed.select(*columns, "shard", "slot")

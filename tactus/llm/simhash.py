@@ -5,8 +5,8 @@ fewer differing bits; documents are grouped by what they reach over links.
 
 Distinct fingerprints alone are compared, so exact copies cost nothing. A fingerprint falls in five sections; two
 that differ in at most 3 bits agree in at least two of them, so each of the ten pairs of sections makes a key, and
-every linked pair meets under one of them (exact, no probability). Among the fingerprints of a key a table holds
-the Hamming distances to PIVOTS reference fingerprints. Distances of linked fingerprints to any pivot differ by at
+every linked pair meets under one of them (exact, no probability). A written table holds the Hamming distances of each
+distinct fingerprint to PIVOTS reference fingerprints. Distances of linked fingerprints to any pivot differ by at
 most 3: rows are swept in the order of the first distance while it allows a link, pairs are dropped by their
 largest difference over the other pivots, and the survivors are verified. A key with more than `most_together`
 fingerprints is cut into cells of two salts, so that every pair still meets in some cell and no task gathers the
@@ -76,15 +76,27 @@ def fingerprint(text: Column | str) -> Column:
     return of(text)
 
 
-def pivot_distances(fp: np.ndarray) -> np.ndarray:
-    """(rows, PIVOTS) Hamming distances to the reference fingerprints."""
-    return np.bitwise_count(fp[:, None] ^ PIVOT_TABLE[None, :]).astype(np.int8)
+def pivot_columns(fp: Column) -> list[Column]:
+    """The pivot distance table's row of a fingerprint: PIVOTS distances of one byte each, in longs near0, near1 and so on."""
 
+    def packed(pivots) -> Column:
+        out = F.lit(0).cast("long")
+        for k, p in enumerate(pivots.astype(np.int64).tolist()):
+            out = out.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long"), 8 * k))
+        return out
 
-def group_roots(group: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """The first row that each row reaches over links within its group. Rows by group, then first pivot distance."""
+    return [packed(PIVOT_TABLE[k : k + 8]).alias(f"near{k // 8}") for k in range(0, PIVOTS, 8)]
+
+
+NEAR = [f"near{k}" for k in range(PIVOTS // 8)]
+
+
+def group_roots(group: np.ndarray, fp: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The first row that each row reaches over links within its group. Rows by group, then first pivot distance.
+
+    table: (rows, PIVOTS) distances to the reference fingerprints.
+    """
     n = len(fp)
-    table = pivot_distances(fp)
     first = table[:, 0]
     left, right = [], []
     active = np.arange(n)
@@ -123,7 +135,8 @@ def _section_keys(fp: Column) -> Column:
 
 def links(distinct: DataFrame, most_together: int = MOST_TOGETHER) -> DataFrame:
     """distinct: (fp). Returns (a, b): stars that join exactly the fingerprints that reach each other by links."""
-    keyed = distinct.select("fp", F.explode(_section_keys(F.col("fp"))).alias("key"))
+    pivots = durable(distinct.select("fp", *pivot_columns(F.col("fp"))), "simhash-pivots")
+    keyed = pivots.select("fp", *NEAR, F.explode(_section_keys(F.col("fp"))).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     grouped = durable(keyed.join(counts.hint("merge"), "key"), "simhash-keys")
     salts = F.when(F.col("n") <= most_together, 1).otherwise(F.ceil(F.col("n") / (most_together // 2))).cast("long")
@@ -131,9 +144,9 @@ def links(distinct: DataFrame, most_together: int = MOST_TOGETHER) -> DataFrame:
     cells = grouped.withColumn("salts", salts).withColumn("own", own)
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     cell = F.least("own", "other") * F.col("salts") + F.greatest("own", "other")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(PIVOT_TABLE[0].astype(np.int64)))))
+    first = F.col("near0").bitwiseAND(F.lit(0xFF))
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cells.select("key", cell.alias("cell"), "fp", near.alias("near")).repartition(tasks, "key", "cell")
+    rows = cells.select("key", cell.alias("cell"), first.alias("first"), "fp", *NEAR).repartition(tasks, "key", "cell")
 
     def link(batches):
         held: list[pd.DataFrame] = []
@@ -141,7 +154,8 @@ def links(distinct: DataFrame, most_together: int = MOST_TOGETHER) -> DataFrame:
         def stars(rows: pd.DataFrame) -> pd.DataFrame:
             fp = rows["fp"].to_numpy().view(np.uint64)
             change = (rows["key"].diff() != 0) | (rows["cell"].diff() != 0)
-            root = group_roots(change.cumsum().to_numpy(), fp)
+            table = rows[NEAR].to_numpy(np.int64).astype("<i8", order="C").view(np.int8).reshape(-1, PIVOTS)
+            root = group_roots(change.cumsum().to_numpy(), fp, table)
             moved = np.flatnonzero(root != np.arange(len(root)))
             signed = fp.view(np.int64)
             return pd.DataFrame({"a": signed[moved], "b": signed[root[moved]]})
@@ -159,7 +173,7 @@ def links(distinct: DataFrame, most_together: int = MOST_TOGETHER) -> DataFrame:
         if held:
             yield stars(pd.concat(held, ignore_index=True))
 
-    return rows.sortWithinPartitions("key", "cell", "near", "fp").mapInPandas(link, "a long, b long")
+    return rows.sortWithinPartitions("key", "cell", "first", "fp").mapInPandas(link, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,7 +181,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "simhash-edges")
 
     def mark(df):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first())
+        mixed = [F.xxhash64(F.lit(k), "u", "v") for k in (1, 2)]
+        return tuple(df.agg(F.count("*"), *(F.bit_xor(m) for m in mixed), *(F.sum(m.cast("decimal(20,0)")) for m in mixed)).first())
 
     now = mark(edges)
     while now[0]:
@@ -203,11 +218,12 @@ def representatives(docs: DataFrame, text: str = "text", most_together: int = MO
 
     Rows are numbered in a written table and known by their numbers alone, so ids may be null or repeated.
     """
-    numbered = durable(docs.withColumns({"_row": F.monotonically_increasing_id(), "_fp": fingerprint(text)}), "simhash-rows")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    named = _rooted(numbered.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first")), most_together)
-    kept = named.groupBy("root").agg(F.min("first").alias("first")).select("first._row")
-    return numbered.join(kept.hint("merge"), "_row").select(*docs.columns)
+    row = F.monotonically_increasing_id().alias("row")
+    numbered = durable(docs.select(row, fingerprint(text).alias("fp"), F.struct("*").alias("doc")), "simhash-rows", "zstd")
+    order = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), "row")
+    named = _rooted(numbered.groupBy("fp").agg(F.min(order).alias("first")), most_together)
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    return numbered.join(kept.hint("shuffle_hash"), "row").select("doc.*")
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:

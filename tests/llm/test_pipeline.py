@@ -58,3 +58,26 @@ def test_run_and_empty_table(spark):
     assert docs.collect() == []
 
 
+
+
+def test_stages_keep_odd_rows_and_clashing_columns(spark):
+    long = " ".join(f"word{k}" for k in range(30_000)) + "."
+    text = "A plain line of prose that says something new about the river.\nAnother line tells of the hills and of the people there."
+    rows = [(1, text), (1, text), (1, text.replace("river", "ocean and the sea beyond the far islands of the south")), (None, text + " No id."), (None, None), (2, None), (3, ""), (4, long)]
+    rows += [(5, "Key: password = hunter2secret here with more than ten words in the line, as it is.")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, doc int, _spans string, row int, q string, found int, turn int, fp int"
+    docs = spark.createDataFrame([(d, t, "en", None if d == 4 else "web", len(t or ""), 7, "s", 8, "q", 9, 10, 11) for d, t in rows], schema)
+    extra = lambda df: {tuple(r)[5:] for r in df.collect()}
+    kept = corpus_pipeline.quality_rules(spark, docs, D)
+    assert kept.dtypes == docs.dtypes and extra(kept) == {(7, "s", 8, "q", 9, 10, 11)}
+    assert Counter(r["text"] for r in kept.collect()) == Counter(t for _, t in rows if t)
+    alone = corpus_pipeline.near_duplicates(spark, docs, D)
+    assert alone.dtypes == docs.dtypes and Counter(r["text"] or None for r in alone.collect()) == Counter({t or None for _, t in rows})
+    clean = corpus_pipeline.secret_scans(spark, docs, D)
+    assert clean.dtypes == docs.dtypes and extra(clean) == {(7, "s", 8, "q", 9, 10, 11)}
+    assert [r["text"] for r in clean.collect() if r["doc_id"] == 5 and "[SECRET]" in r["text"]] and sum(r["text"] is None for r in clean.collect()) == 2
+    mixed = corpus_pipeline.source_mix(spark, docs, D)
+    assert mixed.dtypes == docs.dtypes and extra(mixed) == {(7, "s", 8, "q", 9, 10, 11)}
+    assert all(r["n_chars"] == len(r["text"]) for r in mixed.collect())
+    packed = corpus_pipeline.best_fit_packing(spark, docs, D).collect()
+    assert sum(r["piece"] == 0 for r in packed) == len(rows)

@@ -5,6 +5,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tactus.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,3 +85,24 @@ def test_query(spark):
     for r in out:
         assert [r[c] for c in COLUMNS] == brute(docs[r["doc_id"]])
         assert not (r["base_failed"] and r["kept"])
+
+
+def test_training_takes_a_bounded_number_of_texts(spark, monkeypatch):
+    docs = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("a line\n"), "id").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, "### $$$\n" * 50)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda doc, features, label: seen.append((doc, label)) or quality.PRIOR)
+    quality.train(docs, labels, 1, 7)
+    assert len(set(seen[0][0])) == 2 and len(seen[0][0]) == 2 + 7 and sorted(seen[0][1]) == [0] * 7 + [1] * 2
+
+
+def test_long_texts_decode_like_short_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    doc = np.repeat(np.arange(6), [1, 40, 3, 90, 2, 60])
+    features = rng.normal(size=(len(doc), len(quality.FEATURES)))
+    together = quality.decode(quality.PRIOR, doc, features)
+    monkeypatch.setattr(quality, "TOGETHER", 30)
+    assert (quality.decode(quality.PRIOR, doc, features) == together).all()
+    monkeypatch.setattr(quality, "TOGETHER", 0)
+    assert (quality.decode(quality.PRIOR, doc, features) == together).all()

@@ -1,5 +1,7 @@
 import re
 import zlib
+from collections import Counter
+from math import comb
 
 import numpy as np
 from hypothesis import given, settings
@@ -29,6 +31,30 @@ def test_large_population_stays_in_its_support():
     assert sharding.hypergeometric(rng, 3 * 10**9, 10, 3 * 10**9) >= 3 * 10**9 - 10
 
 
+def test_draws_follow_the_hypergeometric_law():
+    for good, bad, drawn in ((3, 5, 4), (1, 9, 5), (40, 60, 30), (500, 20, 400), (2, 2, 3)):
+        rng = np.random.default_rng(good)
+        n = 20_000
+        got = Counter(sharding.hypergeometric(rng, good, bad, drawn) for _ in range(n))
+        want = {k: n * comb(good, k) * comb(bad, drawn - k) / comb(good + bad, drawn) for k in range(max(0, drawn - bad), min(good, drawn) + 1)}
+        common = [k for k in want if want[k] >= 5]
+        square = sum((got[k] - want[k]) ** 2 / want[k] for k in common)
+        assert square < len(common) + 5 * (2 * len(common)) ** 0.5 + 5, (good, bad, drawn)
+
+
+def test_large_draws_keep_mean_deviation_and_margins():
+    good, bad, drawn = 7 * 10**11, 5 * 10**11, 10**11
+    rng = np.random.default_rng(4)
+    x = np.array([sharding.hypergeometric(rng, good, bad, drawn) for _ in range(4000)], float)
+    mean = drawn * good / (good + bad)
+    deviation = (mean * bad / (good + bad) * (good + bad - drawn) / (good + bad - 1)) ** 0.5
+    assert abs(x.mean() - mean) < 5 * deviation / 4000**0.5 and abs(x.std() / deviation - 1) < 0.06
+    assert abs((np.abs(x - mean) < deviation).mean() - 0.6827) < 0.04
+    offsets, capacities = [0, 4 * 10**11, 9 * 10**11, 12 * 10**11], sharding.shard_sizes(12 * 10**11, 7)
+    rows = [sharding.matrix_row(k, offsets, capacities, 3) for k in range(3)]
+    assert [sum(r) for r in rows] == [4 * 10**11, 5 * 10**11, 3 * 10**11] and [sum(c) for c in zip(*rows, strict=True)] == capacities
+
+
 def check_shards(rows, out, shards):
     assert len(out) == len(rows)
     sizes = [sum(r["shard"] == k for r in out) for k in range(shards)]

@@ -4,6 +4,7 @@ import string
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tactus.llm import simhash
@@ -49,13 +50,21 @@ def variants(rng, n, center, most):
 def test_group_roots_equal_brute_force():
     rng = np.random.default_rng(1)
     fps = np.array(sorted(set(variants(rng, 60, 0, 7) + variants(rng, 30, 2**63 + 12345, 3))), np.uint64)
-    near = simhash.pivot_distances(fps)[:, 0]
-    fps = fps[np.argsort(near, kind="stable")]
-    got = simhash.group_roots(np.zeros(len(fps), int), fps)
+    table = np.bitwise_count(fps[:, None] ^ simhash.PIVOT_TABLE[None, :]).astype(np.int8)
+    order = np.argsort(table[:, 0], kind="stable")
+    fps, table = fps[order], table[order]
+    got = simhash.group_roots(np.zeros(len(fps), int), fps, table)
     want = brute_roots([int(x) for x in fps])
     assert got.tolist() == want
 
 
+def test_the_stored_pivot_table_holds_all_distances(spark):
+    fps = np.random.default_rng(2).integers(0, 1 << 64, 50, dtype=np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").select("fp", *simhash.pivot_columns(F.col("fp"))).toPandas()
+    table = df[simhash.NEAR].to_numpy(np.int64).astype("<i8", order="C").view(np.int8)
+    assert (table == np.bitwise_count(df["fp"].to_numpy().view(np.uint64)[:, None] ^ simhash.PIVOT_TABLE[None, :])).all()
+
+
 @pytest.mark.parametrize("together", [4096, 4])
 def test_every_link_is_found(spark, together):
     """Links lose nothing, also when groups are cut into cells."""
