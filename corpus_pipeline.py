@@ -17,34 +17,52 @@ PACKING_ROOM = 150_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go. The model is fitted on the labelled documents among docs."""
+    """Documents that the rules reject go. The model is fitted on the labelled documents among docs.
+
+    Null and empty texts have no words, so they go. Rows are judged each for itself, whatever their id, also repeated ones.
+    """
     crf = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = docs.withColumn("_quality", quality.quality("text", crf))
-    return judged.where("_quality.kept").select(*docs.columns)
+    judged = docs.select(F.struct("*").alias("doc"), quality.quality("text", crf).alias("q"))
+    return judged.where("q.kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest id; without ids, the first row."""
+    """One document of each group of near-duplicates stays: that with the smallest id; without ids, the first row.
+
+    Null and empty texts are one group. Repeated rows are one group. Rows that share an id but not their text are told apart.
+    """
     return simhash.representatives(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are replaced by a mark, and n_chars counts the new text."""
-    scanned = docs.withColumn("_spans", secrets.secret_spans("text"))
-    clean = F.when(F.size("_spans") > 0, secrets.redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    out = scanned.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Every document stays; secrets in its text are replaced by a mark, and n_chars counts the new text.
+
+    Null texts stay null, and rows without a secret stay as they are.
+    """
+    scanned = docs.select(F.struct("*").alias("doc"), secrets.secret_spans("text").alias("spans"))
+    found, text = F.size("spans") > 0, F.col("doc.text")
+    clean = F.when(found, secrets.redact(text, F.col("spans"))).otherwise(text)
+    if "n_chars" not in docs.columns:
+        return scanned.withColumn("text", clean).select(*(F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
+    cleaned = scanned.select("doc", found.alias("found"), clean.alias("text"))
+    counted = F.when(F.col("found"), F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))
+    made = {"text": F.col("text"), "n_chars": counted.alias("n_chars")}
+    return cleaned.select(*(made.get(c, F.col("doc").getField(c).alias(c)) for c in docs.columns))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document's row comes 0 to 3 times, with the words that are taken each time."""
+    """The mix: a document's row comes 0 to 3 times, with the words that are taken each time.
+
+    Null and empty texts have no words and are never taken. Null sources are one source. Repeated rows are taken each for itself.
+    """
     return mixing.mix_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in the sequences."""
+    """The pieces of all documents with their places in the sequences.
+
+    Null and empty texts are one piece of the end token. Repeated rows are packed each for itself. Other columns don't matter.
+    """
     return packing.pack_documents(docs, catalog.BYTE_TOKENIZER, room=PACKING_ROOM)
 
 
