@@ -4,22 +4,25 @@ A shard's ids are stored as bit-planes, highest bit first; after each plane the
 rank directories on every plane the one file answers what token stands at a place (access), how often a token occurs
 up to a place (rank, count) and where its k-th occurrence is (select), and it decodes whole runs plane by plane.
 
-File: MAGIC, then a length-prefixed JSON head (tokens, planes, zeros and compressed sizes), the documents' table and the
-planes, each compressed by itself. Files hold whole documents, about `shard_tokens` tokens each, so a task's memory is
+File: MAGIC, then a length-prefixed JSON head (tokens, zeros, compressed sizes and the rank directories), the documents'
+table and the planes in chunks of CHUNK bits, each compressed by itself, so a question reads a chunk or two of a plane. Files hold whole documents, about `shard_tokens` tokens each, so a task's memory is
 bounded however large its partition. They are written under a temporary name and moved, so a task that runs twice
 leaves the same file.
 
-Null and empty texts have the end token alone. A null id sorts first. Repeated ids are ordered by text. An empty table
+Null and empty texts have the end token alone. A null id sorts first. Rows of one id are ordered by a hash of the text. An empty table
 gives no row.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import json
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
-from functools import cached_property
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -34,58 +37,62 @@ from tactus.llm.text import bounded_batches, steps, utf8
 from tactus.llm.tokens import WORD_PIECES, encoder
 from tactus.session import durable, fresh_path
 
-MAGIC = b"TWM1"
+MAGIC = b"TWM2"
 END = 2
 SHARD_TOKENS = 1 << 20
-#: Bits per entry of a rank directory.
-BLOCK = 512
+#: Bits of a plane that are compressed together; the rank directory has an entry for each.
+CHUNK = 1 << 17
 
 
 class Plane:
-    """One packed bit-plane with its rank directory."""
+    """One bit-plane in compressed chunks, with its rank directory: ones before each chunk, and in all."""
 
-    def __init__(self, packed: np.ndarray, n: int):
-        self.packed, self.n = packed, n
+    def __init__(self, n: int, before: list[int], load: Callable[[int], np.ndarray]):
+        self.n, self.before, self.load = n, before, load
+        self.held: dict[int, np.ndarray] = {}
 
-    @cached_property
-    def blocks(self) -> np.ndarray:
-        packed, n = self.packed, self.n
-        padded = np.zeros(-(-n // BLOCK) * (BLOCK // 8) + BLOCK // 8, np.uint8)
-        padded[: len(packed)] = packed
-        return padded.reshape(-1, BLOCK // 8)
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Plane:
+        packed = np.packbits(bits)
+        parts = [packed[k : k + CHUNK // 8] for k in range(0, len(packed), CHUNK // 8)]
+        ones = [int(np.bitwise_count(p).sum(dtype=np.int64)) for p in parts]
+        return cls(len(bits), [0, *itertools.accumulate(ones)], parts.__getitem__)
+
+    @property
+    def chunks(self) -> int:
+        return len(self.before) - 1
 
-    @cached_property
-    def before(self) -> np.ndarray:
-        """The rank directory: ones before each block."""
-        ones = np.bitwise_count(self.blocks).sum(1, dtype=np.int64)
-        return np.concatenate([[0], np.cumsum(ones)])
+    def chunk(self, k: int) -> np.ndarray:
+        if k not in self.held:
+            self.held[k] = self.load(k)
+        return self.held[k]
 
     def bits(self) -> np.ndarray:
-        return np.unpackbits(self.packed, count=self.n).view(bool)
+        parts = [self.load(k) for k in range(self.chunks)]
+        return np.unpackbits(np.concatenate(parts) if parts else np.zeros(0, np.uint8), count=self.n).view(bool)
 
     def get(self, i: int) -> int:
-        return int(self.packed[i >> 3] >> (7 - (i & 7))) & 1
+        k, rest = divmod(i, CHUNK)
+        return int(self.chunk(k)[rest >> 3] >> (7 - (rest & 7))) & 1
 
     def rank(self, bit: int, i: int) -> int:
         """Occurrences of bit before place i."""
-        block, rest = divmod(i, BLOCK)
-        whole, odd = divmod(rest, 8)
-        row = self.blocks[block]
-        ones = int(self.before[block]) + int(np.bitwise_count(row[:whole]).sum())
-        if odd:
-            ones += (int(row[whole]) >> (8 - odd)).bit_count()
+        k, rest = divmod(i, CHUNK)
+        ones = self.before[k]
+        if rest:
+            whole, odd = divmod(rest, 8)
+            row = self.chunk(k)
+            ones += int(np.bitwise_count(row[:whole]).sum(dtype=np.int64))
+            if odd:
+                ones += (int(row[whole]) >> (8 - odd)).bit_count()
         return ones if bit else i - ones
 
     def select(self, bit: int, k: int) -> int:
-        """Place of the k-th occurrence (from 0) of bit."""
-        low, high = 0, self.n
-        while low < high:  # the first place whose prefix holds k + 1 occurrences
-            middle = (low + high) // 2
-            if self.rank(bit, middle + 1) > k:
-                high = middle
-            else:
-                low = middle + 1
-        return low
+        """Place of the k-th occurrence (from 0) of bit: by the directory, then in one chunk."""
+        count = lambda c: self.before[c] if bit else c * CHUNK - self.before[c]
+        at = bisect.bisect_right(range(self.chunks), k, key=count) - 1
+        inside = np.unpackbits(self.chunk(at), count=min(CHUNK, self.n - at * CHUNK)) == bit
+        return at * CHUNK + int(np.flatnonzero(inside)[k - count(at)])
 
 
 class WaveletMatrix:
@@ -98,7 +105,7 @@ class WaveletMatrix:
         x = ids.astype(np.uint16 if width <= 16 else np.uint32)
         for level in range(width - 1, -1, -1):
             bit = (x & x.dtype.type(1 << level)) != 0
-            planes.append(Plane(np.packbits(bit), len(x)))
+            planes.append(Plane.of(bit))
             low = np.compress(~bit, x)
             zeros.append(len(low))
             x = np.concatenate([low, np.compress(bit, x)])
@@ -159,45 +166,74 @@ def to_bytes(matrix: WaveletMatrix, docs: list[int | None], lengths: list[int])
     compress = zstandard.ZstdCompressor(level=1).compress
     known = np.array([d is not None for d in docs], bool)
     table = [np.packbits(known), np.array([d or 0 for d in docs], "<i8"), np.array(lengths, "<i8")]
-    parts = [compress(x.tobytes()) for x in (*table, *(p.packed for p in matrix.planes))]
-    head = json.dumps({"tokens": matrix.n, "docs": len(docs), "zeros": matrix.zeros, "sizes": [len(p) for p in parts]}).encode()
-    return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *parts])
+    parts = [compress(x.tobytes()) for x in table]
+    planes = [[compress(p.load(k).tobytes()) for k in range(p.chunks)] for p in matrix.planes]
+    head = {"tokens": matrix.n, "docs": len(docs), "zeros": matrix.zeros, "table": list(map(len, parts))}
+    head |= {"planes": [list(map(len, p)) for p in planes], "before": [p.before for p in matrix.planes]}
+    text = json.dumps(head).encode()
+    return b"".join([MAGIC, len(text).to_bytes(4, "little"), text, *parts, *itertools.chain.from_iterable(planes)])
 
 
-def from_bytes(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    """(matrix, document ids, their numbers of tokens)."""
-    if data[:4] != MAGIC:
+def open_shard(read: Callable[[int, int], bytes]) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
+    """(matrix, document ids, their numbers of tokens). read(at, n): n bytes of the file from byte at on.
+
+    Of the planes only the chunks that a question needs are read and expanded.
+    """
+    start = read(0, 8)
+    if start[:4] != MAGIC:
         raise ValueError("not a wavelet matrix file")
-    at = 8 + int.from_bytes(data[4:8], "little")
-    head = json.loads(data[8:at])
+    size = int.from_bytes(start[4:8], "little")
+    head = json.loads(read(8, size))
     expand = zstandard.ZstdDecompressor().decompress
-    parts = []
-    for size in head["sizes"]:
-        parts.append(expand(data[at : at + size]))
-        at += size
-    known = np.unpackbits(np.frombuffer(parts[0], np.uint8), count=head["docs"])
-    docs = [int(d) if k else None for d, k in zip(np.frombuffer(parts[1], "<i8"), known, strict=True)]
-    planes = [Plane(np.frombuffer(p, np.uint8), head["tokens"]) for p in parts[3:]]
-    return WaveletMatrix(head["tokens"], planes, head["zeros"]), docs, np.frombuffer(parts[2], "<i8")
+    places = [8 + size, *itertools.accumulate([*head["table"], *itertools.chain.from_iterable(head["planes"])], initial=0)]
+    places = [places[0] + x for x in places[1:]]
+    part = lambda k: np.frombuffer(expand(read(places[k], places[k + 1] - places[k])), np.uint8)
+    known = np.unpackbits(part(0), count=head["docs"])
+    docs = [int(d) if k else None for d, k in zip(part(1).view("<i8"), known, strict=True)]
+    planes, first = [], len(head["table"])
+    for before in head["before"]:
+        planes.append(Plane(head["tokens"], before, lambda k, first=first: part(first + k)))
+        first += len(before) - 1
+    return WaveletMatrix(head["tokens"], planes, head["zeros"]), docs, part(2).view("<i8")
+
+
+def from_bytes(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
+    return open_shard(lambda at, n: data[at : at + n])
+
+
+def store_of(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store of a path; Spark's names of the S3 scheme are known."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def read_file(uri: str) -> bytes:
-    store, path = pyarrow.fs.FileSystem.from_uri(uri)
+    store, path = store_of(uri)
     with store.open_input_stream(path) as f:
         return f.read()
 
 
+@contextmanager
+def shard_at(uri: str) -> Iterator[tuple[WaveletMatrix, list[int | None], np.ndarray]]:
+    """A shard's file, opened for questions that read parts of it."""
+    store, path = store_of(uri)
+    with store.open_input_file(path) as f:
+        yield open_shard(lambda at, n: f.read_at(n, at))
+
+
 def write_shards(docs: DataFrame, path: str, folder: str, text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write the files into the folder; returns their list (part, number, file, docs, tokens) in document order."""
     bounded_batches()
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", text).repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", text)
+    # Rows of one id go by a hash of their text; like rows, by where they come from: no id or row fills a task.
+    keys = {"key": F.xxhash64("text"), "row": F.monotonically_increasing_id()}
+    ordered = docs.select("doc_id", F.col(text).alias("text")).withColumns(keys)
+    ordered = ordered.repartitionByRange(tasks, "doc_id", *keys).sortWithinPartitions("doc_id", *keys).select("doc_id", "text")
     end = END.to_bytes(4, "little")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         words = encoder(path, WORD_PIECES)
-        store, root = pyarrow.fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         store.create_dir(root, recursive=True)
         held: list[bytes] = []
         names: list[int | None] = []
@@ -219,7 +255,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, text: str = "text", sh
         size = 0
         for batch in batches:
             keys = iter(batch["doc_id"])
-            for step in steps(utf8(batch[text])):
+            for step in steps(utf8(batch["text"])):
                 for ids in words.encode([t.decode("utf-8", "surrogatepass") for t in step]):
                     key = next(keys)
                     held.append(ids + end)

@@ -25,9 +25,11 @@ pages like others.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -249,30 +251,103 @@ def _either(a: str, b: str, missing: bool = False) -> str:
     return QUANTIFIER[missing or "?" in (a, b) or "*" in (a, b), "+" in (a, b) or "*" in (a, b)]
 
 
-def merged(a: Node, b: Node) -> Node:
-    """The least wrapper of both: children aligned by a longest common subsequence of labels, the rest optional."""
-    left, right = a[2], b[2]
+#: Pairs of children up to which a run of them is aligned by a full table.
+TABLE = 40_000
+
+
+def aligned(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places with equal labels, rising on both sides.
+
+    Equal ends go first. What is between is a longest common subsequence up to TABLE pairs; beyond, labels that stand once
+    on either side are anchors (their longest rising run), what is between anchors is aligned alike, and where there
+    is no anchor each label takes its next place on the other side: n log n in all.
+    """
+    pairs: list[tuple[int, int]] = []
+    todo = [(0, len(left), 0, len(right))]
+    while todo:
+        i, m, j, n = todo.pop()
+        while i < m and j < n and left[i] == right[j]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and left[m - 1] == right[n - 1]:
+            m, n = m - 1, n - 1
+            pairs.append((m, n))
+        if i == m or j == n:
+            continue
+        if (m - i) * (n - j) <= TABLE:
+            pairs += ((i + a, j + b) for a, b in _table(left[i:m], right[j:n]))
+        elif anchors := _anchors(left, right, i, m, j, n):
+            for a, b in [*anchors, (m, n)]:
+                todo.append((i, a, j, b))
+                i, j = a + 1, b + 1
+            pairs += anchors
+        else:
+            places: dict[str, list[int]] = {}
+            for b in range(j, n):
+                places.setdefault(right[b], []).append(b)
+            reach = max(16, (n - j) // max(1, m - i) * 4)
+            for a in range(i, m):
+                there = places.get(left[a], [])
+                k = bisect.bisect_left(there, j)
+                if k < len(there) and there[k] - j <= reach:  # no label far away uses up what is between
+                    pairs.append((a, there[k]))
+                    j = there[k] + 1
+    return sorted(pairs)
+
+
+def _anchors(left: list[str], right: list[str], i: int, m: int, j: int, n: int) -> list[tuple[int, int]]:
+    """Labels that stand once on either side, in the longest run that rises on both."""
+    once_left, once_right = Counter(left[i:m]), Counter(right[j:n])
+    there = {right[b]: b for b in range(j, n) if once_right[right[b]] == 1}
+    found = [(a, there[left[a]]) for a in range(i, m) if once_left[left[a]] == 1 and left[a] in there]
+    ends: list[int] = []
+    at: list[int] = []
+    back: list[int] = []
+    for k, (_, b) in enumerate(found):
+        p = bisect.bisect_left(ends, b)
+        back.append(at[p - 1] if p else -1)
+        ends[p : p + 1], at[p : p + 1] = [b], [k]
+    run, k = [], at[-1] if at else -1
+    while k >= 0:
+        run.append(found[k])
+        k = back[k]
+    return run[::-1]
+
+
+def _table(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence."""
     length = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     for i in range(len(left) - 1, -1, -1):
         for j in range(len(right) - 1, -1, -1):
-            same = left[i][0] == right[j][0]
-            length[i][j] = length[i + 1][j + 1] + 1 if same else max(length[i + 1][j], length[i][j + 1])
+            length[i][j] = length[i + 1][j + 1] + 1 if left[i] == right[j] else max(length[i + 1][j], length[i][j + 1])
+    pairs = []
+    i = j = 0
+    while i < len(left) and j < len(right):
+        if left[i] == right[j]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        elif length[i + 1][j] >= length[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return pairs
+
+
+def merged(a: Node, b: Node) -> Node:
+    """The least wrapper of both: children aligned by their labels, the rest optional."""
+    left, right = a[2], b[2]
     children: list[Node] = []
 
     def lone(node: Node) -> Node:
         return [node[0], _either(node[1], "1", True), *node[2:]]
 
     i = j = 0
-    while i < len(left) or j < len(right):
-        if i < len(left) and j < len(right) and left[i][0] == right[j][0]:
-            children.append(merged(left[i], right[j]))
-            i, j = i + 1, j + 1
-        elif j == len(right) or (i < len(left) and length[i + 1][j] >= length[i][j + 1]):
-            children.append(lone(left[i]))
-            i += 1
-        else:
-            children.append(lone(right[j]))
-            j += 1
+    for at, there in [*aligned([c[0] for c in left], [c[0] for c in right]), (len(left), len(right))]:
+        children += map(lone, left[i:at])
+        children += map(lone, right[j:there])
+        if at < len(left):
+            children.append(merged(left[at], right[there]))
+        i, j = at + 1, there + 1
     # what is optional and stands beside its like is one repeated group
     grouped: list[Node] = []
     for child in children:
@@ -343,27 +418,15 @@ def region(wrapper: Node) -> dict:
 
 
 def _beside(children: list[Element], model: list | None) -> list:
-    """For each child its part of the model: runs of the same element against groups, by a longest common subsequence."""
+    """For each child its part of the model: runs of the same element against groups."""
     if not model or not model[2]:
         return [None] * len(children)
     runs = [k for k in range(len(children)) if not k or children[k][0] != children[k - 1][0]]
     known = model[2]
-    length = [[0] * (len(known) + 1) for _ in range(len(runs) + 1)]
-    for i in range(len(runs) - 1, -1, -1):
-        for j in range(len(known) - 1, -1, -1):
-            same = children[runs[i]][0] == known[j][0]
-            length[i][j] = length[i + 1][j + 1] + 1 if same else max(length[i + 1][j], length[i][j + 1])
     out: list = [None] * len(children)
-    i = j = 0
-    while i < len(runs) and j < len(known):
-        if children[runs[i]][0] == known[j][0]:
-            end = runs[i + 1] if i + 1 < len(runs) else len(children)
-            out[runs[i] : end] = [known[j]] * (end - runs[i])
-            i, j = i + 1, j + 1
-        elif length[i + 1][j] >= length[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    for i, j in aligned([children[k][0] for k in runs], [m[0] for m in known]):
+        end = runs[i + 1] if i + 1 < len(runs) else len(children)
+        out[runs[i] : end] = [known[j]] * (end - runs[i])
     return out
 
 
@@ -488,10 +551,10 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 
     places = durable(kept.select("host", place("wrapper").alias("_where")), "wrapper-places")
     size = places.agg(F.sum(F.length("host") + F.length("_where")).alias("bytes")).first()["bytes"] or 0
-    hosted = pages.select(*columns, host_of(F.col(url)).alias("_host"))
+    hosted = pages.select(F.struct(*columns).alias("page"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"), host_of(F.col(url)).alias("host"))
     if size <= BROADCAST_BYTES:
-        joined = hosted.join(F.broadcast(places.withColumnRenamed("host", "_host")), "_host")
+        joined = hosted.join(F.broadcast(places), "host")
     else:
-        salted = places.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "_host")
-        joined = hosted.withColumn("_salt", F.pmod(F.xxhash64(html, url), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"])
-    return joined.select(*columns, read(F.coalesce(html, F.lit("")), "_where").alias("text"))
+        salted = places.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = hosted.withColumn("salt", F.pmod(F.xxhash64("html", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"])
+    return joined.select("page.*", read("html", "_where").alias("text"))

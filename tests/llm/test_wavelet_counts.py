@@ -1,4 +1,6 @@
 import zlib
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -36,12 +38,50 @@ def test_queries_equal_a_plain_list(ids, width):
 
 def check_files(docs, out):
     library = Tokenizer.from_file(WORDS)
-    want, start = [], 0
-    for d, t in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+    want = Counter()
+    for d, t in docs:
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-        want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
-        start += len(ids)
-    assert sorted(map(tuple, out), key=lambda r: r[1]) == want
+        want[d, len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == want
+    at = 0
+    rows = sorted(out, key=lambda r: r["start"])
+    for r in rows:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    keys = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in rows]
+    assert keys == sorted(keys)
+
+
+def test_questions_read_a_part_of_the_file(monkeypatch):
+    monkeypatch.setattr(wavelet, "CHUNK", 64)
+    ids = np.random.default_rng(1).integers(0, 500, 20_000).astype(np.uint32)
+    data = wavelet.to_bytes(wavelet.WaveletMatrix.build(ids, 9), [1], [len(ids)])
+    read = []
+
+    def part(at, n):
+        read.append(n)
+        return data[at : at + n]
+
+    matrix, _, _ = wavelet.open_shard(part)
+    head = sum(read)
+    assert matrix.access(777) == ids[777] and matrix.count(int(ids[5]), 0, 9000) == (ids[:9000] == ids[5]).sum()
+    assert matrix.select(int(ids[5]), 3) == np.flatnonzero(ids == ids[5])[3]
+    assert sum(read) - head < (len(data) - head) / 20
+
+
+def test_files_answer_questions(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text number {k} of the shard") for k in range(30)], "doc_id long, text string")
+    folder = wavelet.fresh_path(spark, "questions")
+    files = wavelet.write_shards(docs, WORDS, folder).collect()
+    for f in files:
+        whole = wavelet.from_bytes(wavelet.read_file(f["file"]))[0].decode().tolist()
+        with wavelet.shard_at(f["file"]) as (matrix, ids, lengths):
+            assert [matrix.access(i) for i in range(len(whole))] == whole and matrix.count(2) == len(ids) == len(lengths)
+    asked = []
+    monkeypatch.setattr(wavelet.pyarrow.fs, "FileSystem", SimpleNamespace(from_uri=asked.append))
+    for uri in ("s3a://bucket/s3a:key", "file:///x/y"):
+        wavelet.store_of(uri)
+    assert asked == ["s3://bucket/s3a:key", "file:///x/y"]
 
 
 def test_files_of_odd_rows(spark):

@@ -1,6 +1,9 @@
 import html
 import re
+import time
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tactus.llm import wrappers
@@ -137,3 +140,45 @@ def test_raw_elements_and_class_words_cut_no_text():
     assert text("<p>One</p>", '<body><div class="content no-comments" id="ad-free">') == "One"
     assert text("<p>One</p>", article='<article class="post share-enabled">') == text("<p>One</p>", article='<article class="related">') == "One"
     assert text('<p>One</p><div class="ad-slot">no</div><div class="post-comments">no</div><div role="complementary">no</div>') == "One"
+
+
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b, 1):
+            row[j] = before[j - 1] + 1 if x == y else max(before[j], row[j - 1])
+    return row[-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), max_size=30), st.lists(st.sampled_from("abcdefgh"), max_size=30))
+def test_alignment_is_a_common_subsequence(a, b):
+    pairs = wrappers.aligned(a, b)
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    assert len(pairs) == longest(a, b)
+    whole = wrappers.TABLE
+    try:
+        wrappers.TABLE = 0  # anchors and next places alone
+        pairs = wrappers.aligned(a, b)
+    finally:
+        wrappers.TABLE = whole
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def test_large_pages_take_little_time():
+    began = time.perf_counter()
+    wide = lambda n, k: "<body><article>" + "".join(f'<p class="c{j % 7}{"abc"[j % k]}">t{j}</p><h2>s</h2>' for j in range(n)) + "</article></body>"
+    w = infer([wide(4000, 3), wide(6000, 2), wide(20_000, 1)])
+    assert wrappers.extract(wide(50, 1), wrappers.region(w)).startswith("t0\ns\nt1")
+    deep = "<div>" * 100_000 + "<p>text</p>"
+    assert wrappers.extract(deep, wrappers.region(infer([deep, "<p>x</p>"]))) == "text"
+    assert time.perf_counter() - began < 15
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "http://a.b/c", page("a", "", ["p"]), 5, "w", 6)], "page_id long, url string, html string, host int, _where string, salt int")
+    out = wrappers.main_text(df)
+    assert out.columns == [*df.columns, "text"] and [tuple(r)[3:] for r in out.collect()] == [(5, "w", 6, "t\np")]
