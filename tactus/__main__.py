@@ -5,8 +5,8 @@ from __future__ import annotations
 import argparse
 
 from tactus.operators import analyze, score, stems
-from tactus.session import get_spark
-from tactus.sources import audio, sinks
+from tactus.session import durable, get_spark
+from tactus.sources import audio, sinks, weights
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -14,7 +14,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("stems", help="folder of track folders with bass, drums, other and vocals as WAV")
     parser.add_argument("out", help="folder for the results")
     parser.add_argument("--overwrite", default="", help="stages to do again: a comma-separated list, or all")
-    parser.add_argument("--seeds", type=int, nargs="+", default=[0], help="one for each member of the ensemble")
+    parser.add_argument("--weights", nargs="+", help="weight files (.safetensors or .npz), one for each member of the ensemble")
+    parser.add_argument("--seeds", type=int, nargs="+", default=[0], help="random members where no weights are given, to try things out")
     parser.add_argument("--depth", type=int, default=11, help="blocks of the network")
     parser.add_argument("--threshold", type=float, default=0.24, help="least activation of a beat")
     parser.add_argument("--master", default="local[*]")
@@ -25,8 +26,12 @@ def main(argv: list[str] | None = None) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(args.out)
     exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     if exists and not again:
-        signals = stems.todo(signals, spark.read.json(args.out).selectExpr("path as track_id").distinct(), "track_id")
-    sinks.save_results(analyze.analyze(spark, signals, args.seeds, score.Shape(depth=args.depth), args.threshold), args.out)
+        done = durable(audio.results(spark, args.out).selectExpr("path as track_id").distinct(), "done")
+        signals = stems.todo(signals, done, "track_id")
+    shape = score.Shape(depth=args.depth)
+    given = [weights.read_weights(p) for p in args.weights] if args.weights else [score.seeded(s, shape) for s in args.seeds]
+    results = analyze.analyze(signals, [score.Network(w, shape) for w in given], args.threshold)
+    sinks.save_results(results, args.out)
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactus.operators import hmm, peaks, score, segments, signal
@@ -34,10 +34,9 @@ def analyze_activations(activations: DataFrame, threshold: float = 0.24) -> Data
     return out.select(F.col("track_id").alias("path"), "bpm", F.col("_b.time").alias("beats"), downbeats.alias("downbeats"), F.col("_b.position").alias("beat_positions"), "segments")
 
 
-def analyze(spark: SparkSession, signals: DataFrame, seeds: list[int], shape: score.Shape = score.Shape(), threshold: float = 0.24) -> DataFrame:
-    """signals (track_id, stem, sample_rate, samples) -> results, scored by an ensemble with these seeds."""
-    folds = spark.createDataFrame(list(enumerate(seeds)), "fold int, seed long")
-    return analyze_activations(score.ensemble(score.scores(signal.spectrogram(signals), folds, STEMS, shape)), threshold)
+def analyze(signals: DataFrame, scorers: list[score.Scorer], threshold: float = 0.24) -> DataFrame:
+    """signals (track_id, stem, sample_rate, samples) -> results, scored by an ensemble of networks or of any callables like them."""
+    return analyze_activations(score.ensemble(score.scores(signal.spectrogram(signals), scorers, STEMS)), threshold)
 
 
 def clicks(results: DataFrame, radius: float = 0.03) -> DataFrame:

@@ -1,14 +1,20 @@
-"""Beat tracking by a hidden Markov model over bar positions and tempi.
+"""Beat tracking by a hidden Markov model over bar positions and tempi, and Viterbi decoding of small models.
 
 A state is a place in a beat of a given length (in frames). Time moves every state one place on; at the end of a beat it
-goes to the start of the next one, whose length may differ at a cost. So only the first place of each beat has a choice
-of predecessors, and only those choices are stored: lengths times beats of them for each frame. Decoding is sequential in
-a track and runs once per track in a grouped map; tracks are the parallelism.
+goes to the start of the next one, whose length may differ at a cost. So a path is a row of whole beats: its score
+needs the frames at which beats begin alone, and sums of densities in between are differences of running sums. No beat is shorter
+than the shortest length, so the beginnings of so many frames are decided at once. A track is decoded in one
+task, tracks are the parallelism.
+
+The decoder of small models has no such bound on a track: chunks of frames give their best scores from each state to each,
+a track's chunks are chained, and the chunks are decoded for themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,35 +63,78 @@ class Bar:
         self.position = beat + np.tile(place, self.beats)
         self.first = np.concatenate([b * per_beat + starts for b in range(self.beats)])
         self.last = self.first + np.tile(self.lengths, self.beats) - 1
-        near = (self.position % 1) < 1 / self.zone
-        self.column = np.where(near, np.where(beat == 0, 2, 1), 0)
+        near = place < 1 / self.zone
+        self.column = np.where(np.tile(near, self.beats), np.where(beat == 0, 2, 1), 0)
+        self.near = np.add.reduceat(near, starts, dtype=np.int64)  # places of a beat that count as the beat itself
         with np.errstate(divide="ignore"):
             self.change = np.log(length_changes(self.lengths, self.stiffness))
+        known = np.isfinite(self.change)
+        width = int(known.sum(0).max())
+        self.before = np.argsort(~known, axis=0, kind="stable")[:width].T  # for each length those that may precede it
+        self.cost = np.take_along_axis(self.change.T, self.before, 1)
 
     def decode(self, density: np.ndarray) -> tuple[np.ndarray, float]:
         """The most likely states (frames,) and their log probability. density: (frames, 3) log densities."""
-        n, k = len(self.position), len(self.lengths)
-        delta = np.full(n, -np.log(n)) + density[0][self.column]
-        chosen = np.zeros((len(density), self.beats * k), np.int16)
-        for t in range(1, len(density)):
-            into = delta[self.last].reshape(self.beats, k)
-            into = np.roll(into, 1, axis=0)[:, :, None] + self.change
-            chosen[t] = into.argmax(1).ravel()
-            moved = np.empty(n)
-            moved[1:] = delta[:-1]
-            moved[self.first] = into.max(1).ravel()
-            delta = moved + density[t][self.column]
-        state = int(delta.argmax())
-        best = float(delta[state])
-        number = np.full(n, -1)
-        number[self.first] = np.arange(len(self.first))
-        path = np.empty(len(density), np.int64)
-        for t in range(len(density) - 1, -1, -1):
-            path[t] = state
-            if t:
-                f = number[state]
-                state = int(self.last[(f // k - 1) % self.beats * k + chosen[t, f]]) if f >= 0 else state - 1
-        return path, best
+        frames, k, most = len(density), len(self.lengths), int(self.lengths.max())
+        sums = np.zeros((frames + 1, 3))
+        np.cumsum(density, axis=0, out=sums[1:])
+        kinds = np.array([2] + [1] * (self.beats - 1))
+        upto = lambda t: np.clip(t, 0, frames)
+
+        def passed(start: np.ndarray, zone: np.ndarray, end: np.ndarray) -> np.ndarray:
+            """Densities of a beat's frames from start to end (not with it), for each number of the beat in the bar."""
+            turn = np.minimum(start + zone, end)
+            inside = sums[upto(turn)][..., kinds] - sums[upto(start)][..., kinds]
+            return inside + (sums[upto(end), 0] - sums[upto(turn), 0])[..., None]
+
+        # entered[t + most, length, beat]: the best score with which the beat begins at frame t; any state may be the first frame's
+        entered = np.full((frames + most, k, self.beats), -np.inf)
+        for i, n in enumerate(self.lengths):
+            entered[most - n + 1 : most + 1, i] = -np.log(len(self.position))
+        each = np.arange(k)
+
+        def ended(now: np.ndarray) -> np.ndarray:
+            """(lengths, frames of now, beats): the best score of a beat of the length that ends before the frame."""
+            start = now - self.lengths[:, None]
+            return entered[start + most, each[:, None]] + passed(start, self.near[:, None], now[None, :])
+
+        width = int(self.lengths.min())
+        room = np.empty((*self.before.T.shape, width * self.beats))
+        for low in range(1, frames, width):
+            now = np.arange(low, min(low + width, frames))
+            before = np.roll(ended(now), 1, axis=2).reshape(k, -1)
+            into = room if len(now) == width else np.empty((*self.before.T.shape, before.shape[1]))
+            np.take(before, self.before.T, axis=0, out=into, mode="clip")
+            into += self.cost.T[:, :, None]
+            best = into.max(0)
+            entered[now + most] = best.reshape(k, len(now), self.beats).swapaxes(0, 1)
+
+        place = np.concatenate([np.arange(n) for n in self.lengths])
+        length = np.repeat(each, self.lengths)
+        start = frames - 1 - place
+        last = entered[start + most, length] + passed(start, self.near[length], np.full(len(start), frames))
+        state = int(last.T.argmax())  # states run beat by beat
+        score = float(last.T.ravel()[state])
+        beat, at = divmod(state, len(place))
+        n, begin = int(length[at]), int(start[at])
+        path = np.empty(frames, np.int64)
+        end = frames
+        while True:
+            first = int(self.first[beat * k + n])
+            inside = max(begin, 0)
+            path[inside:end] = first + np.arange(inside - begin, end - begin)
+            if begin <= 0:
+                return path, score
+            beat = (beat - 1) % self.beats
+            before = ended(np.array([begin]))[self.before[n], 0, beat] + self.cost[n]
+            end, n = begin, int(self.before[n, before.argmax()])
+            begin = end - int(self.lengths[n])
+
+
+@lru_cache(8)
+def bars(meters: tuple[int, ...], fps: float, min_bpm: float, max_bpm: float, tempi: int | None) -> list[Bar]:
+    """This worker's models."""
+    return [Bar(m, beat_lengths(fps, min_bpm, max_bpm, tempi)) for m in meters]
 
 
 def log_densities(pairs: np.ndarray, observation: int = 16) -> np.ndarray:
@@ -132,13 +181,14 @@ def beats(
     threshold: float = 0.24, min_bpm: float = 55, max_bpm: float = 215, tempi: int = 60,
 ) -> DataFrame:
     """(track, time, position): beats of each track; a downbeat is a beat in position 1."""
+    if fps <= 0 or not meters or any(m < 1 for m in meters) or not 0 < min_bpm < max_bpm:
+        raise ValueError("beats need a frame rate, meters of one beat at least and a tempo range")
     kind = activations.select(track).schema[0].dataType.simpleString()
     rows = activations.select(track, frame, *(c.alias(k) for k, c in metrical_triple(F.col(beat), F.col(downbeat)).items()))
 
     def decode(group: pd.DataFrame) -> pd.DataFrame:
-        lengths = beat_lengths(fps, min_bpm, max_bpm, tempi)
         ordered = group.sort_values(frame)
-        found = track_beats(ordered[["p_only_beat", "p_downbeat"]].to_numpy(), [Bar(m, lengths) for m in meters], fps, threshold)
+        found = track_beats(ordered[["p_only_beat", "p_downbeat"]].to_numpy(), bars(meters, fps, min_bpm, max_bpm, tempi), fps, threshold)
         out = pd.DataFrame({"time": found[:, 0], "position": found[:, 1].astype("int32")})
         out.insert(0, track, group[track].iloc[0])
         return out
@@ -146,23 +196,99 @@ def beats(
     return rows.groupBy(track).applyInPandas(decode, f"{track} {kind}, time double, position int")
 
 
-def viterbi(df: DataFrame, track: str, frame: str, scores: list[str], step: np.ndarray) -> DataFrame:
-    """(track, frame, state, score): the best path for per-frame state scores and additive step[from][to]; first on ties."""
+#: Frames of a track that are decoded together.
+CHUNK = 4096
+
+
+def _together(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """For each place but the first: how many groups (by falling length) reach it."""
+    for t in range(1, int(lengths.max(initial=0))):
+        yield t, int(np.searchsorted(-lengths, -t))
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str], most_rows: int = 1 << 18) -> Iterator[pd.DataFrame]:
+    """Runs of whole groups of sorted rows, about most_rows rows at a time."""
+    held: list[pd.DataFrame] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows < most_rows:
+            continue
+        whole = pd.concat(held, ignore_index=True)
+        last = (whole[keys] == whole[keys].iloc[-1]).all(axis=1)
+        if not last.all():
+            yield whole[~last].reset_index(drop=True)
+        held = [whole[last]]
+        rows = int(last.sum())
+    if held and (whole := pd.concat(held, ignore_index=True)).size:
+        yield whole
+
+
+def viterbi(df: DataFrame, track: str, frame: str, scores: list[str], step: np.ndarray, chunk: int = CHUNK) -> DataFrame:
+    """(track, frame, state, score): a best path for per-frame state scores and additive step[from][to]; first on ties.
+
+    frame: whole numbers, each once in a track. No task holds a track, only chunks of `chunk` frames and a table of states for each
+    chunk. Where several paths are best, the first state counts at every frame, and first of all at the chunks' borders.
+    """
+    n = len(scores)
     kind = df.select(track).schema[0].dataType.simpleString()
+    rows = df.select(F.col(track).alias("track"), F.col(frame).cast("bigint").alias("frame"), F.array(*(F.col(c).cast("double") for c in scores)).alias("s"))
+    rows = rows.withColumn("chunk", F.floor(F.col("frame") / chunk))
+    keys = ["track", "chunk"]
+    begin = np.vstack([step, np.zeros(n)])  # the row behind the states: nothing before
 
-    def decode(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(frame)
-        s = rows[scores].to_numpy()
-        best, back = s[0].copy(), np.zeros(s.shape, np.int64)
-        for t in range(1, len(s)):
-            into = best[:, None] + step
-            back[t] = into.argmax(0)
-            best = into.max(0) + s[t]
-        state = int(best.argmax())
-        path = np.empty(len(s), np.int64)
-        for t in range(len(s) - 1, -1, -1):
-            path[t] = state
-            state = int(back[t][state])
-        return pd.DataFrame({track: rows[track], frame: rows[frame], "state": path, "score": float(best.max())})
-
-    return df.select(track, frame, *scores).groupBy(track).applyInPandas(decode, f"{track} {kind}, {frame} bigint, state bigint, score double")
+    def dealt(x: DataFrame) -> DataFrame:
+        return x.repartition(*keys).sortWithinPartitions(*keys, "frame")
+
+    def split(whole: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First row and number of rows of each group, by falling length; and all scores."""
+        opens = np.flatnonzero((whole[keys] != whole[keys].shift()).any(axis=1).to_numpy())
+        lengths = np.diff([*opens, len(whole)])
+        order = np.argsort(-lengths, kind="stable")
+        return opens[order], lengths[order], np.stack(whole["s"].to_numpy())
+
+    def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each chunk the best score from each state before it (or from nothing) to each of its last states."""
+        for whole in _groups(batches, keys):
+            first, lengths, s = split(whole)
+            best = begin + s[first][:, None]
+            for t, live in _together(lengths):
+                best[:live] = (best[:live, :, :, None] + step).max(2) + s[first[:live] + t][:, None]
+            yield whole.loc[first, keys].assign(best=list(best.reshape(len(first), -1)))
+
+    def chain(group: pd.DataFrame) -> pd.DataFrame:
+        parts = group.sort_values("chunk")
+        best = [np.reshape(b, (n + 1, n)) for b in parts["best"]]
+        before = [np.r_[np.full(n, -np.inf), 0.0]]
+        for b in best:
+            before.append(np.r_[(before[-1][:, None] + b).max(0), -np.inf])
+        states = [int(before[-1].argmax())]
+        for e, b in zip(before[-2::-1], best[::-1], strict=True):
+            states.append(int((e + b[:, states[-1]]).argmax()))
+        return pd.DataFrame({"track": parts["track"], "chunk": parts["chunk"], "entry": states[:0:-1], "exit": states[-2::-1], "score": float(before[-1].max())})
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in _groups(batches, keys):
+            first, lengths, s = split(whole)
+            now = begin[whole.loc[first, "entry"]] + s[first]
+            back = np.zeros(s.shape, np.int64)
+            for t, live in _together(lengths):
+                into = now[:live, :, None] + step
+                back[first[:live] + t] = into.argmax(1)
+                now[:live] = into.max(1) + s[first[:live] + t]
+            state = whole.loc[first, "exit"].to_numpy(np.int64)
+            path = np.empty(len(whole), np.int64)
+            for t, live in [*_together(lengths)][::-1]:
+                at = first[:live] + t
+                path[at] = state[:live]
+                state[:live] = back[at, state[:live]]
+            path[first] = state
+            yield whole[["track", "frame", "score"]].assign(state=path)
+
+    tables = dealt(rows).mapInPandas(transfer, f"track {kind}, chunk bigint, best array<double>")
+    chained = tables.groupBy("track").applyInPandas(chain, f"track {kind}, chunk bigint, entry int, exit int, score double")
+    same = F.col("r.track").eqNullSafe(F.col("c.track")) & (F.col("r.chunk") == F.col("c.chunk"))
+    joined = rows.alias("r").join(chained.alias("c"), same).select("r.*", "c.entry", "c.exit", "c.score")
+    found = dealt(joined).mapInPandas(decode, f"track {kind}, frame bigint, score double, state bigint")
+    return found.select(F.col("track").alias(track), F.col("frame").alias(frame), "state", "score")

@@ -10,18 +10,14 @@ from pyspark.sql import functions as F
 def nearest_deltas(reference: DataFrame, candidates: DataFrame, track: str, time: str) -> DataFrame:
     """(track, time, delta): for each reference time the signed distance of the nearest candidate, the later on ties.
 
-    One pass over the union in time order: the last candidate at or before, the first at or after. Tracks without
-    candidates have no rows.
+    Two passes over the union: in time order the last candidate at or before, in falling order the last at or after. Tracks
+    without candidates have no rows.
     """
     both = reference.select(track, time, F.lit(True).alias("_ref")).unionByName(candidates.select(track, time, F.lit(False).alias("_ref")))
     mine = F.when(~F.col("_ref"), F.col(time))
-    order = W.partitionBy(track).orderBy(time)
-    marked = both.withColumns(
-        {
-            "_before": F.last(mine, True).over(order.rangeBetween(W.unboundedPreceding, 0)),
-            "_after": F.first(mine, True).over(order.rangeBetween(0, W.unboundedFollowing)),
-        }
-    ).where("_ref and coalesce(_before, _after) is not null")
+    so_far = lambda order: W.partitionBy(track).orderBy(order).rangeBetween(W.unboundedPreceding, 0)
+    passed = {"_before": F.last(mine, True).over(so_far(F.asc(time))), "_after": F.last(mine, True).over(so_far(F.desc(time)))}
+    marked = both.withColumns(passed).where("_ref and coalesce(_before, _after) is not null")
     back, forth = F.col("_before") - F.col(time), F.col("_after") - F.col(time)
     delta = F.when(back.isNull() | (forth <= -back), forth).otherwise(back)
     return marked.select(track, time, delta.alias("delta"))

@@ -7,8 +7,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _over(track: str, order: str, low: int, high: int):
-    return W.partitionBy(track).orderBy(order).rowsBetween(low, high)
+def _order(track: str, order: str):
+    return W.partitionBy(track).orderBy(order)
+
+
+def sliding(df: DataFrame, track: str, frame: str, value: str, past: int, future: int) -> DataFrame:
+    """Adds _top, _before and _after: maximum of [-past, future], sums of [-past, -1] and [1, future].
+
+    Every row costs the same whatever the width: sums are differences of running sums, and the maximum is that of the rest of
+    one block and of the beginning of another, blocks being as wide as the window.
+    """
+    v, by, width = F.col(value), _order(track, frame), past + future + 1
+    so_far = by.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = df.withColumns({"_n": F.row_number().over(by) - 1, "_rows": F.count(F.lit(1)).over(W.partitionBy(track)), "_sum": F.coalesce(F.sum(v).over(so_far), F.lit(0.0))})
+    rows = rows.withColumn("_block", F.floor(F.col("_n") / width))
+    block = W.partitionBy(track, "_block")
+    rows = rows.withColumn("_from", F.max(v).over(block.orderBy(frame).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = rows.withColumn("_rest", F.max(v).over(block.orderBy(F.desc(frame)).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumns({"_last": F.last("_from").over(whole), "_total": F.last("_sum").over(whole)})
+    n, rows_in = F.col("_n"), F.col("_rows")
+    ends = n + future > rows_in - 1
+    left = F.when(n >= past, F.lag("_rest", past).over(by))
+    apart = (n < past) | (F.floor((n - past) / width) < F.floor((rows_in - 1) / width))
+    right = F.when(~ends, F.lead("_from", future).over(by)).when(apart, F.col("_last"))
+    own = F.coalesce(v, F.lit(0.0))
+    sums = {
+        "_top": F.greatest(left, right),
+        "_before": F.col("_sum") - own - F.coalesce(F.lag("_sum", past + 1).over(by), F.lit(0.0)),
+        "_after": F.coalesce(F.lead("_sum", future).over(by), F.col("_total")) - F.col("_sum"),
+    }
+    return rows.withColumns(sums).drop("_n", "_rows", "_sum", "_block", "_from", "_rest", "_last", "_total")
 
 
 def peak_strength(df: DataFrame, track: str, frame: str, value: str, past: int = 1200, future: int = 1200) -> DataFrame:
@@ -19,10 +48,9 @@ def peak_strength(df: DataFrame, track: str, frame: str, value: str, past: int =
     if (past + future) % 2:
         raise ValueError("past + future must be even")
     v = F.col(value)
-    top = F.max(v).over(_over(track, frame, -past, future))
-    side = lambda low, high, n: F.coalesce(F.sum(v).over(_over(track, frame, low, high)), F.lit(0.0)) / n
-    mean = (side(-past, -1, past) + side(1, future, future)) / 2
-    return df.withColumn("strength", F.when((v == top) & (v > 0), v - mean).otherwise(F.lit(0.0)))
+    mean = (F.col("_before") / past + F.col("_after") / future) / 2
+    strength = F.when((v == F.col("_top")) & (v > 0), v - mean).otherwise(F.lit(0.0))
+    return sliding(df, track, frame, value, past, future).withColumn("strength", strength).drop("_top", "_before", "_after")
 
 
 def local_maxima(df: DataFrame, track: str, frame: str, value: str, width: int = 41) -> DataFrame:
@@ -30,14 +58,15 @@ def local_maxima(df: DataFrame, track: str, frame: str, value: str, width: int =
     if width % 2 == 0:
         raise ValueError("width must be odd")
     v = F.col(value)
-    top = F.max(v).over(_over(track, frame, -(width // 2), width // 2))
-    return df.withColumn("kept", F.when(v == top, v).otherwise(F.lit(0.0)))
+    kept = F.when(v == F.col("_top"), v).otherwise(F.lit(0.0))
+    return sliding(df, track, frame, value, width // 2, width // 2).withColumn("kept", kept).drop("_top", "_before", "_after")
 
 
 def strict_maxima(df: DataFrame, track: str, frame: str, value: str, order: int = 20) -> DataFrame:
     """Adds is_peak: above all of the `order` neighbours on both sides; the first and last frame never are."""
     v = F.col(value)
-    above = (v > F.max(v).over(_over(track, frame, -order, -1))) & (v > F.max(v).over(_over(track, frame, 1, order)))
+    side = lambda low, high: F.max(v).over(_order(track, frame).rowsBetween(low, high))  # noqa: E731  a few rows
+    above = (v > side(-order, -1)) & (v > side(1, order))
     return df.withColumn("is_peak", F.coalesce(above, F.lit(False)))
 
 

@@ -17,17 +17,40 @@ def stage_totals(timings: DataFrame, stage: str, track: str, duration: Column) -
 
 
 def collapse(timings: DataFrame, stage: str, members: list[str], name: str, start: str, end: str, by: str) -> DataFrame:
-    """The member stages of each track as one row: its first start and last end. Others stay."""
-    merged = F.when(F.col(stage).isin(members), F.lit(name))
-    key = F.when(merged.isNull(), F.struct(F.col(start), F.col(end)))
-    return (
-        timings.groupBy(F.col(by), F.coalesce(merged, F.col(stage)).alias("stage"), key.alias("_key"))
-        .agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("rows"))
-        .drop("_key")
-    )
+    """The member stages of each track as one row: its first start and last end. Others stay, repeated ones too."""
+    member = F.coalesce(F.col(stage).isin(members), F.lit(False))
+    times = [F.col(by), F.col(stage).alias("stage"), F.col(start).alias("start"), F.col(end).alias("end")]
+    one = timings.where(member).groupBy(by).agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("rows"))
+    others = timings.where(~member).select(*times, F.lit(1).cast("long").alias("rows"))
+    return others.unionByName(one.withColumn("stage", F.lit(name)))
 
 
 def rebased(timings: DataFrame, by: str, start: str, skip: list[str], stage: str) -> DataFrame:
-    """Adds since: the time since the track's first row, without the skipped stages."""
-    kept = timings.where(~F.col(stage).isin(skip))
+    """Adds since: the time since the track's first row, without the skipped stages (rows without a stage stay)."""
+    kept = timings.where(~F.coalesce(F.col(stage).isin(skip), F.lit(False)))
     return kept.withColumn("since", F.col(start) - F.min(start).over(W.partitionBy(by)))
+
+
+def timing_summary(timings: DataFrame, stage: str = "stage", track: str = "track", duration: str = "duration") -> DataFrame:
+    """One row: stage_totals (map of seconds by stage) and track_totals (map of such maps by track), two decimals, keys sorted."""
+    totals = stage_totals(timings, stage, track, F.col(duration)).withColumn("total", F.round("total", 2))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "total"))))
+    stages = totals.where("not by_track").agg(entries.alias("stage_totals"))
+    tracks = totals.where("by_track").groupBy("track").agg(entries.alias("stages"))  # a few stages each
+    by_track = tracks.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("track", "stages")), lambda a, b: F.when(a["track"] < b["track"], -1).otherwise(1))).alias("track_totals"))
+    return stages.crossJoin(by_track)  # one row each
+
+
+def timing_chart(timings: DataFrame, members: list[str], skip: list[str] = ["postprocess"]) -> DataFrame:  # noqa: B006
+    """(label, since, until, duration, total): the bars of one track's timings. Raises without rows or with several tracks."""
+    one = timings.withColumn("_all", F.lit(0))
+    kept = one.where(~F.coalesce(F.col("stage").isin(skip), F.lit(False)))
+    seen = kept.agg(F.count("*").alias("rows"), F.count_distinct("track").alias("tracks")).first()
+    if not seen["rows"]:
+        raise ValueError("no timing rows are left")
+    if seen["tracks"] > 1:
+        raise ValueError("timings of more than one track")
+    bars = rebased(collapse(kept, "stage", members, "post_process", "start", "end", "_all"), "_all", "start", [], "stage")
+    until = F.col("since") + F.col("end") - F.col("start")
+    total = F.max(until).over(W.partitionBy("_all"))  # one track's rows
+    return bars.select(F.replace("stage", F.lit("_"), F.lit(" ")).alias("label"), "since", until.alias("until"), (F.col("end") - F.col("start")).alias("duration"), total.alias("total")).orderBy("since")

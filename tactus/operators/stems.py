@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,10 +23,25 @@ def first_by_priority(found: DataFrame, keys: list[str], *order) -> DataFrame:
     return found.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def collapse_stems(samples: DataFrame, track: str, stem: str, at: str, value: str) -> DataFrame:
-    """(track, stem, at, value): guitar and piano are added to other; all are cut to the shortest that is summed."""
-    four = F.when(F.col(stem).isin(*EXTRA_STEMS), "other").otherwise(F.col(stem))
-    merged = samples.withColumn("_four", four)
+def stem_sets(samples: DataFrame, track: str, stem: str) -> DataFrame:
+    """(track, mode, missing): mode is external_6_to_4, external_4 or null; missing: what lacks of four and of six."""
+    have = samples.groupBy(track).agg(F.collect_set(stem).alias("_have"))  # at most as many as there are stems
+    lacks = {name: F.array_except(F.array(*map(F.lit, names)), "_have") for name, names in (("four", STEMS), ("six", STEMS + EXTRA_STEMS))}
+    mode = F.when(F.size(lacks["six"]) == 0, "external_6_to_4").when(F.size(lacks["four"]) == 0, "external_4")
+    return have.select(track, mode.alias("mode"), F.struct(*(c.alias(k) for k, c in lacks.items())).alias("missing"))
+
+
+def collapse_stems(samples: DataFrame, track: str, stem: str, at: str, value: str, strict: bool = True) -> DataFrame:
+    """(track, stem, at, value): of six stems guitar and piano are added to other; four pass, any others are left out.
+
+    What is summed is cut to the shortest. A track with neither set raises, naming what lacks; with strict off it is left out.
+    """
+    sets = stem_sets(samples, track, stem)
+    lacking = F.format_string("%s lacks %s of four stems, %s of six", F.col(track).cast("string"), *(F.array_join(f"missing.{k}", ", ") for k in ("four", "six")))
+    mode = F.coalesce("mode", F.raise_error(lacking)) if strict else F.col("mode")
+    whole = samples.join(sets.select(track, mode.alias("_mode")), track).where("_mode is not null")
+    four = F.when(F.col(stem).isin(*EXTRA_STEMS), F.when(F.col("_mode") == "external_6_to_4", "other")).otherwise(F.col(stem))
+    merged = whole.withColumn("_four", four).where(F.col("_four").isin(*STEMS))
     parts = merged.groupBy(track, "_four").agg(F.count_distinct(stem).alias("_parts"))
     summed = merged.groupBy(track, "_four", at).agg(F.sum(value).alias(value), F.count_distinct(stem).alias("_n"))
     return summed.join(parts, [track, "_four"]).where("_n = _parts").select(track, F.col("_four").alias(stem), at, value)
@@ -45,6 +58,28 @@ def todo(inputs: DataFrame, done: DataFrame, key: str, overwrite: bool = False)
     return inputs if overwrite else inputs.join(done, key, "left_anti")
 
 
+def done(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
+    """Inputs whose output exists."""
+    return inputs.join(outputs, key, "left_semi")
+
+
+def cached_and_new(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
+    """(key, origin): what is cached, as often as it is, and what is to be done."""
+    fresh = todo(inputs.select(key), outputs, key)
+    return outputs.select(key).withColumn("origin", F.lit("cached")).unionByName(fresh.withColumn("origin", F.lit("new")))
+
+
+def apart(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Distinct rows that are not among the others."""
+    return rows.subtract(others)
+
+
+def plan_counts(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
+    """One row: existing and todo."""
+    marked = inputs.join(outputs.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")
+    return marked.agg(F.count_if("_done").alias("existing"), F.count_if(F.col("_done").isNull()).alias("todo"))
+
+
 def complete(parts: DataFrame, key: str, part: str, needed: int) -> DataFrame:
     """Keys that have all parts."""
     return parts.groupBy(key).agg(F.count_distinct(part).alias("_n")).where(F.col("_n") == needed).select(key)

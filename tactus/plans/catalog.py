@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tactus.functions import columns as fn
 from tactus.operators import hmm, nearest, parity, peaks, rollup, segments, signal, stems
 from tactus.operators.tempo import tempo_candidates
+from tactus.sources import audio
 from tactus.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,8 +138,6 @@ def segment_labels(spark, sf_dir):
     select user_id, "start", lead("start", 1, total) over (partition by user_id order by "start") as "end" from
     (select *, cast(sum(n) over (partition by user_id) as bigint) as total from starts)""")
 def interval_construction(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     starts = segmented(spark, sf_dir).groupBy("user_id", "segment").agg(F.min("frame").alias("start"), F.count("*").alias("n"))
     whole = W.partitionBy("user_id")
     total = starts.withColumn("total", F.sum("n").over(whole))
@@ -224,7 +224,19 @@ def rebased_timeline(spark, sf_dir):
 STEP = np.array([[0.0, -2.0, -3.0], [-3.0, 0.0, -2.0], [-2.0, -3.0, 0.0]])
 
 
-@query()
+VITERBI = f"""{FRAMES}, scored as (select user_id, frame, floor(value / 10) as s0, 3.0 as s1, 8 - floor(value / 10) as s2 from frames),
+    walk(user_id, frame, d0, d1, d2, b0, b1, b2) as (select user_id, frame, s0, cast(s1 as double), s2, -1, -1, -1 from scored where frame = 0 union all
+    select s.user_id, s.frame, greatest(d0, d1 - 3, d2 - 2) + s0, greatest(d0 - 2, d1, d2 - 3) + s1, greatest(d0 - 3, d1 - 2, d2) + s2,
+    case when d0 >= d1 - 3 and d0 >= d2 - 2 then 0 when d1 - 3 >= d2 - 2 then 1 else 2 end,
+    case when d0 - 2 >= d1 and d0 - 2 >= d2 - 3 then 0 when d1 >= d2 - 3 then 1 else 2 end,
+    case when d0 - 3 >= d1 - 2 and d0 - 3 >= d2 then 0 when d1 - 2 >= d2 then 1 else 2 end
+    from walk w join scored s on s.user_id = w.user_id and s.frame = w.frame + 1),
+    ends as (select * from walk qualify row_number() over (partition by user_id order by frame desc) = 1),
+    back(user_id, frame, state, score) as (select user_id, frame, case when d0 >= d1 and d0 >= d2 then 0 when d1 >= d2 then 1 else 2 end, greatest(d0, d1, d2) from ends union all
+    select b.user_id, b.frame - 1, case b.state when 0 then w.b0 when 1 then w.b1 else w.b2 end, b.score from back b join walk w on w.user_id = b.user_id and w.frame = b.frame where b.frame > 0)"""
+
+
+@query(f"with recursive {VITERBI} select user_id, frame, cast(state as bigint) as state, score from back")
 def viterbi_small(spark, sf_dir):
     scores = [F.floor(F.col("value") / 10).cast("double"), F.lit(3.0), (F.lit(8) - F.floor(F.col("value") / 10)).cast("double")]
     f = frames(spark, sf_dir).select("user_id", "frame", *(s.alias(f"s{k}") for k, s in enumerate(scores)))
@@ -245,13 +257,11 @@ CHANGES = f"""{LENGTHS}, raw as (select a.n as from_n, b.n as to_n, exp(-100 * a
 
 
 def _changes(spark):
-    """Tempo transitions as a relation: a generated dimension of 82 lengths, crossed with itself."""
-    from pyspark.sql import Window as W
-
-    lengths = spark.range(28, 110)
-    both = lengths.select(F.col("id").alias("from_n")).crossJoin(F.broadcast(lengths.select(F.col("id").alias("to_n"))))
-    raw = both.withColumn("p", F.exp(-100 * F.abs(F.col("to_n") / F.col("from_n") - 1))).where("p > 2.220446049250313e-16")
-    return raw.withColumn("p", F.col("p") / F.sum("p").over(W.partitionBy("from_n")))
+    """The decoder's tempo transitions as a relation: 82 lengths each way."""
+    lengths = np.arange(28, 110)
+    p = hmm.length_changes(lengths, 100)
+    rows = [(int(lengths[i]), int(lengths[j]), float(p[i, j])) for i, j in zip(*np.nonzero(p), strict=True)]
+    return spark.createDataFrame(rows, "from_n bigint, to_n bigint, p double")
 
 
 @query(f"with {CHANGES} select from_n, to_n, round(p, 9) as p from changes")
@@ -262,16 +272,17 @@ def tempo_transition(spark, sf_dir):
 @query(f"""with {LENGTHS} select b as beat, n, k as place, case when k / n < 1 / 16 then case when b = 0 then 2 else 1 end else 0 end as density
     from lengths, unnest(range(0, 4)) as t(b), unnest(range(0, n)) as u(k)""")
 def bar_state_space(spark, sf_dir):
-    states = spark.range(28, 110).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("beat"))
-    states = states.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("place"))
-    return states.withColumn("density", F.when(F.col("place") / F.col("n") < 1 / 16, F.when(F.col("beat") == 0, 2).otherwise(1)).otherwise(0))
+    """The decoder's own states, beat by beat and length by length."""
+    bar = hmm.Bar(4, np.arange(28, 110))
+    n = np.tile(np.repeat(bar.lengths, bar.lengths), bar.beats)
+    place = np.concatenate([np.arange(first, last + 1) - first for first, last in zip(bar.first, bar.last, strict=True)])
+    rows = zip(bar.position.astype(int).tolist(), n.tolist(), place.tolist(), bar.column.tolist(), strict=True)
+    return spark.createDataFrame(list(rows), "beat bigint, n bigint, place bigint, density int")
 
 
 @query(f"""with {CHANGES}, edges as (select to_n as state, from_n as prev, round(sum(p), 9) as p from changes group by all)
     select state, prev, p, count(*) over (order by state, prev) as upto from edges""")
 def sparse_edges(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     edges = _changes(spark).groupBy(F.col("to_n").alias("state"), F.col("from_n").alias("prev")).agg(F.round(F.sum("p"), 9).alias("p"))
     return edges.withColumn("upto", F.count("*").over(W.orderBy("state", "prev").rowsBetween(W.unboundedPreceding, 0)))
 
@@ -349,12 +360,23 @@ def log_spectrum(spark, sf_dir):
 # --- stems, stages, sets
 
 
-@query("""select doc_id, case when n = 0 then 'bass' when n = 1 then 'drums' when n = 2 then 'other' when n = 3 then 'vocals' when n = 4 then 'guitar' when n = 5 then 'piano' end as stem
-    from (select doc_id, doc_id % 7 as n from documents)""")
+NAMED = """named as (select doc_id, n_chars, case when n_chars % 7 = 0 then array_extract(w, 1) || '.wav' when n_chars % 7 < 4 then array_extract(w, 2) || '_' || array_extract(w, 1) || '.wav'
+    else array_extract(w, 2) || ' (' || array_extract(w, 1) || ').mp3' end as name from
+    (select doc_id, n_chars, [array_extract(['Bass','drums','OTHER','vocals','guitar','Piano','mix'], 1 + n_chars % 7), coalesce(lang, '') || source] as w from documents))"""
+
+
+@query(f"""with {NAMED}, l as (select doc_id, lower(name) as f, regexp_replace(lower(name), '\\.[^.]*$', '') as bare from named)
+    select doc_id, (select s.v from (select unnest(['bass', 'drums', 'other', 'vocals', 'guitar', 'piano']) as v, unnest(range(0, 6)) as o) s
+    where bare = s.v or contains(f, '(' || s.v || ')') or contains(f, '_' || s.v || '.') order by o limit 1) as stem from l""")
 def stem_classify(spark, sf_dir):
-    names = ["Bass.wav", "song (drums).flac", "x_other.wav", "A(VOCALS).mp3", "t_guitar.wav", "piano.ogg", "mix.wav"]
-    name = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 7).cast("int") + 1)
-    return table(spark, sf_dir, "documents").select("doc_id", stems.stem_of(name).alias("stem"))
+    """File names made of each document's language, source and length."""
+    docs = table(spark, sf_dir, "documents")
+    kind = (F.col("n_chars") % 7).cast("int")
+    word = F.element_at(F.array(*map(F.lit, ["Bass", "drums", "OTHER", "vocals", "guitar", "Piano", "mix"])), kind + 1)
+    lead = F.concat(F.coalesce("lang", F.lit("")), "source")
+    bare = F.concat(word, F.lit(".wav"))
+    name = F.when(kind == 0, bare).when(kind < 4, F.concat(lead, F.lit("_"), bare)).otherwise(F.concat(lead, F.lit(" ("), word, F.lit(").mp3")))
+    return docs.select("doc_id", stems.stem_of(name).alias("stem"))
 
 
 @query("select source, lang, doc_id from documents qualify row_number() over (partition by source, lang order by n_chars desc, doc_id) = 1")
@@ -366,14 +388,20 @@ def stem_priority(spark, sf_dir):
 STEM_OF_TYPE = {"click": "guitar", "error": "piano", "purchase": "other", "signup": "bass", "view": "drums"}
 
 
-@query(f"""with {FRAMES}, n as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by frame) - 1 as i from frames),
-    m as (select user_id, i, value, event_type, case event_type when 'signup' then 'bass' when 'view' then 'drums' else 'other' end as stem from n),
-    s as (select user_id, stem, count(distinct event_type) as parts from m group by all)
-    select m.user_id, m.stem, i, round(sum(value), 6) as value from m join s using (user_id, stem) group by m.user_id, m.stem, i, parts having count(distinct event_type) = parts""")
+@query(f"""with {FRAMES}, n as (select user_id, value, case when event_type = 'view' and event_id % 2 = 1 then 'vocals' else
+    case event_type when 'click' then 'guitar' when 'error' then 'piano' when 'purchase' then 'other' when 'signup' then 'bass' else 'drums' end end as part, frame from frames),
+    m as (select *, row_number() over (partition by user_id, part order by frame) - 1 as i, case when part in ('guitar', 'piano') then 'other' else part end as stem from n),
+    h as (select user_id, list(distinct part) as have from m group by user_id),
+    k as (select user_id, list_has_all(have, ['guitar', 'piano']) as six from h where list_has_all(have, ['bass', 'drums', 'other', 'vocals'])),
+    u as (select m.* from m join k using (user_id) where six or part = stem),
+    s as (select user_id, stem, count(distinct part) as parts from u group by all)
+    select u.user_id, u.stem, i, round(sum(value), 6) as value from u join s using (user_id, stem) group by u.user_id, u.stem, i, parts having count(distinct part) = parts""")
 def stem_collapse(spark, sf_dir):
+    """Event types as stems, views in two; users without a whole set are left out."""
     named = F.create_map(*(F.lit(x) for kv in STEM_OF_TYPE.items() for x in kv))[F.col("event_type")]
+    named = F.when((F.col("event_type") == "view") & (F.col("event_id") % 2 == 1), "vocals").otherwise(named)
     numbered = peaks.frame_numbers(frames(spark, sf_dir).withColumn("stem", named).withColumn("key", F.concat_ws("/", "user_id", "stem")), "key", "frame", name="i")
-    return stems.collapse_stems(numbered, "user_id", "stem", "i", "value").withColumn("value", F.round("value", 6))
+    return stems.collapse_stems(numbered, "user_id", "stem", "i", "value", strict=False).withColumn("value", F.round("value", 6))
 
 
 @query("select doc_id, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
@@ -383,7 +411,7 @@ def cache_todo(spark, sf_dir):
 
 @query("select doc_id, source from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def cache_done(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    return stems.done(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("select l_orderkey from lineitem group by l_orderkey having count(distinct l_linenumber) = 4")
@@ -394,25 +422,24 @@ def complete_groups(spark, sf_dir):
 @query("select d.doc_id, d.lang, l.quality from documents d left join labels l on d.doc_id = l.doc_id")
 def left_side_arrays(spark, sf_dir):
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
-    return docs.select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id", "left")
+    return audio.with_side(docs.select("doc_id", "lang"), labels.select("doc_id", "quality"), "doc_id")
 
 
 @query("select distinct split_part(url, '/', 3) as host from pages")
 def distinct_sorted_inputs(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host")).distinct().orderBy("host")
+    return audio.distinct_inputs(table(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host")), "host")
 
 
 @query("select doc_id, 'cached' as origin from labels union all select doc_id, 'new' as origin from documents where doc_id not in (select doc_id from labels)")
 def union_cached_new(spark, sf_dir):
     done = table(spark, sf_dir, "labels").select("doc_id")
-    fresh = stems.todo(table(spark, sf_dir, "documents").select("doc_id"), done, "doc_id")
-    return done.withColumn("origin", F.lit("cached")).unionByName(fresh.withColumn("origin", F.lit("new")))
+    return stems.cached_and_new(table(spark, sf_dir, "documents").select("doc_id"), done, "doc_id")
 
 
 @query("select distinct user_id from events where event_type = 'view' except select distinct user_id from events where event_type = 'error'")
 def stage_except(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    return events.where("event_type = 'view'").select("user_id").subtract(events.where("event_type = 'error'").select("user_id"))
+    return stems.apart(events.where("event_type = 'view'").select("user_id"), events.where("event_type = 'error'").select("user_id"))
 
 
 # --- JSON, text and paths
@@ -441,7 +468,7 @@ def path_parts(spark, sf_dir):
 
 @query("select doc_id, sha256(text) as digest from documents")
 def sha_verify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", audio.digest(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("""select event_id, printf('%d:%02d', cast(floor(value / 60) as bigint), cast(round_even(value % 60, 0) as bigint)) as clock,
@@ -472,11 +499,11 @@ def parity_metrics(spark, sf_dir):
 @query(f"""with {PAIRS}, m as (select label, i % 5 as config, avg(abs(a - b)) as e from pairs group by all)
     select cast(label as bigint) as label, arg_min(config, e) as config from m group by label""")
 def argmin_config(spark, sf_dir):
-    m = _pairs(spark, sf_dir).groupBy("label", (F.col("i") % 5).cast("bigint").alias("config")).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("e"))
-    return m.groupBy("label").agg(F.min_by("config", "e").alias("config"))
+    pairs = _pairs(spark, sf_dir).withColumn("config", (F.col("i") % 5).cast("bigint"))
+    return parity.best_config(parity.difference_metrics(pairs, ["label", "config"], "a", "b"), ["label"], "config").select("label", "config")
 
 
-@query(f"with {PAIRS} select vec_id, bool_and(a is not distinct from b) as equal from pairs where i < 1 + vec_id % 3 group by vec_id")
+@query(f"""with {PAIRS} select vec_id, bool_and(a is not distinct from case when i < 1 + vec_id % 3 then b else a end) as equal from pairs group by vec_id""")
 def exact_parity(spark, sf_dir):
     """All entries of every vector; the checked copy differs at the first 1 + vec_id % 3 alone, so some are equal throughout."""
     copy = F.when(F.col("i") < 1 + F.col("vec_id") % 3, F.col("b")).otherwise(F.col("a"))

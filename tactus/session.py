@@ -36,10 +36,12 @@ def apply_defaults(spark: SparkSession, force: bool = False) -> dict[str, str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of our own only where it is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; a folder of our own only where it is unset and all runs on this machine, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="tactus-"))
     return _own_folder[0]

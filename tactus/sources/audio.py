@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import os
 import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactus.functions.columns import basename
@@ -21,11 +22,38 @@ def files(spark: SparkSession, *globs: str) -> DataFrame:
     return spark.read.format("binaryFile").load(list(globs)).select("path", "length", "content").dropDuplicates(["path"]).orderBy("path")
 
 
+def distinct_inputs(inputs: DataFrame, column: str) -> DataFrame:
+    """Each input once, in order."""
+    return inputs.select(column).distinct().orderBy(column)
+
+
+def expanded_path(path: str) -> str:
+    """~ expanded and relative paths made absolute; addresses of other stores stay."""
+    return path if "://" in path or path.startswith("file:") else os.path.abspath(os.path.expanduser(path))
+
+
 def missing(inputs: DataFrame, present: DataFrame) -> DataFrame:
     """Paths that are asked for and not there."""
     return inputs.join(present, "path", "left_anti").select("path").orderBy("path")
 
 
+def require(inputs: DataFrame, present: DataFrame, most_named: int = 20) -> DataFrame:
+    """inputs, or one error about all paths that are not there (naming the first of them)."""
+    lacking = missing(inputs, present)
+    if named := [r["path"] for r in lacking.limit(most_named).collect()]:
+        raise FileNotFoundError(f"{lacking.count()} paths are not there: {', '.join(named)}")
+    return inputs
+
+
+def in_order(results: DataFrame, asked: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """results in the caller's order: asked has (path, ordinal). A path asked for without a result has nulls."""
+    return asked.join(results, "path", "left").orderBy(ordinal)
+
+
+def digest(content: Column) -> Column:
+    return F.sha2(content, 256)
+
+
 def decode_wave(content: bytes) -> tuple[int, np.ndarray]:
     """(sample rate, mono samples in -1..1)."""
     with wave.open(io.BytesIO(content)) as f:
@@ -55,7 +83,7 @@ def waves(found: DataFrame) -> DataFrame:
 
 def stem_signals(spark: SparkSession, folder: str) -> DataFrame:
     """<folder>/<track>/<stem>.wav -> (track_id, stem, sample_rate, samples)."""
-    named = waves(files(spark, f"{folder}/*/*.wav"))
+    named = waves(files(spark, f"{expanded_path(folder)}/*/*.wav"))
     return named.select(F.element_at(F.split("path", "/"), -2).alias("track_id"), stem_of(basename(F.col("path"))).alias("stem"), "sample_rate", "samples").where("stem is not null")
 
 
@@ -71,22 +99,89 @@ def external_stems(listing: DataFrame, tracks: DataFrame) -> DataFrame:
     known = listing.where(audio).withColumn("stem", stem_of(F.col("name"))).where("stem is not null")
     own = known.join(tracks, known["folder"] == tracks["track"]).select("track", "stem", "folder", "name", F.lit(0).alias("_root"))
     bare = F.lower(F.regexp_replace("name", r"\.[^.]*$", ""))
-    shared = known.where("folder = ''").join(tracks, (bare == F.col("stem")) | F.startswith(F.lower("name"), F.lower("track")))
-    both = own.unionByName(shared.select("track", "stem", "folder", "name", F.lit(1).alias("_root")))
+    shared = known.where("folder = ''").withColumn("_plain", bare == F.col("stem"))
+    plain = first_by_priority(shared.where("_plain"), ["stem"], "name").collect()  # one row for each of six stems
+    named = shared.where("not _plain")
+    # What the name begins with meets the track by equality: its beginnings, a few dozen a file.
+    starts = F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.lower(F.substr("name", F.lit(1), n)))
+    begun = named.select("stem", "folder", "name", F.explode(starts).alias("_start")).join(tracks.withColumn("_start", F.lower("track")), "_start")
+    both = own.unionByName(begun.select("track", "stem", "folder", "name", F.lit(1).alias("_root")))
+    if plain:
+        every = F.explode(F.array(*(F.struct(F.lit(r["stem"]).alias("stem"), F.lit(r["name"]).alias("name")) for r in plain))).alias("p")
+        both = both.unionByName(tracks.select("track", every).select("track", "p.stem", F.lit("").alias("folder"), "p.name", F.lit(1).alias("_root")))
     return first_by_priority(both, ["track", "stem"], "_root", "name").drop("_root")
 
 
+def resampled(samples: np.ndarray, rate: int, to: int, lobes: int = 16) -> np.ndarray:
+    """Band-limited interpolation under a Hann window of `lobes` zero crossings on each side."""
+    if rate == to or not len(samples):
+        return samples
+    cut = min(1.0, to / rate)
+    reach = int(np.ceil(lobes / cut))
+    padded = np.pad(samples.astype(np.float64), reach)
+    out = np.empty(-(-len(samples) * to // rate))
+    for low in range(0, len(out), 1 << 16):
+        at = np.arange(low, min(low + (1 << 16), len(out))) * (rate / to)
+        base = np.floor(at).astype(np.int64)
+        offset = np.arange(-reach + 1, reach + 1)
+        x = (at - base)[:, None] - offset
+        weight = cut * np.sinc(cut * x) * np.cos(np.pi / 2 * np.clip(x / reach, -1, 1)) ** 2
+        out[low : low + len(at)] = (padded[np.minimum(base[:, None] + offset + reach, len(padded) - 1)] * weight).sum(1)
+    return out.astype(np.float32)
+
+
+def at_rate(signals: DataFrame, rate: int) -> DataFrame:
+    """signals with all samples at one rate."""
+
+    def convert(batches):
+        for batch in batches:
+            samples = [resampled(np.asarray(x), int(r), rate) for x, r in zip(batch["samples"], batch["sample_rate"], strict=True)]
+            yield batch.assign(samples=samples, sample_rate=rate)
+
+    return signals.mapInPandas(convert, signals.schema)
+
+
+def equal_rates(signals: DataFrame) -> DataFrame:
+    """signals; a track whose stems differ in their rates raises."""
+    rates = signals.groupBy("track_id").agg(F.collect_set("sample_rate").alias("_rates"))  # a few a track
+    told = F.format_string("%s has stems of several rates", "track_id")
+    checked = rates.select("track_id", F.when(F.size("_rates") > 1, F.raise_error(told)).otherwise(F.lit(True)).alias("_equal"))
+    return signals.join(checked, "track_id").where("_equal").drop("_equal")
+
+
+def spectrograms(spark: SparkSession, folder: str) -> DataFrame:
+    """(track_id, stem, frame, bands) as sinks.save_spectrogram writes them."""
+    return spark.read.schema("stem string, frame int, bands array<float>, track_id string").parquet(folder)
+
+
+def with_side(results: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """results with what the side table has for them, null where it has nothing."""
+    return results.join(side, key, "left")
+
+
 def results(spark: SparkSession, folder: str, activations: DataFrame | None = None) -> DataFrame:
-    """Result files, with the activations table beside them where it is given (null where a track has none)."""
-    out = spark.read.schema(RESULT).json(f"{folder}/*.json", multiLine=True)
-    return out if activations is None else out.join(activations, "path", "left")
+    """All rows of sinks.save_results, with the activations table beside them where it is given (null where a track has none)."""
+    return _beside(spark.read.schema(RESULT).json(folder).select(*RESULT.names), activations)
+
+
+def result_files(spark: SparkSession, folder: str, activations: DataFrame | None = None) -> DataFrame:
+    """The rows of <track>.json files as sinks.save_result_files writes them, one a file."""
+    return _beside(spark.read.schema(RESULT).json(f"{folder}/*.json", multiLine=True), activations)
+
+
+def _beside(out: DataFrame, activations: DataFrame | None) -> DataFrame:
+    return out if activations is None else with_side(out, activations, "path")
 
 
 def timings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TIMING).json(path)
+    """Timing lines, blank ones left out. Raises where there is none."""
+    found = spark.read.schema(TIMING).json(path).where("stage is not null")
+    if found.isEmpty():
+        raise ValueError(f"no timings in {path}")
+    return found
 
 
 def verified(found: DataFrame, expected: DataFrame) -> DataFrame:
     """Files whose SHA-256 is that of expected (name, sha256)."""
-    named = found.withColumns({"name": basename(F.col("path")), "sha256": F.sha2("content", 256)})
+    named = found.withColumns({"name": basename(F.col("path")), "sha256": digest(F.col("content"))})
     return named.join(expected, ["name", "sha256"], "left_semi")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import json
+import wave
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactus.functions.columns import compact_arrays, duration_text, rounded
+from tactus.operators.rollup import timing_summary
+from tactus.sources.store import file_stem, write_files
 
 
 def rounded_results(results: DataFrame) -> DataFrame:
@@ -29,12 +34,53 @@ def pretty_json(results: DataFrame, name: str = "json") -> DataFrame:
 
 
 def save_results(results: DataFrame, folder: str) -> None:
-    """One JSON row for each track, rounded."""
-    rounded_results(results).write.mode("append").json(folder)
+    """One JSON row for each track, rounded. Tracks that are there are replaced, others stay."""
+    rows = rounded_results(results).withColumn("track", F.col("path"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("track").json(folder)
+
+
+def save_result_files(results: DataFrame, folder: str) -> DataFrame:
+    """<track>.json for each track, pretty, rounded, arrays of numbers on one line; returns (file, bytes)."""
+    return write_files(pretty_json(results), folder, F.concat(file_stem(F.col("path")), F.lit(".json")), F.col("json"))
+
+
+def _save_by_track(rows: DataFrame, folder: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("track_id").parquet(folder)
 
 
 def save_activations(activations: DataFrame, folder: str) -> None:
-    activations.write.mode("append").partitionBy("track_id").parquet(folder)
+    _save_by_track(activations, folder)
+
+
+def save_embeddings(scores: DataFrame, folder: str) -> None:
+    """From scores with embeddings: (track_id, fold, frame, stem_idx, vec)."""
+    vectors = scores.select("track_id", "fold", "frame", F.posexplode("embedding").alias("stem_idx", "vec"))
+    _save_by_track(vectors, folder)
+
+
+def save_spectrogram(spectrogram: DataFrame, folder: str) -> None:
+    _save_by_track(spectrogram.select("track_id", "stem", "frame", "bands"), folder)
+
+
+def save_waves(signals: DataFrame, folder: str) -> DataFrame:
+    """<track>.<stem>.wav of 16 bits for each stem; returns (file, bytes)."""
+
+    @F.pandas_udf("binary")
+    def encode(rate: pd.Series, samples: pd.Series) -> pd.Series:
+        return pd.Series([encode_wave(int(r), np.asarray(x)) for r, x in zip(rate, samples, strict=True)], dtype=object)
+
+    name = F.concat_ws(".", "track_id", "stem", F.lit("wav"))
+    return write_files(signals, folder, name, encode("sample_rate", "samples"))
+
+
+def encode_wave(rate: int, samples: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.writeframes(np.rint(np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
 
 
 def append_timings(timings: DataFrame, folder: str) -> None:
@@ -45,3 +91,12 @@ def append_timings(timings: DataFrame, folder: str) -> None:
 def timing_lines(summary: DataFrame, columns: list[str]) -> DataFrame:
     """One tab-separated line a track, na for what is missing."""
     return summary.select(F.concat_ws("\t", "track", *(duration_text(F.col(c)) for c in columns)).alias("value"))
+
+
+def append_timing_lines(summary: DataFrame, columns: list[str], folder: str) -> None:
+    timing_lines(summary, columns).write.mode("append").text(folder)
+
+
+def save_timing_summary(timings: DataFrame, folder: str) -> None:
+    """Totals by stage, and by track and stage, as one JSON row with sorted keys."""
+    timing_summary(timings).write.mode("overwrite").json(folder)

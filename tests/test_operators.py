@@ -184,3 +184,75 @@ def test_without_the_llm_package(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
+
+
+@pytest.mark.parametrize(("past", "future"), [(3, 3), (5, 1), (1, 7), (40, 40)])
+def test_sliding_windows_equal_brute_force(spark, past, future):
+    rng = np.random.default_rng(past)
+    tracks = {k: np.round(rng.normal(size=n), 1).tolist() for k, n in enumerate((1, 2, 7, 30, 31, 64))}
+    df = spark.createDataFrame([(k, 10 * i, v) for k, x in tracks.items() for i, v in enumerate(x)], "track int, frame int, v double")
+    rows = {(r["track"], r["frame"] // 10): r for r in peaks.sliding(df, "track", "frame", "v", past, future).collect()}
+    for k, x in tracks.items():
+        for i in range(len(x)):
+            r, low = rows[k, i], max(0, i - past)
+            assert r["_top"] == max(x[low : i + future + 1])
+            assert r["_before"] == pytest.approx(sum(x[low:i])) and r["_after"] == pytest.approx(sum(x[i + 1 : i + future + 1]))
+
+
+def dense(bar, density):
+    """Viterbi over all states, frame by frame."""
+    n, k = len(bar.position), len(bar.lengths)
+    change = np.log(np.maximum(hmm.length_changes(bar.lengths, bar.stiffness), 1e-300))
+    change[change < -600] = -np.inf
+    step = np.full((n, n), -np.inf)
+    for state in range(n):
+        if state not in bar.last:
+            step[state, state + 1] = 0
+    for b in range(bar.beats):
+        nxt = (b + 1) % bar.beats
+        for i in range(k):
+            for j in range(k):
+                step[bar.last[b * k + i], bar.first[nxt * k + j]] = change[i, j]
+    best, back = np.full(n, -np.log(n)) + density[0][bar.column], []
+    for row in density[1:]:
+        into = best[:, None] + step
+        back.append(into.argmax(0))
+        best = into.max(0) + row[bar.column]
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1], best.max()
+
+
+@pytest.mark.parametrize(("beats", "lengths", "stiffness"), [(3, (3, 4, 5), 5.0), (4, (2, 5, 9), 30.0), (2, (1, 2), 1.0), (4, (5, 6, 7, 8), None)])
+def test_decoder_equals_a_dense_one(beats, lengths, stiffness):
+    rng = np.random.default_rng(beats)
+    for frames in (1, 2, 3, 17, 90):
+        density = np.log(rng.dirichlet([1, 1, 1], frames))
+        bar = hmm.Bar(beats, np.array(lengths), stiffness, zone=4)
+        path, score = bar.decode(density)
+        want, best = dense(bar, density)
+        assert score == pytest.approx(best) and path.tolist() == want
+
+
+@pytest.mark.parametrize("chunk", [4096, 7, 1])
+def test_viterbi_equals_brute_force(spark, chunk):
+    rng = np.random.default_rng(3)
+    step = np.log(rng.dirichlet([1] * 4, 4))
+    tracks = {k: rng.normal(size=(n, 4)) for k, n in enumerate((1, 2, 6, 7, 8, 50))}
+    rows = [(k, i, *map(float, x)) for k, s in tracks.items() for i, x in enumerate(s)]
+    df = spark.createDataFrame(rows, "track int, frame int, a double, b double, c double, d double")
+    found = {}
+    for r in hmm.viterbi(df, "track", "frame", list("abcd"), step, chunk).collect():
+        found[r["track"], r["frame"]] = (r["state"], r["score"])
+    for k, s in tracks.items():
+        best, back = s[0], []
+        for x in s[1:]:
+            into = best[:, None] + step
+            back.append(into.argmax(0))
+            best = into.max(0) + x
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        assert [found[k, i][0] for i in range(len(s))] == path[::-1]
+        assert all(found[k, i][1] == pytest.approx(best.max()) for i in range(len(s)))

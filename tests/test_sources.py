@@ -1,0 +1,183 @@
+import numpy as np
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tactus import schema
+from tactus.operators import parity, rollup, sound, stems
+from tactus.session import shared_dir
+from tactus.sources import audio, sinks, store
+from tactus.streaming import guard
+
+
+def result_rows(spark, n=5):
+    rows = [(f"in/t{k}.wav", 120 if k else None, [0.3700000047683716, 1.2345678901234567, float(k)], [2.42], [1, 2, 3], [(0.37, 19.58, "intro")]) for k in range(n)]
+    return spark.createDataFrame(rows, schema.RESULT)
+
+
+def test_results_round_trip(spark, tmp_path):
+    df = result_rows(spark).coalesce(1)
+    for _ in range(2):
+        sinks.save_results(df, str(tmp_path / "rows"))
+        back = audio.results(spark, str(tmp_path / "rows")).orderBy("path").collect()
+        assert [r["path"] for r in back] == [f"in/t{k}.wav" for k in range(5)] and back[1]["beats"] == [0.37, 1.23, 1.0] and back[0]["bpm"] is None
+    written = sinks.save_result_files(df, str(tmp_path / "files")).collect()
+    assert sorted(w["file"].rsplit("/", 1)[1] for w in written) == [f"t{k}.json" for k in range(5)]
+    assert '"beats": [0.37,1.23,1.0]' in (tmp_path / "files" / "t1.json").read_text()
+    activations = spark.createDataFrame([("in/t2.wav", 0.5)], "path string, p double")
+    files = audio.result_files(spark, str(tmp_path / "files"), activations).orderBy("path").collect()
+    assert [r["p"] for r in files] == [None, None, 0.5, None, None] and files[3]["segments"][0]["label"] == "intro"
+    asked = spark.createDataFrame([("in/t3.wav", 0), ("in/none.wav", 1), ("in/t0.wav", 2)], "path string, ordinal int")
+    assert [(r["path"], r["beats"] is None) for r in audio.in_order(audio.results(spark, str(tmp_path / "rows")), asked).collect()] == [
+        ("in/t3.wav", False), ("in/none.wav", True), ("in/t0.wav", False)]
+    with pytest.raises(ValueError, match="t1.json"):
+        sinks.save_result_files(df.unionByName(df.where("path like '%t1%'")), str(tmp_path / "twice"))
+    assert not (tmp_path / "twice").exists()
+
+
+def test_collapse_needs_whole_sets(spark):
+    def samples(names, n=8):
+        return [("song", s, i, float(k + 1)) for k, s in enumerate(names) for i in range(n - (s == "piano"))]
+
+    six = ("bass", "drums", "other", "vocals", "guitar", "piano")
+    frame = lambda rows: spark.createDataFrame(rows, "track string, stem string, i int, v double")
+    run = lambda rows, **more: stems.collapse_stems(frame(rows), "track", "stem", "i", "v", **more).collect()
+    out = run(samples(six))
+    assert {(r["stem"], r["v"]) for r in out} == {("bass", 1), ("drums", 2), ("other", 14), ("vocals", 4)} and len(out) == 3 * 8 + 7
+    assert {(r["stem"], r["v"]) for r in run(samples(six[:5]))} == {("bass", 1), ("drums", 2), ("other", 3), ("vocals", 4)}
+    with pytest.raises(PySparkException, match="song lacks bass, drums, other of four stems, bass, drums, other, piano of six"):
+        run(samples(("guitar", "vocals")))
+    assert run(samples(("guitar", "vocals")), strict=False) == []
+    assert [r["mode"] for r in stems.stem_sets(frame(samples(six)), "track", "stem").collect()] == ["external_6_to_4"]
+
+
+def test_stems_of_shared_folders(spark):
+    listing = [("", "bass.wav"), ("", "Song (drums).wav"), ("", "song_vocals.mp3"), ("song", "other.wav"), ("", "other.flac"), ("", "tune_guitar.txt"), ("", "songbook_piano.wav")]
+    tracks = spark.createDataFrame([("song",), ("tune",)], "track string")
+    found = audio.external_stems(spark.createDataFrame(listing, "folder string, name string"), tracks).collect()
+    assert {(r["track"], r["stem"], r["folder"], r["name"]) for r in found} == {
+        ("song", "bass", "", "bass.wav"), ("tune", "bass", "", "bass.wav"), ("song", "drums", "", "Song (drums).wav"), ("song", "vocals", "", "song_vocals.mp3"),
+        ("song", "other", "song", "other.wav"), ("tune", "other", "", "other.flac"), ("song", "piano", "", "songbook_piano.wav")}
+
+
+def test_rates_and_missing_files(spark, tmp_path):
+    t = np.arange(8000) / 8000
+    tone = np.sin(2 * np.pi * 440 * t)
+    up = audio.resampled(tone, 8000, 44100)
+    assert len(up) == 44100 and np.abs(up[2000:-2000] - np.sin(2 * np.pi * 440 * np.arange(44100) / 44100)[2000:-2000]).max() < 0.01
+    assert np.abs(audio.resampled(np.sin(2 * np.pi * 15000 * np.arange(44100) / 44100), 44100, 8000)[500:-500]).max() < 0.02
+    df = spark.createDataFrame([("a", "bass", 8000, tone.tolist()), ("a", "drums", 44100, [0.0] * 44100)], "track_id string, stem string, sample_rate int, samples array<float>")
+    assert {(r["sample_rate"], len(r["samples"])) for r in audio.at_rate(df, 16000).collect()} == {(16000, 16000)}
+    with pytest.raises(PySparkException, match="several rates"):
+        audio.equal_rates(df).collect()
+    assert audio.equal_rates(audio.at_rate(df, 8000)).count() == 2
+    written = sinks.save_waves(audio.at_rate(df, 8000), str(tmp_path / "stems")).collect()
+    assert len(written) == 2 and audio.decode_wave((tmp_path / "stems" / "a.bass.wav").read_bytes())[0] == 8000
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    assert audio.require(paths("a"), paths("a", "b")).count() == 1
+    with pytest.raises(FileNotFoundError, match="2 paths are not there: b, c"):
+        audio.require(paths("a", "c", "b"), paths("a"))
+    assert audio.expanded_path("~/x").startswith("/") and audio.expanded_path("s3a://b/x") == "s3a://b/x"
+    with pytest.raises(ValueError, match="no timings"):
+        (tmp_path / "t.jsonl").write_text("\n\n")
+        audio.timings(spark, str(tmp_path / "t.jsonl"))
+    assert store.store_of("s3://b/k" if False else str(tmp_path))[1] == str(tmp_path)
+
+
+def test_collapsed_stages_keep_repeated_rows(spark):
+    rows = [("load", 0.0, 1.0, "t"), ("load", 0.0, 1.0, "t"), ("nn", 1.0, 2.0, "t"), ("dbn", 2.0, 4.0, "t"), (None, 5.0, 6.0, "t")]
+    df = spark.createDataFrame(rows, "stage string, start double, end double, track string")
+    out = sorted(tuple(r) for r in rollup.collapse(df, "stage", ["nn", "dbn"], "post", "start", "end", "track").select(F.coalesce("stage", F.lit("")), "start", "end", "rows").collect())
+    assert out == [("", 5.0, 6.0, 1), ("load", 0.0, 1.0, 1), ("load", 0.0, 1.0, 1), ("post", 1.0, 4.0, 2)]
+
+
+def test_timing_summary_and_chart(spark, tmp_path):
+    rows = [("model_load", 10.0, 15.5, 5.5, "cpu", "m", None), ("nn", 16.0, 17.0, 1.004, "cpu", "m", "a"), ("dbn", 17.0, 18.0, 1.0, "cpu", "m", "a"), ("postprocess", 17.0, 19.0, 2.0, "cpu", "m", "a")]
+    df = spark.createDataFrame(rows, schema.TIMING)
+    out = rollup.timing_summary(df).first()
+    assert out["stage_totals"] == {"dbn": 1.0, "model_load": 5.5, "nn": 1.0, "postprocess": 2.0} and out["track_totals"] == {"a": {"dbn": 1.0, "nn": 1.0, "postprocess": 2.0}}
+    sinks.save_timing_summary(df, str(tmp_path / "summary"))
+    assert spark.read.json(str(tmp_path / "summary")).first()["stage_totals"]["nn"] == 1.0
+    chart = [tuple(r) for r in rollup.timing_chart(df, ["nn", "dbn"]).collect()]
+    assert chart == [("model load", 0.0, 5.5, 5.5, 8.0), ("post process", 6.0, 8.0, 2.0, 8.0)]
+    with pytest.raises(ValueError, match="more than one"):
+        rollup.timing_chart(df.unionByName(df.withColumn("track", F.lit("b"))), ["nn"])
+    with pytest.raises(ValueError, match="no timing"):
+        rollup.timing_chart(df.where("stage = 'postprocess'"), ["nn"])
+    wide = spark.createDataFrame([("a", 1.0, None)], "track string, nn double, dbn double")
+    sinks.append_timing_lines(wide, ["nn", "dbn"], str(tmp_path / "lines"))
+    assert spark.read.text(str(tmp_path / "lines")).first()["value"] == "a\t1.000s\tna"
+
+
+def test_sounds_and_envelope(spark):
+    click, drop = sound.click(1000.0), sound.drop()
+    assert len(click) == 4410 and abs(click[11]) > 0.9 and np.abs(click[-100:]).max() < 0.002 and len(drop) == 22050
+    crossings = lambda x: np.count_nonzero(np.diff(np.sign(x)))
+    assert crossings(drop[:2000]) > 5 * crossings(drop[-2000:])
+    events = spark.createDataFrame([("a", 0.5, "beat"), ("a", 0.5, "downbeat"), ("a", 0.999, "drop"), ("a", 9.0, "beat")], "path string, time double, kind string")
+    lengths = spark.createDataFrame([("a", 44100), ("b", 10)], "path string, samples long")
+    out = {r["path"]: np.array(r["samples"]) for r in sound.played(events, lengths).collect()}
+    assert len(out["a"]) == 44100 and not out["a"][:22050].any() and np.abs(out["a"]).max() <= 1 and out["a"][22050:].any() and len(out["b"]) == 10
+    x = np.random.default_rng(0).normal(size=700)
+    df = spark.createDataFrame([("t", k, float(v)) for k, v in enumerate(x)], "track string, at long, v double")
+    got = {r["frame"]: r["rms"] for r in sound.envelope(df, "track", "at", "v", 64, 16).collect()}
+    padded = np.pad(x, 32)
+    assert len(got) == 1 + len(x) // 16
+    assert all(got[k] == pytest.approx(np.sqrt((padded[16 * k : 16 * k + 64] ** 2).sum() / 64)) for k in got)
+    assert [r[0] for r in df.select(sound.clip(F.col("v") * 100)).distinct().collect() if abs(r[0]) > 1] == []
+
+
+def test_parity_harness(spark):
+    beats = [("x", "a", t) for t in (1.0, 2.0, 3.0)] + [("y", "a", t) for t in (1.1, 2.0, 3.5)] + [("x", "b", 1.0)]
+    df = spark.createDataFrame(beats, "run string, track string, t double")
+    rows = {r["track"]: r for r in parity.beat_parity(df, [("x", "y")], "run", "track", "t").collect()}
+    assert rows["a"]["n"] == 3 and rows["a"]["max_abs"] == pytest.approx(0.5) and rows["b"]["n"] == 0 and rows["b"]["max_abs"] is None
+    rng = np.random.default_rng(1)
+    m = [(f, b, float(v)) for (f, b), v in np.ndenumerate(rng.random((6, 5)) * 9)]
+    magnitudes = spark.createDataFrame(m, "frame int, band int, magnitude double")
+    level = spark.createDataFrame([(f, b, float(np.log10(1 + v**2))) for f, b, v in m], "frame int, band int, level double")
+    found = parity.spectrum_search(level, magnitudes, [1.0, 2.0], ["ln", "log10"], ["frame", "band"])
+    best = parity.best_config(found.withColumn("config", F.struct("power", "log")).withColumn("all", F.lit(1)), ["all"], "config").first()
+    assert tuple(best["config"]) == (2.0, "log10") and best["mean_abs"] < 1e-12 and found.count() == 4
+    a = level.withColumnRenamed("level", "v")
+    both = parity.cropped(a, a.where("frame < 4"), ["frame", "band"], "v")
+    assert both.count() == 20 and parity.difference_metrics(both, ["frame"], "a", "b").agg(F.max("max_abs")).first()[0] == 0
+    macro = parity.macro_average(spark.createDataFrame([("p", 1.0), ("p", 3.0)], "run string, rmse double"), ["run"], ["rmse"]).first()
+    assert macro["rmse"] == 2.0
+    walls = parity.summary(spark.createDataFrame([("w", v) for v in (1.0, 2.0, 6.0)], "kind string, s double"), ["kind"], "s").first()
+    assert tuple(walls)[1:] == (3.0, 1.0, 2.0, 6.0)
+
+
+def test_the_guard_sticks(spark, tmp_path):
+    rows = [("fast", 1, 1e-4, 1e-5), ("fast", 2, 1.1e-3, 0.0), ("fast", 3, 0.0, 0.0), ("other", 1, 1e-3, 1e-4)]
+    df = spark.createDataFrame(rows, "backend string, check int, max_abs double, mean_abs double")
+    out = {(r["backend"], r["check"]): r["effective"] for r in guard.guarded(df, "check", "slow").collect()}
+    assert out == {("fast", 1): "fast", ("fast", 2): "slow", ("fast", 3): "slow", ("other", 1): "other"}
+    seen = []
+    for k in (1, 2, 3):
+        df.where(F.col("check") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        keep = lambda batch, n: seen.extend((r["backend"], r["effective"], r["checked"]) for r in batch.collect())
+        run = guard.guarded_stream(stream, "slow").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state"))
+        run.trigger(availableNow=True).start().awaitTermination(120)
+    assert seen[0:2] in ([("fast", "fast", 1), ("other", "other", 1)], [("other", "other", 1), ("fast", "fast", 1)])
+    assert ("fast", "slow", 2) in seen and ("fast", "slow", 3) in seen
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Session())
