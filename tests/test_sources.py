@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -81,7 +83,15 @@ def test_rates_and_missing_files(spark, tmp_path):
     with pytest.raises(ValueError, match="no timings"):
         (tmp_path / "t.jsonl").write_text("\n\n")
         audio.timings(spark, str(tmp_path / "t.jsonl"))
-    assert store.store_of("s3://b/k" if False else str(tmp_path))[1] == str(tmp_path)
+
+
+def test_stores_know_the_schemes(tmp_path, monkeypatch):
+    assert store.store_of(str(tmp_path))[1] == str(tmp_path)
+    asked = []
+    monkeypatch.setattr(store.pyarrow.fs, "FileSystem", SimpleNamespace(from_uri=asked.append))
+    for uri in ("s3a://bucket/s3a:key", "file:///x/y"):
+        store.store_of(uri)
+    assert asked == ["s3://bucket/s3a:key", "file:///x/y"]
 
 
 def test_collapsed_stages_keep_repeated_rows(spark):
