@@ -18,7 +18,6 @@ from __future__ import annotations
 import bisect
 import itertools
 import json
-import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,7 +25,6 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,6 +34,7 @@ from pyspark.sql import functions as F
 from tactus.llm.text import bounded_batches, steps, utf8
 from tactus.llm.tokens import WORD_PIECES, encoder
 from tactus.session import durable, fresh_path
+from tactus.sources.store import store_of
 
 MAGIC = b"TWM2"
 END = 2
@@ -201,11 +200,6 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
     return open_shard(lambda at, n: data[at : at + n])
 
 
-def store_of(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The store of a path; Spark's names of the S3 scheme are known."""
-    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
-
-
 def read_file(uri: str) -> bytes:
     store, path = store_of(uri)
     with store.open_input_stream(path) as f:

@@ -1,6 +1,5 @@
 import zlib
 from collections import Counter
-from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -69,7 +68,7 @@ def test_questions_read_a_part_of_the_file(monkeypatch):
     assert sum(read) - head < (len(data) - head) / 20
 
 
-def test_files_answer_questions(spark, monkeypatch):
+def test_files_answer_questions(spark):
     docs = spark.createDataFrame([(k, f"text number {k} of the shard") for k in range(30)], "doc_id long, text string")
     folder = wavelet.fresh_path(spark, "questions")
     files = wavelet.write_shards(docs, WORDS, folder).collect()
@@ -77,11 +76,6 @@ def test_files_answer_questions(spark, monkeypatch):
         whole = wavelet.from_bytes(wavelet.read_file(f["file"]))[0].decode().tolist()
         with wavelet.shard_at(f["file"]) as (matrix, ids, lengths):
             assert [matrix.access(i) for i in range(len(whole))] == whole and matrix.count(2) == len(ids) == len(lengths)
-    asked = []
-    monkeypatch.setattr(wavelet.pyarrow.fs, "FileSystem", SimpleNamespace(from_uri=asked.append))
-    for uri in ("s3a://bucket/s3a:key", "file:///x/y"):
-        wavelet.store_of(uri)
-    assert asked == ["s3://bucket/s3a:key", "file:///x/y"]
 
 
 def test_files_of_odd_rows(spark):
