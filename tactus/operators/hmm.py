@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLOOR = float(np.finfo(np.float64).eps)
+#: Scores that are held for tracks decoded together (a long track alone may need more).
+ROOM = 1 << 21
 
 
 def beat_lengths(fps: float = 100, min_bpm: float = 55, max_bpm: float = 215, tempi: int | None = 60) -> np.ndarray:
@@ -75,60 +77,83 @@ class Bar:
 
     def decode(self, density: np.ndarray) -> tuple[np.ndarray, float]:
         """The most likely states (frames,) and their log probability. density: (frames, 3) log densities."""
-        frames, k, most = len(density), len(self.lengths), int(self.lengths.max())
-        sums = np.zeros((frames + 1, 3))
-        np.cumsum(density, axis=0, out=sums[1:])
+        return self.decode_all([density])[0]
+
+    def decode_all(self, densities: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+        """decode for each; tracks of like length go together, as many as the room for their scores allows."""
+        out: list = [None] * len(densities)
+        cells = len(self.lengths) * self.beats
+        held: list[int] = []
+
+        def flush() -> None:
+            for i, found in zip(held, self._decode([densities[i] for i in held]) if held else (), strict=True):
+                out[i] = found
+            held.clear()
+
+        for i in sorted(range(len(densities)), key=lambda i: len(densities[i])):
+            if (len(held) + 1) * (len(densities[i]) + int(self.lengths.max())) * cells > ROOM:
+                flush()
+            held.append(i)
+        flush()
+        return out
+
+    def _decode(self, densities: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+        tracks, frames, k, most = len(densities), max(map(len, densities)), len(self.lengths), int(self.lengths.max())
+        sums = np.zeros((tracks, frames + 1, 3))
+        for own, density in zip(sums, densities, strict=True):
+            np.cumsum(density, axis=0, out=own[1 : len(density) + 1])
         kinds = np.array([2] + [1] * (self.beats - 1))
-        upto = lambda t: np.clip(t, 0, frames)
 
-        def passed(start: np.ndarray, zone: np.ndarray, end: np.ndarray) -> np.ndarray:
+        def passed(own: np.ndarray, start: np.ndarray, zone: np.ndarray, end: np.ndarray) -> np.ndarray:
             """Densities of a beat's frames from start to end (not with it), for each number of the beat in the bar."""
             turn = np.minimum(start + zone, end)
-            inside = sums[upto(turn)][..., kinds] - sums[upto(start)][..., kinds]
-            return inside + (sums[upto(end), 0] - sums[upto(turn), 0])[..., None]
+            at_start, at_turn, at_end = (own[..., np.clip(t, 0, frames), :] for t in (start, turn, end))
+            return at_turn[..., kinds] - at_start[..., kinds] + (at_end[..., 0] - at_turn[..., 0])[..., None]
 
-        # entered[t + most, length, beat]: the best score with which the beat begins at frame t; any state may be the first frame's
-        entered = np.full((frames + most, k, self.beats), -np.inf)
+        # entered[track, t + most, length, beat]: the best score with which the beat begins at frame t; any state may be the first frame's
+        entered = np.full((tracks, frames + most, k, self.beats), -np.inf)
         for i, n in enumerate(self.lengths):
-            entered[most - n + 1 : most + 1, i] = -np.log(len(self.position))
+            entered[:, most - n + 1 : most + 1, i] = -np.log(len(self.position))
         each = np.arange(k)
 
-        def ended(now: np.ndarray) -> np.ndarray:
-            """(lengths, frames of now, beats): the best score of a beat of the length that ends before the frame."""
+        def ended(own: np.ndarray, scores: np.ndarray, now: np.ndarray) -> np.ndarray:
+            """(..., lengths, frames of now, beats): the best score of a beat of the length that ends before the frame."""
             start = now - self.lengths[:, None]
-            return entered[start + most, each[:, None]] + passed(start, self.near[:, None], now[None, :])
+            return scores[..., start + most, each[:, None], :] + passed(own, start, self.near[:, None], np.broadcast_to(now, start.shape))
 
         width = int(self.lengths.min())
-        room = np.empty((*self.before.T.shape, width * self.beats))
+        room = np.empty((*self.before.T.shape, tracks * width * self.beats))
         for low in range(1, frames, width):
             now = np.arange(low, min(low + width, frames))
-            before = np.roll(ended(now), 1, axis=2).reshape(k, -1)
+            before = np.roll(ended(sums, entered, now), 1, axis=3).swapaxes(0, 1).reshape(k, -1)
             into = room if len(now) == width else np.empty((*self.before.T.shape, before.shape[1]))
             np.take(before, self.before.T, axis=0, out=into, mode="clip")
             into += self.cost.T[:, :, None]
-            best = into.max(0)
-            entered[now + most] = best.reshape(k, len(now), self.beats).swapaxes(0, 1)
-
+            entered[:, now + most] = into.max(0).reshape(k, tracks, len(now), self.beats).transpose(1, 2, 0, 3)
         place = np.concatenate([np.arange(n) for n in self.lengths])
         length = np.repeat(each, self.lengths)
-        start = frames - 1 - place
-        last = entered[start + most, length] + passed(start, self.near[length], np.full(len(start), frames))
-        state = int(last.T.argmax())  # states run beat by beat
-        score = float(last.T.ravel()[state])
-        beat, at = divmod(state, len(place))
-        n, begin = int(length[at]), int(start[at])
-        path = np.empty(frames, np.int64)
-        end = frames
-        while True:
-            first = int(self.first[beat * k + n])
-            inside = max(begin, 0)
-            path[inside:end] = first + np.arange(inside - begin, end - begin)
-            if begin <= 0:
-                return path, score
-            beat = (beat - 1) % self.beats
-            before = ended(np.array([begin]))[self.before[n], 0, beat] + self.cost[n]
-            end, n = begin, int(self.before[n, before.argmax()])
-            begin = end - int(self.lengths[n])
+
+        def trace(own: np.ndarray, scores: np.ndarray, frames: int) -> tuple[np.ndarray, float]:
+            start = frames - 1 - place
+            last = scores[start + most, length] + passed(own, start, self.near[length], np.full(len(start), frames))
+            state = int(last.T.argmax())  # states run beat by beat
+            score = float(last.T.ravel()[state])
+            beat, at = divmod(state, len(place))
+            n, begin = int(length[at]), int(start[at])
+            path = np.empty(frames, np.int64)
+            end = frames
+            while True:
+                first = int(self.first[beat * k + n])
+                inside = max(begin, 0)
+                path[inside:end] = first + np.arange(inside - begin, end - begin)
+                if begin <= 0:
+                    return path, score
+                beat = (beat - 1) % self.beats
+                before = ended(own, scores, np.array([begin]))[self.before[n], 0, beat] + self.cost[n]
+                end, n = begin, int(self.before[n, before.argmax()])
+                begin = end - int(self.lengths[n])
+
+        return [trace(own, scores, len(d)) for own, scores, d in zip(sums, entered, densities, strict=True)]
 
 
 @lru_cache(8)
@@ -145,27 +170,36 @@ def log_densities(pairs: np.ndarray, observation: int = 16) -> np.ndarray:
 
 def track_beats(pairs: np.ndarray, bars: list[Bar], fps: float = 100, threshold: float | None = 0.05, correct: bool = True) -> np.ndarray:
     """(beats, 2): time in seconds and number in the bar. pairs: (frames, 2) beat and downbeat activations."""
-    first = 0
-    if threshold:
-        hits = np.flatnonzero((pairs >= threshold).any(1))
-        if not len(hits):
-            return np.empty((0, 2))
-        first = int(hits[0])
-        pairs = pairs[first : hits[-1] + 1]
-    if not pairs.any():
-        return np.empty((0, 2))
-    density = log_densities(pairs)
-    decoded = [bar.decode(density) for bar in bars]
-    best = max(range(len(bars)), key=lambda i: decoded[i][1])
-    path = decoded[best][0]
-    number = bars[best].position[path].astype(int) + 1
-    if correct:
-        near = np.concatenate([[False], bars[best].column[path] >= 1, [False]])
-        edges = np.flatnonzero(near[1:] != near[:-1]).reshape(-1, 2)
-        frames = np.array([a + pairs[a:b].max(1).argmax() for a, b in edges], int)
-    else:
-        frames = np.flatnonzero(np.diff(number)) + 1
-    return np.column_stack([(frames + first) / fps, number[frames]]) if len(frames) else np.empty((0, 2))
+    return all_beats([pairs], bars, fps, threshold, correct)[0]
+
+
+def all_beats(tracks: list[np.ndarray], bars: list[Bar], fps: float = 100, threshold: float | None = 0.05, correct: bool = True) -> list[np.ndarray]:
+    """track_beats for each."""
+    out = [np.empty((0, 2))] * len(tracks)
+    begun: dict[int, tuple[int, np.ndarray]] = {}
+    for i, pairs in enumerate(tracks):
+        hits = np.flatnonzero((pairs >= threshold).any(1)) if threshold else np.arange(len(pairs))
+        if len(hits) and (kept := pairs[hits[0] : hits[-1] + 1]).any():
+            begun[i] = (int(hits[0]), kept)
+    decoded = [bar.decode_all([log_densities(pairs) for _, pairs in begun.values()]) for bar in bars]
+    for k, (i, (first, pairs)) in enumerate(begun.items()):
+        best = max(range(len(bars)), key=lambda m: decoded[m][k][1])  # noqa: B023  the first meter on ties
+        path = decoded[best][k][0]
+        number = bars[best].position[path].astype(int) + 1
+        if correct:
+            near = np.concatenate([[False], bars[best].column[path] >= 1, [False]])
+            edges = np.flatnonzero(near[1:] != near[:-1]).reshape(-1, 2)
+            frames = np.array([a + pairs[a:b].max(1).argmax() for a, b in edges], int)
+        else:
+            frames = np.flatnonzero(np.diff(number)) + 1
+        if len(frames):
+            out[i] = np.column_stack([(frames + first) / fps, number[frames]])
+    return out
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by the keys in as many parts as shuffles have: decoding is dear for its few bytes, so parts are not to be merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def metrical_triple(beat: Column, downbeat: Column) -> dict[str, Column]:
@@ -186,14 +220,20 @@ def beats(
     kind = activations.select(track).schema[0].dataType.simpleString()
     rows = activations.select(track, frame, *(c.alias(k) for k, c in metrical_triple(F.col(beat), F.col(downbeat)).items()))
 
-    def decode(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(frame)
-        found = track_beats(ordered[["p_only_beat", "p_downbeat"]].to_numpy(), bars(meters, fps, min_bpm, max_bpm, tempi), fps, threshold)
-        out = pd.DataFrame({"time": found[:, 0], "position": found[:, 1].astype("int32")})
-        out.insert(0, track, group[track].iloc[0])
-        return out
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = bars(meters, fps, min_bpm, max_bpm, tempi)
+        for whole in _groups(batches, [track]):
+            pairs = whole[["p_only_beat", "p_downbeat"]].to_numpy()
+            opens = np.flatnonzero((whole[track] != whole[track].shift()).to_numpy())
+            ends = [*opens[1:], len(whole)]
+            found = all_beats([pairs[a:b] for a, b in zip(opens, ends, strict=True)], models, fps, threshold)
+            out = np.concatenate(found)
+            names = whole[track].iloc[np.repeat(opens, [len(f) for f in found])]
+            yield pd.DataFrame({track: names.to_numpy(), "time": out[:, 0], "position": out[:, 1].astype("int32")})
 
-    return rows.groupBy(track).applyInPandas(decode, f"{track} {kind}, time double, position int")
+    # Tracks one after another in a part: a group for each would cost more than its decoding.
+    ordered = spread(rows, track).sortWithinPartitions(track, frame).drop(frame)
+    return ordered.mapInPandas(decode, f"{track} {kind}, time double, position int")
 
 
 #: Frames of a track that are decoded together.
@@ -239,7 +279,7 @@ def viterbi(df: DataFrame, track: str, frame: str, scores: list[str], step: np.n
     begin = np.vstack([step, np.zeros(n)])  # the row behind the states: nothing before
 
     def dealt(x: DataFrame) -> DataFrame:
-        return x.repartition(*keys).sortWithinPartitions(*keys, "frame")
+        return spread(x, *keys).sortWithinPartitions(*keys, "frame")
 
     def split(whole: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First row and number of rows of each group, by falling length; and all scores."""
@@ -287,7 +327,7 @@ def viterbi(df: DataFrame, track: str, frame: str, scores: list[str], step: np.n
             yield whole[["track", "frame", "score"]].assign(state=path)
 
     tables = dealt(rows).mapInPandas(transfer, f"track {kind}, chunk bigint, best array<double>")
-    chained = tables.groupBy("track").applyInPandas(chain, f"track {kind}, chunk bigint, entry int, exit int, score double")
+    chained = spread(tables, "track").groupBy("track").applyInPandas(chain, f"track {kind}, chunk bigint, entry int, exit int, score double")
     same = F.col("r.track").eqNullSafe(F.col("c.track")) & (F.col("r.chunk") == F.col("c.chunk"))
     joined = rows.alias("r").join(chained.alias("c"), same).select("r.*", "c.entry", "c.exit", "c.score")
     found = dealt(joined).mapInPandas(decode, f"track {kind}, frame bigint, score double, state bigint")

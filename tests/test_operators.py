@@ -233,6 +233,10 @@ def test_decoder_equals_a_dense_one(beats, lengths, stiffness):
         path, score = bar.decode(density)
         want, best = dense(bar, density)
         assert score == pytest.approx(best) and path.tolist() == want
+    several = [np.log(rng.dirichlet([1, 1, 1], n)) for n in (7, 1, 40, 7, 12)]
+    for (path, score), density in zip(bar.decode_all(several), several, strict=True):
+        want, best = dense(bar, density)
+        assert score == pytest.approx(best) and path.tolist() == want
 
 
 @pytest.mark.parametrize("chunk", [4096, 7, 1])
