@@ -97,7 +97,7 @@ def matrix_row(source: int, offsets: list[int], capacities: list[int], seed: int
     return capacities
 
 
-def shard_rows(df: DataFrame, shards: int, seed: int = 7, slice_rows: int = 1 << 18) -> DataFrame:
+def shard_rows(df: DataFrame, shards: int, seed: int = 7, slice_rows: int = 1 << 14) -> DataFrame:
     """df with shard (int) and slot (long, gapless from 0 in each shard); shard sizes differ by one at most.
 
     slice_rows: rows that one task orders in the second permutation, about.
