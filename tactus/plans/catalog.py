@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tactus.functions import columns as fn
-from tactus.operators import hmm, nearest, parity, peaks, rollup, segments, signal, stems
+from tactus.operators import hmm, nearest, parity, peaks, rollup, score, segments, signal, sound, stems
 from tactus.operators.tempo import tempo_candidates
 from tactus.sources import audio
-from tactus.streaming import incremental
+from tactus.streaming import guard, incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -537,3 +537,103 @@ def hopping_mean(spark, sf_dir):
 def session_segments(spark, sf_dir):
     out = incremental.sessions(table(spark, sf_dir, "events"), "ts", ["user_id"], "6 hours", [F.max("ts").alias("last"), F.count("*").alias("n")])
     return out.select("user_id", F.col("session.start").alias("start"), "last", "n")
+
+
+# --- harnesses: runs compared, times summed up, guards
+
+
+@query("select event_type, round(avg(value), 6) as mean, min(value) as min, round(median(value), 6) as median, max(value) as max from events group by event_type")
+def run_summary(spark, sf_dir):
+    out = parity.summary(table(spark, sf_dir, "events"), ["event_type"], "value")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "median")})
+
+
+@query(f"""with {PAIRS}, m as (select vec_id, any_value(label) as label, avg(abs(a - b)) as mean_abs, sqrt(avg((a - b) * (a - b))) as rmse from pairs group by vec_id)
+    select cast(label as bigint) as label, round(avg(mean_abs), 9) as mean_abs, round(avg(rmse), 9) as rmse from m group by label""")
+def macro_metrics(spark, sf_dir):
+    """Unweighted means over vectors of what each vector's entries give."""
+    each = parity.difference_metrics(_pairs(spark, sf_dir), ["label", "vec_id"], "a", "b")
+    out = parity.macro_average(each, ["label"], ["mean_abs", "rmse"])
+    return out.select("label", *(F.round(c, 9).alias(c) for c in ("mean_abs", "rmse")))
+
+
+NUMBERED = f"{FRAMES}, numbered as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by frame) - 1 as i from frames)"
+
+
+@query(f"""with {NUMBERED} select user_id, a.i, a.value as a, b.value as b from numbered a join numbered b using (user_id, i)
+    where a.event_type = 'click' and b.event_type = 'purchase'""")
+def cropped_runs(spark, sf_dir):
+    """Two runs of values at the places that both have."""
+    each = frames(spark, sf_dir).withColumn("key", F.concat_ws("/", "user_id", "event_type"))
+    numbered = peaks.frame_numbers(each, "key", "frame", name="i")
+    return parity.cropped(numbered.where("event_type = 'click'"), numbered.where("event_type = 'purchase'"), ["user_id", "i"], "value")
+
+
+@query("""select user_id, event_id, coalesce(max(value > 180 or value * value > 30000) over (partition by user_id order by event_id rows unbounded preceding), false) as triggered,
+    case when coalesce(max(value > 180 or value * value > 30000) over (partition by user_id order by event_id rows unbounded preceding), false) then 'slow' else cast(user_id as varchar) end as effective from events""")
+def sticky_guard(spark, sf_dir):
+    checks = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("user_id").cast("string").alias("backend"), F.col("value").alias("max_abs"), (F.col("value") * F.col("value")).alias("mean_abs"))
+    return guard.guarded(checks, "event_id", "slow", 180.0, 30000.0).select("user_id", "event_id", "triggered", "effective")
+
+
+@query("""with x as (select vec_id, cast(unnest(embedding) as double) as v, unnest(range(0, 64)) as i from embeddings)
+    select vec_id, frame, round(sqrt(sum(v * v) / 16), 6) as rms from x, unnest(range(0, 17)) as f(frame) where i between frame * 4 - 8 and frame * 4 + 7 group by all""")
+def rms_envelope(spark, sf_dir):
+    samples = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    return sound.envelope(samples, "vec_id", "i", "v", 16, 4).withColumn("rms", F.round("rms", 6))
+
+
+@query("select event_id, round(least(greatest(value / 50 - 1, -1), 1), 9) as v from events")
+def clipped_mix(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(sound.clip(F.col("value") / 50 - 1), 9).alias("v"))
+
+
+@query("select cast(doc_id as varchar) as path, n_chars as ordinal, quality from documents left join labels using (doc_id)")
+def results_in_order(spark, sf_dir):
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("ordinal"))
+    done = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"), "quality")
+    return audio.in_order(done, asked)
+
+
+@query("select count(*) filter (doc_id in (select doc_id from labels)) as existing, count(*) filter (doc_id not in (select doc_id from labels)) as todo from documents")
+def plan_counts(spark, sf_dir):
+    return stems.plan_counts(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(f"""with {FRAMES}, kept as (select event_type, us from frames where event_type <> 'error'),
+    bars as (select replace(event_type, '_', ' ') as label, us as s, us + 1000 as e from kept where event_type not in ('click', 'view')
+    union all select 'post process', min(us), max(us + 1000) from kept where event_type in ('click', 'view'))
+    select label, s - min(s) over () as since, e - min(s) over () as until, e - s as duration, max(e) over () - min(s) over () as total from bars""")
+def timing_bars(spark, sf_dir):
+    """All events as the timings of one track."""
+    f = frames(spark, sf_dir).select(F.col("event_type").alias("stage"), F.col("us").alias("start"), (F.col("us") + 1000).alias("end"), F.lit("all").alias("track"))
+    return rollup.timing_chart(f, ["click", "view"], ["error"])
+
+
+@query("select round(avg(l_discount), 9) as best_threshold_beat, round(avg(l_tax), 9) as best_threshold_downbeat from lineitem")
+def ensemble_thresholds(spark, sf_dir):
+    configs = table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("best_threshold_beat"), F.col("l_tax").alias("best_threshold_downbeat"))
+    return score.ensemble_thresholds(configs).select(*(F.round(c, 9).alias(c) for c in configs.columns))
+
+
+@query(f"""with {FRAMES}, runs(reference, candidate) as (values ('click', 'purchase'), ('view', 'error')),
+    deltas as (select reference, candidate, c.user_id, p.us - c.us as delta from runs join frames c on c.event_type = reference join frames p on p.event_type = candidate and p.user_id = c.user_id
+    qualify row_number() over (partition by reference, c.event_id order by abs(p.us - c.us), p.us desc) = 1),
+    tracks as (select distinct reference, candidate, user_id from runs join frames on event_type in (reference, candidate)),
+    found as (select reference, user_id, count(*) as n, round(avg(delta), 3) as mean_signed, round(median(abs(cast(delta as double))), 3) as median_abs, cast(max(abs(delta)) as double) as max_abs from deltas group by all)
+    select t.reference, t.candidate, t.user_id, coalesce(n, 0) as n, mean_signed, median_abs, max_abs from tracks t left join found f on f.reference = t.reference and f.user_id = t.user_id""")
+def run_parity(spark, sf_dir):
+    """Nearest times of two pairs of runs, track by track."""
+    out = parity.beat_parity(frames(spark, sf_dir), [("click", "purchase"), ("view", "error")], "event_type", "user_id", "us")
+    return out.select("reference", "candidate", "user_id", "n", F.round("mean_signed", 3).alias("mean_signed"), F.round("median_abs", 3).alias("median_abs"), "max_abs")
+
+
+@query("""with x as (select abs(cast(unnest(embedding) as double)) as m from embeddings), o as (select p.power, l.log, l.scale from (values (1.0), (2.0)) p(power), (values ('ln', 1.0), ('log10', ln(10))) l(log, scale)),
+    d as (select cast(power as double) as power, log, ln(1 + pow(m, power)) / scale - log10(1 + m * m) as d from x, o)
+    select power, log, round(avg(abs(d)), 7) as mean_abs, round(max(abs(d)), 7) as max_abs, round(sqrt(avg(d * d)), 7) as rmse from d group by power, log""")
+def spectrum_variants(spark, sf_dir):
+    """Which power and logarithm give the expected levels."""
+    m = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", "i", F.abs(F.col("v").cast("double")).alias("magnitude"))
+    expected = m.select("vec_id", "i", F.log10(1 + F.col("magnitude") * F.col("magnitude")).alias("level"))
+    out = parity.spectrum_search(expected, m, [1.0, 2.0], ["ln", "log10"], ["vec_id", "i"])
+    return out.select("power", "log", *(F.round(c, 7).alias(c) for c in ("mean_abs", "max_abs", "rmse")))
