@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tactus.llm import mixing, ogg, packing, quality, secrets, sharding, simhash, tokencount, wavelet, wrappers
+from tactus.session import durable
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -79,7 +80,8 @@ def op5_mixing(spark, sf_dir):
 
 @query()
 def op6_media_columns(spark, sf_dir):
-    media = documents(spark, sf_dir).select("doc_id", ogg.media_column("text").alias("media"))
+    """The media are written as a table; everything else comes from what is read back."""
+    media = durable(documents(spark, sf_dir).select("doc_id", ogg.media_column("text").alias("media")), "ogg-media", "zstd")
     return media.select("doc_id", ogg.media_features("media").alias("f")).select("doc_id", "f.*")
 
 
