@@ -37,6 +37,8 @@ CAPACITY = 1024
 END = 2
 #: Lengths in a band: those above this part of the longest unplaced one.
 BAND = 0.97
+#: Counts by length and part (at most `capacity` a part) that are broadcast, about 50 MB; beyond it the pieces move to them.
+MOST_BROADCAST = 1 << 19
 
 
 def piece_lengths(tokens: int, capacity: int) -> list[int]:
@@ -140,7 +142,7 @@ def rounds(counts: dict[int, int], capacity: int, band: float = BAND) -> list[tu
     return placed
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = CAPACITY, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """pieces: written rows of token_pieces. Adds sequence_id (long) and offset (long)."""
     counted = durable(pieces.groupBy("length", "part").agg(F.count("*").alias("_n")), "packing-lengths")
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -157,7 +159,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         own = table[np.searchsorted(keys, length.to_numpy() << 48 | rank.to_numpy(), side="right") - 1]
         return pd.DataFrame({"sequence_id": own[:, 3] + rank.to_numpy() - own[:, 1], "offset": own[:, 4]})
 
-    ranked = pieces.join(starts.hint("shuffle_hash"), ["length", "part"])
+    way = "broadcast" if counted.count() <= most_broadcast else "shuffle_hash"  # the ids needn't move for their ranks
+    ranked = pieces.join(starts.hint(way), ["length", "part"])
     found = ranked.withColumn("_place", find("length", F.col("nth") + F.col("_before")))
     return found.select(*pieces.columns, "_place.sequence_id", "_place.offset")
 

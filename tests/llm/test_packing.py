@@ -128,3 +128,12 @@ def test_digests_come_from_the_packed_sequences(spark, monkeypatch):
     monkeypatch.setattr(packing, "filled", lambda pieces: filled(pieces).withColumn("ids", F.translate(F.hex("ids"), "0", "1").cast("binary")))
     spoilt = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.pack_documents(docs, BYTE).collect()}
     assert not any(spoilt[k] == want[k] for k in want)
+
+
+def test_both_ways_to_the_ranks_place_alike(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "word " * (k * 37 % 90)) for k in range(300)], "doc_id long, text string").repartition(5)
+    packing.token_pieces(docs, BYTE, "<u2", capacity=64).write.parquet(str(tmp_path / "pieces"))
+    pieces = spark.read.parquet(str(tmp_path / "pieces"))
+    rows = lambda most: sorted(packing.packed(pieces, 64, most).drop("ids").collect())
+    assert len({(r["sequence_id"], r["offset"]) for r in rows(0)}) == pieces.count()
+    assert rows(0) == rows(packing.MOST_BROADCAST)
