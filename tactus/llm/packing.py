@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tactus.llm.text import bounded_batches, steps, utf8
+from tactus.llm.text import bounded_batches, steps, strings
 from tactus.llm.tokens import BYTE_PIECES, ROOM, encoder
 from tactus.session import durable
 
@@ -70,11 +70,11 @@ def token_pieces(docs: DataFrame, path: str, kind: str, text: str = "text", capa
         for batch in batches:
             docs = batch["doc_id"]
             done = 0
-            for step in steps(utf8(batch[text])):
+            for step in steps(strings(batch[text])):
                 own = docs.iloc[done : done + len(step)]
                 done += len(step)
                 rows = []
-                for doc, data in zip(own, encode([t.decode("utf-8", "surrogatepass") for t in step]), strict=True):
+                for doc, data in zip(own, encode(step), strict=True):
                     ids = np.frombuffer(data + end, "<u4").astype(kind)
                     start = 0
                     for k, length in enumerate(piece_lengths(len(ids), capacity)):

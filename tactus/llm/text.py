@@ -31,11 +31,16 @@ def utf8(texts) -> list[bytes]:
     return [b"" if t is None or t != t else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def steps(encoded: list[bytes], most: int = STEP_BYTES) -> Iterator[list[bytes]]:
-    """Consecutive lists of whole texts of about `most` bytes, in order; every text is in one of them."""
-    held: list[bytes] = []
+def strings(texts) -> list[str]:
+    """The texts, nulls as empty."""
+    return ["" if t is None or t != t else t for t in texts]
+
+
+def steps[Text: (bytes, str)](texts: list[Text], most: int = STEP_BYTES) -> Iterator[list[Text]]:
+    """Consecutive lists of whole texts of about `most` bytes or characters, in order; every text is in one of them."""
+    held: list[Text] = []
     size = 0
-    for text in encoded:
+    for text in texts:
         if held and size + len(text) > most:
             yield held
             held, size = [], 0

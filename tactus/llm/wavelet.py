@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tactus.llm.text import bounded_batches, steps, utf8
+from tactus.llm.text import bounded_batches, steps, strings
 from tactus.llm.tokens import WORD_PIECES, encoder
 from tactus.session import durable, fresh_path
 from tactus.sources.store import store_of
@@ -249,8 +249,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, text: str = "text", sh
         size = 0
         for batch in batches:
             keys = iter(batch["doc_id"])
-            for step in steps(utf8(batch["text"])):
-                for ids in words.encode([t.decode("utf-8", "surrogatepass") for t in step]):
+            for step in steps(strings(batch["text"])):
+                for ids in words.encode(step):
                     key = next(keys)
                     held.append(ids + end)
                     names.append(None if pd.isna(key) else int(key))
