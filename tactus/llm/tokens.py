@@ -19,7 +19,7 @@ from dataclasses import dataclass
 # which is a letter and a combining dot in lower case).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
-ENDS = r"(?=[ ,.\n]|\Z)"
+ENDS = r"(?![^ ,.\n])"
 #: Pieces that a generation holds.
 ROOM = 400_000
 #: A mark that ends a clause behind a letter or digit is a pre-token of its own.
