@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tactus.llm import mixing, ogg, packing, quality, secrets, sharding, simhash, tokencount, wavelet, wrappers
+from tactus.llm import fim, mixing, ogg, packing, quality, secrets, sharding, simhash, tokencount, wavelet, wrappers
 from tactus.session import durable
 
 QUERIES: dict = {}
@@ -111,3 +111,17 @@ def op10_token_ids(spark, sf_dir):
 def op4_html_extraction(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return wrappers.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("""with units as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || doc_id) as x from documents),
+    drawn as (select *, len(u) as n, cast('0x' || x[1:8] as bigint) as h1, cast('0x' || x[9:16] as bigint) as h2, cast('0x' || x[17:24] as bigint) as h3, cast('0x' || x[25:32] as bigint) as h4 from units),
+    cuts as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from drawn),
+    parts as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:n], '') as s from cuts)
+    select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256 from parts""")
+def op13_fill_in_middle(spark, sf_dir):
+    formed = documents(spark, sf_dir).select("doc_id", fim.fill_in_middle("text", "doc_id").alias("f"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fim.restored("f.output", "f.form")
+    return formed.select("doc_id", "f.n", "f.form", "f.prefix_chars", "f.middle_chars", sha(F.col("f.output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
