@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tactus.llm import fim, mixing, ogg, packing, quality, secrets, sharding, simhash, tokencount, wavelet, wrappers
+from tactus.llm import fim, mixing, ogg, packing, quality, secrets, sharding, simhash, spelling, tokencount, wavelet, wrappers
 from tactus.session import durable
 
 QUERIES: dict = {}
@@ -125,3 +125,18 @@ def op13_fill_in_middle(spark, sf_dir):
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     back = fim.restored("f.output", "f.form")
     return formed.select("doc_id", "f.n", "f.form", "f.prefix_chars", "f.middle_chars", sha(F.col("f.output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
+#: Of the query's words: the least code points and occurrences, and one run in how many loses a letter.
+WORD_CHARS, WORD_COUNT, LOSSY = 7, 2, 31
+
+
+@query()
+def op12_spelling_variants(spark, sf_dir):
+    """Some runs, as a hash of document and run decides, lose a code point before they are words."""
+    runs = documents(spark, sf_dir).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(spelling.long_runs("text", WORD_CHARS)).alias("run"))
+    runs = runs.select("run", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")).alias("h"))
+    at = F.pmod("h", F.length("run")).cast("int")
+    lossy = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.select(F.when(F.col("h") % LOSSY == 0, lossy).otherwise(F.col("run")).alias("word"), F.lit(1).cast("long").alias("n"))
+    return spelling.variants(words.where(F.length("word") >= WORD_CHARS), least=WORD_COUNT).select("word", "form", "root", "n", "n_near", "form_n")
