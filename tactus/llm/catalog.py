@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tactus.llm import fim, mixing, ogg, packing, quality, secrets, sharding, simhash, spelling, tokencount, wavelet, wrappers
+from tactus.llm import ann, fim, mixing, ogg, packing, quality, secrets, sharding, simhash, spelling, tokencount, wavelet, wrappers
 from tactus.session import durable
 
 QUERIES: dict = {}
@@ -140,3 +140,13 @@ def op12_spelling_variants(spark, sf_dir):
     lossy = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
     words = runs.select(F.when(F.col("h") % LOSSY == 0, lossy).otherwise(F.col("run")).alias("word"), F.lit(1).cast("long").alias("n"))
     return spelling.variants(words.where(F.length("word") >= WORD_CHARS), least=WORD_COUNT).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: Every how many ids one is a query, and how many neighbours it gets.
+ASKED, NEIGHBOURS = 50, 5
+
+
+@query()
+def op11_nearest_neighbours(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest_neighbours(vectors, "vec_id", "embedding", F.col("vec_id") % ASKED == 0, NEIGHBOURS)
