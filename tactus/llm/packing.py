@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -63,28 +64,38 @@ def token_pieces(docs: DataFrame, path: str, kind: str, text: str = "text", capa
     schema = "doc_id long, piece int, start long, length long, part long, nth long, ids binary"
     end = END.to_bytes(4, "little")
 
-    def cut(batches):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, BYTE_PIECES, room).encode
         part = TaskContext.get().partitionId()
-        seen: Counter = Counter()
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            docs = batch["doc_id"]
-            done = 0
-            for step in steps(strings(batch[text])):
-                own = docs.iloc[done : done + len(step)]
+            docs, done = batch.column(0), 0  # ids stay what they are, also beside nulls
+            for step in steps(strings(batch.column(1).to_pylist())):
+                encoded = [data + end for data in encode(step)]
+                own, piece, start, length = cuts(np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4, capacity)
+                order = np.argsort(length, kind="stable")
+                kinds, first, many = np.unique(length[order], return_index=True, return_counts=True)
+                nth = np.empty(len(length), np.int64)
+                nth[order] = np.arange(len(length)) - np.repeat(first, many) + np.repeat(seen[kinds], many)
+                seen[kinds] += many
+                data = np.frombuffer(b"".join(encoded), "<u4").astype(kind)
+                ends = (np.cumsum(np.append(0, length)) * data.itemsize).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                columns = [docs.take(pa.array(own + done)), *map(pa.array, (piece, start, length, np.full(len(length), part, np.int64), nth)), ids]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
                 done += len(step)
-                rows = []
-                for doc, data in zip(own, encode(step), strict=True):
-                    ids = np.frombuffer(data + end, "<u4").astype(kind)
-                    start = 0
-                    for k, length in enumerate(piece_lengths(len(ids), capacity)):
-                        rows.append((doc, k, start, length, part, seen[length], ids[start : start + length].tobytes()))
-                        seen[length] += 1
-                        start += length
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-                yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", text).mapInPandas(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(cut, schema)
+
+
+def cuts(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents of so many tokens, as piece_lengths has them."""
+    pieces = -(-tokens // capacity)
+    first = tokens - (pieces - 1) * capacity
+    own = np.repeat(np.arange(len(tokens)), pieces)
+    piece = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.where(piece > 0, first[own] + (piece - 1) * capacity, 0)
+    return own, piece.astype(np.int32), start, np.where(piece > 0, capacity, first[own])
 
 
 def rounds(counts: dict[int, int], capacity: int, band: float = BAND) -> list[tuple[int, int, int, int, int]]:
@@ -168,11 +179,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, most_broadcast: int = MO
 def filled(pieces: DataFrame) -> DataFrame:
     """pieces: packed. The sequences: (sequence_id, length, ids in the pieces' id type, pieces: what lies in it, in order)."""
     columns = ("offset", "doc_id", "piece", "start", "length")
-    parts = F.array_sort(F.collect_list(F.struct(*columns, "ids")))  # at most `capacity` pieces
-    grouped = pieces.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("_parts"))
-    joined = F.aggregate("_parts", F.lit(b""), lambda done, p: F.concat(done, p["ids"]))
-    listed = F.transform("_parts", lambda p: F.struct(*(p[c].alias(c) for c in columns)))
-    return grouped.select("sequence_id", "length", joined.alias("ids"), listed.alias("pieces"))
+    parts = F.array_sort(F.collect_list(F.struct(*columns)))  # at most `capacity` pieces
+    joined = F.expr("listagg(ids) within group (order by offset)")
+    return pieces.groupBy("sequence_id").agg(F.sum("length").alias("length"), joined.alias("ids"), parts.alias("pieces"))
 
 
 def _sequences(docs: DataFrame, path: str, kind: str, text: str, capacity: int, room: int) -> DataFrame:

@@ -25,6 +25,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -224,7 +225,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, text: str = "text", sh
     ordered = ordered.repartitionByRange(tasks, "doc_id", *keys).sortWithinPartitions("doc_id", *keys).select("doc_id", "text")
     end = END.to_bytes(4, "little")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         words = encoder(path, WORD_PIECES)
         store, root = store_of(folder)
@@ -233,7 +234,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, text: str = "text", sh
         names: list[int | None] = []
         number = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), "<u4")
             data = to_bytes(WaveletMatrix.build(ids, words.width), names, [len(h) // 4 for h in held])
             name = f"part-{part:06d}-{number:06d}.twm"
@@ -241,19 +242,19 @@ def write_shards(docs: DataFrame, path: str, folder: str, text: str = "text", sh
             with store.open_output_stream(temporary) as f:
                 f.write(data)
             store.move(temporary, f"{root}/{name}")
-            row = pd.DataFrame([(part, number, f"{folder}/{name}", len(names), len(ids))], columns=["part", "number", "file", "docs", "tokens"])
+            row = {"part": [part], "number": [number], "file": [f"{folder}/{name}"], "docs": [len(names)], "tokens": [len(ids)]}
             held.clear()
             names.clear()
-            return row
+            return pa.RecordBatch.from_pydict(row)
 
         size = 0
         for batch in batches:
-            keys = iter(batch["doc_id"])
-            for step in steps(strings(batch["text"])):
+            keys = iter(batch.column("doc_id").to_pylist())  # not by pandas, whose floats are no ids
+            for step in steps(strings(batch.column("text").to_pylist())):
                 for ids in words.encode(step):
                     key = next(keys)
                     held.append(ids + end)
-                    names.append(None if pd.isna(key) else int(key))
+                    names.append(key)
                     size += len(ids) // 4 + 1
                     if size >= shard_tokens:
                         yield flush()
@@ -261,7 +262,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, text: str = "text", sh
         if held:
             yield flush()
 
-    return durable(ordered.mapInPandas(write, "part long, number long, file string, docs long, tokens long"), "wavelet-files")
+    return durable(ordered.mapInArrow(write, "part long, number long, file string, docs long, tokens long"), "wavelet-files")
 
 
 def read_shards(files: DataFrame) -> DataFrame:

@@ -137,3 +137,26 @@ def test_both_ways_to_the_ranks_place_alike(spark, tmp_path):
     rows = lambda most: sorted(packing.packed(pieces, 64, most).drop("ids").collect())
     assert len({(r["sequence_id"], r["offset"]) for r in rows(0)}) == pieces.count()
     assert rows(0) == rows(packing.MOST_BROADCAST)
+
+
+def test_ids_stay_exact_beside_a_null(spark):
+    docs = [(None, "a b"), (2**53 + 1, "c d e"), (2**53 + 3, ""), (-(2**63), None), (2**63 - 1, "x " * 3000), (None, "a b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    check(docs, packing.pack_documents(df, BYTE).collect())
+
+
+def test_other_tokenizer_files_take_the_librarys_way(spark):
+    """The word tokenizer isn't the one that packing cuts texts for."""
+    library = Tokenizer.from_file(WORDS)
+    texts = ["It's 12.5 o'clock, <|endoftext|> İx", "", None, "THE end. of, ODD_words"]
+    out = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORDS).collect()
+    want = {k: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")) for k, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in out} == want
+
+
+@given(st.lists(st.integers(1, 200), max_size=20), st.integers(1, 40))
+def test_cuts_are_the_piece_lengths(tokens, capacity):
+    own, piece, start, length = (x.tolist() for x in packing.cuts(np.array(tokens, np.int64), capacity))
+    want = [(d, k, n) for d, t in enumerate(tokens) for k, n in enumerate(packing.piece_lengths(t, capacity))]
+    assert list(zip(own, piece, length, strict=True)) == want
+    assert start == [sum(n for e, j, n in want if e == d and j < k) for d, k, _ in want]

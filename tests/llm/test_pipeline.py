@@ -58,6 +58,18 @@ def test_run_and_empty_table(spark):
     assert docs.collect() == []
 
 
+def test_ids_stay_exact_beside_a_null(spark):
+    table = [r for r in spark.read.parquet(f"{D}/documents.parquet").orderBy("doc_id").collect() if 300 < len(r["text"]) < 3000][:60]
+    ids = [None if k % 5 == 0 else (2**53 + 1 + 2 * k) * (-1) ** k for k in range(len(table))] + [-(2**63)]
+    own = {r["text"]: i for r, i in zip(table, ids, strict=False)}
+    docs = spark.createDataFrame([(own[t], t, "en", "web", len(t)) for t in own], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        schema, seen = (out := stage(spark, docs, D)).schema, out.collect()
+        assert {r["doc_id"] for r in seen} <= {*own.values()}
+        if number < 2:
+            assert seen and all(own[r["text"]] == r["doc_id"] for r in seen)
+        docs = spark.createDataFrame(seen, schema).coalesce(1)
+    assert len({r["doc_id"] for r in seen} - {None}) > 10 and None in {r["doc_id"] for r in seen}
 
 
 def test_stages_keep_odd_rows_and_clashing_columns(spark):

@@ -87,6 +87,14 @@ def test_files_of_odd_rows(spark):
     assert wavelet.token_files(df.limit(0), WORDS).collect() == []
 
 
+def test_ids_stay_exact_beside_a_null(spark):
+    docs = [(None, "a b"), (2**53 + 1, "c d e"), (2**53 + 3, ""), (-(2**63), None), (2**63 - 1, "x " * 3000), (None, "a c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    out = wavelet.token_files(df, WORDS).collect()
+    check_files(docs, out)
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(d) for d, _ in docs)
+
+
 def test_file_query(spark):
     import __spark_entry__ as entry
 
