@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from tactus.schema import EXTRA_STEMS, STAGES, STEMS
 
+#: Tracks that an error names at most.
+MOST_NAMED = 20
+
 
 def stem_of(file_name: Column) -> Column:
     """The first stem that the name is, or names in brackets, or ends with after an underscore."""
@@ -34,12 +37,16 @@ def stem_sets(samples: DataFrame, track: str, stem: str) -> DataFrame:
 def collapse_stems(samples: DataFrame, track: str, stem: str, at: str, value: str, strict: bool = True) -> DataFrame:
     """(track, stem, at, value): of six stems guitar and piano are added to other; four pass, any others are left out.
 
-    What is summed is cut to the shortest. A track with neither set raises, naming what lacks; with strict off it is left out.
+    What is summed is cut to the shortest. Tracks with neither set raise a ValueError that says what (the first of them) lack; with
+    strict off they are left out. The check is a pass of its own before anything is summed, so there is one error, in one place.
     """
     sets = stem_sets(samples, track, stem)
-    lacking = F.format_string("%s lacks %s of four stems, %s of six", F.col(track).cast("string"), *(F.array_join(f"missing.{k}", ", ") for k in ("four", "six")))
-    mode = F.coalesce("mode", F.raise_error(lacking)) if strict else F.col("mode")
-    whole = samples.join(sets.select(track, mode.alias("_mode")), track).where("_mode is not null")
+    if strict:
+        lacking = F.format_string("%s lacks %s of four stems, %s of six", F.col(track).cast("string"), *(F.array_join(f"missing.{k}", ", ") for k in ("four", "six")))
+        told = [r["_told"] for r in sets.where("mode is null").orderBy(track).select(lacking.alias("_told")).limit(MOST_NAMED).collect()]
+        if told:
+            raise ValueError("; ".join(told))
+    whole = samples.join(sets.select(track, F.col("mode").alias("_mode")), track).where("_mode is not null")
     four = F.when(F.col(stem).isin(*EXTRA_STEMS), F.when(F.col("_mode") == "external_6_to_4", "other")).otherwise(F.col(stem))
     merged = whole.withColumn("_four", four).where(F.col("_four").isin(*STEMS))
     parts = merged.groupBy(track, "_four").agg(F.count_distinct(stem).alias("_parts"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import wave
 
 import numpy as np
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from tactus.functions.columns import basename
 from tactus.operators.signal import to_mono
 from tactus.operators.stems import first_by_priority, stem_of
-from tactus.schema import AUDIO_SUFFIXES, RESULT, TIMING
+from tactus.schema import ACTIVATIONS, AUDIO_SUFFIXES, RESULT, STEMS, TIMING
+from tactus.sources import arrays
+from tactus.sources.sinks import SIDE_ARRAYS
+from tactus.sources.store import file_stem
 
 
 def files(spark: SparkSession, *globs: str) -> DataFrame:
@@ -154,6 +158,43 @@ def spectrograms(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("stem string, frame int, bands array<float>, track_id string").parquet(folder)
 
 
+def spectrogram_files(spark: SparkSession, folder: str, stems: tuple[str, ...] = STEMS) -> DataFrame:
+    """(track_id, stem, frame, bands) of <track>.npy files with arrays (stems, frames, bands); each task reads a range of frames."""
+    rows = arrays.read(spark, f"{folder}/*.npy", axes=2)
+    stem = F.array(*map(F.lit, stems))[F.col("index")[0].cast("int")]
+    return rows.select(file_stem(F.col("path")).alias("track_id"), stem.alias("stem"), F.col("index")[1].cast("int").alias("frame"), F.col("value").alias("bands"))
+
+
+def activation_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The activations table of <track>.activ.npz files; an array that a file lacks is null. Empty without files."""
+    if not arrays.listed(f"{folder}/*.activ.npz"):
+        return spark.createDataFrame([], ACTIVATIONS)
+    track = F.regexp_replace(basename(F.col("path")), r"\.activ\.npz$", "").alias("track_id")
+    parts = []
+    for name, column in SIDE_ARRAYS.items():
+        rows = arrays.read(spark, f"{folder}/*.activ.npz", name, flat=True)
+        parts.append(rows.select(track, F.col("at").cast("int").alias("frame"), F.lit(column).alias("part"), F.lit(0).alias("k"), F.col("value")[0].alias("v")))
+    label = arrays.read(spark, f"{folder}/*.activ.npz", "label", flat=True).select(track, F.col("at").cast("int").alias("k"), F.posexplode("value").alias("frame", "v"))
+    parts.append(label.select("track_id", "frame", F.lit("p_function").alias("part"), "k", "v"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    plain = [F.max(F.when(F.col("part") == c, F.col("v"))).cast("float").alias(c) for c in SIDE_ARRAYS.values()]
+    classes = F.array_sort(F.collect_list(F.when(F.col("part") == "p_function", F.struct("k", F.col("v").cast("float").alias("v")))))
+    function = F.when(F.size(classes) > 0, F.transform(classes, lambda x: x["v"])).alias("p_function")
+    return every.groupBy("track_id", "frame").agg(*plain, function)
+
+
+def embedding_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(track_id, stem_idx, frame, fold, vec) of <track>.embed.npy files with arrays (stems, frames, channels, folds). Empty without files."""
+    if not arrays.listed(f"{folder}/*.embed.npy"):
+        return spark.createDataFrame([], "track_id string, stem_idx int, frame int, fold int, vec array<float>")
+    track = F.regexp_replace(basename(F.col("path")), r"\.embed\.npy$", "").alias("track_id")
+    rows = arrays.read(spark, f"{folder}/*.embed.npy", axes=2).select(track, F.col("index")[0].cast("int").alias("stem_idx"), F.col("index")[1].cast("int").alias("frame"), "value")
+    each = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.size(F.col("value")[0]) - 1)))
+    return each.select("track_id", "stem_idx", "frame", "fold", F.transform("value", lambda x: F.get(x, F.col("fold")).cast("float")).alias("vec"))
+
+
 def with_side(results: DataFrame, side: DataFrame, key: str) -> DataFrame:
     """results with what the side table has for them, null where it has nothing."""
     return results.join(side, key, "left")
@@ -169,6 +210,20 @@ def result_files(spark: SparkSession, folder: str, activations: DataFrame | None
     return _beside(spark.read.schema(RESULT).json(f"{folder}/*.json", multiLine=True), activations)
 
 
+def results_with_files(spark: SparkSession, folder: str, array_folder: str | None = None) -> DataFrame:
+    """Rows of <track>.json files and whether side files lie beside them or in array_folder: (*RESULT, track_id, has_activations, has_embeddings).
+
+    The arrays themselves are activation_files and embedding_files, by track_id: they have rows of their own.
+    """
+    there = arrays.listed(array_folder or folder)
+    names = spark.createDataFrame([(uri.rsplit("/", 1)[1],) for uri, _ in there], "name string")
+    has = lambda suffix: names.where(F.col("name").endswith(suffix)).select(F.regexp_replace("name", re.escape(suffix) + "$", "").alias("track_id"), F.lit(True).alias(suffix))
+    out = result_files(spark, folder).withColumn("track_id", file_stem(F.col("path")))
+    for suffix, column in ((".activ.npz", "has_activations"), (".embed.npy", "has_embeddings")):
+        out = out.join(has(suffix), "track_id", "left").withColumn(column, F.coalesce(F.col(f"`{suffix}`"), F.lit(False))).drop(suffix)
+    return out
+
+
 def _beside(out: DataFrame, activations: DataFrame | None) -> DataFrame:
     return out if activations is None else with_side(out, activations, "path")
 

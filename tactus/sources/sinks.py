@@ -9,10 +9,13 @@ import wave
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tactus.functions.columns import compact_arrays, duration_text, rounded
 from tactus.operators.rollup import timing_summary
+from tactus.schema import STEMS
+from tactus.sources import arrays
 from tactus.sources.store import file_stem, write_files
 
 
@@ -58,6 +61,47 @@ def save_embeddings(scores: DataFrame, folder: str) -> None:
     _save_by_track(vectors, folder)
 
 
+#: The activations' arrays in side files, and the columns they come from.
+SIDE_ARRAYS = {"beat": "p_beat", "downbeat": "p_downbeat", "segment": "p_section"}
+
+
+def save_activation_files(activations: DataFrame, folder: str) -> None:
+    """<track>.activ.npz for each track: beat, downbeat and segment (frames), and label (classes, frames)."""
+    file = F.concat(file_stem(F.col("track_id")), F.lit(".activ.npz")).alias("file")
+    one = lambda c: F.array(F.col(c).cast("float")).alias("value")
+    by_class = activations.select("track_id", "frame", F.posexplode("p_function").alias("at", "p"))
+    ordered = F.array_sort(F.collect_list(F.struct("frame", F.col("p").cast("float").alias("p"))))  # the frames of one track
+    label = by_class.groupBy("track_id", "at").agg(F.transform(ordered, lambda x: x["p"]).alias("value"))
+    rows = label.select(file, F.lit("label").alias("name"), F.col("at").cast("long").alias("at"), "value")
+    for name, column in SIDE_ARRAYS.items():
+        rows = rows.unionByName(activations.select(file, F.lit(name).alias("name"), F.col("frame").cast("long").alias("at"), one(column)))
+    arrays.save(rows, folder, "npz", tuple(SIDE_ARRAYS))
+
+
+def _save_by_stem(rows: DataFrame, folder: str, suffix: str) -> None:
+    """rows (track_id, stem_idx, frame, value) as one array (stems, frames, ...) for each track."""
+    whole = W.partitionBy("track_id")
+    lead = F.array(F.max("stem_idx").over(whole) + 1, F.max("frame").over(whole) + 1).cast("array<bigint>")
+    placed = rows.withColumn("lead", lead).withColumn("at", F.col("stem_idx") * F.col("lead")[1] + F.col("frame"))
+    arrays.save(placed.select(F.concat(file_stem(F.col("track_id")), F.lit(suffix)).alias("file"), "at", "lead", "value"), folder)
+
+
+def save_embedding_files(scores: DataFrame, folder: str) -> None:
+    """<track>.embed.npy for each track, from scores with embeddings: (stems, frames, channels, folds)."""
+    by_stem = scores.select("track_id", "fold", "frame", F.posexplode("embedding").alias("stem_idx", "vec"))
+    folds = F.transform(F.array_sort(F.collect_list(F.struct("fold", "vec"))), lambda x: x["vec"])  # one for each member of the ensemble
+    met = by_stem.groupBy("track_id", "stem_idx", "frame").agg(folds.alias("_folds"))
+    channels = F.transform(F.col("_folds")[0], lambda _, k: F.transform("_folds", lambda fold: F.get(fold, k)))
+    _save_by_stem(met.select("track_id", "stem_idx", "frame", channels.alias("value")), folder, ".embed.npy")
+
+
+def save_spectrogram_files(spectrogram: DataFrame, folder: str, stems: tuple[str, ...] = STEMS) -> None:
+    """<track>.npy for each track: (stems, frames, bands)."""
+    place = F.array_position(F.array(*map(F.lit, stems)), F.col("stem")).cast("int") - 1
+    rows = spectrogram.where(F.col("stem").isin(*stems)).select("track_id", place.alias("stem_idx"), "frame", F.col("bands").alias("value"))
+    _save_by_stem(rows, folder, ".npy")
+
+
 def save_spectrogram(spectrogram: DataFrame, folder: str) -> None:
     _save_by_track(spectrogram.select("track_id", "stem", "frame", "bands"), folder)
 

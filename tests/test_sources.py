@@ -47,8 +47,9 @@ def test_collapse_needs_whole_sets(spark):
     out = run(samples(six))
     assert {(r["stem"], r["v"]) for r in out} == {("bass", 1), ("drums", 2), ("other", 14), ("vocals", 4)} and len(out) == 3 * 8 + 7
     assert {(r["stem"], r["v"]) for r in run(samples(six[:5]))} == {("bass", 1), ("drums", 2), ("other", 3), ("vocals", 4)}
-    with pytest.raises(PySparkException, match="song lacks bass, drums, other of four stems, bass, drums, other, piano of six"):
-        run(samples(("guitar", "vocals")))
+    for _ in range(3):
+        with pytest.raises(ValueError, match="song lacks bass, drums, other of four stems, bass, drums, other, piano of six"):
+            run(samples(("guitar", "vocals")))
     assert run(samples(("guitar", "vocals")), strict=False) == []
     assert [r["mode"] for r in stems.stem_sets(frame(samples(six)), "track", "stem").collect()] == ["external_6_to_4"]
 
