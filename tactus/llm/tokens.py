@@ -16,7 +16,7 @@ import hashlib
 import os
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 # White space as Unicode has it, and letters (the Latin ranges up to U+024F, but for U+0130,
 # which is a letter and a combining dot in lower case).
@@ -46,13 +46,14 @@ def cut_words(text: str) -> list[str]:
 class Pieces:
     """How a tokenizer's texts are cut. space: what goes before a word of letters that is a piece of its own."""
 
-    cut: Callable[[str], list[str]]
+    name: str
+    cut: Callable[[str], list[str]] = field(compare=False)  # a worker's copy isn't the driver's
     space: str
     folds: bool = False  # the tokenizer lower-cases, so a piece may be looked up in lower case
 
 
-BYTE_PIECES = Pieces(cut_bytes, " ")
-WORD_PIECES = Pieces(cut_words, "", True)
+BYTE_PIECES = Pieces("bytes", cut_bytes, " ")
+WORD_PIECES = Pieces("words", cut_words, "", True)
 # The tokenizers' files.
 FILES = {
     "cec27cb89f428497695f4e2a90118d636a594654897a44c0fb11b8f185521820": BYTE_PIECES,

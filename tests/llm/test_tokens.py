@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tactus.llm.tokens import BYTE_PIECES, WORD_PIECES, Encoder
+from tactus.llm.tokens import BYTE_PIECES, WORD_PIECES, Encoder, encoder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,3 +25,14 @@ def test_ids_equal_the_library(path, pieces):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
     check()
+
+
+def test_workers_know_the_files(spark):
+    """A worker's copy of the pieces is the driver's, so words are looked up there as well."""
+
+    def known(batches):
+        for batch in batches:
+            batch["known"] = encoder(BYTES, BYTE_PIECES, 5).known and encoder(WORDS, WORD_PIECES, 5).known and not encoder(WORDS, BYTE_PIECES, 5).known
+            yield batch[["known"]]
+
+    assert [r["known"] for r in spark.range(1).mapInPandas(known, "known boolean").collect()] == [True]
