@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 
-from tactus.operators import analyze, score, stems
+from pyspark.sql import functions as F
+
+from tactus.operators import analyze, score, signal, stems
 from tactus.session import durable, get_spark
 from tactus.sources import audio, sinks, weights
 
@@ -22,15 +24,16 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     again = "json" in stems.with_downstream(stems.overwrite_stages(args.overwrite or None))
     spark = get_spark(args.master)
-    signals = audio.stem_signals(spark, args.stems)
+    chunks = audio.stem_chunks(spark, args.stems)
     folder = spark._jvm.org.apache.hadoop.fs.Path(args.out)
     exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     if exists and not again:
         done = durable(audio.results(spark, args.out).selectExpr("path as track_id").distinct(), "done")
-        signals = stems.todo(signals, done, "track_id")
+        chunks = stems.todo(chunks, done, "track_id")
     shape = score.Shape(depth=args.depth)
     given = [weights.read_weights(p) for p in args.weights] if args.weights else [score.seeded(s, shape) for s in args.seeds]
-    results = analyze.analyze(signals, [score.Network(w, shape) for w in given], args.threshold)
+    spectrogram = signal.chunk_spectrogram(chunks, ["track_id", "stem"]).withColumn("frame", F.col("frame").cast("int"))
+    results = analyze.analyze_spectrogram(spectrogram, [score.Network(w, shape) for w in given], args.threshold)
     sinks.save_results(results, args.out)
 
 

@@ -36,7 +36,12 @@ def analyze_activations(activations: DataFrame, threshold: float = 0.24) -> Data
 
 def analyze(signals: DataFrame, scorers: list[score.Scorer], threshold: float = 0.24) -> DataFrame:
     """signals (track_id, stem, sample_rate, samples) -> results, scored by an ensemble of networks or of any callables like them."""
-    return analyze_activations(score.ensemble(score.scores(signal.spectrogram(signals), scorers, STEMS)), threshold)
+    return analyze_spectrogram(signal.spectrogram(signals), scorers, threshold)
+
+
+def analyze_spectrogram(spectrogram: DataFrame, scorers: list[score.Scorer], threshold: float = 0.24) -> DataFrame:
+    """spectrogram (track_id, stem, frame, bands) -> results."""
+    return analyze_activations(score.ensemble(score.scores(spectrogram, scorers, STEMS)), threshold)
 
 
 def clicks(results: DataFrame, radius: float = 0.03) -> DataFrame:

@@ -357,6 +357,50 @@ def log_spectrum(spark, sf_dir):
     return summed.select("vec_id", "band", F.round(F.log10(F.col("m") + 1), 6).alias("level"))
 
 
+CHUNKED = f"""{FRAMES}, tracks as (select user_id, count(*) as n from frames group by user_id)"""
+
+
+def _chunks(rows, track, at, value, length):
+    """A signal's rows as chunks of so many samples."""
+    whole = rows.groupBy(track).agg((F.max(at) + 1).alias("total"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value])
+    chunks = rows.groupBy(track, F.floor(F.col(at) / length).alias("chunk")).agg(F.min(at).alias("at"), ordered.alias("samples"))
+    return chunks.join(whole, track)
+
+
+@query(f"""with {CHUNKED}, hops(hop) as (values (3.0), (2.5)), starts as (select user_id, hop, i as frame, cast(floor(i * hop) as bigint) - 10 as s from tracks, hops, unnest(range(0, cast(ceil(n / hop) as bigint))) as t(i))
+    select s.user_id, hop, s.frame, k, coalesce(f.value, 0) as v from starts s cross join unnest(range(0, 20)) as u(k) left join frames f on f.user_id = s.user_id and f.frame = s.s + k""")
+def chunked_frames(spark, sf_dir):
+    """Users' values as signals in chunks of 8 samples; frames of 20 reach over several chunks on either side."""
+    chunks = signal.with_edges(_chunks(frames(spark, sf_dir), "user_id", "frame", "value", 8), "user_id", 10)
+    both = [signal.chunk_frames(chunks, "user_id", 20, hop).withColumn("hop", F.lit(hop)) for hop in (3.0, 2.5)]
+    out = both[0].unionByName(both[1]).select("user_id", "hop", "frame", F.posexplode("samples").alias("k", "v"))
+    return out.withColumn("k", F.col("k").cast("bigint"))
+
+
+@query("""with x as (select event_id - (select min(event_id) from events) as i, value as v from events), total as (select max(i) + 1 as n from x),
+    f as (select i as frame, i * 441 - 1024 as s from total, unnest(range(0, cast(ceil(n / 441) as bigint))) as t(i)),
+    framed as (select frame, k, v * (0.5 - 0.5 * cos(2 * pi() * k / 2047)) as w from f, unnest(range(0, 2048)) as u(k), x where x.i = s + k and v <> 0),
+    tones as (select m from (select 440 * pow(2, unnest(range(-48, 64)) / 12) as h), lateral (select case when h - (c - 1) * 44100 / 2048 < c * 44100 / 2048 - h then c - 1 else c end as m
+        from (select least(greatest(cast(ceil(h * 2048 / 44100) as bigint), 1), 1023) as c)) where h between 30 and 17000),
+    points as (select m, row_number() over (order by m) - 1 as p from (select distinct m from tones)),
+    edges as (select p as band, m as a, lead(m) over (order by p) as b, lead(m, 2) over (order by p) as c from points qualify lead(m, 2) over (order by p) is not null),
+    sides as (select band, a, case when c - a < 2 then a else b end as b, case when c - a < 2 then a + 1 else c end as c from edges),
+    heights as (select band, j, case when j < b then (j - a) / (b - a) else 1 - (j - b) / (c - b) end as h from sides, unnest(range(a, c)) as t(j)),
+    bank as (select band, j, h / sum(h) over (partition by band) as h from heights where h > 0),
+    bins as (select distinct j from bank),
+    spectrum as (select frame, j, sqrt(pow(sum(w * cos(2 * pi() * ((k * j) % 2048) / 2048)), 2) + pow(sum(w * sin(2 * pi() * ((k * j) % 2048) / 2048)), 2)) as m from framed, bins group by frame, j)
+    select frame, band, round(log10(sum(m * h) + 1), 6) as level from spectrum join bank using (j) group by frame, band""")
+def chunked_spectrogram(spark, sf_dir):
+    """All values as one signal at 44.1 kHz in chunks of 4096 samples: frames of 2048 at 100 a second, the whole filterbank."""
+    events = table(spark, sf_dir, "events")
+    first = events.agg(F.min("event_id")).first()[0]
+    rows = events.select(F.lit("all").alias("track"), (F.col("event_id") - F.lit(first)).alias("i"), "value")
+    chunks = signal.with_edges(_chunks(rows, "track", "i", "value", 4096), "track", 1024).withColumn("sample_rate", F.lit(signal.RATE))
+    bands = signal.chunk_spectrogram(chunks, ["track"], exact=True).select("frame", F.posexplode("bands").alias("band", "level"))
+    return bands.select("frame", F.col("band").cast("bigint").alias("band"), F.round("level", 6).alias("level"))
+
+
 # --- stems, stages, sets
 
 

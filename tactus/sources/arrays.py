@@ -118,7 +118,7 @@ class Part(InputPartition):
     high: int | None = None
 
 
-def listed(pattern: str) -> list[tuple[str, int]]:
+def listed(pattern: str, suffixes: tuple[str, ...] = (".npy", ".npz")) -> list[tuple[str, int]]:
     """(uri, size) of the files that a path names: a file, a folder with all that is in it, or a pattern of names."""
     store, root = store_of(pattern)
     lead = pattern[: len(pattern) - len(root)] if pattern.endswith(root) else ""
@@ -135,7 +135,7 @@ def listed(pattern: str) -> list[tuple[str, int]]:
         parts = root.split("/")
         if fixed != root:
             found = [f for f in found if len(p := f.path.split("/")) == len(parts) and all(map(fnmatch.fnmatchcase, p, parts))]
-    plain = [f for f in found if f.path.endswith((".npy", ".npz")) and not f.base_name.startswith((".", "_"))]
+    plain = [f for f in found if f.path.lower().endswith(suffixes) and not f.base_name.startswith((".", "_"))]
     return sorted((lead + f.path, f.size) for f in plain)
 
 

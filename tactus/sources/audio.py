@@ -17,13 +17,24 @@ from tactus.operators.signal import to_mono
 from tactus.operators.stems import first_by_priority, stem_of
 from tactus.schema import ACTIVATIONS, AUDIO_SUFFIXES, RESULT, STEMS, TIMING
 from tactus.sources import arrays
+from tactus.sources import waves as waves_source
 from tactus.sources.sinks import SIDE_ARRAYS
 from tactus.sources.store import file_stem
 
 
+def paths(spark: SparkSession, *globs: str) -> DataFrame:
+    """Distinct files of the globs in order: path, length. Contents are not read."""
+    return spark.read.format("binaryFile").load(list(globs)).select("path", "length").distinct().orderBy("path")
+
+
 def files(spark: SparkSession, *globs: str) -> DataFrame:
-    """Distinct files of the globs in the order of their paths: path, length, content."""
-    return spark.read.format("binaryFile").load(list(globs)).select("path", "length", "content").dropDuplicates(["path"]).orderBy("path")
+    """Distinct files of the globs: path, length, content.
+
+    Spark's driver lists the files in any case; the distinct ones of its list are read where they are, so no content is shuffled to
+    drop what two globs name, or to be sorted.
+    """
+    named = [r["path"] for r in paths(spark, *globs).collect()] if len(globs) > 1 else list(globs)
+    return spark.read.format("binaryFile").load(named).select("path", "length", "content")
 
 
 def distinct_inputs(inputs: DataFrame, column: str) -> DataFrame:
@@ -91,6 +102,13 @@ def stem_signals(spark: SparkSession, folder: str) -> DataFrame:
     return named.select(F.element_at(F.split("path", "/"), -2).alias("track_id"), stem_of(basename(F.col("path"))).alias("stem"), "sample_rate", "samples").where("stem is not null")
 
 
+def stem_chunks(spark: SparkSession, folder: str, edge: int = 1024, chunk: int = waves_source.CHUNK) -> DataFrame:
+    """<folder>/<track>/<stem>.wav in chunks with edges: (track_id, stem, sample_rate, total, chunk, at, samples, left, right), tracks of any length."""
+    read = waves_source.read(spark, f"{expanded_path(folder)}/*/*.wav", chunk=chunk, edge=edge)
+    named = read.select(F.element_at(F.split("path", "/"), -2).alias("track_id"), stem_of(basename(F.col("path"))).alias("stem"), *read.columns[1:])
+    return named.drop("channels").where("stem is not null")
+
+
 def external_stems(listing: DataFrame, tracks: DataFrame) -> DataFrame:
     """listing (folder, name) x tracks (track): the file of each stem, from the track's own folder before the shared one.
 
