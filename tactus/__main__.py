@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from tactus.operators import analyze, score, signal, stems
-from tactus.session import durable, get_spark
+from tactus.session import durable, exists, get_spark
 from tactus.sources import audio, sinks, weights
 
 
@@ -25,9 +25,7 @@ def main(argv: list[str] | None = None) -> None:
     again = "json" in stems.with_downstream(stems.overwrite_stages(args.overwrite or None))
     spark = get_spark(args.master)
     chunks = audio.stem_chunks(spark, args.stems)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(args.out)
-    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    if exists and not again:
+    if exists(spark, args.out) and not again:
         done = durable(audio.results(spark, args.out).selectExpr("path as track_id").distinct(), "done")
         chunks = stems.todo(chunks, done, "track_id")
     shape = score.Shape(depth=args.depth)

@@ -1,56 +1,48 @@
-"""What a sonification plays: clicks, drops and mixes of one track in its array, as small helpers for tasks; and envelopes."""
+"""Tones at the times of a track's events, as rows of samples, and loudness of a signal."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tactus.schema import SAMPLE_RATE
 
-# Pitch of what is played, in Hz.
-PITCH = {"beat": 1500.0, "downbeat": 3000.0, "boundary": 1000.0}
+# Each kind's pitch in Hz where it begins and where it ends, its length in seconds, and the octaves of loudness it falls by.
+TONES = {"beat": (1500.0, 1500.0, 0.1, 10.0), "downbeat": (3000.0, 3000.0, 0.1, 10.0), "boundary": (1000.0, 1000.0, 0.1, 10.0), "drop": (4000.0, 40.0, 0.5, 4.0)}
 
 
-def click(pitch: float, rate: float = SAMPLE_RATE, seconds: float = 0.1) -> np.ndarray:
-    """A sine that falls by ten octaves of loudness."""
-    n = int(rate * seconds)
-    return 2.0 ** np.linspace(0, -10, n) * np.sin(2 * np.pi * pitch / rate * np.arange(n))
-
+def clip(x: Column) -> Column:
+    return F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0))
 
-def drop(high: float = 4000.0, low: float = 40.0, rate: float = SAMPLE_RATE, seconds: float = 0.5) -> np.ndarray:
-    """A sweep from high to low in equal ratios that falls by four octaves of loudness."""
-    n = int(rate * seconds)
-    return np.sin(2 * np.pi * np.cumsum(np.geomspace(high, low, n)) / rate) * 2.0 ** np.linspace(0, -4, n)
 
+def tone(k: Column, samples: Column, begin: Column, end: Column, octaves: Column, rate: float) -> Column:
+    """The k-th of a tone's samples. Its pitch goes from begin to end by equal ratios; the phase is the sum of the pitches so far.
 
-def clip(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0))
+    That sum is a geometric series, so a sample costs the same wherever it stands.
+    """
+    last = F.greatest(samples - 1, F.lit(1))
+    ratio = F.pow(end / begin, 1 / last)
+    pitches = F.when(begin == end, begin * k).otherwise(begin * (1 - F.pow(ratio, k + 1)) / (1 - ratio))
+    return F.sin(2 * math.pi * pitches / rate) * F.pow(F.lit(2.0), -octaves * k / last)
 
 
-def played(events: DataFrame, lengths: DataFrame, rate: int = SAMPLE_RATE) -> DataFrame:
-    """events (path, time, kind) and lengths (path, samples): (path, samples array<float>), every event's sound added, cut at the end.
+def rendered(events: DataFrame, lengths: DataFrame, rate: int = SAMPLE_RATE) -> DataFrame:
+    """events (path, time, kind) and lengths (path, samples) -> (path, at, value): the samples at which something sounds, all tones added, in -1..1.
 
-    kind: beat, downbeat, boundary (a click) or drop (a sweep). One track is one task's.
+    What would sound before a track's start or behind its end is left out; samples without a sound have no row. Kinds without a tone raise.
+    A sample's tones are added on the map side first, so no task holds a track.
     """
-    sounds = {k: click(p, rate) for k, p in PITCH.items()} | {"drop": drop(rate=rate)}
-    both = lengths.join(events.groupBy("path").agg(F.collect_list(F.struct("time", "kind")).alias("events")), "path", "left")
-
-    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, n, found in zip(batch["path"], batch["samples"], batch["events"], strict=True):
-                out = np.zeros(int(n))
-                for e in found if found is not None else ():
-                    at = round(e["time"] * rate)
-                    if 0 <= at < len(out):
-                        sound = sounds[e["kind"]][: len(out) - at]
-                        out[at : at + len(sound)] += sound
-                yield pd.DataFrame({"path": [path], "samples": [np.clip(out, -1, 1).astype(np.float32)]})
-
-    return both.select("path", "samples", "events").mapInPandas(play, "path string, samples array<float>")
+    known = F.create_map(*(x for kind, of in TONES.items() for x in (F.lit(kind), F.struct(*(F.lit(v).alias(n) for n, v in zip(("begin", "end", "seconds", "octaves"), of, strict=True))))))
+    told = F.raise_error(F.concat(F.lit("no tone for events of kind "), F.coalesce("kind", F.lit("null"))))
+    start = F.rint(F.col("time") * rate).cast("long").alias("_start")
+    each = events.select("path", start, F.coalesce(known[F.col("kind")], told).alias("_t"))
+    each = each.withColumn("_n", F.floor(F.col("_t.seconds") * rate)).where("_n > 0").join(lengths.select("path", F.col("samples").alias("_end")), "path").where("_start >= 0 and _start < _end")
+    heard = each.select("path", "_start", "_end", "_t", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k")).where("_start + _k < _end")
+    value = tone(F.col("_k"), F.col("_n"), F.col("_t.begin"), F.col("_t.end"), F.col("_t.octaves"), rate)
+    summed = heard.groupBy("path", (F.col("_start") + F.col("_k")).alias("at")).agg(F.sum(value).alias("value"))
+    return summed.select("path", "at", clip(F.col("value")).alias("value"))
 
 
 def envelope(samples: DataFrame, track: str, at: str, value: str, size: int = 4096, hop: int = 1024) -> DataFrame:

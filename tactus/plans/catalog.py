@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tactus.functions import columns as fn
 from tactus.operators import hmm, nearest, parity, peaks, rollup, score, segments, signal, sound, stems
 from tactus.operators.tempo import tempo_candidates
+from tactus.session import fresh_path
 from tactus.sources import audio
-from tactus.streaming import guard, incremental
+from tactus.streaming import guard, incremental, sink
+from tactus.streaming import islands as islands_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -583,6 +585,74 @@ def session_segments(spark, sf_dir):
     return out.select("user_id", F.col("session.start").alias("start"), "last", "n")
 
 
+TONE_SQL = ", ".join(f"('{kind}', {', '.join(map(str, of))})" for kind, of in sound.TONES.items())
+
+
+@query(f"""with {STRENGTH}, tones(kind, f, g, seconds, octaves) as (values {TONE_SQL}),
+    played as (select user_id, frame * 10 as s, case when event_type = 'view' then 'drop' else 'beat' end as kind from strengths where strength > 0), ends as (select user_id, count(*) * 10 as e from strengths group by user_id),
+    ks as (select user_id, s, e, f, g, octaves, cast(floor(seconds * 1000) as bigint) as n, unnest(range(0, cast(floor(seconds * 1000) as bigint))) as k from played join tones using (kind) join ends using (user_id)),
+    heard as (select user_id, s + k as "at", sin(2 * pi() * case when f = g then f * k else f * (1 - pow(pow(g / f, 1.0 / (n - 1)), k + 1)) / (1 - pow(g / f, 1.0 / (n - 1))) end / 1000) * pow(2, -octaves * k / (n - 1)) as v from ks where s + k < e)
+    select user_id, "at", round(least(greatest(sum(v), -1), 1), 6) + 0.0 as value from heard group by all""")
+def rendered_tones(spark, sf_dir):
+    """A tone at every boundary, ten samples a frame at 1 kHz: tones overlap and are cut at the track's end."""
+    strong = strengths(spark, sf_dir).select(F.col("user_id").alias("path"), "frame", "strength", F.when(F.col("event_type") == "view", "drop").otherwise("beat").alias("kind"))
+    events = strong.where("strength > 0").select("path", (F.col("frame") / 100).alias("time"), "kind")
+    lengths = strong.groupBy("path").agg((F.count("*") * 10).alias("samples"))
+    out = sound.rendered(events, lengths, 1000)
+    return out.select(F.col("path").alias("user_id"), "at", (F.round("value", 6) + 0.0).alias("value"))
+
+
+# --- streams: the events in shuffled files, one a batch, and a last row that moves the watermark past them all
+
+
+def _replayed(spark, rows):
+    """rows (track, time, ...) as a stream of out-of-order batches."""
+    path = fresh_path(spark, "replayed")
+    rows.repartition(4, F.xxhash64(*rows.columns)).write.parquet(path)
+    end = rows.agg(F.max("time").alias("time")).select(F.lit("end").alias("track"), (F.col("time") + F.expr("interval 1000 days")).alias("time"))
+    spark.createDataFrame([], rows.schema).unionByName(end, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _run(spark, stream):
+    """All that a stream appends, each batch once."""
+    path = fresh_path(spark, "streamed")
+    sink.append_once(stream, path, f"{path}-state", "query").awaitTermination()
+    return sink.read(spark, path, stream.schema).drop("writer", "batch")
+
+
+def _timed(spark, sf_dir):
+    return frames(spark, sf_dir).select(F.col("user_id").cast("string").alias("track"), F.col("ts").cast("timestamp").alias("time"), "frame", "us", "event_id", "event_type", "value")
+
+
+@query(f"""with {FLAGGED} select user_id, island, min(frame) as "start", max(frame) + 1 as "end", cast(arg_max(frame, value * 1e6 - frame * 1e-3) as bigint) as peak
+    from flagged where hot group by all""")
+def stream_islands(spark, sf_dir):
+    rows = _timed(spark, sf_dir).select("track", "time", "frame", (F.col("value") >= 50).alias("flag"), F.col("value").alias("height"))
+    found = _run(spark, islands_stream.islands(_replayed(spark, rows), "60 days", 100 * 86400))
+    return found.select(F.col("track").cast("bigint").alias("user_id"), "island", "start", "end", "peak")
+
+
+def _pair(spark, sf_dir, first, second):
+    rows = _timed(spark, sf_dir)
+    kinds = [rows.where(F.col("event_type") == t).select("track", "time", "us", "event_id") for t in (first, second)]
+    return [_replayed(spark, k) for k in kinds]
+
+
+@query(f"""with {FRAMES} select p.user_id, p.us from frames p where p.event_type = 'purchase' and not exists (select 1 from frames c
+    where c.user_id = p.user_id and c.event_type = 'click' and abs(c.us - p.us) <= 7200000000)""")
+def stream_exclusion(spark, sf_dir):
+    found = _run(spark, islands_stream.without_near(*_pair(spark, sf_dir, "purchase", "click"), "60 days", "2 hours", ["us", "event_id"]))
+    return found.where("track <> 'end'").select(F.col("track").cast("bigint").alias("user_id"), "us")
+
+
+@query(f"""with {NEAREST} select c.user_id, c.us, case when abs(delta) <= 21600000000 then delta end as delta from frames c left join deltas d using (user_id, us) where c.event_type = 'click'""")
+def stream_nearest(spark, sf_dir):
+    """The nearest purchase within six hours of every click."""
+    found = _run(spark, islands_stream.nearest_deltas(*_pair(spark, sf_dir, "click", "purchase"), "60 days", "6 hours", ["us", "event_id"]))
+    return found.where("track <> 'end'").select(F.col("track").cast("bigint").alias("user_id"), "us", "delta")
+
+
 # --- harnesses: runs compared, times summed up, guards
 
 

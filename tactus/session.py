@@ -57,3 +57,14 @@ def durable(df: DataFrame, label: str, compression: str | None = None) -> DataFr
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, its file system) as Hadoop has them, for any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, store = hadoop_path(spark, path)
+    return store.exists(place)

@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tactus.streaming import sink
 
-def run_new(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, stage: Callable[[DataFrame], DataFrame], key: str) -> StreamingQuery:
-    """Apply stage to the rows of files not seen before, skipping keys that the output has; ends when all is done."""
 
-    def batch(rows: DataFrame, number: int) -> None:
-        seen = _exists(spark, out)
-        fresh = rows.join(spark.read.parquet(out).select(key).distinct(), key, "left_anti") if seen else rows
-        stage(fresh).write.mode("append").parquet(out)
+def run_new(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, stage: Callable[[DataFrame], DataFrame], key: str, writer: str = "new") -> StreamingQuery:
+    """Apply stage to the rows of files not seen before, skipping keys that the output has; ends when all is done.
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A batch that is done twice leaves one copy: what its first attempt wrote is not among the keys that the output has.
+    """
+    kept = stage(spark.createDataFrame([], schema)).schema
 
+    def fresh(rows: DataFrame, number: int) -> DataFrame:
+        there = sink.read(spark, out, kept, but=(writer, number)).select(key).distinct()
+        return stage(rows.join(there, key, "left_anti"))
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    stream = spark.readStream.schema(schema).parquet(source)
+    return sink.append_once(stream, out, checkpoint, writer, make=fresh)
 
 
 def hopping(events: DataFrame, time: str, keys: list[str], length: str, step: str, aggregates: list[Column], late: str | None = None) -> DataFrame:

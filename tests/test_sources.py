@@ -121,14 +121,23 @@ def test_timing_summary_and_chart(spark, tmp_path):
 
 
 def test_sounds_and_envelope(spark):
-    click, drop = sound.click(1000.0), sound.drop()
-    assert len(click) == 4410 and abs(click[11]) > 0.9 and np.abs(click[-100:]).max() < 0.002 and len(drop) == 22050
-    crossings = lambda x: np.count_nonzero(np.diff(np.sign(x)))
-    assert crossings(drop[:2000]) > 5 * crossings(drop[-2000:])
-    events = spark.createDataFrame([("a", 0.5, "beat"), ("a", 0.5, "downbeat"), ("a", 0.999, "drop"), ("a", 9.0, "beat")], "path string, time double, kind string")
-    lengths = spark.createDataFrame([("a", 44100), ("b", 10)], "path string, samples long")
-    out = {r["path"]: np.array(r["samples"]) for r in sound.played(events, lengths).collect()}
-    assert len(out["a"]) == 44100 and not out["a"][:22050].any() and np.abs(out["a"]).max() <= 1 and out["a"][22050:].any() and len(out["b"]) == 10
+    events = spark.createDataFrame([("a", 0.5, "beat"), ("a", 0.5, "downbeat"), ("a", 0.99, "drop"), ("a", 9.0, "beat"), ("a", -1.0, "beat"), ("c", 0.0, "beat")], "path string, time double, kind string")
+    lengths = spark.createDataFrame([("a", 10_000), ("b", 10)], "path string, samples long")
+    rows = sound.rendered(events, lengths, 10_000).collect()
+    got = np.zeros(10_000)
+    got[[r["at"] for r in rows]] = [r["value"] for r in rows]
+    want = np.zeros(10_000)
+    for at, kind in ((5000, "beat"), (5000, "downbeat"), (9900, "drop")):
+        begin, end, seconds, octaves = sound.TONES[kind]
+        phase = 0.0
+        for k in range(n := int(seconds * 10_000)):
+            pitch = begin * (end / begin) ** (k / (n - 1))
+            phase += pitch if begin != end else pitch * (k > 0)
+            if at + k < len(want):
+                want[at + k] += np.sin(2 * np.pi * phase / 10_000) * 2 ** (-octaves * k / (n - 1))
+    assert {r["path"] for r in rows} == {"a"} and np.abs(got - np.clip(want, -1, 1)).max() < 1e-9 and np.abs(got).max() > 0.9
+    with pytest.raises(PySparkException, match="no tone for events of kind hum"):
+        sound.rendered(events.withColumn("kind", F.lit("hum")), lengths).collect()
     x = np.random.default_rng(0).normal(size=700)
     df = spark.createDataFrame([("t", k, float(v)) for k, v in enumerate(x)], "track string, at long, v double")
     got = {r["frame"]: r["rms"] for r in sound.envelope(df, "track", "at", "v", 64, 16).collect()}
@@ -159,20 +168,11 @@ def test_parity_harness(spark):
     assert tuple(walls)[1:] == (3.0, 1.0, 2.0, 6.0)
 
 
-def test_the_guard_sticks(spark, tmp_path):
+def test_the_guard_sticks(spark):
     rows = [("fast", 1, 1e-4, 1e-5), ("fast", 2, 1.1e-3, 0.0), ("fast", 3, 0.0, 0.0), ("other", 1, 1e-3, 1e-4)]
     df = spark.createDataFrame(rows, "backend string, check int, max_abs double, mean_abs double")
     out = {(r["backend"], r["check"]): r["effective"] for r in guard.guarded(df, "check", "slow").collect()}
     assert out == {("fast", 1): "fast", ("fast", 2): "slow", ("fast", 3): "slow", ("other", 1): "other"}
-    seen = []
-    for k in (1, 2, 3):
-        df.where(F.col("check") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-        keep = lambda batch, n: seen.extend((r["backend"], r["effective"], r["checked"]) for r in batch.collect())
-        run = guard.guarded_stream(stream, "slow").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state"))
-        run.trigger(availableNow=True).start().awaitTermination(120)
-    assert seen[0:2] in ([("fast", "fast", 1), ("other", "other", 1)], [("other", "other", 1), ("fast", "fast", 1)])
-    assert ("fast", "slow", 2) in seen and ("fast", "slow", 3) in seen
 
 
 def test_no_local_folder_on_a_cluster(spark, monkeypatch):
