@@ -1,9 +1,9 @@
 """Quality rules: a linear-chain conditional random field marks each line as content or boilerplate.
 
 Each line of a text gets features (shares of symbols, capitals, digits, repeats and so on). A linear-chain CRF over
-the two states is trained on labelled texts: every line of a good text counts as content, of a bad one as
-boilerplate, so that the transitions learn how states run on. Viterbi decoding marks the lines of each text, and a
-text is kept if the content lines hold at least `least_share` of its characters in words.
+the two states is trained on labelled texts and on pairs of them, a good one and a bad one joined in either order: a line bears the
+label of the text that it comes from, so the transitions learn how states run on and where they change. Viterbi decoding marks the
+lines of each text one by one, and a text is kept if the content lines hold at least `least_share` of its characters in words.
 
 Fixed rules come first: a text fails with fewer than 10 words, or if over 20 % of its words lie in 5-word windows
 that it holds twice or more. Null and empty texts have no words, so they fail. Whole texts are measured.
@@ -24,11 +24,14 @@ from tactus.llm.text import IS_SPACE, bounded_batches, mix64, steps, utf8
 #: Labelled texts that the model is fitted on, at most: those with the smallest hashed ids. A documented bound.
 TRAIN_DOCS = 600
 #: Lines of each of them. A documented bound.
-TRAIN_LINES = 2000
+TRAIN_LINES = 200
 WINDOW = 5
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
 LEAST_SHARE = 0.5
+#: Steps of the fit, and how strongly the prior draws.
+ROUNDS = 300
+PULL = 0.0003
 
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -47,11 +50,12 @@ SHOUT = _flags(b"!?")
 CAPITAL = _flags(bytes(range(65, 91)))
 DIGIT = _flags(b"0123456789")
 END = _flags(b".!?:;,")
+CLOSE = _flags(b".!?")
 #: Bytes that begin a code point.
 LEAD = np.ones(256, bool)
 LEAD[0x80:0xC0] = False
 
-FEATURES = ("bias", "symbols", "shouts", "capitals", "digits", "ends", "repeated", "short", "word_length", "in_windows")
+FEATURES = ("bias", "symbols", "shouts", "capitals", "digits", "ends", "repeated", "short", "word_length", "in_windows", "symbol_words", "begins", "closes")
 
 
 @dataclass(frozen=True)
@@ -64,7 +68,7 @@ class Crf:
 
 
 #: The prior: what the fitted weights are drawn towards, and the model where no text is labelled.
-PRIOR = Crf((2.0, -12.0, -12.0, -6.0, -3.0, 0.0, -1.0, -0.2, 0.0, -2.0), ((0.5, -0.5), (-0.5, 0.5)), (0.0, 0.0))
+PRIOR = Crf((2.0, -12.0, -12.0, -6.0, -3.0, 0.0, -1.0, -0.2, 0.0, -2.0, -4.0, 0.0, 0.0), ((0.5, -0.5), (-0.5, 0.5)), (0.0, 0.0))
 
 
 def measure(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -84,6 +88,12 @@ def measure(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.n
     per_doc = lambda counts: np.bincount(doc, counts, docs).astype(np.int64)
     chars = per_line(LEAD[a] & ~space)
     words = per_line(begins)
+    symbol_words = per_line(begins & SYMBOL[a])
+    # The first and the last byte of a line's words; a line without any doesn't count.
+    places = np.arange(len(a))
+    first = np.minimum(np.minimum.reduceat(np.where(begins, places, len(a) - 1), line_start), len(a) - 1)
+    last = np.maximum.reduceat(np.where(space, 0, places), line_start)
+    capital_first, closed = CAPITAL[a[first]], CLOSE[a[last]]
     symbols, shouts, capitals, digits, ends = (per_line(f[a]) for f in (SYMBOL, SHOUT, CAPITAL, DIGIT, END))
 
     own = np.fromiter(map(hash, lines), np.int64, len(lines)).astype(np.uint64)
@@ -138,6 +148,9 @@ def measure(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.n
             words < 4,
             np.minimum(chars / some_words, 30) / 10,
             in_windows / some_words,
+            symbol_words / some_words,
+            capital_first,
+            closed,
         ]
     )
     full = words > 0
@@ -211,8 +224,8 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def fit(doc: np.ndarray, features: np.ndarray, label: np.ndarray, rounds: int = 60, rate: float = 0.3, pull: float = 0.02) -> Crf:
-    """Penalised maximum likelihood by gradient ascent with forward-backward; label: per line, 1 is content.
+def fit(doc: np.ndarray, features: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, rate: float = 0.3, pull: float = PULL) -> Crf:
+    """Penalised maximum likelihood by gradient ascent with forward-backward; label: per line, 1 is content. doc is sorted.
 
     Both labels weigh the same in total. pull: weight of the squared distance from the prior.
     """
@@ -222,12 +235,16 @@ def fit(doc: np.ndarray, features: np.ndarray, label: np.ndarray, rounds: int =
     n = len(PRIOR.emission)
     first, count, _ = _by_place(doc)
     live = [int(np.searchsorted(-count, -t)) for t in range(int(count[0]))]
-    good = label[first] == 1
-    weight = np.where(good, 0.5 / max(good.sum(), 1), 0.5 / max((~good).sum(), 1))
-    weight_line, mine = np.zeros(len(doc)), np.zeros(len(doc))
-    for t, k in enumerate(live):
-        weight_line[first[:k] + t] = (weight / count)[:k]
     mine = label == 1
+    own = np.repeat(np.arange(len(first)), count)
+    lines = np.concatenate([np.arange(a, a + k) for a, k in zip(first.tolist(), count.tolist(), strict=True)])
+    good = np.bincount(own, mine[lines], len(first)) / count  # the share of good lines
+    weight = good * 0.5 / max(good.sum(), 1e-9) + (1 - good) * 0.5 / max((1 - good).sum(), 1e-9)
+    weight_line = np.zeros(len(doc))
+    weight_line[lines] = (weight / count)[own]
+    inside = np.flatnonzero(doc[1:] == doc[:-1])  # doc is sorted, so these lines have a next one in their text
+    told = np.zeros((2, 2))
+    np.add.at(told, (mine[inside].astype(int), mine[inside + 1].astype(int)), weight_line[inside])
     theta, momentum, scale = prior.copy(), np.zeros(n + 6), np.zeros(n + 6)
     for step in range(1, rounds + 1):
         emission = features @ theta[:n]
@@ -251,10 +268,7 @@ def fit(doc: np.ndarray, features: np.ndarray, label: np.ndarray, rounds: int =
                 steps_seen += (pair * (weight / count)[:k, None, None]).sum(0)
                 beta[:k] = _log_sum(trans + onward[:, None, :], 2)
         gap = (mine - expected) * weight_line
-        told = np.zeros((2, 2))
-        runs = np.maximum(count - 1, 0) * (weight / count)
-        told[1, 1], told[0, 0] = runs[good].sum(), runs[~good].sum()
-        initial = ((good - expected[first]) * weight / count).sum()
+        initial = ((mine[first] - expected[first]) * weight / count).sum()
         gradient = np.concatenate([features.T @ gap, (told - steps_seen).ravel(), [-initial, initial]]) - pull * (theta - prior)
         momentum = 0.9 * momentum + 0.1 * gradient
         scale = 0.99 * scale + 0.01 * gradient**2
@@ -266,7 +280,8 @@ def fit(doc: np.ndarray, features: np.ndarray, label: np.ndarray, rounds: int =
 def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES) -> Crf:
     """A CRF fitted on at most `most` labelled texts of each kind: those with the smallest hashed ids.
 
-    Of rows that share an id one text counts. Of a long text a run of most_lines lines counts, from a hashed line on.
+    The texts count each alone and as pairs of a good and a bad one. Of rows that share an id one text counts. Of a long text a run
+    of most_lines lines counts, from a hashed line on.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("good")).where("good is not null and doc_id is not null").distinct()
     kinds = [known.where(F.col("good") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (1, 0)]
@@ -275,20 +290,30 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_
     sample = sorted(one.collect(), key=lambda r: (r["good"], r["doc_id"]))
     if len({r["good"] for r in sample}) < 2:
         return PRIOR
-    doc, features, seen = [], [], 0
-    for step in steps(utf8([r["text"] for r in sample])):
-        _, d, f, _ = measure(step)
-        first, count, number = _by_place(d)
-        for at, n, k in zip(first.tolist(), count.tolist(), number.tolist(), strict=True):
-            if n > most_lines:
-                at += int(mix64(np.array([n + k]))[0] % np.uint64(n - most_lines + 1))
-            doc.append(d[at : at + most_lines][: min(n, most_lines)] + seen)
-            features.append(f[at : at + min(n, most_lines)])
-        seen += len(step)
-    doc = np.concatenate(doc)
-    order = np.argsort(doc, kind="stable")
-    good = np.array([r["good"] for r in sample])
-    return fit(doc[order], np.concatenate(features)[order], good[doc[order]])
+    texts = utf8([r["text"] for r in sample])
+    good = [r["good"] for r in sample]
+    full = [sum(map(bool, map(bytes.split, t.split(b"\n")))) for t in texts]  # lines with words
+    doc, features, label = [], [], []
+    for number, parts in enumerate([*((k,) for k in range(len(texts))), *joined(good)]):
+        whole, at = measure([b"\n".join(texts[k] for k in parts)])[2], 0
+        for side, k in enumerate(parts):
+            room = most_lines // len(parts)
+            low = 0
+            if full[k] > room:  # of a pair's texts the lines next to the border
+                hashed = int(mix64(np.array([full[k] + k]))[0] % np.uint64(full[k] - room + 1))
+                low = hashed if len(parts) == 1 else full[k] - room if side == 0 else 0
+            n = min(full[k] - low, room)
+            features.append(whole[at + low : at + low + n])
+            label.append(np.full(n, good[k]))
+            doc.append(np.full(n, number))
+            at += full[k]
+    return fit(*map(np.concatenate, (doc, features, label)))
+
+
+def joined(good: list[int]) -> list[tuple[int, int]]:
+    """Pairs of a good and a bad text, each text in one at most, in either order by turns."""
+    pairs = zip((k for k, g in enumerate(good) if g), (k for k, g in enumerate(good) if not g), strict=False)
+    return [pair if turn % 2 else pair[::-1] for turn, pair in enumerate(pairs)]
 
 
 def verdicts(crf: Crf, texts: list[bytes], least_share: float = LEAST_SHARE) -> pd.DataFrame:

@@ -63,6 +63,61 @@ def test_held_out_accuracy(spark):
     assert good.kept.mean() > 0.9 and bad.kept.mean() < 0.1, (good.kept.mean(), bad.kept.mean())
 
 
+def slow_share(crf, text):
+    """Line by line, by a table of best paths."""
+    _, _, features, chars = quality.measure([text.encode()])
+    best = None
+    for f in features:
+        content = sum(a * b for a, b in zip(f, crf.emission, strict=True))
+        if best is None:
+            best = {0: (crf.start[0], []), 1: (crf.start[1] + content, [])}
+        else:
+            # of equal ways the one from content
+            to = {s: max((best[p][0] + crf.transition[p][s], p) for p in (0, 1)) for s in (0, 1)}
+            best = {s: (score + content * s, [*best[p][1], p]) for s, (score, p) in to.items()}
+    if best is None:
+        return 0.0
+    last = 1 if best[1][0] >= best[0][0] else 0
+    states = [*best[last][1], last]
+    return sum(c for c, s in zip(chars.tolist(), states, strict=True) if s) / max(sum(chars.tolist()), 1)
+
+
+def labelled(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    crf = quality.train(docs, labels.where("doc_id % 2 = 0"), 300)
+    held = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id").collect()
+    return crf, [(r["text"], r["quality"]) for r in held]
+
+
+def test_borders_of_joined_texts_are_found(spark):
+    """Held-out good and bad texts, joined in either order: one change, within a line of the border."""
+    crf, held = labelled(spark)
+    assert crf.transition[0][0] > crf.transition[0][1] and crf.transition[1][1] > crf.transition[1][0]
+    count = lambda t: sum(bool(WORD.search(x)) for x in t.split("\n"))
+    good, bad = ([t for t, q in held if q == kind and count(t)] for kind in (1, 0))
+    found, mixed = [], []
+    for k, (a, b) in enumerate(zip(good, bad, strict=False)):
+        first, second = (a, b) if k % 2 else (b, a)
+        text = (first + "\n" + second).encode()
+        _, doc, features, _ = quality.measure([text])
+        states = quality.decode(crf, doc, features)
+        changes = np.flatnonzero(states[1:] != states[:-1]) + 1
+        found.append(len(changes) == 1 and abs(changes[0] - count(first)) <= 1)
+        mixed.append(0 < quality.verdicts(crf, [text])["content_share"][0] < 1)
+    assert len(found) > 150 and np.mean(found) >= 0.8 and np.mean(mixed) > 0.8, (np.mean(found), np.mean(mixed))
+
+
+def test_kept_equals_a_slow_decoder(spark):
+    crf, held = labelled(spark)
+    texts = [t for t, _ in held[:300]] + ["\n".join([held[k][0], held[k + 1][0]]) for k in range(0, 300, 2)]
+    got = quality.verdicts(crf, [t.encode() for t in texts])
+    for t, kept, share in zip(texts, got["kept"], got["content_share"], strict=True):
+        slow = slow_share(crf, t)
+        assert abs(slow - share) < 1e-9 and kept == (not brute(t)[5] and slow >= quality.LEAST_SHARE)
+    assert len({*got["content_share"]} - {0.0, 1.0}) > 30
+
+
 def test_odd_rows(spark):
     long = " ".join(f"word{k}" for k in range(60_000))
     rows = [(1, None, 5), (2, "", 5), (3, "\n \n", 5), (4, "one two", 5), (5, long, 5), (5, long, 5)]
@@ -94,7 +149,8 @@ def test_training_takes_a_bounded_number_of_texts(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(quality, "fit", lambda doc, features, label: seen.append((doc, label)) or quality.PRIOR)
     quality.train(docs, labels, 1, 7)
-    assert len(set(seen[0][0])) == 2 and len(seen[0][0]) == 2 + 7 and sorted(seen[0][1]) == [0] * 7 + [1] * 2
+    doc, label = seen[0]  # the bad text, the good one, and both joined: at most seven lines each
+    assert doc.tolist() == [0] * 7 + [1] * 2 + [2] * 5 and label.tolist() == [0] * 7 + [1] * 2 + [0] * 3 + [1] * 2
 
 
 def test_long_texts_decode_like_short_ones(monkeypatch):
