@@ -14,30 +14,51 @@ def _order(track: str, order: str):
 def sliding(df: DataFrame, track: str, frame: str, value: str, past: int, future: int) -> DataFrame:
     """Adds _top, _before and _after: maximum of [-past, future], sums of [-past, -1] and [1, future].
 
-    Every row costs the same whatever the width: sums are differences of running sums, and the maximum is that of the rest of
-    one block and of the beginning of another, blocks being as wide as the window.
+    Every row costs the same whatever the width: maximum and sums are put together from the rest of one block and the beginning of
+    another. Nothing is summed beyond a block, so a NaN spoils only what it is part of, and long tracks lose no digits.
     """
-    v, by, width = F.col(value), _order(track, frame), past + future + 1
-    so_far = by.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = df.withColumns({"_n": F.row_number().over(by) - 1, "_rows": F.count(F.lit(1)).over(W.partitionBy(track)), "_sum": F.coalesce(F.sum(v).over(so_far), F.lit(0.0))})
-    rows = rows.withColumn("_block", F.floor(F.col("_n") / width))
-    block = W.partitionBy(track, "_block")
-    rows = rows.withColumn("_from", F.max(v).over(block.orderBy(frame).rowsBetween(W.unboundedPreceding, W.currentRow)))
-    rows = rows.withColumn("_rest", F.max(v).over(block.orderBy(F.desc(frame)).rowsBetween(W.unboundedPreceding, W.currentRow)))
-    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = rows.withColumns({"_last": F.last("_from").over(whole), "_total": F.last("_sum").over(whole)})
+    v, by = F.col(value), _order(track, frame)
+    rows = df.withColumns({"_n": F.row_number().over(by) - 1, "_rows": F.count(F.lit(1)).over(W.partitionBy(track))})
     n, rows_in = F.col("_n"), F.col("_rows")
-    ends = n + future > rows_in - 1
-    left = F.when(n >= past, F.lag("_rest", past).over(by))
-    apart = (n < past) | (F.floor((n - past) / width) < F.floor((rows_in - 1) / width))
-    right = F.when(~ends, F.lead("_from", future).over(by)).when(apart, F.col("_last"))
     own = F.coalesce(v, F.lit(0.0))
-    sums = {
-        "_top": F.greatest(left, right),
-        "_before": F.col("_sum") - own - F.coalesce(F.lag("_sum", past + 1).over(by), F.lit(0.0)),
-        "_after": F.coalesce(F.lead("_sum", future).over(by), F.col("_total")) - F.col("_sum"),
-    }
-    return rows.withColumns(sums).drop("_n", "_rows", "_sum", "_block", "_from", "_rest", "_last", "_total")
+    made: list[str] = []
+
+    def blocks(name: str, width: int, f, of: Column) -> tuple[str, str]:
+        """Over blocks of width rows: f from a row's block's first row up to it, and from it to the block's last row."""
+        nonlocal rows
+        name = f"_{name}{width}"
+        if f"{name}_block" in made:  # sums of both sides, if these are as wide
+            return f"{name}_from", f"{name}_rest"
+        rows = rows.withColumn(f"{name}_block", F.floor(n / width))
+        block = W.partitionBy(track, f"{name}_block")
+        upto = W.unboundedPreceding, W.currentRow
+        rows = rows.withColumn(f"{name}_from", f(of).over(block.orderBy(frame).rowsBetween(*upto)))
+        rows = rows.withColumn(f"{name}_rest", f(of).over(block.orderBy(F.desc(frame)).rowsBetween(*upto)))
+        made.extend((f"{name}_block", f"{name}_from", f"{name}_rest"))
+        return f"{name}_from", f"{name}_rest"
+
+    def spread(name: str, low: int, high: int, f, of: Column, join) -> Column:
+        """f over the rows low to high beside each (of those there are): low's block's rest, and high's block's beginning if that is another."""
+        width = high - low + 1
+        begun, rest = blocks(name, width, f, of)
+        whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        at = lambda column, k: F.lag(column, -k).over(by) if k < 0 else F.lead(column, k).over(by) if k else F.col(column)
+        first, last = n + low, n + high
+        ends = F.least(last, rows_in - 1)
+        block = lambda x: F.floor(x / width)
+        left = F.when((first >= 0) & (first < rows_in), at(rest, low))
+        right = F.when(last < rows_in, at(begun, high)).otherwise(F.last(begun).over(whole))
+        one = F.when(first < 0, right).otherwise(left)  # the window is in one block, or begins before the track
+        apart = (first >= 0) & (block(first) < block(ends))
+        inside = (ends >= 0) & (first < rows_in) & (ends >= first)
+        return F.when(inside, F.when(apart, join(left, right)).otherwise(one))
+
+    add = lambda a, b: a + b
+    found = {"_top": spread("max", -past, future, F.max, v, F.greatest)}
+    zero = F.lit(0.0)
+    found["_before"] = F.coalesce(spread("sum", -past, -1, F.sum, own, add), zero) if past else zero
+    found["_after"] = F.coalesce(spread("sum", 1, future, F.sum, own, add), zero) if future else zero
+    return rows.withColumns(found).drop("_n", "_rows", *made)
 
 
 def peak_strength(df: DataFrame, track: str, frame: str, value: str, past: int = 1200, future: int = 1200) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tactus.functions import columns as fn
-from tactus.operators import hmm, nearest, parity, peaks, rollup, score, segments, signal, sound, stems
+from tactus.operators import hmm, manifest, nearest, parity, peaks, quantiles, rollup, score, segments, signal, sound, stems
 from tactus.operators.tempo import tempo_candidates
 from tactus.session import fresh_path
-from tactus.sources import audio
+from tactus.sources import audio, cache, sinks, store
 from tactus.streaming import guard, incremental, sink
 from tactus.streaming import islands as islands_stream
 
@@ -751,3 +751,64 @@ def spectrum_variants(spark, sf_dir):
     expected = m.select("vec_id", "i", F.log10(1 + F.col("magnitude") * F.col("magnitude")).alias("level"))
     out = parity.spectrum_search(expected, m, [1.0, 2.0], ["ln", "log10"], ["vec_id", "i"])
     return out.select("power", "log", *(F.round(c, 7).alias(c) for c in ("mean_abs", "max_abs", "rmse")))
+
+
+# --- sketches, manifests, caches, open rows
+
+PARTS = [0.05, 0.5, 0.9]
+
+
+@query("""select l_returnflag, p, count(*) as n, true as within from lineitem, (values (cast(0.05 as double)), (0.5), (0.9)) as t(p) group by all""")
+def quantile_sketches(spark, sf_dir):
+    """Whether the exact rank of every estimate is within the bound: prices by flag, from sketches of each line status, merged."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    parts = quantiles.sketches(rows, ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    found = quantiles.estimates(quantiles.merged(parts, ["l_returnflag"]), ["l_returnflag"], PARTS)
+    ranked = quantiles.ranked(rows, ["l_returnflag"], "l_extendedprice", found)
+    within = quantiles.within(F.col("p"), F.col("below"), F.col("upto"), 2 * quantiles.rank_error())
+    return ranked.select("l_returnflag", "p", "n", within.alias("within"))
+
+
+@query("""with t as (select d.doc_id, stage, o, case when l.doc_id is null then 'new' when l.toxic = 1 then 'input changed' when l.quality = 1 or stage in ('demix', 'spec') then 'done'
+    when stage = 'json' then 'options changed' else 'an earlier stage changed' end as status
+    from documents d left join labels l using (doc_id), (values ('demix', 0), ('spec', 1), ('json', 2), ('viz', 3), ('sonify', 4)) as s(stage, o))
+    select cast(doc_id as varchar) as track, stage, status from t""")
+def stage_plan(spark, sf_dir):
+    """Labelled documents as tracks that a manifest knows: those of quality 1 as they are, toxic ones with another input, the rest with another option of json."""
+    stages = lambda threshold: [
+        manifest.Stage("demix"), manifest.Stage("spec", ("demix",)), manifest.Stage("json", ("spec",), {"threshold": threshold}),
+        manifest.Stage("viz", ("json",)), manifest.Stage("sonify", ("json",)),
+    ]
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    inputs = docs.select(F.col("doc_id").cast("string").alias("track"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("input"))
+    known = inputs.join(labels.select(F.col("doc_id").cast("string").alias("track"), "quality", "toxic"), "track")
+    known = known.withColumn("input", F.when(F.col("toxic") == 1, F.lit("another")).otherwise(F.col("input")))
+    path = fresh_path(spark, "manifest")
+    manifest.record(manifest.expected(known.where("quality = 1"), stages(0.24)), path, 0)
+    manifest.record(manifest.expected(known.where("quality <> 1"), stages(0.3)), path, 1)
+    return manifest.planned(inputs, stages(0.24), manifest.read(spark, path)).select("track", "stage", "status")
+
+
+@query("""select item_id, case when item_id % 5 = 0 then 'rejected' when item_id % 7 = 1 then 'replaced' else 'fetched' end as first, case when item_id % 5 = 0 then 'rejected' else 'kept' end as second from benchmark""")
+def verified_cache(spark, sf_dir):
+    """Passages as files: every fifth source isn't what it should be, every seventh other cached file is spoiled beforehand."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    items = items.withColumn("text", F.concat("name", F.lit(": "), "text"))
+    sources, kept = fresh_path(spark, "sources"), fresh_path(spark, "cache")
+    store.write_files(items, sources, F.col("name"), F.when(F.col("item_id") % 5 == 0, F.lit("spoiled")).otherwise(F.col("text")))
+    wanted = items.select("item_id", "name", F.sha2("text", 256).alias("sha256"), F.concat(F.lit(sources + "/"), "name").alias("source"))
+    store.write_files(wanted.where("item_id % 7 = 1"), kept, F.concat(F.substring("sha256", 1, 2), F.lit("/"), "sha256"), F.lit("spoiled"))
+    runs = [cache.cached(wanted, kept, strict=False).select("name", F.col("status").alias(k)) for k in ("first", "second")]
+    return wanted.select("item_id", "name").join(runs[0], "name").join(runs[1], "name").select("item_id", "first", "second")
+
+
+@query("""select event_id, event_type as stage, round(value, 2) as duration, cast(json_extract(props, '$.k') as bigint) as k, 'BIGINT' as kind, event_id % 3 as deep from events""")
+def timing_extras(spark, sf_dir):
+    """Events as timing lines with keys of their own, written, read and written again."""
+    made = F.struct("event_id", F.col("event_type").alias("stage"), F.col("value").alias("duration"), F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.struct((F.col("event_id") % 3).alias("x")).alias("more"))
+    first, second = fresh_path(spark, "timings"), fresh_path(spark, "timings")
+    table(spark, sf_dir, "events").select(F.to_json(made).alias("value")).write.text(first)
+    sinks.append_timings(audio.timings(spark, first), second)
+    t = audio.timings(spark, second)
+    extra = lambda key, path, kind: F.try_variant_get(F.col("extra")[key], path, kind)
+    return t.select(extra("event_id", "$", "bigint").alias("event_id"), "stage", "duration", extra("k", "$", "bigint").alias("k"), F.schema_of_variant(F.col("extra")["k"]).alias("kind"), extra("more", "$.x", "bigint").alias("deep"))

@@ -247,8 +247,15 @@ def _beside(out: DataFrame, activations: DataFrame | None) -> DataFrame:
 
 
 def timings(spark: SparkSession, path: str) -> DataFrame:
-    """Timing lines, blank ones left out. Raises where there is none."""
-    found = spark.read.schema(TIMING).json(path).where("stage is not null")
+    """Timing lines, blank ones left out, with all further keys of a line in extra (map<string, variant>). Raises where there is none.
+
+    Every key keeps its name, type and nesting, so a row can be written again as it was (sinks.append_timings).
+    """
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    whole = lines.select(F.from_json("value", TIMING).alias("_t"), F.from_json("value", "map<string,variant>").alias("_all"))
+    known = [c.split()[0] for c in TIMING.split(", ")]
+    extra = F.map_filter("_all", lambda k, _: ~k.isin(*known)).alias("extra")
+    found = whole.where("_t.stage is not null").select("_t.*", extra)
     if found.isEmpty():
         raise ValueError(f"no timings in {path}")
     return found

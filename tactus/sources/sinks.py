@@ -127,9 +127,20 @@ def encode_wave(rate: int, samples: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def rounded_timings(timings: DataFrame) -> DataFrame:
+    """Timing rows as one JSON object each (column value): times at two decimals, the keys of extra beside the others, nulls left out."""
+    known = [c for c in timings.columns if c != "extra"]
+    value = lambda c: F.round(c, 2) if c in ("start", "end", "duration") else F.col(c)
+    entries = F.filter(F.array(*(F.struct(F.lit(c).alias("key"), value(c).cast("variant").alias("value")) for c in known)), lambda e: e["value"].isNotNull())
+    whole = F.map_from_entries(entries)
+    if "extra" in timings.columns:
+        own = F.map_filter(F.coalesce("extra", F.map_from_entries(F.filter(entries, lambda e: F.lit(False)))), lambda k, _: ~k.isin(*known))
+        whole = F.map_concat(whole, own)
+    return timings.select(F.to_json(whole).alias("value"))
+
+
 def append_timings(timings: DataFrame, folder: str) -> None:
-    times = {c: F.round(c, 2) for c in ("start", "end", "duration")}
-    timings.withColumns(times).write.mode("append").json(folder)
+    rounded_timings(timings).write.mode("append").text(folder)
 
 
 def timing_lines(summary: DataFrame, columns: list[str]) -> DataFrame:

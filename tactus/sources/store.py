@@ -26,23 +26,25 @@ def write_files(rows: DataFrame, folder: str, name: Column, content: Column) ->
 
     A name that comes twice raises: files of equal names would replace each other.
     """
-    named = rows.select(name.alias("name"), content.cast("binary").alias("content"))
+    named = durable(rows.select(name.alias("name"), content.cast("binary").alias("content")), "files-to-write")  # what comes before runs once
     twice = named.groupBy("name").count().where("count > 1").orderBy("name").limit(5).collect()
     if twice:
         raise ValueError(f"more than one file of the names {', '.join(r['name'] for r in twice)}")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = store_of(folder)
-        made = False
+        made: set[str] = set()
         for batch in batches:
-            if len(batch) and not made:  # a folder is made only for something
-                store.create_dir(root, recursive=True)
-                made = True
             for file, data in zip(batch["name"], batch["content"], strict=True):
-                temporary = f"{root}/.{file}.{uuid.uuid4().hex}"
+                path = f"{root}/{file}"
+                parent, last = path.rsplit("/", 1)
+                if parent not in made:  # a folder is made only for something
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                temporary = f"{parent}/.{last}.{uuid.uuid4().hex}"
                 with store.open_output_stream(temporary) as f:
                     f.write(data)
-                store.move(temporary, f"{root}/{file}")
+                store.move(temporary, path)
             yield pd.DataFrame({"file": [f"{folder}/{n}" for n in batch["name"]], "bytes": [len(c) for c in batch["content"]]})
 
     return durable(named.mapInPandas(write, "file string, bytes long"), "written-files")

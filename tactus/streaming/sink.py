@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tactus.session import hadoop_path
+from tactus.sources.sinks import rounded_timings
 
 MARKER = "_SUCCESS"
 
@@ -56,6 +56,5 @@ def append_once(stream: DataFrame, folder: str, checkpoint: str, writer: str, fo
 
 
 def append_timings(stream: DataFrame, folder: str, checkpoint: str, writer: str, **trigger) -> StreamingQuery:
-    """Timing rows as JSON lines, times at two decimals; each batch once."""
-    times = {c: F.round(c, 2) for c in ("start", "end", "duration") if c in stream.columns}
-    return append_once(stream.withColumns(times), folder, checkpoint, writer, "json", **trigger)
+    """Timing rows as JSON lines, times at two decimals, extra keys as they are; each batch once."""
+    return append_once(rounded_timings(stream), folder, checkpoint, writer, "text", **trigger)

@@ -260,3 +260,25 @@ def test_viterbi_equals_brute_force(spark, chunk):
             path.append(int(b[path[-1]]))
         assert [found[k, i][0] for i in range(len(s))] == path[::-1]
         assert all(found[k, i][1] == pytest.approx(best.max()) for i in range(len(s)))
+
+
+def test_a_nan_spoils_its_own_windows_alone(spark):
+    """Strengths, maxima and sums by brute force, with a NaN, nulls, and windows wider than the track."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=60)
+    x[2] = np.nan
+    rows = [("t", k, float(v)) for k, v in enumerate(x)] + [("u", k, None if k % 4 == 0 else float(k % 3)) for k in range(9)] + [("one", 0, 5.0)]
+    df = spark.createDataFrame(rows, "track string, frame long, v double")
+    for past, future in ((2, 2), (3, 1), (0, 4), (20, 100), (1, 0)):
+        got = {(r["track"], r["frame"]): r for r in peaks.sliding(df, "track", "frame", "v", past, future).collect()}
+        for t in ("t", "u", "one"):
+            y = [v for track, _, v in rows if track == t]
+            for k in range(len(y)):
+                seen = [v for v in y[max(0, k - past) : k + future + 1] if v is not None]
+                top = None if not seen else np.nan if np.isnan(seen).any() else max(seen)
+                sums = [sum(v or 0.0 for v in side) for side in (y[max(0, k - past) : k], y[k + 1 : k + 1 + future])]
+                for name, want in zip(("_top", "_before", "_after"), (top, *sums), strict=True):
+                    found = got[t, k][name]
+                    assert (found is None) == (want is None) and (want is None or np.isclose(found, want, equal_nan=True)), (past, future, t, k, name)
+    strong = peaks.peak_strength(df.where("track = 't'"), "track", "frame", "v", 2, 2).collect()
+    assert sum(np.isnan(r["strength"]) for r in strong) <= 5
