@@ -13,11 +13,11 @@ template once SUPPORT pages with different texts of their own, and half of the h
 along the wrapper: slots and groups are taken, template text is left out, save headings, and save on pages where it
 would be more than half of the text.
 
-The region is chosen for each page: its article elements, else its main elements, else the heaviest of the host's
-alternatives (elements, optional ones too, that hold most text outside links where they stand) that the page has, else the
-page's own heaviest element, else its body. Navigation, asides, forms, notices, adverts and comments are known
-by their tags, roles and class words, and, where there is neither article nor main, by their share of link text. The
-blocks of each page inside that region, in page order, are its text.
+The region is the heaviest of the host's alternatives (elements, optional ones too, that hold most text outside links where
+they stand) that the page has; of it, or where the page has none of them, its article elements, else its main elements, if they hold
+most of it; else the page's own heaviest element, else its body. Navigation, asides, forms, notices, adverts and comments are known by
+their tags, roles and class words, unless the host's wrapper shows that next to no text stands outside such an element, and by their
+share of link text. The blocks of each page inside that region, in page order, are its text.
 
 Null and empty pages have an empty text. Pages whose address is null or without a host form one host. Repeated rows are
 pages like others.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import html as entities
+import itertools
 import json
 import re
 from collections import Counter
@@ -58,7 +59,9 @@ BOILERPLATE_TAGS = frozenset("nav footer aside form button select input dialog m
 ASIDE_TAGS = BOILERPLATE_TAGS - {"form"}
 BOILERPLATE_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments
  complementary contentinfo cookie cookies disqus footer menu nav navbar navigation newsletter notice notices pagination popup
- promo promotion promoted related share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget""".split())
+ promo promotion promoted related replies reply responses share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget""".split())
+#: Listed words that other words are made with: commentlist, sidebarbox.
+STEMS = tuple("advert banner breadcrumb comment cookie footer newsletter sidebar sponsor".split())
 
 #: Words that say how things are, not what an element is: has-sidebar, no-comments, share-enabled, ad-free.
 STATES = frozenset("has no not with without is free enabled disabled open closed on off hidden active allowed".split())
@@ -87,8 +90,12 @@ SHARE = 0.5
 HEAVY = 0.7
 #: A region of the host's with less than this part of a page's text is not the page's.
 LEAST = 0.1
-#: Elements below this depth part text but do not nest.
+#: Wrappers are this deep at most: what is below counts as text of the element there. Pages are read at any depth.
 DEEPEST = 100
+#: Siblings of one kind that may be parts of a layout; more are a list.
+MOST_PARTS = 6
+#: An element named as boilerplate outside of which a host has less than this part of its text isn't boilerplate there.
+OUTSIDE = 0.2
 
 Node = list  # [label, quantifier, children, pages, characters, characters in links, text or None, pages that agree]; texts have label #
 Element = list  # [label, children, characters, characters in links, text]; texts have label #
@@ -98,7 +105,29 @@ def _label(tag: str, attributes: str) -> str:
     if "=" not in attributes:
         return tag
     words = [w for _, a, b, c in ATTRIBUTE.findall(attributes) for w in (a or b or c).lower().split()]
-    return ".".join([tag, *sorted({re.sub(r"\d+", "0", w) for w in words})])
+    return ".".join([tag, *sorted({*words})])
+
+
+NUMBER = re.compile(r"\d+")
+
+
+def _named(children: list[Element]) -> None:
+    """Numbers in the labels of like siblings become 0, unless they tell different parts of a layout apart.
+
+    Of siblings that differ in numbers alone (item-1 and item-2, or col-8 and col-4), those whose numbers count up one by one are
+    like; others are kept apart.
+    """
+    kinds: dict[str, list[Element]] = {}
+    for child in children:
+        tag, dot, words = child[0].partition(".")
+        if NUMBER.search(words):
+            kinds.setdefault(tag + dot + NUMBER.sub("0", words), []).append(child)
+    for folded, like in kinds.items():
+        numbers = [tuple(map(int, NUMBER.findall(c[0].partition(".")[2]))) for c in like]
+        apart = {y for n in zip(*numbers, strict=False) if len({*n}) > 1 for y in [all(b - a == 1 for a, b in itertools.pairwise(n))]}
+        if False not in apart or len(like) > MOST_PARTS:
+            for child in like:
+                child[0] = folded
 
 
 def tokens(page: str) -> Iterator[tuple]:
@@ -163,13 +192,16 @@ def tokens(page: str) -> Iterator[tuple]:
 
 
 def boilerplate(label: str) -> bool:
-    """By the tag, or by a word of class, id or role: a listed word as it is, or as the first or last part of one that names no state."""
+    """By the tag, or by a word of class, id or role that has a listed word as a part, or a part that begins or ends with one, and names no state.
+
+    This is a guess from names; whether it holds on a host is the wrapper's to say (`_spared`).
+    """
     tag, *words = label.split(".")
     if tag in BOILERPLATE_TAGS or tag in ("html", "body"):
         return tag in BOILERPLATE_TAGS
     for word in words:
         parts = [p for p in re.split(r"[^a-z]+", word) if p]
-        if parts and not STATES & {*parts} and not BOILERPLATE_WORDS.isdisjoint((parts[0], parts[-1])):
+        if not STATES & {*parts} and any(p in BOILERPLATE_WORDS or p.startswith(STEMS) or p.endswith(STEMS) for p in parts):
             return True
     return False
 
@@ -177,7 +209,7 @@ def boilerplate(label: str) -> bool:
 def tree(page: str) -> Element:
     """The page's elements and texts; a text runs to the next tag that is not inline."""
     root: Element = ["#page", [], 0, 0, None]
-    path, held, over = [root], [], 0
+    path, held = [root], []
 
     def flush() -> None:
         text = " ".join("".join(t[1] for t in held).split())
@@ -192,17 +224,13 @@ def tree(page: str) -> Element:
             continue
         flush()
         if token[0] == "close":
-            if over:
-                over -= 1
-            else:
-                path.pop()
-        elif len(path) > DEEPEST:
-            over += 1
+            _named(path.pop()[1])
         else:
             element: Element = [token[1], [], 0, 0, None]
             path[-1][1].append(element)
             path.append(element)
     flush()
+    _named(root[1])
     return root
 
 
@@ -210,12 +238,19 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def _texts(element: Element) -> Iterator[str]:
-    for child in element[1]:
+def _below(element: Element) -> Iterator[Element]:
+    """Texts below an element, in page order, however deep."""
+    todo = [*reversed(element[1])]
+    while todo:
+        child = todo.pop()
         if child[0] == "#":
-            yield child[4]
+            yield child
         else:
-            yield from _texts(child)
+            todo += reversed(child[1])
+
+
+def _texts(element: Element) -> Iterator[str]:
+    return (text[4] for text in _below(element))
 
 
 def skeleton(page: str | Element) -> Node:
@@ -223,11 +258,12 @@ def skeleton(page: str | Element) -> Node:
     root = tree(page) if isinstance(page, str) else page
     own = _hash("\n".join(sorted(_texts(root), key=lambda t: (-len(t), t))[:2]))  # copies with another date or count are one page
 
-    def node(element: Element) -> Node:
+    def node(element: Element, depth: int) -> Node:
         text = element[0] == "#"
-        return [element[0], "1", list(map(node, element[1])), 1, element[2], element[3], _hash(element[4]) if text else None, [own] if text else []]
+        inner = element[1] if depth < DEEPEST else list(_below(element))
+        return [element[0], "1", [node(c, depth + 1) for c in inner], 1, element[2], element[3], _hash(element[4]) if text else None, [own] if text else []]
 
-    return fold(node(root))
+    return fold(node(root, 0))
 
 
 def fold(node: Node) -> Node:
@@ -376,12 +412,12 @@ def pattern(node: Node) -> str:
     return inner if node[0] == "#page" else f"(<{node[0]}>{inner}</>){q}"
 
 
-def _weight(node: Node) -> tuple[int, int]:
-    """Characters, and those in links, outside what is boilerplate by name."""
+def _weight(node: Node, spared: set[str] = frozenset()) -> tuple[int, int]:
+    """Characters, and those in links, outside what is boilerplate by name and not spared."""
     chars, links = node[4], node[5]
     for child in node[2]:
-        if not boilerplate(child[0]):
-            c, k = _weight(child)
+        if child[0] in spared or not boilerplate(child[0]):
+            c, k = _weight(child, spared)
             chars, links = chars + c, links + k
     return chars, links
 
@@ -398,23 +434,61 @@ def _model(node: Node, pages: int) -> list | None:
     return [node[0], None, [m or [c[0], None, []] for c, m in zip(node[2], inner, strict=True)]]
 
 
-def _alternatives(node: Node, path: list[str]) -> list[dict]:
-    """{"path": labels, "drop": labels} of the elements in which the text stands, on some pages this and on others that."""
-    chars, links = _weight(node)
+def _alternatives(node: Node, path: list[str], spared: set[str] = frozenset()) -> list[dict]:
+    """{"path": labels, "drop": labels} of the elements in which the text stands, on some pages this and on others that.
+
+    An article, and an element with a heading of its own, is not gone into: the heading belongs to its text.
+    """
+    chars, links = _weight(node, spared)
     found = []
-    for c in node[2]:
-        w = _weight(c) if c[0] != "#" and not boilerplate(c[0]) and c[1] in "1?" else (0, 0)
+    whole = _tag(node) == "article" or any(HEADING.match(c[0]) for c in node[2])
+    for c in [] if whole else node[2]:
+        w = _weight(c, spared) if c[0] != "#" and (c[0] in spared or not boilerplate(c[0])) and c[1] in "1?" else (0, 0)
         if w[0] > w[1] and (w[0] - w[1]) * node[3] >= HEAVY * chars * c[3] and any(k[0] != "#" for k in c[2]):
-            found += _alternatives(c, [*path, c[0]])
+            found += _alternatives(c, [*path, c[0]], spared)
     if found:
         return found
-    drop = {c[0] for c in node[2] if c[0] != "#" and (w := _weight(c))[0] and 2 * w[1] > w[0]}
+    drop = {c[0] for c in node[2] if c[0] != "#" and (w := _weight(c, spared))[0] and 2 * w[1] > w[0]}
     return [{"path": path, "drop": sorted(drop)}]
 
 
+def _tag(node: Node | Element) -> str:
+    return node[0].split(".")[0]
+
+
+def _spared(wrapper: Node) -> set[str]:
+    """Labels named as boilerplate in which, on this host, the text stands: outside of them there is next to none."""
+    spared: set[str] = set()
+    total = _all(wrapper)
+    while True:
+        outside = _weight(wrapper, spared)[0]
+        if outside >= OUTSIDE * total:
+            return spared
+        named: Counter = Counter()
+
+        def look(node: Node) -> None:
+            for c in node[2]:
+                if c[0] != "#":
+                    if c[0] not in spared and boilerplate(c[0]) and _tag(c) not in BOILERPLATE_TAGS - {"form"}:
+                        named[c[0]] += _all(c)  # noqa: B023
+                    else:
+                        look(c)
+
+        look(wrapper)
+        if not named or max(named.values()) <= outside:
+            return spared
+        spared.add(max(named, key=lambda label: (named[label], label)))
+
+
+def _all(node: Node) -> int:
+    """Characters outside links, and outside navigation and the like by tag."""
+    return node[4] - node[5] + sum(_all(c) for c in node[2] if _tag(c) not in BOILERPLATE_TAGS - {"form"})
+
+
 def region(wrapper: Node) -> dict:
-    """What reading a page needs: {"paths": the alternatives, "model": the template text}."""
-    return {"paths": _alternatives(wrapper, []), "model": _model(wrapper, wrapper[3])}
+    """What reading a page needs: {"paths": the alternatives, "model": the template text, "spared": what isn't boilerplate in spite of its name}."""
+    spared = _spared(wrapper)
+    return {"paths": _alternatives(wrapper, [], spared), "model": _model(wrapper, wrapper[3]), "spared": sorted(spared)}
 
 
 def _beside(children: list[Element], model: list | None) -> list:
@@ -433,67 +507,88 @@ def _beside(children: list[Element], model: list | None) -> list:
 def _tagged(root: Element, tag: str) -> list[list[Element]]:
     """The ways from the page to each outermost element of the tag, that element last."""
     found = []
-
-    def look(element: Element, way: list[Element]) -> None:
-        for child in element[1]:
-            if child[0].split(".")[0] == tag:
-                found.append([*way, child])
-            elif child[0] != "#":
-                look(child, [*way, child])
-
-    look(root, [])
+    todo: list[tuple[Element, tuple | None]] = [(c, None) for c in reversed(root[1])]
+    while todo:
+        child, way = todo.pop()
+        if _tag(child) == tag:
+            steps = [child]
+            while way:
+                way, above = way
+                steps.append(above)
+            found.append(steps[::-1])
+        elif child[0] != "#":
+            todo += [(c, (way, child)) for c in reversed(child[1])]
     return found
 
 
 def extract(page: str, where: dict) -> str:
-    """The blocks of the page's region, one to a line, without the template's text."""
+    """The blocks of the page's region, one to a line, without the template's text.
+
+    The region is the wrapper's, or of that the article or main elements if they hold most of it. Without a wrapper (an empty one) all of the page
+    is its text.
+    """
     root = tree(page)
+    if not where.get("paths"):
+        return "\n".join(_texts(root))
+    known = set(where.get("spared", ()))
     spared: set[int] = set()  # the only article, else the only main element, and what is around it
     ways = {tag: _tagged(root, tag) for tag in ("article", "main")}
     for tag in ("article", "main"):
-        if len(ways[tag]) == 1 and not any(e[0].split(".")[0] in ASIDE_TAGS for e in ways[tag][0]):
+        if len(ways[tag]) == 1 and not any(_tag(e) in ASIDE_TAGS for e in ways[tag][0]):
             around = sum(len(t) for way in ways["main"] for t in _texts(way[-1]))
             if tag == "main" or 2 * sum(map(len, _texts(ways[tag][0][-1]))) >= around:  # not a lone comment in main
                 spared.update(map(id, ways[tag][0]))
 
     def barred(element: Element) -> bool:
-        return id(element) not in spared and boilerplate(element[0])
+        return id(element) not in spared and element[0] not in known and boilerplate(element[0])
 
     def read(inside, drop=(), bars=barred) -> list[tuple[str, bool]]:
-        """(block, whether it is the template's) of the elements for which inside holds, given the way to them."""
+        """(block, whether it is the template's) of the elements for which inside holds, given the element, its depth and whether the path so far is asked for."""
         out: list[tuple[str, bool]] = []
-
-        def walk(element: Element, model: list | None, way: list[str], within: bool, at_root: bool) -> None:
-            for child, known in zip(element[1], _beside(element[1], model), strict=True):
+        # (element, its part of the model, its depth, whether it is within, whether it is the region's root, whether it is on the path)
+        within = inside(root, 0, True)[0]
+        todo = [(root, where.get("model"), 0, within, within, True)]
+        while todo:
+            element, model, depth, within, at_root, on = todo.pop()
+            if element[0] == "#":
+                if within:
+                    out.append((element[4], bool(model) and model[1] is not None and model[1] == _hash(element[4])))
+                continue
+            for child, part in reversed(list(zip(element[1], _beside(element[1], model), strict=True))):
                 if child[0] == "#":
-                    if within:
-                        out.append((child[4], bool(known) and known[1] is not None and known[1] == _hash(child[4])))
+                    todo.append((child, part, depth + 1, within, False, False))
                 elif not bars(child) and not (at_root and child[0] in drop):
-                    here = [*way, child[0]]
-                    entered = not within and inside(here)
-                    walk(child, known, here, within or entered, entered)
-
-        whole = inside([])
-        walk(root, where.get("model"), [], whole, whole)
+                    entered, onward = (False, False) if within else inside(child, depth + 1, on)
+                    todo.append((child, part, depth + 1, within or entered, entered, onward))
         return out
 
     def size(blocks: list[tuple[str, bool]]) -> int:
         return sum(len(text) for text, _ in blocks)
 
-    def at(place: dict) -> list[tuple[str, bool]]:
-        return read(lambda way: way == place["path"], place["drop"])
+    def by_tag(tag: str):
+        return lambda element, depth, on: (depth > 0 and _tag(element) == tag, True)
 
-    blocks: list[tuple[str, bool]] = []
-    for tag in ("article", "main"):
-        blocks = blocks or (read(lambda way: bool(way) and way[-1].split(".")[0] == tag) if ways[tag] else [])  # noqa: B023
-    if not blocks and where.get("paths"):
-        blocks = max(map(at, where["paths"]), key=size)
-        if size(blocks) < LEAST * size(read(lambda way: True)):
-            blocks = []
+    def along(path: list[str]):
+        def inside(element: Element, depth: int, on: bool) -> tuple[bool, bool]:
+            on = on and (depth == 0 or (depth <= len(path) and element[0] == path[depth - 1]))
+            return on and depth == len(path), on
+
+        return inside
+
+    everything = lambda element, depth, on: (True, True)
+    tagged = [read(by_tag(tag)) for tag in ("article", "main") if ways[tag]]
+    blocks = max((read(along(p["path"]), p["drop"]) for p in where["paths"]), key=size)
+    if size(blocks) < LEAST * size(read(everything)):
+        blocks = []
+    for part in tagged:  # the wrapper's region holds them, or they hold what it holds
+        if part and (not blocks or 2 * size(part) >= size(blocks)):
+            blocks = part
+            break
     if not blocks:
-        blocks = max(map(at, _alternatives(skeleton(root), [])), key=size)
+        own = _alternatives(skeleton(root), [])
+        blocks = max((read(along(p["path"]), p["drop"]) for p in own), key=size)
     if not blocks:
-        blocks = read(lambda way: True, bars=lambda e: e[0].split(".")[0] in BOILERPLATE_TAGS - {"form"})
+        blocks = read(everything, bars=lambda e: _tag(e) in BOILERPLATE_TAGS - {"form"})
     template = sum(len(text) for text, constant in blocks if constant)
     return "\n".join(text for text, constant in blocks if not constant or 2 * template > size(blocks))
 

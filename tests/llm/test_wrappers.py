@@ -182,3 +182,49 @@ def test_clashing_columns_stay(spark):
     df = spark.createDataFrame([(1, "http://a.b/c", page("a", "", ["p"]), 5, "w", 6)], "page_id long, url string, html string, host int, _where string, salt int")
     out = wrappers.main_text(df)
     assert out.columns == [*df.columns, "text"] and [tuple(r)[3:] for r in out.collect()] == [(5, "w", 6, "t\np")]
+
+
+LEAKS = "post-comments-wrapper commentlist replies reader-responses site-footer-inner main-menu-container top-ads-box article-sidebar-left".split()
+
+
+def test_inner_boilerplate_by_class_words():
+    """Inside the article, on a host without article elements too; a layout's name bars nothing that holds the text."""
+    for tag in ("article", "div"):
+        for name in LEAKS:
+            def made(k, name=name, tag=tag):
+                return f'<body><nav><a href="/">home</a></nav><{tag} class="story"><h1>Head {k}</h1><p>{f"text {k} " * 30}</p><div class="{name}"><p>{f"said {k} " * 5}</p><p>more of it {k}</p></div><p>last {k}</p></{tag}></body>'
+
+            pages = [made(k) for k in range(12)]
+            where = wrappers.region(infer(pages))
+            assert [wrappers.extract(p, where) for p in pages] == ["\n".join([f"Head {k}", f"text {k} " * 29 + f"text {k}", f"last {k}"]) for k in range(12)], (tag, name)
+            whole = [p.replace("<body>", f'<body><div class="{name}">').replace("</body>", "</div></body>").replace(f'<div class="{name}"><p>', '<div class="plain"><p>') for p in pages]
+            assert f"said 3 said 3" in wrappers.extract(whole[3], wrappers.region(infer(whole)))  # noqa: F541
+
+
+def test_the_wrapper_decides(spark):
+    """On the test pages, with article elements renamed, the text is the same; without a wrapper it is another."""
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    texts = lambda rows: {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = texts(rows)
+    renamed = [(i, u, re.sub(r"<(/?)article", r"<\1div", h)) for i, u, h in rows]
+    assert texts(renamed) == want
+    assert not any(wrappers.extract(h, {}) == want[i] for i, _, h in rows if want[i])
+
+
+def test_grid_columns_are_kept_apart():
+    """Columns of a grid are no list, counted items are one."""
+    for main, side in (("col-md-8", "col-md-4"), ("span8", "span4"), ("story", "extra")):
+        def made(k, main=main, side=side):
+            return f'<body><div class="row"><div class="{main}"><p>{f"text {k} " * 40}</p><p>end {k}</p></div><div class="{side}"><p>The same on every page</p><p>Follow us</p></div></div></body>'
+
+        pages = [made(k) for k in range(12)]
+        where = wrappers.region(infer(pages))
+        assert all(wrappers.extract(p, where) == f"text {k} " * 39 + f"text {k}\nend {k}" for k, p in enumerate(pages)), main
+    items = infer(["<ul>" + "".join(f'<li class="item-{j}">x{j}</li>' for j in range(1, n)) + "</ul>" for n in (2, 3, 9)])
+    assert wrappers.pattern(items) == "(<ul>(<li.item-0>#</>)+</>)"
+
+
+def test_navigation_is_known_at_any_depth():
+    deep = "<div>" * 150
+    p = f"<body><article>{deep}<nav><p>menu</p></nav><p>{'text ' * 20}</p>{'</div>' * 150}<p>end</p></article></body>"
+    assert wrappers.extract(p, wrappers.region(infer([p, p]))) == "text " * 19 + "text\nend"
