@@ -19,6 +19,8 @@ without any id has a null component_id. Repeated rows each keep their row.
 from __future__ import annotations
 
 import itertools
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,32 +38,59 @@ MOST_BITS = 3
 SECTIONS = (0, 13, 26, 39, 52, 64)
 PIVOTS = 16
 MOST_TOGETHER = 4096
+#: Bytes of a text whose words are cut out together, and shingles whose bits are added up together.
+PIECE_BYTES = 1 << 20
+SHINGLES_TOGETHER = 1 << 16
+SPACE_AT = re.compile(rb"[ \t-\r]")
 #: Reference fingerprints: seeded, spread over the whole space.
 PIVOT_TABLE = np.random.default_rng(64).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
 
 
-def hashes(raw: bytes) -> np.ndarray:
-    """XXH64 of each shingle of the text, repeats included."""
-    words = raw.lower().split()  # bytes: lower-cases A-Z only and splits at ASCII white space
-    if len(words) < SHINGLE:
-        shingles = [b" ".join(words)] if words else []
-    else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))
-    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(SEED)), np.uint64)
+def hashes(raw: bytes, piece: int = PIECE_BYTES) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of the text, repeats included, those of a piece of it at a time."""
+    carried: list[bytes] = []
+    low, made = 0, False
+    while True:
+        space = SPACE_AT.search(raw, low + piece)
+        high = space.start() if space else len(raw)
+        words = carried + raw[low:high].lower().split()  # bytes: lower-cases A-Z only and splits at ASCII white space
+        if len(words) >= SHINGLE:
+            shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))
+            yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(SEED)), np.uint64)
+            words, made = words[1 - SHINGLE :], True
+        carried, low = words, high
+        if high == len(raw):
+            break
+    if carried and not made:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carried), SEED)], np.uint64)
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros(len(texts), np.uint64)
-    each = [hashes(t) for t in texts]
-    counts = np.array([len(h) for h in each])
-    full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(np.concatenate(each).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.cumsum(counts[full]) - counts[full]
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        majority = 2 * ones > counts[full][:, None]
-        out[full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    """Bits are added up for a bounded number of shingles at a time, whether these are of many texts or of one."""
+    ones, counts = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    owners: list[int] = []
+    held: list[np.ndarray] = []
+
+    def add() -> None:
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        if len(held):
+            bits = np.unpackbits(np.concatenate(held).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            np.add.at(ones, owners, np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64))
+            np.add.at(counts, owners, sizes)
+        owners.clear()
+        held.clear()
+
+    waiting = 0
+    for k, text in enumerate(texts):
+        for h in hashes(text):
+            owners.append(k)
+            held.append(h)
+            waiting += len(h)
+            if waiting >= SHINGLES_TOGETHER:
+                add()
+                waiting = 0
+    add()
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprint(text: Column | str) -> Column:

@@ -2,7 +2,8 @@
 
 Each distinct pre-token (a word with the word-start mark before it) is inserted in a trie once. A node stands for a
 prefix, and its forward score, the best score of any segmentation of that prefix, depends on the prefix alone: it is
-computed when the node is made, from the forward scores of its ancestors, for all words that share the prefix. A word's
+computed when the node is made, from the forward scores of its ancestors, for all words that share the prefix. The pieces that end at
+a node are found by walking back from it in a trie of the reversed vocabulary, which ends where no piece goes on. A word's
 last node stores the number of tokens of its best segmentation. A document's count is the sum over its words.
 
 The vocabulary is a public piece model's; a piece of rank r has the log probability of the Zipf-Mandelbrot law,
@@ -44,8 +45,12 @@ def piece_scores(path: str) -> dict[str, float]:
 
 class Trie:
     def __init__(self, scores: dict[str, float], room: int = ROOM):
-        self.scores = scores
-        self.longest = max(map(len, scores))
+        self.ending: dict = {}  # the reversed vocabulary: by character, and under None the score of the piece that ends there
+        for piece, score in scores.items():
+            at = self.ending
+            for ch in reversed(piece):
+                at = at.setdefault(ch, {})
+            at[None] = score
         self.unknown = min(scores.values()) - UNKNOWN
         self.room = room
         self.clear()
@@ -69,21 +74,23 @@ class Trie:
         return self.tokens[node]
 
     def _extend(self, s: str, end: int, path: list[int]) -> int:
-        scores, best, tokens = self.scores, self.best, self.tokens
+        best, tokens = self.best, self.tokens
         top, least = -math.inf, 0
-        for start in range(max(0, end - self.longest), end):
-            score = scores.get(s[start:end])
-            if score is None:
-                if start < end - 1:
-                    continue
+        at = self.ending
+        for start in range(end - 1, -1, -1):
+            at = at.get(s[start])
+            score = None if at is None else at.get(None)
+            if score is not None:
+                score += best[path[start]]
+                n = 1 + tokens[path[start]]
+            elif start == end - 1:  # a character that is no piece
                 n = len(s[start].encode("utf-8", "surrogatepass"))
-                score = n * self.unknown
-            else:
-                n = 1
-            score += best[path[start]]
-            n += tokens[path[start]]
-            if score > top or (score == top and n < least):
+                score = n * self.unknown + best[path[start]]
+                n += tokens[path[start]]
+            if score is not None and (score > top or (score == top and n < least)):
                 top, least = score, n
+            if at is None:
+                break
         best.append(top)
         tokens.append(least)
         return len(best) - 1

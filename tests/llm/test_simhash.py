@@ -1,5 +1,6 @@
 import re
 import string
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -37,6 +38,25 @@ def test_fingerprint_equals_brute_force(text):
     assert int(simhash.fingerprints([(text or "").encode()])[0]) == brute_fingerprint(text)
 
 
+@pytest.mark.parametrize("piece", [1, 5, 9, 1 << 20])
+def test_pieces_give_the_same_shingles(piece):
+    for text in ("", " ", "a", " a b", "a b c", "a b c d\n e  f g h i j kkkkkkkkkkkkkkkk l", "x" * 40 + " y z", "a b c d e f " * 9):
+        got = np.concatenate([np.zeros(0, np.uint64), *simhash.hashes(text.encode(), piece)]).tolist()
+        words = text.split()
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        assert got == [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+
+
+def test_a_very_long_text_takes_little_memory():
+    text = b" ".join(b"word%d" % (k % 977) for k in range(1_500_000))
+    tracemalloc.start()
+    long = simhash.fingerprints([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert long == simhash.fingerprints([b"x y z", text, b""])[1]
+
+
 def variants(rng, n, center, most):
     out = []
     for _ in range(n):
