@@ -56,7 +56,7 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}  # by the node's number and the character's
         self.best = [0.0]  # forward score of each node
         self.tokens = [0]  # tokens of that segmentation
         self.terminal: dict[bytes, int] = {}  # word -> its stored count
@@ -65,9 +65,10 @@ class Trie:
         """The tokens of MARK + word; makes the nodes that are not there yet."""
         s = MARK + word
         node, path = 0, [0]
-        for end, ch in enumerate(s, 1):
-            key = (node, ch)
-            node = self.child.get(key, -1)
+        known = self.child.get
+        for end, ch in enumerate(map(ord, s), 1):
+            key = node << 21 | ch
+            node = known(key, -1)
             if node < 0:
                 node = self.child[key] = self._extend(s, end, path)
             path.append(node)
