@@ -60,6 +60,18 @@ def text_colour(red: Column, green: Column, blue: Column) -> Column:
     return F.when(0.299 * red + 0.587 * green + 0.114 * blue > 0.5, "black").otherwise("white")
 
 
+def map_get(entries: Column, key: Column | str, default: Column) -> Column:
+    """The map's value of a key, a default where it has none (also where the map is null)."""
+    key = F.lit(key) if isinstance(key, str) else key
+    return F.when(F.coalesce(F.map_contains_key(entries, key), F.lit(False)), entries[key]).otherwise(default)
+
+
+def map_merge(entries: Column, more: Column) -> Column:
+    """Both maps' entries; where both have a key, that of the second. Null maps have none."""
+    old = F.map_filter(entries, lambda k, _: ~F.coalesce(F.map_contains_key(more, k), F.lit(False)))
+    return F.coalesce(F.map_concat(old, more), entries, more)
+
+
 NUMBERS = re.compile(r"\[\s*\d+(?:\.\d+)?(?:\s*,\s*\d+(?:\.\d+)?)+\s*\]")
 
 

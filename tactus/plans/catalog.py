@@ -13,7 +13,7 @@ from tactus.functions import columns as fn
 from tactus.operators import hmm, manifest, nearest, parity, peaks, quantiles, rollup, score, segments, signal, sound, stems
 from tactus.operators.tempo import tempo_candidates
 from tactus.session import fresh_path
-from tactus.sources import audio, cache, sinks, store
+from tactus.sources import arrays, audio, cache, sinks, store, waves
 from tactus.streaming import guard, incremental, sink
 from tactus.streaming import islands as islands_stream
 
@@ -812,3 +812,86 @@ def timing_extras(spark, sf_dir):
     t = audio.timings(spark, second)
     extra = lambda key, path, kind: F.try_variant_get(F.col("extra")[key], path, kind)
     return t.select(extra("event_id", "$", "bigint").alias("event_id"), "stage", "duration", extra("k", "$", "bigint").alias("k"), F.schema_of_variant(F.col("extra")["k"]).alias("kind"), extra("more", "$.x", "bigint").alias("deep"))
+
+
+# --- files written by the sinks and read back by the sources
+
+
+@query("""with x as (select vec_id, label, embedding, row_number() over (partition by label order by vec_id) - 1 as "at" from embeddings)
+    select cast(label as bigint) as label, "at", unnest(range(0, 64)) as k, cast(unnest(embedding) as double) as v from x""")
+def array_files(spark, sf_dir):
+    """A file of vectors for each label, read by ranges of a few rows."""
+    rows = peaks.frame_numbers(table(spark, sf_dir, "embeddings"), "label", "vec_id", name="at")
+    path = fresh_path(spark, "arrays")
+    arrays.save(rows.select(F.concat(F.lit("label-"), "label", F.lit(".npy")).alias("file"), "at", F.col("embedding").alias("value")), path)
+    back = arrays.read(spark, f"{path}/label-*.npy", split_bytes=4096)
+    out = back.select(F.regexp_extract("name", "label-(.*)", 1).cast("bigint").alias("label"), "at", F.posexplode("value").alias("k", "v"))
+    return out.select("label", "at", F.col("k").cast("bigint").alias("k"), F.col("v").cast("double").alias("v"))
+
+
+@query(f"""with {FRAMES} select cast(user_id as varchar) as track, frame, cast(cast(value as float) as double) as beat, cast(cast(value / 2 as float) as double) as downbeat,
+    cast(cast(value / 4 as float) as double) as section, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 as class from frames""")
+def side_files(spark, sf_dir):
+    """Activations as .npz files beside results, one for each user, and as a table again."""
+    f = frames(spark, sf_dir)
+    one_hot = F.array(*(F.when(F.col("event_type") == t, 1.0).otherwise(0.0).cast("float") for t in TYPES))
+    p = {"p_beat": F.col("value"), "p_downbeat": F.col("value") / 2, "p_section": F.col("value") / 4}
+    path = fresh_path(spark, "side")
+    sinks.save_activation_files(f.select(F.col("user_id").cast("string").alias("track_id"), F.col("frame").cast("int").alias("frame"), *(c.cast("float").alias(k) for k, c in p.items()), one_hot.alias("p_function")), path)
+    back = audio.activation_files(spark, path)
+    values = [F.col(c).cast("double").alias(n) for n, c in (("beat", "p_beat"), ("downbeat", "p_downbeat"), ("section", "p_section"))]
+    return back.select(F.col("track_id").alias("track"), F.col("frame").cast("bigint").alias("frame"), *values, segments.argmax(F.col("p_function")).alias("class"))
+
+
+@query(f"""with {FRAMES} select cast(user_id as varchar) as track, frame, round(cast(round_even(least(greatest(value / 500, -1), 1) * 32767, 0) as double) / 32768, 6) as v from frames""")
+def wave_files(spark, sf_dir):
+    """Users' values as WAV files of 16 bits, read in chunks of 16 samples by byte range."""
+    scaled = sound.clip(F.col("value") / 500)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("frame", scaled.alias("v")))), lambda x: x["v"])
+    path = fresh_path(spark, "waves")
+    signals = frames(spark, sf_dir).groupBy(F.col("user_id").cast("string").alias("track_id")).agg(ordered.alias("samples"))
+    sinks.save_waves(signals.select("track_id", F.lit("drums").alias("stem"), F.lit(8000).alias("sample_rate"), "samples"), path)
+    back = waves.read(spark, f"{path}/*.wav", chunk=16, split_bytes=256)
+    out = back.select(F.regexp_extract("path", r"([^/]*)\.drums\.wav$", 1).alias("track"), "at", F.posexplode("samples").alias("k", "v"))
+    return out.select("track", (F.col("at") + F.col("k")).alias("frame"), F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+@query(f"""with {SEGMENTED}, spans as (select user_id, segment, min(frame) * 441 / 44100 as s, (max(frame) + 1) * 441 / 44100 as e from segmented group by all)
+    select cast(user_id as varchar) as track, segment, round(s, 2) as "start", round(e, 2) as "end" from spans""")
+def result_files(spark, sf_dir):
+    """Segments as result files of pretty JSON, one for each user, read again."""
+    spans = segments.segments(segmented(spark, sf_dir), "user_id", "frame")
+    one = F.struct(segments.seconds(F.col("start")).cast("double").alias("start"), segments.seconds(F.col("end")).cast("double").alias("end"), F.lit("verse").alias("label"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("segment", one.alias("s")))), lambda x: x["s"])
+    none = F.array().cast("array<double>")
+    made = spans.groupBy("user_id").agg(listed.alias("segments")).select(F.concat(F.col("user_id").cast("string"), F.lit(".wav")).alias("path"), F.lit(120).alias("bpm"), none.alias("beats"), none.alias("downbeats"), F.array().cast("array<int>").alias("beat_positions"), "segments")
+    path = fresh_path(spark, "results")
+    sinks.save_result_files(made, path)
+    back = audio.results_with_files(spark, path).where("not has_activations")
+    out = back.select(F.col("track_id").alias("track"), F.posexplode("segments").alias("segment", "s"))
+    return out.select("track", F.col("segment").cast("bigint").alias("segment"), "s.start", "s.end")
+
+
+@query("select distinct source || '/' || coalesce(lang, '') as input from documents order by input limit 7")
+def first_inputs(spark, sf_dir):
+    named = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.coalesce("lang", F.lit(""))).alias("input"))
+    return audio.first_inputs(named, "input", 7)
+
+
+@query("""select event_id, event_type as stage, case when event_id % 3 = 0 then 'none' else event_type end as model, cast(json_extract(props, '$.k') as bigint) as k from events""")
+def map_merge_default(spark, sf_dir):
+    """A record's own entries over its defaults, and a default where a key is missing."""
+    events = table(spark, sf_dir, "events")
+    base = F.create_map(F.lit("stage"), F.lit("?"), F.lit("k"), F.get_json_object("props", "$.k"))
+    own = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("stage"), F.col("event_type"))).otherwise(F.create_map(F.lit("stage"), F.col("event_type"), F.lit("model"), F.col("event_type")))
+    merged = events.select("event_id", fn.map_merge(base, own).alias("m"))
+    return merged.select("event_id", F.col("m")["stage"].alias("stage"), fn.map_get(F.col("m"), "model", F.lit("none")).alias("model"), fn.map_get(F.col("m"), "k", F.lit("0")).cast("bigint").alias("k"))
+
+
+@query("""with c as (select event_id, event_id % 5 / 4 as r, event_id % 7 / 6 as g, event_id % 3 / 2 as b from events)
+    select event_id, case when 0.299 * r + 0.587 * g + 0.114 * b > 0.5 then 'black' else 'white' end as colour from c where abs(0.299 * r + 0.587 * g + 0.114 * b - 0.5) > 1e-9""")
+def text_colours(spark, sf_dir):
+    """Black or white upon colours that follow from event numbers; where the weight is 0.5 to a rounding, neither side is asked."""
+    r, g, b = (F.col("event_id") % n / (n - 1) for n in (5, 7, 3))
+    events = table(spark, sf_dir, "events").where(F.abs(0.299 * r + 0.587 * g + 0.114 * b - 0.5) > 1e-9)
+    return events.select("event_id", fn.text_colour(r, g, b).alias("colour"))

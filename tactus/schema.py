@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Section labels; a label's place is its class id.
+# Section labels (a label's place is its class id), stems, stages, and suffixes of audio files.
 LABELS = ("start", "end", "intro", "outro", "break", "bridge", "inst", "solo", "verse", "chorus")
 STEMS = ("bass", "drums", "other", "vocals")
 EXTRA_STEMS = ("guitar", "piano")

@@ -42,6 +42,12 @@ def distinct_inputs(inputs: DataFrame, column: str) -> DataFrame:
     return inputs.select(column).distinct().orderBy(column)
 
 
+def first_inputs(inputs: DataFrame, column: str, most: int | None) -> DataFrame:
+    """The first so many inputs in order (all with None): each task hands on its own first ones, so the rest isn't sorted."""
+    ordered = distinct_inputs(inputs, column)
+    return ordered if most is None else ordered.limit(most)
+
+
 def expanded_path(path: str) -> str:
     """~ expanded and relative paths made absolute; addresses of other stores stay."""
     return path if "://" in path or path.startswith("file:") else os.path.abspath(os.path.expanduser(path))
