@@ -156,11 +156,12 @@ def test_prefixes_are_scored_once():
 def test_count_query_and_odd_rows(spark):
     import __spark_entry__ as entry
 
-    rows = [(1, None), (2, ""), (3, "the the\x0bthe"), (4, "word " * 100_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(1, None), (2, ""), (3, "the the\x0bthe"), (4, "word " * 100_000), (4, "word " * 100_000), (None, "the")]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, n_tokens int, c string")
     got = df.select(tokencount.token_counts("text", PIECES).alias("c")).select("c.*").collect()
     scores = tokencount.piece_scores(PIECES)
-    assert [tuple(r) for r in got] == [(0, 0), (0, 0), (3, 3 * brute_tokens(scores, "the")), (100_000, 100_000 * brute_tokens(scores, "word"))]
+    the, long = brute_tokens(scores, "the"), (100_000, 100_000 * brute_tokens(scores, "word"))
+    assert [tuple(r) for r in got] == [(0, 0), (0, 0), (3, 3 * the), long, long, (1, the)]
     assert df.limit(0).select(tokencount.token_counts("text", PIECES)).collect() == []
     d = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
