@@ -78,3 +78,19 @@ def spectrum_search(expected: DataFrame, magnitudes: DataFrame, powers: list[flo
     natural = F.log1p(F.pow("magnitude", F.col("o.power")))
     scale = F.element_at(F.create_map(*(F.lit(x) for name in logs for x in (name, float(np.log(bases[name])) if bases[name] > 1 else 1.0))), F.col("o.log"))
     return difference_metrics(both.withColumn("a", natural / scale), ["o.power", "o.log"], "a", "level")
+
+
+def layout_search(expected: DataFrame, levels: DataFrame, track: str, frame: str, band: str, shifts: list[int], last_band: int) -> DataFrame:
+    """(shift, turned, whole, mean_abs, max_abs, rmse, mean_rel): how well each way to lay out levels meets the expected ones.
+
+    expected and levels: (track, frame, band, level). shift: frames that levels are moved on; turned: frames and bands change places;
+    whole: with the last band, or without it. Places that both sides have count; all layouts in one pass, and each row of levels is
+    met by equality, once a layout.
+    """
+    options = [F.struct(F.lit(n).alias("shift"), F.lit(turned).alias("turned"), F.lit(whole).alias("whole")) for n in shifts for turned in (False, True) for whole in (True, False)]
+    laid = levels.select(track, F.col(frame).alias("_f"), F.col(band).alias("_b"), F.col("level").alias("b"), F.explode(F.array(*options)).alias("o"))
+    at = F.when(F.col("o.turned"), F.col("_b")).otherwise(F.col("_f")) + F.col("o.shift")
+    place = F.when(F.col("o.turned"), F.col("_f")).otherwise(F.col("_b"))
+    laid = laid.select(track, at.cast("bigint").alias("_frame"), place.cast("bigint").alias("_band"), "b", "o").where(F.col("o.whole") | (F.col("_band") < last_band))
+    there = expected.select(track, F.col(frame).cast("bigint").alias("_frame"), F.col(band).cast("bigint").alias("_band"), F.col("level").alias("a"))
+    return difference_metrics(there.join(laid, [track, "_frame", "_band"]), ["o.shift", "o.turned", "o.whole"], "a", "b")

@@ -753,6 +753,20 @@ def spectrum_variants(spark, sf_dir):
     return out.select("power", "log", *(F.round(c, 7).alias(c) for c in ("mean_abs", "max_abs", "rmse")))
 
 
+@query("""with x as (select vec_id, cast(unnest(embedding) as double) as v, unnest(range(0, 64)) as i from embeddings), l as (select vec_id, i // 8 as f, i % 8 as b, v from x),
+    o as (select * from (values (-1), (0), (1)) s(shift), (values (true), (false)) t(turned), (values (true), (false)) w(whole)),
+    laid as (select vec_id, case when turned then b else f end + shift as f, case when turned then f else b end as b, v, shift, turned, whole from l, o where whole or case when turned then f else b end < 7),
+    d as (select shift, turned, whole, e.v as a, l.v as b, e.v - l.v as d from (select vec_id, b + 1 as f, f as b, v from l) e join laid l using (vec_id, f, b))
+    select shift, turned, whole, round(avg(abs(d)), 7) as mean_abs, round(max(abs(d)), 7) as max_abs, round(sqrt(avg(d * d)), 7) as rmse from d group by all""")
+def layout_variants(spark, sf_dir):
+    """Vectors as eight frames of eight bands; the expected ones are turned and a frame late, which one layout meets exactly."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    levels = rows.select("vec_id", F.floor(F.col("i") / 8).alias("f"), (F.col("i") % 8).alias("b"), F.col("v").cast("double").alias("level"))
+    expected = levels.select("vec_id", (F.col("b") + 1).alias("f"), F.col("f").alias("b"), "level")
+    out = parity.layout_search(expected, levels, "vec_id", "f", "b", [-1, 0, 1], 7)
+    return out.select("shift", "turned", "whole", *(F.round(c, 7).alias(c) for c in ("mean_abs", "max_abs", "rmse")))
+
+
 # --- sketches, manifests, caches, open rows
 
 PARTS = [0.05, 0.5, 0.9]

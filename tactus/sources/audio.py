@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tactus.functions.columns import basename
 from tactus.operators.signal import to_mono
 from tactus.operators.stems import first_by_priority, stem_of
-from tactus.schema import ACTIVATIONS, AUDIO_SUFFIXES, RESULT, STEMS, TIMING
+from tactus.schema import ACTIVATIONS, AUDIO_SUFFIXES, RESULT, SAMPLE_RATE, STEMS, TIMING
 from tactus.sources import arrays
 from tactus.sources import waves as waves_source
 from tactus.sources.sinks import SIDE_ARRAYS
@@ -108,6 +108,15 @@ def stem_signals(spark: SparkSession, folder: str) -> DataFrame:
     return named.select(F.element_at(F.split("path", "/"), -2).alias("track_id"), stem_of(basename(F.col("path"))).alias("stem"), "sample_rate", "samples").where("stem is not null")
 
 
+def played(spark: SparkSession, path: str, rate: int = SAMPLE_RATE) -> DataFrame:
+    """(path, sample_rate, samples by channel) of WAV files at one rate: what is played, a row for each file."""
+    chunks = waves_source.read(spark, path, mono=False)
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "samples")))  # the chunks of one file
+    channels = F.transform(F.sequence(F.lit(0), F.max("channels") - 1), lambda k: F.flatten(F.transform(ordered, lambda c: F.get(c["samples"], k))))
+    whole = chunks.groupBy("path", "sample_rate").agg(channels.alias("samples"))
+    return at_rate(whole, rate)
+
+
 def stem_chunks(spark: SparkSession, folder: str, edge: int = 1024, chunk: int = waves_source.CHUNK) -> DataFrame:
     """<folder>/<track>/<stem>.wav in chunks with edges: (track_id, stem, sample_rate, total, chunk, at, samples, left, right), tracks of any length."""
     read = waves_source.read(spark, f"{expanded_path(folder)}/*/*.wav", chunk=chunk, edge=edge)
@@ -159,11 +168,15 @@ def resampled(samples: np.ndarray, rate: int, to: int, lobes: int = 16) -> np.nd
 
 
 def at_rate(signals: DataFrame, rate: int) -> DataFrame:
-    """signals with all samples at one rate."""
+    """signals with all samples at one rate; samples may be an array for each channel."""
+    channels = dict(signals.dtypes)["samples"].startswith("array<array")
+
+    def converted(x, own: int):
+        return [resampled(np.asarray(c), own, rate) for c in x] if channels else resampled(np.asarray(x), own, rate)
 
     def convert(batches):
         for batch in batches:
-            samples = [resampled(np.asarray(x), int(r), rate) for x, r in zip(batch["samples"], batch["sample_rate"], strict=True)]
+            samples = [converted(x, int(r)) for x, r in zip(batch["samples"], batch["sample_rate"], strict=True)]
             yield batch.assign(samples=samples, sample_rate=rate)
 
     return signals.mapInPandas(convert, signals.schema)

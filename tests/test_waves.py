@@ -138,3 +138,16 @@ def test_files_are_read_once_whatever_names_them(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # no content moves
     assert io.BytesIO(found.first()["content"]).read(4) == b"RIFF"
+
+
+def test_stereo_is_played_at_one_rate(spark, tmp_path):
+    t = np.arange(8000) / 8000
+    x = np.stack([np.sin(2 * np.pi * 300 * t), np.sin(2 * np.pi * 500 * t)], 1)
+    (tmp_path / "s.wav").write_bytes(riff(8000, np.rint(x * 32767).astype("<i2"), 2))
+    (tmp_path / "m.wav").write_bytes(riff(44100, np.rint(x[:, :1] * 32767).astype("<i2"), 2))
+    rows = {r["path"][-5]: r for r in audio.played(spark, str(tmp_path)).collect()}
+    assert {r["sample_rate"] for r in rows.values()} == {44100} and len(rows["m"]["samples"]) == 1 and len(rows["m"]["samples"][0]) == 8000
+    got, n = np.array(rows["s"]["samples"]), np.arange(44100) / 44100
+    assert got.shape == (2, 44100)
+    for channel, hz in enumerate((300, 500)):
+        assert np.abs(got[channel, 500:-500] - np.sin(2 * np.pi * hz * n)[500:-500]).max() < 0.01
