@@ -15,7 +15,7 @@ would be more than half of the text.
 
 The region is the heaviest of the host's alternatives (elements, optional ones too, that hold most text outside links where
 they stand) that the page has; of it, or where the page has none of them, its article elements, else its main elements, if they hold
-most of it; else the page's own heaviest element, else its body. Navigation, asides, forms, notices, adverts and comments are known by
+half of it (one alone a quarter); else the page's own heaviest element, else its body. Navigation, asides, forms, notices, adverts and comments are known by
 their tags, roles and class words, unless the host's wrapper shows that next to no text stands outside such an element, and by their
 share of link text. The blocks of each page inside that region, in page order, are its text.
 
@@ -576,12 +576,12 @@ def extract(page: str, where: dict) -> str:
         return inside
 
     everything = lambda element, depth, on: (True, True)
-    tagged = [read(by_tag(tag)) for tag in ("article", "main") if ways[tag]]
+    tagged = [(read(by_tag(tag)), 4 if len(ways[tag]) == 1 else 2) for tag in ("article", "main") if ways[tag]]
     blocks = max((read(along(p["path"]), p["drop"]) for p in where["paths"]), key=size)
     if size(blocks) < LEAST * size(read(everything)):
         blocks = []
-    for part in tagged:  # the wrapper's region holds them, or they hold what it holds
-        if part and (not blocks or 2 * size(part) >= size(blocks)):
+    for part, times in tagged:  # one element of the tag is the article even if it is a quarter of the wrapper's region, several may be teasers
+        if part and (not blocks or times * size(part) >= size(blocks)):
             blocks = part
             break
     if not blocks:
