@@ -488,6 +488,13 @@ def stage_except(spark, sf_dir):
     return stems.apart(events.where("event_type = 'view'").select("user_id"), events.where("event_type = 'error'").select("user_id"))
 
 
+@query("select p_partkey from part except select l_partkey from lineitem where l_quantity >= 45")
+def parts_except(spark, sf_dir):
+    """Parts without a large order line."""
+    large = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey"))
+    return stems.apart(table(spark, sf_dir, "part").select("p_partkey"), large)
+
+
 # --- JSON, text and paths
 
 

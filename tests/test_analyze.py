@@ -139,6 +139,14 @@ def test_networks_from_weight_files(tmp_path):
         score.Network({k: v for k, v in made.items() if k != "norm.bias"}, shape)
     with pytest.raises(FileNotFoundError):
         weights.resolve_weights("none", folder=str(tmp_path))
+    assert weights.members("m-all") == [f"m-fold{k}" for k in range(8)] and weights.members("m-fold3") == ["m-fold3"]
+    for k in range(2):
+        (tmp_path / f"m-fold{k}.npz").write_bytes((tmp_path / "fold.npz").read_bytes())
+    folder = f"file://{tmp_path}"
+    assert weights.resolve_ensemble("m-all", folder, 2) == [f"{folder}/m-fold{k}.npz" for k in range(2)]
+    assert set(weights.read_weights(f"{folder}/m-fold1.npz")) == set(made) and weights.read_config(weights.resolve_config(f"{folder}/fold.npz"))["fold"] == 0
+    with pytest.raises(FileNotFoundError, match="m-fold2"):
+        weights.resolve_ensemble("m-all", folder)
 
 
 def test_any_callable_scores_and_embeddings_are_kept(spark, tmp_path):
