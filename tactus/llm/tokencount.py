@@ -10,8 +10,8 @@ The vocabulary is a public piece model's; a piece of rank r has the log probabil
 -log((r + SHIFT) * H) with H making the law sum to 1. A character that no piece covers falls back to its UTF-8 bytes,
 one token each at UNKNOWN below the least score. Among equal scores the fewest tokens count.
 
-A worker keeps its trie between tasks and begins a new one beyond `ROOM` nodes; counts do not depend on that. Nothing
-is shuffled. Null and empty texts have 0 tokens.
+A worker keeps its trie between tasks and begins a new one beyond `ROOM` nodes, and keeps words' counts in two generations of
+about as many words; counts do not depend on that. Nothing is shuffled. Null and empty texts have 0 tokens.
 """
 
 from __future__ import annotations
@@ -53,13 +53,15 @@ class Trie:
             at[None] = score
         self.unknown = min(scores.values()) - UNKNOWN
         self.room = room
+        self.terminal: dict[bytes, int] = {}  # word -> its stored count
+        self.older: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
+        """Begin a new trie. Words' counts stay: they don't depend on it."""
         self.child: dict[int, int] = {}  # by the node's number and the character's
         self.best = [0.0]  # forward score of each node
         self.tokens = [0]  # tokens of that segmentation
-        self.terminal: dict[bytes, int] = {}  # word -> its stored count
 
     def insert(self, word: str) -> int:
         """The tokens of MARK + word; makes the nodes that are not there yet."""
@@ -101,9 +103,12 @@ class Trie:
         cut = [t.split() for t in texts]
         if len(self.best) > self.room:
             self.clear()
-        terminal = self.terminal
+        if len(self.terminal) > self.room:
+            self.older, self.terminal = self.terminal, {}
+        terminal, older = self.terminal, self.older
         for word in {w for words in cut for w in words if w not in terminal}:
-            terminal[word] = self.insert(word.decode("utf-8", "surrogatepass"))
+            n = older.get(word)
+            terminal[word] = self.insert(word.decode("utf-8", "surrogatepass")) if n is None else n
         return [(len(words), sum(map(terminal.__getitem__, words))) for words in cut]
 
 
