@@ -33,9 +33,14 @@ def exact_parity(pairs: DataFrame, by: str, columns: list[tuple[str, str]]) -> D
     return pairs.groupBy(by).agg(F.bool_and(equal).alias("equal"))
 
 
+def shuffled(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of places joined by their keys, never by a broadcast: Spark judges places by the size of the arrays they were unpacked from."""
+    return a.hint("merge").join(b, keys)
+
+
 def cropped(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, a, b): two results at the places that both have."""
-    return a.select(*keys, F.col(value).alias("a")).join(b.select(*keys, F.col(value).alias("b")), keys)
+    return shuffled(a.select(*keys, F.col(value).alias("a")), b.select(*keys, F.col(value).alias("b")), keys)
 
 
 def macro_average(metrics: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -74,7 +79,7 @@ def spectrum_search(expected: DataFrame, magnitudes: DataFrame, powers: list[flo
     """
     bases = {"ln": 1.0, "log10": 10.0, "log2": 2.0}
     options = [F.struct(F.lit(float(p)).alias("power"), F.lit(name).alias("log")) for p in powers for name in logs]
-    both = expected.join(magnitudes, keys).withColumn("o", F.explode(F.array(*options)))
+    both = shuffled(expected, magnitudes, keys).withColumn("o", F.explode(F.array(*options)))
     natural = F.log1p(F.pow("magnitude", F.col("o.power")))
     scale = F.element_at(F.create_map(*(F.lit(x) for name in logs for x in (name, float(np.log(bases[name])) if bases[name] > 1 else 1.0))), F.col("o.log"))
     return difference_metrics(both.withColumn("a", natural / scale), ["o.power", "o.log"], "a", "level")
@@ -85,12 +90,14 @@ def layout_search(expected: DataFrame, levels: DataFrame, track: str, frame: str
 
     expected and levels: (track, frame, band, level). shift: frames that levels are moved on; turned: frames and bands change places;
     whole: with the last band, or without it. Places that both sides have count; all layouts in one pass, and each row of levels is
-    met by equality, once a layout.
+    met by equality, once a shift and turn.
     """
-    options = [F.struct(F.lit(n).alias("shift"), F.lit(turned).alias("turned"), F.lit(whole).alias("whole")) for n in shifts for turned in (False, True) for whole in (True, False)]
-    laid = levels.select(track, F.col(frame).alias("_f"), F.col(band).alias("_b"), F.col("level").alias("b"), F.explode(F.array(*options)).alias("o"))
+    moves = [F.struct(F.lit(n).alias("shift"), F.lit(turned).alias("turned")) for n in shifts for turned in (False, True)]
+    laid = levels.select(track, F.col(frame).alias("_f"), F.col(band).alias("_b"), F.col("level").alias("b"), F.explode(F.array(*moves)).alias("o"))
     at = F.when(F.col("o.turned"), F.col("_b")).otherwise(F.col("_f")) + F.col("o.shift")
     place = F.when(F.col("o.turned"), F.col("_f")).otherwise(F.col("_b"))
-    laid = laid.select(track, at.cast("bigint").alias("_frame"), place.cast("bigint").alias("_band"), "b", "o").where(F.col("o.whole") | (F.col("_band") < last_band))
+    laid = laid.select(track, at.cast("bigint").alias("_frame"), place.cast("bigint").alias("_band"), "b", "o")
     there = expected.select(track, F.col(frame).cast("bigint").alias("_frame"), F.col(band).cast("bigint").alias("_band"), F.col("level").alias("a"))
-    return difference_metrics(there.join(laid, [track, "_frame", "_band"]), ["o.shift", "o.turned", "o.whole"], "a", "b")
+    ways = F.when(F.col("_band") < last_band, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    both = shuffled(there, laid, [track, "_frame", "_band"]).withColumn("whole", F.explode(ways))
+    return difference_metrics(both, ["o.shift", "o.turned", "whole"], "a", "b")

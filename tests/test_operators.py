@@ -282,3 +282,22 @@ def test_a_nan_spoils_its_own_windows_alone(spark):
                     assert (found is None) == (want is None) and (want is None or np.isclose(found, want, equal_nan=True)), (past, future, t, k, name)
     strong = peaks.peak_strength(df.where("track = 't'"), "track", "frame", "v", 2, 2).collect()
     assert sum(np.isnan(r["strength"]) for r in strong) <= 5
+
+
+def test_layouts_are_met_by_a_shuffle(spark):
+    """Places are many times the arrays they come from: Spark would take them for small and broadcast them through the driver."""
+    rows = [(t, f, b, float(t * 31 + f * 7 + b * b)) for t in range(3) for f in range(5) for b in range(4)]
+    levels = spark.createDataFrame(rows, "t long, f long, b long, level double")
+    expected = levels.withColumn("f", F.col("f") + 1)
+    out = parity.layout_search(expected, levels, "t", "f", "b", [0, 1], 3)
+    search = parity.spectrum_search(expected, levels.withColumnRenamed("level", "magnitude"), [1.0], ["ln"], ["t", "f", "b"])
+    for df in (out, search):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.shift, r.turned, r.whole): r for r in out.collect()}
+    assert len(got) == 8
+    at = {r[:3]: r[3] for r in rows}
+    for (shift, turned, whole), r in got.items():
+        laid = [((t, (b if turned else f) + shift, f if turned else b), v) for (t, f, b), v in at.items()]
+        d = [abs(at[t, f - 1, b] - v) for (t, f, b), v in laid if (t, f - 1, b) in at and (whole or b < 3)]
+        assert (r.mean_abs, r.max_abs) == (pytest.approx(sum(d) / len(d)), max(d))
+    assert got[1, False, True].max_abs == 0
