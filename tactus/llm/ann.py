@@ -6,7 +6,7 @@ falling level, so a level's nodes are the first ones and its table needs no inde
 the graph so far from the top level down, gets neighbours that are nearer to it than to each other, and is linked back;
 full tables are chosen anew by the same rule. A level is that of a hash, so reruns give the same graph.
 
-Queries are packed into blocks; a task searches one shard's graph for one block, whatever the numbers of both. What a
+Queries are packed into blocks; a task searches one shard's graph for some blocks, whatever the numbers of both. What a
 search finds is scored exactly, in double precision, on the original vectors, and the best k of all shards are a query's.
 
 Rows take no part whose id or vector is null, or whose vector is zero, empty or holds a null or non-finite component. Only vectors
@@ -36,6 +36,8 @@ EF_SEARCH = 96
 #: Rows of a shard, on average, and queries of a block. Both bound what a task holds.
 SHARD_ROWS = 8192
 BLOCK_ROWS = 4096
+#: Blocks that one copy of a shard meets.
+SPAN = 8
 #: Nodes put in together at most; nodes expanded together in a step of a search.
 BATCH = 256
 STRIDE = 4
@@ -326,7 +328,11 @@ def nearest(shards: DataFrame, asked: DataFrame, k: int, ef: int = EF_SEARCH) ->
     """shards: index; asked: blocks. (query_id, rank, vec_id, score): each query's k nearest of what is found, ties to the smaller id."""
     bounded_batches()
     last = shards.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]
-    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(shards, ["shard", "dim"])
+    spans = asked.agg(F.coalesce(F.floor(F.max("block") / SPAN), F.lit(0))).first()[0]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n))))
+    met = asked.withColumns({"shard": every(last), "span": F.floor(F.col("block") / SPAN).cast("int")})
+    # Blocks times shards are many times the blocks' files, by which Spark would judge them small enough for a broadcast.
+    pairs = met.hint("merge").join(shards.withColumn("span", every(spans)), ["shard", "dim", "span"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

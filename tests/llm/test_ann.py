@@ -128,3 +128,15 @@ def test_empty_and_small_tables(spark):
     assert ann.nearest_neighbours(empty, "vec_id", "embedding", empty["vec_id"] % 50 == 0, 5).collect() == []
     alone = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert ann.nearest_neighbours(alone, "vec_id", "embedding", alone["vec_id"] % 50 == 0, 5).collect() == []
+
+
+def test_blocks_meet_shards_by_a_shuffle_in_spans(spark):
+    """Blocks times shards are many times the blocks' files: a broadcast of them would pass through the driver."""
+    rows = [(k, v.tolist()) for k, v in enumerate(cloud(600, seed=3))]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    asked = ann.blocks(df.where("id % 3 = 0"), "id", "v", block_rows=10)
+    assert asked.count() > 2 * ann.SPAN
+    out = ann.nearest(ann.index(df, "id", "v", shard_rows=100), asked, 5)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got, want = found(out), brute(rows, every=3)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values()) and recall(got, want) >= 0.95
