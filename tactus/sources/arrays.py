@@ -1,7 +1,8 @@
 """Array files (.npy and .npz) as a data source: a row for each entry of an array's first axis.
 
 Reading plans from sizes and headers alone: files up to `splitBytes` go several to a partition, larger ones are cut into ranges of
-rows, and a task reads the bytes of its range and no others. Members of an .npz that are compressed can't be cut and are a
+rows, and a task reads the bytes of its range and no others. Where so small parts would be too many for a scheduler, they are larger
+(`part_bytes`). Members of an .npz that are compressed can't be cut and are a
 partition each. Writing streams: a task holds a batch of rows, never a file.
 
     arrays.register(spark)
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import ast
 import fnmatch
+import json
 import posixpath
 import struct
 import uuid
@@ -42,6 +44,9 @@ FORMAT = "arrays"
 #: Bytes of a partition, and of a batch of rows.
 SPLIT_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
+#: Partitions that are planned before parts become larger than asked for, and files of a partition.
+MOST_PARTS = 400
+MOST_FILES = 1024
 
 # The files' magic number and the length of a member's local header without its names.
 MAGIC = b"\x93NUMPY"
@@ -139,20 +144,39 @@ def listed(pattern: str, suffixes: tuple[str, ...] = (".npy", ".npz")) -> list[t
     return sorted((lead + f.path, f.size) for f in plain)
 
 
-def arrays_in(uri: str, file, only: str | None, axes: int = 1) -> Iterator[tuple[str, int, Header]]:
+def part_bytes(total: int, split: int) -> int:
+    """Bytes of a partition: split, or what makes MOST_PARTS partitions of all files where that is more, but for that never above SPLIT_BYTES."""
+    return max(split, min(SPLIT_BYTES, -(-total // MOST_PARTS)))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows, small batches put together: files of a few rows would cost a batch each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
+def arrays_in(uri: str, file, only: tuple[str, ...] | None, axes: int = 1) -> Iterator[tuple[str, int, Header]]:
     """(member or "", where its bytes begin or -1 if it is compressed, header) of the arrays of an open file."""
     for name, begin, header in _arrays_in(uri, file, only):
         yield name, begin, header.counted(axes, f"{uri} {name}")
 
 
-def _arrays_in(uri: str, file, only: str | None) -> Iterator[tuple[str, int, Header]]:
+def _arrays_in(uri: str, file, only: tuple[str, ...] | None) -> Iterator[tuple[str, int, Header]]:
     if not uri.endswith(".npz"):
         yield "", 0, read_header(lambda at, n: file.read_at(n, at), uri)
         return
     with zipfile.ZipFile(file) as members:
         for m in members.infolist():
             name = m.filename.removesuffix(".npy")
-            if only is not None and name != only:
+            if only is not None and name not in only:
                 continue
             if m.compress_type == zipfile.ZIP_STORED:
                 local = file.read_at(LOCAL_HEADER, m.header_offset)
@@ -193,9 +217,10 @@ class ArrayFiles(DataSource):
     def name(cls) -> str:
         return FORMAT
 
-    def _options(self) -> tuple[str, str | None, int, bool, int]:
+    def _options(self) -> tuple[str, tuple[str, ...] | None, int, bool, int]:
         o = self.options
-        return o["path"], o.get("array"), int(o.get("axes", 1)), o.get("flat", "false").lower() == "true", int(o.get("splitBytes", SPLIT_BYTES))
+        only = tuple(json.loads(o["arrays"])) if "arrays" in o else (o["array"],) if "array" in o else None
+        return o["path"], only, int(o.get("axes", 1)), o.get("flat", "false").lower() == "true", int(o.get("splitBytes", SPLIT_BYTES))
 
     def schema(self) -> T.StructType:
         path, only, count, flat, _ = self._options()
@@ -208,7 +233,7 @@ class ArrayFiles(DataSource):
             with store.open_input_file(place) as f:
                 kinds = {(h.kind, max(1, len(h.shape))) for _, _, h in arrays_in(found[0][0], f, only, count)}
             if len(kinds) != 1:
-                raise ValueError(f"{found[0][0]} has {'several kinds of arrays' if kinds else f'no array {only}'}: name one by option array, or set option flat")
+                raise ValueError(f"{found[0][0]} has {'several kinds of arrays' if kinds else f'no array {", ".join(only or ())}'}: name one by option array, or set option flat")
             kind, axes = kinds.pop()
             value = ENTRY[kind][0]
             for _ in range(axes - 1):
@@ -226,16 +251,18 @@ class ArrayFiles(DataSource):
 
 
 class ArrayReader(DataSourceReader):
-    def __init__(self, path: str, only: str | None, axes: int, flat: bool, split: int, schema: T.StructType):
+    def __init__(self, path: str, only: tuple[str, ...] | None, axes: int, flat: bool, split: int, schema: T.StructType):
         self.path, self.only, self.axes, self.flat, self.split, self.schema = path, only, axes, flat, split, schema
 
     def partitions(self) -> list[Part]:
         parts: list[Part] = []
         together: list[tuple[str, str, int]] = []
         held = 0
-        for uri, size in listed(self.path):
-            if size <= self.split:  # its header is the task's to read
-                if together and held + size > self.split:
+        files = listed(self.path)
+        split = part_bytes(sum(size for _, size in files), self.split)
+        for uri, size in files:
+            if size <= split:  # its header is the task's to read
+                if together and (held + size > split or len(together) == MOST_FILES):
                     parts.append(Part(together))
                     together, held = [], 0
                 together.append((uri, "", 0))
@@ -244,11 +271,14 @@ class ArrayReader(DataSourceReader):
             store, place = store_of(uri)
             with store.open_input_file(place) as f:
                 for member, begin, h in arrays_in(uri, f, self.only, self.axes):
-                    step = h.rows if begin < 0 else max(1, self.split // max(1, h.row_bytes))
+                    step = h.rows if begin < 0 else max(1, split // max(1, h.row_bytes))
                     parts += [Part([(uri, member, begin)], low, min(low + step, h.rows)) for low in range(0, h.rows, step)]
         return [*parts, *([Part(together)] if together else [])] or [Part([])]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        return gathered(self._read(part))
+
+    def _read(self, part: Part) -> Iterator[pa.RecordBatch]:
         for uri, member, begin in part.places:
             store, place = store_of(uri)
             with store.open_input_file(place) as f:
@@ -256,7 +286,7 @@ class ArrayReader(DataSourceReader):
                     for name, start, header in arrays_in(uri, f, self.only, self.axes):
                         yield from self._rows(f, uri, name, start, header, 0, header.rows)
                 else:
-                    header = next(h for _, _, h in arrays_in(uri, f, member or None, self.axes))
+                    header = next(h for _, _, h in arrays_in(uri, f, (member,) if member else None, self.axes))
                     yield from self._rows(f, uri, member, begin, header, part.low, part.high)
 
     def _rows(self, file, uri: str, name: str, begin: int, header: Header, low: int, high: int) -> Iterator[pa.RecordBatch]:
@@ -411,11 +441,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArrayFiles)
 
 
-def read(spark: SparkSession, path: str, array: str | None = None, axes: int = 1, flat: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(path, name, at, value) of the array files at path, with more axes than one also index; array: the member of .npz files that is read."""
+def read(spark: SparkSession, path: str, array: str | tuple[str, ...] | None = None, axes: int = 1, flat: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, name, at, value) of the array files at path, with more axes than one also index; array: the member or members of .npz files that are read."""
     register(spark)
     reader = spark.read.format(FORMAT).option("flat", str(flat).lower()).option("splitBytes", split_bytes).option("axes", axes)
-    return (reader if array is None else reader.option("array", array)).load(path)
+    return (reader if array is None else reader.option("array", array) if isinstance(array, str) else reader.option("arrays", json.dumps(array))).load(path)
 
 
 def save(rows: DataFrame, folder: str, kind: str = "npy", scalars: tuple[str, ...] = ()) -> None:

@@ -1,7 +1,7 @@
 """WAV files as a data source: a row for each chunk of samples, read by byte range.
 
 Partitions come from file sizes and headers: files up to `splitBytes` go several to a partition unopened, longer ones are cut at
-multiples of `chunk` samples. A task reads its own range and, with option `edge`, so many samples on either side of it, so that frames
+multiples of `chunk` samples; both as in `arrays.part_bytes` where so small parts would be too many. A task reads its own range and, with option `edge`, so many samples on either side of it, so that frames
 can be made without moving a sample (see signal.chunk_frames).
 
     waves.read(spark, "folder/*.wav")   # path, sample_rate, channels, total, chunk, at, samples
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tactus.sources.arrays import listed, nested
+from tactus.sources.arrays import MOST_FILES, gathered, listed, nested, part_bytes
 from tactus.sources.store import store_of
 
 FORMAT = "waves"
@@ -128,9 +128,11 @@ class WaveReader(DataSourceReader):
         parts: list[Part] = []
         together: list[tuple[str, int]] = []
         held = 0
-        for uri, size in listed(self.path, (".wav",)):
-            if size <= self.split:
-                if together and held + size > self.split:
+        files = listed(self.path, (".wav",))
+        split = part_bytes(sum(size for _, size in files), self.split)
+        for uri, size in files:
+            if size <= split:
+                if together and (held + size > split or len(together) == MOST_FILES):
                     parts.append(Part(together))
                     together, held = [], 0
                 together.append((uri, size))
@@ -139,11 +141,14 @@ class WaveReader(DataSourceReader):
             store, place = store_of(uri)
             with store.open_input_file(place) as f:
                 wave = read_wave(lambda at, n: f.read_at(n, at), size, uri)  # noqa: B023
-            step = max(1, self.split // (wave.step * self.chunk)) * self.chunk
+            step = max(1, split // (wave.step * self.chunk)) * self.chunk
             parts += [Part([(uri, size)], low, min(low + step, wave.total)) for low in range(0, wave.total, step)]
         return [*parts, *([Part(together)] if together else [])] or [Part([])]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        return gathered(self._read(part), STEP_BYTES)
+
+    def _read(self, part: Part) -> Iterator[pa.RecordBatch]:
         for uri, size in part.places:
             store, place = store_of(uri)
             with store.open_input_file(place) as f:

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tactus.operators import signal
-from tactus.sources import audio, waves
+from tactus.sources import arrays, audio, waves
 
 RNG = np.random.default_rng(0)
 
@@ -151,3 +151,14 @@ def test_stereo_is_played_at_one_rate(spark, tmp_path):
     assert got.shape == (2, 44100)
     for channel, hz in enumerate((300, 500)):
         assert np.abs(got[channel, 500:-500] - np.sin(2 * np.pi * hz * n)[500:-500]).max() < 0.01
+
+
+def test_many_small_files_are_few_partitions(spark, tmp_path):
+    """Parts of a few bytes, asked for over many files, are put together; every sample is read once."""
+    for k in range(1500):
+        (tmp_path / f"{k}.wav").write_bytes(riff(8000, np.full((20 + k % 60, 1), k, "<i2"), 2))
+    df = waves.read(spark, str(tmp_path), chunk=16, split_bytes=128)
+    assert df.rdd.getNumPartitions() <= 1.5 * arrays.MOST_PARTS
+    got = {r["path"].rsplit("/", 1)[1]: (r["n"], r["low"], r["high"]) for r in df.select("path", F.explode("samples").alias("v")).groupBy("path").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+    assert got == {f"{k}.wav": (20 + k % 60, k / 32768, k / 32768) for k in range(1500)}
+    assert sum(1 for b in waves.WaveReader(str(tmp_path), True, 16, 0, 1 << 20).read(waves.Part([(f"{tmp_path}/{k}.wav", 200) for k in range(100)]))) == 1
