@@ -145,3 +145,15 @@ def test_a_long_array_passes_in_little_memory(spark, tmp_path):
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     assert len(parts) == 6 and sum(b.num_rows for b in reader.read(parts[3])) == parts[3].high - parts[3].low
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150_000  # kB
+
+
+def test_small_parts_of_a_long_file_are_put_together(spark, tmp_path):
+    """Parts of a few rows, asked for over many rows, become larger, yet no larger than the default; several members in one pass."""
+    np.save(tmp_path / "x.npy", np.arange(40_000.0).reshape(20_000, 2))
+    df = arrays.read(spark, str(tmp_path / "x.npy"), split_bytes=64)
+    assert df.rdd.getNumPartitions() <= arrays.MOST_PARTS + 1
+    assert df.agg(F.count("*"), F.sum(F.col("value")[0] - 2 * F.col("at")), F.countDistinct("at")).first()[:] == (20_000, 0.0, 20_000)
+    assert [arrays.part_bytes(t, s) for t, s in ((100, 64), (1 << 50, 64), (1 << 50, 1 << 30), (400 * 640, 64))] == [64, arrays.SPLIT_BYTES, 1 << 30, 640]
+    np.savez(tmp_path / "m.npz", a=np.zeros(3), b=np.ones(2), text=np.array(["x"]))
+    got = arrays.read(spark, str(tmp_path / "m.npz"), ("a", "b"), flat=True).groupBy("name").count().orderBy("name").collect()
+    assert got == [("a", 3), ("b", 2)]
