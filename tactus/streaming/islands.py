@@ -17,28 +17,32 @@ from tactus.streaming.guard import use_stateful
 
 ISLAND = "track string, island long, start long, end long, peak long"
 OPEN = "number long, start long, last long, last_ms long, peak long, height double"
-PLACE = "ms long, frame long"
-SEEN = "flag boolean, height double"
+SEEN = "ms long, frame long, flag boolean, height double"
 
 
 class Islands(StatefulProcessor):
-    """Keeps rows that the watermark hasn't passed, and the open island. One timer a track: at its earliest kept row, else where its island ends."""
+    """Keeps rows that the watermark hasn't passed, and the open island. One timer a track: at its earliest kept row, else where its island ends.
+
+    Every question to the state is a message to Spark, so rows are kept and taken as lists: a few questions for each track and batch,
+    not for each row.
+    """
 
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", PLACE, SEEN)
+        self.waiting = handle.getListState("kept", SEEN)
         self.open = handle.getValueState("open", OPEN)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first = None
-        for r in rows:
-            self.waiting.updateValue((r["ms"], r["frame"]), (bool(r["flag"]), r["height"]))
-            first = r["ms"] if first is None else min(first, r["ms"])
+        fresh = [(r["ms"], r["frame"], bool(r["flag"]), r["height"]) for r in rows]
+        if not fresh:
+            return iter(())
+        self.waiting.appendList(fresh)
+        first = min(x[0] for x in fresh)
         timers = list(self.handle.listTimers())
-        if first is not None and (not timers or first < min(timers)):
+        if not timers or first < min(timers):
             self._wake(first, timers)
         return iter(())
 
@@ -49,14 +53,14 @@ class Islands(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        number, start, last, last_ms, peak, height = self.open.get() if self.open.exists() else (0, None, None, None, None, None)
+        number, start, last, last_ms, peak, height = self.open.get() or (0, None, None, None, None, None)
 
         def closed() -> Row:
             return Row(track=key[0], island=number, start=start, end=last + 1, peak=peak)
 
-        passed = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if k[0] <= now)
-        for (ms, frame), (flag, value) in passed:
-            self.waiting.removeKey((ms, frame))
+        kept = {tuple(r)[:2]: tuple(r)[2:] for r in self.waiting.get()}  # of rows of one time and frame, the one that came last
+        ahead = [(*k, *v) for k, v in kept.items() if k[0] > now]
+        for (ms, frame), (flag, value) in sorted(x for x in kept.items() if x[0][0] <= now):
             if start is not None and (not flag or ms - last_ms > self.gap_ms):
                 yield closed()
                 start = None
@@ -70,7 +74,11 @@ class Islands(StatefulProcessor):
             yield closed()
             start = None
         self.open.update((number, start, last, last_ms, peak, height))
-        left = [k[0] for k in self.waiting.keys()] + ([last_ms + self.gap_ms + 1] if start is not None else [])
+        if ahead:
+            self.waiting.put(ahead)
+        elif kept:
+            self.waiting.clear()
+        left = [x[0] for x in ahead] + ([last_ms + self.gap_ms + 1] if start is not None else [])
         if left:
             self._wake(min(left), [t for t in self.handle.listTimers() if t != expiredTimerInfo.getExpiryTimeInMs()])
 

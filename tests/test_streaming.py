@@ -178,3 +178,29 @@ def test_streamed_nearness_equals_the_batch(spark, tmp_path):
     got = {(r["track"], r["us"]): r["delta"] for r in deltas.withColumn("us", F.unix_micros("time")).collect()}
     assert got == {(r["track"], r["us"]): d if (d := batch.get((r["track"], r["us"]))) is not None and abs(d) <= 4_000_000 else None for r in ref.collect()}
     assert sum(d is None for d in got.values()) > 3 and sum(d is not None for d in got.values()) > 30
+
+
+def test_questions_to_the_state_do_not_grow_with_a_tracks_rows():
+    """Each is a message to Spark."""
+
+    class Handle:
+        def __init__(self):
+            self.asked, self.rows, self.value, self.timers = 0, [], None, []
+
+        def __getattr__(self, name):
+            def answer(*x):
+                if name in ("getListState", "getMapState", "getValueState"):
+                    return self
+                self.asked += 1
+                if name == "appendList":
+                    self.rows += x[0]
+                elif name == "listTimers":
+                    return iter(self.timers)
+                return None
+
+            return answer
+
+    handle, state = Handle(), islands.Islands(1000)
+    state.init(handle)
+    list(state.handleInputRows(("a",), iter({"ms": k, "frame": k, "flag": True, "height": 1.0} for k in range(500)), None))
+    assert handle.asked <= 4 and len(handle.rows) == 500
