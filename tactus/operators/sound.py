@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tactus.schema import SAMPLE_RATE
+from tactus.session import durable
+
+#: Samples of a stretch of a track, and samples that sound in a partition, on average.
+STRETCH = 4096
+PART_SAMPLES = 1 << 20
 
 # Each kind's pitch in Hz where it begins and where it ends, its length in seconds, and the octaves of loudness it falls by.
 TONES = {"beat": (1500.0, 1500.0, 0.1, 10.0), "downbeat": (3000.0, 3000.0, 0.1, 10.0), "boundary": (1000.0, 1000.0, 0.1, 10.0), "drop": (4000.0, 40.0, 0.5, 4.0)}
@@ -32,16 +37,23 @@ def rendered(events: DataFrame, lengths: DataFrame, rate: int = SAMPLE_RATE) ->
     """events (path, time, kind) and lengths (path, samples) -> (path, at, value): the samples at which something sounds, all tones added, in -1..1.
 
     What would sound before a track's start or behind its end is left out; samples without a sound have no row. Kinds without a tone raise.
-    A sample's tones are added on the map side first, so no task holds a track.
+    Equal tones at one time are one, so many times as loud. Tones are dealt by stretches of tracks before they become samples, to as many
+    partitions as their samples ask for: what a task adds up is bounded, and no sample moves.
     """
     known = F.create_map(*(x for kind, of in TONES.items() for x in (F.lit(kind), F.struct(*(F.lit(v).alias(n) for n, v in zip(("begin", "end", "seconds", "octaves"), of, strict=True))))))
     told = F.raise_error(F.concat(F.lit("no tone for events of kind "), F.coalesce("kind", F.lit("null"))))
     start = F.rint(F.col("time") * rate).cast("long").alias("_start")
     each = events.select("path", start, F.coalesce(known[F.col("kind")], told).alias("_t"))
     each = each.withColumn("_n", F.floor(F.col("_t.seconds") * rate)).where("_n > 0").join(lengths.select("path", F.col("samples").alias("_end")), "path").where("_start >= 0 and _start < _end")
-    heard = each.select("path", "_start", "_end", "_t", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k")).where("_start + _k < _end")
-    value = tone(F.col("_k"), F.col("_n"), F.col("_t.begin"), F.col("_t.end"), F.col("_t.octaves"), rate)
-    summed = heard.groupBy("path", (F.col("_start") + F.col("_k")).alias("at")).agg(F.sum(value).alias("value"))
+    same = durable(each.groupBy("path", "_start", "_end", "_t", "_n").agg(F.count(F.lit(1)).alias("_times")), "tones")
+    parts = max(1, -(-(same.agg(F.sum("_n")).first()[0] or 0) // PART_SAMPLES))
+    first, last = F.floor(F.col("_start") / STRETCH), F.floor((F.least(F.col("_start") + F.col("_n"), F.col("_end")) - 1) / STRETCH)
+    dealt = same.withColumn("_stretch", F.explode(F.sequence(first, last))).repartition(parts, "path", "_stretch")
+    low = F.greatest(F.col("_stretch") * STRETCH - F.col("_start"), F.lit(0).cast("long"))
+    high = F.least(F.col("_n"), F.col("_end") - F.col("_start"), (F.col("_stretch") + 1) * STRETCH - F.col("_start"))
+    heard = dealt.withColumn("_k", F.explode(F.sequence(low, high - 1)))
+    value = tone(F.col("_k"), F.col("_n"), F.col("_t.begin"), F.col("_t.end"), F.col("_t.octaves"), rate) * F.col("_times")
+    summed = heard.groupBy("path", "_stretch", (F.col("_start") + F.col("_k")).alias("at")).agg(F.sum(value).alias("value"))
     return summed.select("path", "at", clip(F.col("value")).alias("value"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tactus import schema
 from tactus.functions import columns as fn
-from tactus.operators import hmm, parity, peaks, segments, signal, stems
+from tactus.operators import hmm, parity, peaks, segments, signal, sound, stems
 from tactus.operators.tempo import tempo_candidates
 from tactus.sources import audio, sinks
 from tactus.streaming import incremental
@@ -301,3 +301,23 @@ def test_layouts_are_met_by_a_shuffle(spark):
         d = [abs(at[t, f - 1, b] - v) for (t, f, b), v in laid if (t, f - 1, b) in at and (whole or b < 3)]
         assert (r.mean_abs, r.max_abs) == (pytest.approx(sum(d) / len(d)), max(d))
     assert got[1, False, True].max_abs == 0
+
+
+def test_tones_are_dealt_before_they_are_samples(spark, monkeypatch):
+    """Partitions follow the samples, across borders of stretches; tones of one kind and time add up; no sample is shuffled."""
+    monkeypatch.setattr(sound, "STRETCH", 16)
+    monkeypatch.setattr(sound, "PART_SAMPLES", 50)
+    rows = [("a", s / 1000, kind) for s, kind in ((0, "beat"), (7, "drop"), (7, "drop"), (130, "beat"), (390, "beat"), (400, "beat"), (-5, "beat"))]
+    out = sound.rendered(spark.createDataFrame(rows, "path string, time double, kind string"), spark.createDataFrame([("a", 400), ("b", 9)], "path string, samples long"), 1000)
+    assert out.rdd.getNumPartitions() == 16  # 100 + 500 + 100 + 100 samples, equal tones once, none behind the end
+    want = {}
+    for _, time, kind in rows:
+        begin, end, seconds, octaves = sound.TONES[kind]
+        n, start = int(seconds * 1000), round(time * 1000)
+        for k in range(n if 0 <= start < 400 else 0):
+            ratio = (end / begin) ** (1 / (n - 1))
+            pitch = begin * k if begin == end else begin * (1 - ratio ** (k + 1)) / (1 - ratio)
+            if start + k < 400:
+                want[start + k] = want.get(start + k, 0) + np.sin(2 * np.pi * pitch / 1000) * 2 ** (-octaves * k / (n - 1))
+    got = {r["at"]: r["value"] for r in out.collect()}
+    assert set(got) == set(want) and all(abs(got[i] - min(max(v, -1), 1)) < 1e-9 for i, v in want.items())
