@@ -207,15 +207,12 @@ def activation_files(spark: SparkSession, folder: str) -> DataFrame:
     if not arrays.listed(f"{folder}/*.activ.npz"):
         return spark.createDataFrame([], ACTIVATIONS)
     track = F.regexp_replace(basename(F.col("path")), r"\.activ\.npz$", "").alias("track_id")
-    parts = []
-    for name, column in SIDE_ARRAYS.items():
-        rows = arrays.read(spark, f"{folder}/*.activ.npz", name, flat=True)
-        parts.append(rows.select(track, F.col("at").cast("int").alias("frame"), F.lit(column).alias("part"), F.lit(0).alias("k"), F.col("value")[0].alias("v")))
-    label = arrays.read(spark, f"{folder}/*.activ.npz", "label", flat=True).select(track, F.col("at").cast("int").alias("k"), F.posexplode("value").alias("frame", "v"))
-    parts.append(label.select("track_id", "frame", F.lit("p_function").alias("part"), "k", "v"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    rows = arrays.read(spark, f"{folder}/*.activ.npz", (*SIDE_ARRAYS, "label"), flat=True)  # every file is opened once
+    of_label = F.col("name") == "label"
+    column = F.create_map(*(F.lit(x) for pair in SIDE_ARRAYS.items() for x in pair))[F.col("name")]
+    each = rows.select(track, "name", F.col("at").cast("int").alias("at"), F.posexplode("value").alias("i", "v")).where(of_label | (F.col("i") == 0))
+    frame, k = F.when(of_label, F.col("i")).otherwise(F.col("at")), F.when(of_label, F.col("at")).otherwise(0)
+    every = each.select("track_id", frame.alias("frame"), F.when(of_label, "p_function").otherwise(column).alias("part"), k.alias("k"), "v")
     plain = [F.max(F.when(F.col("part") == c, F.col("v"))).cast("float").alias(c) for c in SIDE_ARRAYS.values()]
     classes = F.array_sort(F.collect_list(F.when(F.col("part") == "p_function", F.struct("k", F.col("v").cast("float").alias("v")))))
     function = F.when(F.size(classes) > 0, F.transform(classes, lambda x: x["v"])).alias("p_function")
