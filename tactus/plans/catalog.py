@@ -846,7 +846,8 @@ def array_files(spark, sf_dir):
     path = fresh_path(spark, "arrays")
     arrays.save(rows.select(F.concat(F.lit("label-"), "label", F.lit(".npy")).alias("file"), "at", F.col("embedding").alias("value")), path)
     back = arrays.read(spark, f"{path}/label-*.npy", split_bytes=4096)
-    out = back.select(F.regexp_extract("name", "label-(.*)", 1).cast("bigint").alias("label"), "at", F.posexplode("value").alias("k", "v"))
+    named = back.select(F.regexp_extract("name", "label-(.*)", 1).cast("bigint").alias("label"), "at", "value")  # once for each vector, not for each entry
+    out = named.select("label", "at", F.posexplode("value").alias("k", "v"))
     return out.select("label", "at", F.col("k").cast("bigint").alias("k"), F.col("v").cast("double").alias("v"))
 
 
