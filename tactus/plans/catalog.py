@@ -874,7 +874,8 @@ def wave_files(spark, sf_dir):
     signals = frames(spark, sf_dir).groupBy(F.col("user_id").cast("string").alias("track_id")).agg(ordered.alias("samples"))
     sinks.save_waves(signals.select("track_id", F.lit("drums").alias("stem"), F.lit(8000).alias("sample_rate"), "samples"), path)
     back = waves.read(spark, f"{path}/*.wav", chunk=16, split_bytes=256)
-    out = back.select(F.regexp_extract("path", r"([^/]*)\.drums\.wav$", 1).alias("track"), "at", F.posexplode("samples").alias("k", "v"))
+    named = back.select(F.regexp_extract("path", r"([^/]*)\.drums\.wav$", 1).alias("track"), "at", "samples")  # once for each chunk
+    out = named.select("track", "at", F.posexplode("samples").alias("k", "v"))
     return out.select("track", (F.col("at") + F.col("k")).alias("frame"), F.round(F.col("v").cast("double"), 6).alias("v"))
 
 

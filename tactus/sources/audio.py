@@ -210,7 +210,8 @@ def activation_files(spark: SparkSession, folder: str) -> DataFrame:
     rows = arrays.read(spark, f"{folder}/*.activ.npz", (*SIDE_ARRAYS, "label"), flat=True)  # every file is opened once
     of_label = F.col("name") == "label"
     column = F.create_map(*(F.lit(x) for pair in SIDE_ARRAYS.items() for x in pair))[F.col("name")]
-    each = rows.select(track, "name", F.col("at").cast("int").alias("at"), F.posexplode("value").alias("i", "v")).where(of_label | (F.col("i") == 0))
+    named = rows.select(track, "name", F.col("at").cast("int").alias("at"), "value")  # once for each row, not for each of its entries
+    each = named.select("track_id", "name", "at", F.posexplode("value").alias("i", "v")).where(of_label | (F.col("i") == 0))
     frame, k = F.when(of_label, F.col("i")).otherwise(F.col("at")), F.when(of_label, F.col("at")).otherwise(0)
     every = each.select("track_id", frame.alias("frame"), F.when(of_label, "p_function").otherwise(column).alias("part"), k.alias("k"), "v")
     plain = [F.max(F.when(F.col("part") == c, F.col("v"))).cast("float").alias(c) for c in SIDE_ARRAYS.values()]
