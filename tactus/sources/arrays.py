@@ -157,6 +157,9 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iter
         if held and size + batch.nbytes > most:
             yield pa.concat_batches(held)
             held, size = [], 0
+        if batch.nbytes > most:  # nothing is kept beside a whole batch
+            yield batch
+            continue
         held.append(batch)
         size += batch.nbytes
     if held:

@@ -1,6 +1,7 @@
 import resource
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -176,3 +177,19 @@ def test_names_are_taken_apart_below_the_entries(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Generate posexplode") :]  # what stands above it comes first
     assert "regexp" not in plan.removesuffix(below) and "regexp" in below
+
+
+def test_a_whole_batch_is_not_kept_until_the_next():
+    """Small batches are put together in order; one that is large enough goes on before another is made."""
+    taken = []
+
+    def batches(sizes):
+        for n in sizes:
+            taken.append(n)
+            yield pa.RecordBatch.from_pydict({"v": pa.array(np.full(n, len(taken), np.int64))})
+
+    assert next(arrays.gathered(batches([1000, 1000]), 4000)).num_rows == 1000 and taken == [1000]
+    taken.clear()
+    got = list(arrays.gathered(batches([100, 100, 1000, 100, 300, 200]), 4000))
+    assert [b.num_rows for b in got] == [200, 1000, 400, 200]
+    assert [v for b in got for v in b["v"].to_pylist()] == [k + 1 for k, n in enumerate(taken) for _ in range(n)]
